@@ -37,11 +37,40 @@ def text_blocks(batches, column: str, limit: int = CHARS_AT_ONCE):
             yield batch.slice(start), texts[start:]
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared folder of spark.checkpoint.dir; only where that is unset (tests), in a folder of its own."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir", "") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; only where it is unset (tests), one of our own."""
+    import tempfile
+
+    sc = spark.sparkContext
+    if not (folder := sc.getConf().get("spark.checkpoint.dir", "")):
+        if sc._jsc.sc().getCheckpointDir().isEmpty():
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+        folder = sc._jsc.sc().getCheckpointDir().get()
+    return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Written as Parquet in the shared folder and read again: cut lineage, with columns read as needed. The
+    folder goes when the driver's Python ends."""
+    import atexit
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
 
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+    def drop():
+        try:
+            jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(jvm_path, True)
+        except Exception:  # noqa: BLE001  the session may have ended before
+            pass
+
+    atexit.register(drop)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

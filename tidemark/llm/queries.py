@@ -6,10 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, decontaminate, near, token_counts
 from .common import read
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phrases = decontaminate.blocks(read(spark, sf_dir, "benchmark"))
+    return decontaminate.digest(decontaminate.search_documents(read(spark, sf_dir, "documents"), phrases))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ids = bpe.encode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -25,7 +35,11 @@ def bpe_digest(decoded: DataFrame) -> DataFrame:
     )
 
 
-QUERIES = {"op4_byte_bpe": op4_byte_bpe}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_token_counts, op4_byte_bpe, op10_jaccard_join)}
 
 #: DuckDB SQL of those queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}

@@ -3,7 +3,12 @@
 Each text becomes the set of its distinct word shingles, hashed to 64 bits. Sets are put into overlapping size
 bands. Sets of one band that are similar enough differ in at most k shingles; the shingle domain is cut into n1
 parts of n2 pieces, and every part gives one signature for each way of leaving out k2 of its pieces. n1 is so
-large that in at least one part at most k2 shingles differ, hence similar sets share a signature.
+large that in at least one part at most k2 shingles differ, hence similar sets share a signature. Agreeing on an
+empty piece gives none: there are spare parts for that, and a set with more empty parts than spare ones signs
+those too. Where that needs too many parts (k of 40 or more, and middle k at low similarities) fewer spare parts
+stand than could be empty: a pair at the very threshold then hangs on chance, since its differences fall on the
+pieces at random and leave more than a quarter of them alone, and all of those would have to be empty ones. That
+chance is below 1e-12 for k of 40 or more and about 1e-7 for the middle k, for a pair with no difference to spare.
 
 Work on the signatures never pairs a whole group:
 1. equal sets are one class, found by a 128-bit key; only its smallest id goes on;
@@ -24,7 +29,6 @@ from __future__ import annotations
 
 import itertools
 import math
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,7 @@ from pyspark.sql import functions as F
 from .bpe import Shipped
 from .common import CHARS_AT_ONCE, checkpointed, id_text, stored, text_blocks
 from .components import components
+from .hashing import Words, mix
 
 #: Width of a size band: the largest size over the smallest.
 BAND = 1.25
@@ -50,43 +55,10 @@ _P = 0x9E3779B97F4A7C15
 _U = np.uint64
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finalizer: each input bit reaches each output bit."""
-    x = x ^ (x >> _U(32))
-    x = x * _U(0xD6E8FEB86659FD93)
-    x = x ^ (x >> _U(29))
-    x = x * _U(0xA0761D6478BD642F)
-    return x ^ (x >> _U(32))
-
-
-@lru_cache(maxsize=1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2^64."""
-    odd = 0xB5AD4ECEDA1CE2A9
-    up, down = np.full(size, _U(odd)), np.full(size, _U(pow(odd, -1, 1 << 64)))
-    up[0] = down[0] = _U(1)
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (A-Z in lower case, cut at ASCII blanks) and where each text's words begin."""
-    raw = [t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in texts]
-    sizes = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
-    buffer = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-    up, down = _powers(1 << max(20, int(len(buffer) + 1).bit_length()))
-    inside = ~((buffer == 32) | ((buffer >= 9) & (buffer <= 13)))
-    edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0)))
-    begin, end = edge[0::2], edge[1::2]
-    total = np.zeros(len(buffer) + 1, np.uint64)
-    np.cumsum((buffer.astype(np.uint64) + _U(1)) * up[: len(buffer)], out=total[1:])
-    hashes = mix((total[end] - total[begin]) * down[begin])
-    starts = np.searchsorted(begin, np.concatenate(([0], np.cumsum(sizes))))
-    return hashes, starts
-
-
 def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct shingle hashes of each text, one after the other, and where each text's begin."""
-    words, starts = word_hashes(texts)
+    found = Words(texts)
+    words, starts = found.hashes, found.starts
     count = np.diff(starts)
     combined = np.zeros(max(0, len(words) - width + 1), np.uint64)
     for j in range(width):
@@ -130,6 +102,8 @@ class Bands:
             return 0, 0, 0, 0
         if k <= 2:
             return 1, 3 + k, k, 0
+        if k >= 40:  # chance takes the place of spare parts: see the module's text
+            return k // 2 + 1, 2, 1, int(0.3 * (k // 2 + 1))
         smallest, best = low * self.percent / 100, None
         for n2, k2 in ((2, 1), (3, 1), (4, 1), (4, 2), (5, 2), (6, 3)):
             spare = 0 if k <= 12 and n2 - k2 >= 2 else 1
@@ -145,7 +119,7 @@ class Bands:
             shared = smallest * (n2 - k2) / n2 / n1
             if shared >= SHARED and (best is None or n1 * math.comb(n2, k2) < best[0]):
                 best = n1 * math.comb(n2, k2), (n1, n2, k2, spare)
-        return best[1] if best else (k // 4 + 1, 8, 3, 0)
+        return best[1] if best else (k // 2 + 1, 3, 1, 3)
 
     def of(self, size: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, size, side="right") - 1

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, near, token_counts
-from .common import read
+from . import bpe, decontaminate, near, token_counts, toxicity
+from .common import fold, read
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,11 +35,18 @@ def bpe_digest(decoded: DataFrame) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.fit(toxicity.learnable(docs), toxicity.learnable(labels))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_token_counts, op4_byte_bpe, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_token_counts, op4_byte_bpe, op9_toxicity, op10_jaccard_join)}
 
 #: DuckDB SQL of those queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}

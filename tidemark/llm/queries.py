@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, near, token_counts, toxicity
+from . import bpe, decontaminate, language, near, token_counts, topk, toxicity, urls
 from .common import fold, read
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     phrases = decontaminate.blocks(read(spark, sf_dir, "benchmark"))
     return decontaminate.digest(decontaminate.search_documents(read(spark, sf_dir, "documents"), phrases))
@@ -35,6 +39,18 @@ def bpe_digest(decoded: DataFrame) -> DataFrame:
     )
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language.fit(docs.where(fold("doc_id", 5) != 0))
+    found = language.predict(docs, model)
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = toxicity.fit(toxicity.learnable(docs), toxicity.learnable(labels))
@@ -46,7 +62,19 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_token_counts, op4_byte_bpe, op9_toxicity, op10_jaccard_join)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filter,
+        op2_decontaminate,
+        op3_token_counts,
+        op4_byte_bpe,
+        op6_language,
+        op8_top_k,
+        op9_toxicity,
+        op10_jaccard_join,
+    )
+}
 
 #: DuckDB SQL of those queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_top_k": topk.SQL}

@@ -74,3 +74,39 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: log2 of the bits in which ids are marked before rows are shuffled to them.
+MARK_BITS = 24
+
+
+def split_by_ids(df: DataFrame, key: Column, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be among `ids`, rows whose key is not): only the first need a shuffle to the ids.
+
+    The ids are hashed into a bitmap of fixed size, whatever their number; hits of other ids only cost work."""
+    import numpy as np
+    import pyarrow as pa
+
+    slots = 1 << (MARK_BITS - 6)
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << MARK_BITS))
+    marked = ids.select(place(F.col("id").cast("long")).alias("at"))
+    words = marked.select(F.shiftright("at", 6).alias("slot"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+    bits = np.zeros(slots, np.int64)
+    for row in words.toLocalIterator():
+        bits[row["slot"]] = row["bits"]
+    shipped = df.sparkSession.sparkContext.broadcast(bits)
+    name = "__tidemark_at"
+    with_place = df.withColumn(name, F.coalesce(place(key.cast("long")), F.lit(0)))
+
+    def rows(wanted: int) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                at = batch.column(batch.num_columns - 1).to_numpy()
+                keep = np.flatnonzero(((shipped.value[at >> 6] >> (at & 63)) & 1) == wanted)
+                if len(keep):
+                    part = pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1])
+                    yield part.take(pa.array(keep))
+
+        return with_place.mapInArrow(run, df.schema)
+
+    return rows(1), rows(0)

@@ -200,6 +200,22 @@ def search_documents(docs: DataFrame, phrases: list[Shipped], id_col: str = "doc
     return id_text(docs, id_col, text_col).mapInArrow(run, HITS)
 
 
+def without_hits(docs: DataFrame, phrases: list[Shipped], text_col: str = "text") -> DataFrame:
+    """The documents, all columns, in which no phrase occurs; no row moves."""
+
+    def run(batches):
+        for block, texts in text_blocks(batches, text_col):
+            for _, _, starts, number, _, order, ends in _build([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["row", "text"])]):
+                keep = np.ones(len(starts) - 1, bool)
+                for phrase in phrases:
+                    for document, *_ in _search_shard(starts, list(number), ends, order, phrase.value):
+                        keep[document] = False
+                yield block.take(pa.array(np.flatnonzero(keep)))
+                block = block.slice(len(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def search_near(indexed: DataFrame, phrase: str, slop: int) -> DataFrame:
     """doc_id, start, end of places where all words of the phrase stand, in order, within `slop` further words."""
     words = words_of(phrase)

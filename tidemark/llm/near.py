@@ -35,8 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Shipped
-from .common import CHARS_AT_ONCE, checkpointed, id_text, stored, text_blocks
+from .common import CHARS_AT_ONCE, checkpointed, id_text, split_by_ids, stored, text_blocks
 from .components import components
 from .hashing import Words, mix
 
@@ -48,11 +47,12 @@ SHARED = 3.5
 BUCKETS = 64
 #: Members compared with each other at once in the exact pass.
 BLOCK = 256
-#: log2 of the bits in which the ids of candidates are marked before their texts are shuffled.
-MARK_BITS = 24
 
 _P = 0x9E3779B97F4A7C15
 _U = np.uint64
+#: Odd factors of the places in a shingle and of the pieces in a signature; unrelated, so that no two orders of
+#: the same words sum up alike.
+_FACTORS = mix(np.arange(1, 65, dtype=np.uint64) * _U(_P)) | _U(1)
 
 
 def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +62,7 @@ def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.nd
     count = np.diff(starts)
     combined = np.zeros(max(0, len(words) - width + 1), np.uint64)
     for j in range(width):
-        combined += words[j : j + len(combined)] * _U((_P * (2 * j + 1)) & (2**64 - 1) | 1)
+        combined += words[j : j + len(combined)] * _FACTORS[j]
     n = np.where(count >= width, count - width + 1, np.minimum(count, 1))
     offsets = np.concatenate(([0], np.cumsum(n)))
     owner = np.repeat(np.arange(len(n)), n)
@@ -72,7 +72,7 @@ def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.nd
     out[whole] = combined[at[whole]]
     for i in np.flatnonzero((count > 0) & (count < width)).tolist():
         part = words[starts[i] : starts[i + 1]]
-        out[offsets[i]] = sum(int(w) * ((_P * (2 * j + 3)) | 1) for j, w in enumerate(part)) + len(part) & (2**64 - 1)
+        out[offsets[i]] = (part * _FACTORS[: len(part)]).sum(dtype=np.uint64) + _U(len(part))
     out = mix(out)
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         if b - a > 1:
@@ -152,7 +152,7 @@ def signatures(sets: np.ndarray, offsets: np.ndarray, bands: Bands) -> tuple[np.
         for left in itertools.combinations(range(n2), n2 - k2):
             value = np.zeros(total.shape[:2], np.uint64)
             for j in left:
-                value += total[:, :, j] * _U((_P * (2 * j + 5)) & (2**64 - 1) | 1)
+                value += total[:, :, j] * _FACTORS[j]
             salt = mix(np.arange(n1, dtype=np.uint64) + _U(band * 1_000_003 + sum(1 << j for j in left) * 7_919_000_017))
             made.append(mix(value + salt))
             full.append(filled[:, :, list(left)].any(axis=2))
@@ -290,23 +290,8 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     """The pairs whose shingle sets, made from the whole texts again, are similar enough."""
     if pairs.isEmpty():
         return pairs
-    spark, slots = pairs.sparkSession, 1 << (MARK_BITS - 6)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    mark = F.pmod(F.xxhash64("id"), F.lit(1 << MARK_BITS))
-    words = ids.select(F.shiftright(mark, 6).alias("slot"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {1 << MARK_BITS}) & 63 as int))").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
-    bits = np.zeros(slots, np.int64)  # of fixed size, however many ids are marked
-    for row in words.toLocalIterator():
-        bits[row["slot"]] = row["bits"]
-    marks = Shipped(spark.sparkContext.broadcast(bits))
-
-    def wanted(batches):
-        for batch in batches:
-            at = batch.column(2).to_numpy()
-            keep = (marks.value[at >> 6] >> (at & 63)) & 1 == 1
-            if keep.any():
-                yield batch.select(["doc_id", "text"]).take(pa.array(np.flatnonzero(keep)))
-
-    texts = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << MARK_BITS)).alias("at")).mapInArrow(wanted, "doc_id long, text string")
+    texts = split_by_ids(docs.where("doc_id is not null").select("doc_id", "text"), F.col("doc_id"), ids)[0]
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches):
@@ -398,3 +383,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             groups = _grouped(stars, components(links))
     whole = components(links.union(copies.select(F.col("doc_id").alias("a"), F.col("chief").alias("b"))))
     return every.join(whole.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns, without those that link to one of smaller id, however far; a repeated id stays
+    once. Texts without words and rows of a null id all stay."""
+    found = stored(near_duplicates(docs, width, percent, id_col, text_col)).where("n_shingles > 0 and doc_id is not null")
+    losers = found.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
+    twice = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("id"))
+    key = F.col(id_col).cast("long")
+    some, rest = split_by_ids(docs, key, losers.union(twice))
+    named = some.where(F.col(id_col).isNotNull())
+    kept = named.join(losers, key == F.col("id"), "left_anti").dropDuplicates([id_col])
+    return kept.unionByName(some.where(F.col(id_col).isNull())).unionByName(rest)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, near, token_counts, topk, toxicity, urls
+from . import bpe, decontaminate, language, lines, lm, near, token_counts, topk, toxicity, urls
 from .common import fold, read
 
 
@@ -30,12 +30,13 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(bpe.decode(ids, path, public_tokenizers.PATTERN))
 
 
-def bpe_digest(decoded: DataFrame) -> DataFrame:
+def bpe_digest(decoded: DataFrame, *more) -> DataFrame:
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *more,
     )
 
 
@@ -46,6 +47,15 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(read(spark, sf_dir, "documents"))
+
+
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score_all(read(spark, sf_dir, "documents"), fold("doc_id", 10) != 0)
+    return scored.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
@@ -69,7 +79,9 @@ QUERIES = {
         op2_decontaminate,
         op3_token_counts,
         op4_byte_bpe,
+        op5_line_dedup,
         op6_language,
+        op7_lm_score,
         op8_top_k,
         op9_toxicity,
         op10_jaccard_join,

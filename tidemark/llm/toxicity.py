@@ -230,6 +230,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, begin long, end long, sentence_score double")
 
 
+def without_toxic(docs: DataFrame, model: Model, limit: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The documents, all columns, whose score is below the limit; no row moves."""
+    shipped = Shipped(docs.sparkSession.sparkContext.broadcast(model))
+
+    def run(batches):
+        for block, texts in text_blocks(batches, text_col):
+            silent = Bags(texts).scores(shipped.value)[1]
+            yield block.take(pa.array(np.flatnonzero(-np.expm1(silent) < limit)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learnable(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows whose crc32(id as text) mod 5 is not 0."""
     return df.where(fold(id_col, 5) != 0)

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from .common import id_text, text_blocks
 
 #: Entries after which a worker's cache starts anew.
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 400_000
 #: Longer words would make their matrix quadratic; they are merged in the same order with a heap.
 MATRIX_BYTES = 192
 #: Rows of one matrix, so that it stays in the processor's cache.
@@ -72,21 +73,25 @@ class PairTable:
         return found
 
 
+def tokens_of(rank_file: bytes) -> dict[int, bytes]:
+    """The bytes of each id of a .tiktoken file."""
+    return {int(b): base64.b64decode(a) for a, b in (line.split() for line in rank_file.splitlines() if line.strip())}
+
+
 class ByteBpe:
     """Ranks of a .tiktoken file and the pattern that cuts text into words."""
 
     def __init__(self, rank_file: bytes, pattern: str):
-        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line.strip())}
-        self.tokens = {i: t for t, i in self.ranks.items()}
+        self.tokens = tokens_of(rank_file)
+        self.ranks = {t: i for i, t in self.tokens.items()}
         self.pattern = regex.compile(pattern)
         self.bytes_to_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        get, splits = self.ranks.get, []
+        get, splits = self.ranks.get, array("i")
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 if (a := get(token[:cut])) is not None and (b := get(token[cut:])) is not None:
-                    splits.append((a, b, rank))
-        self.pairs = PairTable(*np.array(splits, np.int32).T)
-        self.pair_rank = {(a, b): r for a, b, r in splits} if len(splits) < 5_000_000 else {}
+                    splits.extend((a, b, rank))
+        self.pairs = PairTable(*np.frombuffer(splits, np.int32).reshape(-1, 3).T)
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
@@ -126,7 +131,11 @@ class ByteBpe:
     def merge_long(self, word: bytes) -> list[int]:
         """The same merges for one very long word, with a heap of (rank, position) over a linked list."""
         ids = self.bytes_to_id[np.frombuffer(word, np.uint8)].tolist()
-        n, find = len(ids), self.pair_rank.get
+        n, tokens, ranks = len(ids), self.tokens, self.ranks
+
+        def find(pair):
+            return ranks.get(tokens[pair[0]] + tokens[pair[1]]) if None not in pair else None
+
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i) for i in range(n - 1) if (r := find((ids[i], ids[i + 1]))) is not None]
         heapify(heap)
@@ -179,18 +188,16 @@ class ByteBpe:
             chunks[c] = words[parts[0]] if len(parts) == 1 else b"".join([words[p] for p in parts])
         return [b"".join(map(chunks.__getitem__, p)) for p in pieces]
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
-
 
 _LOADED: dict = {}
 
 
-def _load(rank_file, pattern: str) -> ByteBpe:
-    """One per Python worker; the vocabulary comes as a broadcast of the file, whose size is fixed."""
+def _load(rank_file, pattern: str | None):
+    """One per Python worker; the vocabulary comes as a broadcast of the file, whose size is fixed. Without a
+    pattern only the tokens' bytes, which is all that decoding needs."""
     if (key := (rank_file.id, pattern)) not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = ByteBpe(rank_file.value, pattern)
+        _LOADED[key] = tokens_of(rank_file.value) if pattern is None else ByteBpe(rank_file.value, pattern)
     return _LOADED[key]
 
 
@@ -225,17 +232,17 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def decode(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, rank_path: str) -> DataFrame:
     """doc_id, ids, decoded binary: the bytes that the ids stand for (an unknown id fails the task)."""
     file = _broadcast_file(encoded, rank_path)
 
     def run(batches):
         for batch in batches:
-            tokens = _load(file, pattern)
+            token = _load(file, None).__getitem__
             lists = batch.column(batch.schema.get_field_index("ids"))
             for start in range(0, len(lists), 500):
                 part = lists.slice(start, 500)
-                out = pa.array([tokens.decode(x or []) for x in part.to_pylist()], pa.binary())
+                out = pa.array([b"".join(map(token, x or ())) for x in part.to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, 500), part, out], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")

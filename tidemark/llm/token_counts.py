@@ -28,7 +28,7 @@ from .bpe import Shipped
 from .common import id_text, text_blocks
 
 #: Entries after which a worker's caches start anew.
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 500_000
 #: Blanks of str.split() that are no blanks to the vocabulary's pattern.
 _ODD_BLANKS = re.compile("[\x1c-\x1f]")
 

@@ -1,6 +1,589 @@
-"""Registered queries over the driver tables, each with its SQL."""
+"""Registered queries, one or more an operator, over the driver tables; each with its DuckDB SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import normalize as nz
+from ..operators import chain, graph, jobs as joblog, report, scoring, summaries, triage
+from ..schema import tool_spec
+from ..sources import archive, extract
+from . import fixtures as fx
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, prelude: bool = True):
+    """Registers a query under its function's name; `prelude` puts the model tables' CTEs before the SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = (f"WITH {fx.SQL.strip()}\n{sql.strip()}" if prelude else sql.strip())
+        return f
+
+    return add
+
+
+def _epoch(c: str):
+    return F.unix_timestamp(c).alias(c)
+
+
+# -- 2.1 sources -------------------------------------------------------------------------------------------------
+
+
+@query(
+    "SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL AND d.lang <> 'fr' THEN '/archive/' || d.doc_id || '/output.json' END AS raw_ref FROM documents d LEFT JOIN labels l USING (doc_id)", False
+)
+def s5_trusted_refs(spark: SparkSession, d: str) -> DataFrame:
+    docs = fx.read(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("job_id"), "lang")
+    ref = F.concat(F.lit("/archive/"), F.when(F.col("lang") == "fr", F.lit("../x/")).otherwise(""), "job_id", F.lit("/output.json"))
+    there = fx.read(spark, d, "labels").select(F.concat(F.lit("file:/archive/"), F.col("doc_id").cast("string"), F.lit("/output.json")).alias("path"))
+    return archive.trusted(docs.withColumn("raw_ref", ref), there, "/archive").select("doc_id", "raw_ref")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS job_id, text AS preview, strlen(text) > 262144 AS truncated FROM documents", False)
+def s6_previews(spark: SparkSession, d: str) -> DataFrame:
+    return archive.previews(fx.read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("job_id"), F.col("text").cast("binary").alias("content")))
+
+
+# -- 2.2 extraction: the JSON is built from driver rows ------------------------------------------------------------
+
+
+def _content(df: DataFrame, job, body) -> DataFrame:
+    return df.select(job.cast("string").alias("job_id"), body.cast("binary").alias("content"))
+
+
+def _shown(parsed: DataFrame) -> DataFrame:
+    """Rows of an extraction as plain columns; relations as text."""
+    rel = F.array_join(F.transform("relations", lambda r: F.concat_ws(">", r["rel_type"], r["target_type"], r["target_raw"], r["direction"])), ",")
+    return parsed.select("job_id", "type", "raw", "raw_path", rel.alias("relations"))
+
+
+@query("""
+SELECT CAST(page_id AS VARCHAR) AS job_id, 'subdomain' AS type, n AS raw, '$[0].name_value' AS raw_path, 'cert_for>cert>' || md5(url) || '>in' AS relations FROM (SELECT page_id, url, unnest(list_distinct([host, '*.' || inv_id])) AS n FROM pg)
+UNION ALL SELECT CAST(page_id AS VARCHAR), 'cert', md5(url), '$[0]', '' FROM pg""")
+def x1_ct_log(spark: SparkSession, d: str) -> DataFrame:
+    p = fx.pages(spark, d)
+    record = F.struct(F.concat(F.lit("*."), "inv_id", F.lit("\n"), "host", F.lit("\nwith blank")).alias("name_value"), F.col("host").alias("common_name"), F.md5(F.col("url").cast("binary")).alias("serial_number"), F.lit("x").alias("issuer_name"), F.col("page_id").alias("id"))
+    return _shown(extract.extract_ct_log(_content(p, F.col("page_id"), F.to_json(F.array(record)))))
+
+
+@query("SELECT CAST(page_id AS VARCHAR) AS job_id, 'subdomain' AS type, host AS raw, '$[2].host' AS raw_path, CASE WHEN host <> inv_id THEN 'subdomain_of>domain>' || inv_id || '>out' ELSE '' END AS relations FROM pg")
+def x2_subdomain_list(spark: SparkSession, d: str) -> DataFrame:
+    p = fx.pages(spark, d)
+    line = F.to_json(F.struct("host", F.col("inv_id").alias("input"), F.lit("s").alias("source")))
+    return _shown(extract.extract_subdomain_list(_content(p, F.col("page_id"), F.concat(F.lit("\nnot json\n"), line, F.lit("\n{}")))))
+
+
+@query("""
+SELECT j AS job_id, 'ip' AS type, '10.0.0.' || (s_suppkey % 256) AS raw, '$.kayitlar.A.veri[0]' AS raw_path, 'resolves_to>subdomain>www.example.com>in' AS relations FROM (SELECT CAST(s_suppkey AS VARCHAR) AS j, * FROM supplier)
+UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'subdomain', 'edge.example.net', '$.cname_zinciri[0]', 'cname_for>subdomain>www.example.com>in' FROM supplier
+UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'subdomain', 'last.example.org', '$.cname_zinciri[2]', 'cname_for>subdomain>edge.example.net>in' FROM supplier
+UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'subdomain', 'mx' || s_nationkey || '.example.com', '$.kayitlar.MX.veri[0]', 'mx_for>domain>www.example.com>out' FROM supplier
+UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'subdomain', 'ns1.host' || s_nationkey || '.net', '$.kayitlar.NS.veri[0]', 'ns_for>domain>www.example.com>out' FROM supplier
+UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'org', 'host' || s_nationkey, '$.kayitlar.NS.veri[0]', '' FROM supplier
+UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'tech', 'spf-include:mail' || s_nationkey || '.net', '$.kayitlar.TXT', '' FROM supplier
+UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'subdomain', 'www.example.com', '$.kayitlar', '' FROM supplier""", False)
+def x3_dns(spark: SparkSession, d: str) -> DataFrame:
+    s = fx.read(spark, d, "supplier")
+    n = F.col("s_nationkey").cast("string")
+    body = F.concat(
+        F.lit('{"hedef":"www.example.com.","kayitlar":{"A":{"durum":"ok","veri":["10.0.0.'), (F.col("s_suppkey") % 256).cast("string"), F.lit('"]},"MX":{"durum":"ok","veri":["10 mx'), n,
+        F.lit('.example.com."]},"NS":{"durum":"ok","veri":["ns1.host'), n, F.lit('.net."]},"TXT":{"durum":"ok","veri":["\\"v=spf1 include:mail'), n, F.lit('.net. ip4:192.0.2\\" \\".0/24 ~all\\""]}},"dmarc":{"durum":"nodata","veri":[]},"cname_zinciri":["edge.example.net.","  ","last.example.org"]}'),
+    )
+    return _shown(extract.extract_dns(_content(s, F.col("s_suppkey"), body)))
+
+
+@query("""
+SELECT CAST(c_custkey AS VARCHAR) AS job_id, 'org' AS type, c_name AS raw, '$.entities[?(@.roles==''registrant'')]' AS raw_path, 'owned_by>domain>example.com>in' AS relations FROM customer WHERE c_mktsegment <> 'BUILDING'
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'subdomain', 'ns1.example.net', '$.nameservers[1].ldhName', 'ns_for>domain>example.com>out' FROM customer
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'domain', 'example.com', '$', '' FROM customer""", False)
+def x4_rdap_domain(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.read(spark, d, "customer")
+    owner = F.when(F.col("c_mktsegment") == "BUILDING", "REDACTED FOR PRIVACY").otherwise(F.col("c_name"))
+    body = F.concat(F.lit('{"hedef":"example.com","yanit":{"objectClassName":"domain","ldhName":"example.com.","status":["active"],"events":[{"eventAction":"expiration","eventDate":"2024-03-01T00:00:00Z"},{"eventAction":"last update of RDAP database","eventDate":"2024-01-01T12:00:00Z"}],"entities":[{"roles":["registrant"],"vcardArray":["vcard",[["fn",{},"text","A Person"],["org",{},"text","'), owner, F.lit('"]]]}],"nameservers":[7,{"ldhName":"ns1.example.net."}]}}'))
+    return _shown(extract.extract_rdap(_content(c, F.col("c_custkey"), body)))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS job_id, CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '2030-01-01') AS BIGINT) AS days_left, date_diff('day', CAST(o_orderdate AS DATE), DATE '2030-01-01') <= 90 AS near FROM orders", False)
+def x4b_expiry(spark: SparkSession, d: str) -> DataFrame:
+    o = fx.read(spark, d, "orders")
+    body = F.concat(F.lit('{"objectClassName":"domain","ldhName":"example.com","events":[{"eventAction":"expiration","eventDate":"2030-01-01T00:00:00Z"},{"eventAction":"last update of RDAP database","eventDate":"'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('T00:00:00Z"}]}'))
+    rows = extract.extract_rdap(_content(o, F.col("o_orderkey"), body)).where("type = 'domain'")
+    parsed = F.from_json("data", "bitise_kalan_gun bigint, bitis_yakin boolean")
+    return rows.select("job_id", parsed["bitise_kalan_gun"].alias("days_left"), parsed["bitis_yakin"].alias("near"))
+
+
+@query("""
+SELECT CAST(s_suppkey AS VARCHAR) AS job_id, 'netblock' AS type, '10.' || s_nationkey || '.0.0/16' AS raw, '$.cidr0_cidrs[0]' AS raw_path, 'in_netblock>ip>10.0.0.1>in' AS relations FROM supplier
+UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'org', s_name, '$.entities', 'owned_by>netblock>10.' || s_nationkey || '.0.0/16>in' FROM supplier
+UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'asn', CAST(s_suppkey AS VARCHAR), '$.arin_originas0_originautnums[0]', 'announced_by>netblock>10.' || s_nationkey || '.0.0/16>in' FROM supplier""", False)
+def x4d_rdap_network(spark: SparkSession, d: str) -> DataFrame:
+    s = fx.read(spark, d, "supplier")
+    body = F.concat(F.lit('{"hedef":"10.0.0.1","yanit":{"objectClassName":"ip network","cidr0_cidrs":[{"v4prefix":"10.'), F.col("s_nationkey").cast("string"), F.lit('.0.0","length":16},{"v4prefix":"x"}],"entities":[{"roles":["administrative"],"vcardArray":["vcard",[["fn",{},"text","'), F.col("s_name"), F.lit('"]]]}],"arin_originas0_originautnums":['), F.col("s_suppkey").cast("string"), F.lit("]}}"))
+    return _shown(extract.extract_rdap(_content(s, F.col("s_suppkey"), body)))
+
+
+@query("""
+WITH n AS (SELECT n_nationkey, n_name, list('10.' || (s_suppkey % 200) || '.0.0/16' ORDER BY s_suppkey) AS l, count(*) AS c FROM nation JOIN supplier ON n_nationkey = s_nationkey GROUP BY ALL)
+SELECT 'j' || n_nationkey AS job_id, 'asn' AS type, CAST(n_nationkey AS VARCHAR) AS raw, '$.asn_bilgi.' || n_nationkey AS raw_path, 'announced_by>netblock>10.0.0.0/8>in' AS relations FROM n
+UNION ALL SELECT 'j' || n_nationkey, 'org', n_name, '$.asn_bilgi.' || n_nationkey || '.holder', 'owned_by>asn>' || n_nationkey || '>in' FROM n
+UNION ALL SELECT 'j' || n_nationkey, 'netblock', l[i], '$.prefixler.' || n_nationkey || '.liste[' || (i - 1) || ']', 'announced_by>asn>' || n_nationkey || '>out' FROM (SELECT *, unnest(range(1, c + 1)) AS i FROM n WHERE c <= 50)""", False)
+def x5_bgp(spark: SparkSession, d: str) -> DataFrame:
+    n = fx.read(spark, d, "nation").join(fx.read(spark, d, "supplier"), F.col("n_nationkey") == F.col("s_nationkey"))
+    block = F.concat(F.lit("10."), (F.col("s_suppkey") % 200).cast("string"), F.lit(".0.0/16"))
+    g = n.groupBy("n_nationkey", "n_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", block.alias("b")))), lambda x: x["b"]).alias("liste"))
+    key = F.col("n_nationkey").cast("string")
+    body = F.to_json(F.struct(F.struct(F.lit("10.0.0.0/8").alias("prefix")).alias("network_info"), F.create_map(key, F.struct(F.concat(F.upper("n_name"), F.lit(" - "), "n_name").alias("holder"))).alias("asn_bilgi"), F.create_map(key, F.struct(F.size("liste").alias("sayi"), "liste")).alias("prefixler")))
+    return _shown(extract.extract_bgp(_content(g, F.concat(F.lit("j"), key), body)))
+
+
+@query("""
+SELECT CAST(p_partkey AS VARCHAR) AS job_id, 'org' AS type, p_brand AS raw, '$.org' AS raw_path, 'owned_by>ip>192.0.2.1>in' AS relations FROM part
+UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'service', '192.0.2.1:' || p_size || '/tcp', '$.data[1]', 'runs_on>ip>192.0.2.1>out' FROM part
+UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'tech', p_name || ':' || p_name || ':*', '$.data[1].product', 'uses_tech>service>192.0.2.1:' || p_size || '/tcp>in' FROM part""", False)
+def x6_host_index(spark: SparkSession, d: str) -> DataFrame:
+    p = fx.read(spark, d, "part")
+    body = F.to_json(F.struct(F.lit("192.0.2.1").alias("ip_str"), F.col("p_brand").alias("org"), F.array(F.struct(F.lit(0).alias("port"), F.lit("bad").alias("product")), F.struct(F.col("p_size").alias("port"), F.col("p_name").alias("product"))).alias("data")))
+    return _shown(extract.extract_host_index(_content(p, F.col("p_partkey"), body)))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 2000 THEN left(text, 2000) || '…[kirpildi]' ELSE text END AS banner FROM (SELECT doc_id, regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g') AS text FROM documents)", False)
+def x6a_banner(spark: SparkSession, d: str) -> DataFrame:
+    return fx.read(spark, d, "documents").select("doc_id", extract.clean_banner(F.col("text")).alias("banner"))
+
+
+@query("""
+SELECT CAST(page_id AS VARCHAR) AS job_id, 'subdomain' AS type, host AS raw, '$.hosts[0]' AS raw_path, '' AS relations FROM pg
+UNION ALL SELECT CAST(page_id AS VARCHAR), 'email', 'info@' || host, '$.emails[1]', 'email_at>domain>' || host || '>out' FROM pg""")
+def x7_harvest(spark: SparkSession, d: str) -> DataFrame:
+    p = fx.pages(spark, d)
+    body = F.to_json(F.struct(F.array(F.concat("host", F.lit(":192.0.2.7")), F.concat(F.lit("2F"), "host"), F.lit("nodot")).alias("hosts"), F.array(F.lit("a@b"), F.concat(F.lit("info@"), "host")).alias("emails")))
+    return _shown(extract.extract_harvest(_content(p, F.col("page_id"), body)))
+
+
+# -- 2.3 normalization -------------------------------------------------------------------------------------------
+
+
+def _keys(df: DataFrame, kind: str, raw) -> DataFrame:
+    return nz.normalize_values(df.select(F.lit(kind).alias("type"), df[df.columns[0]].alias("k"), raw.alias("raw"))).select("k", "norm")
+
+
+@query("SELECT page_id, host AS norm, inv_id AS root, CASE WHEN host = inv_id THEN 'domain' ELSE 'subdomain' END AS type FROM pg")
+def n1_hosts(spark: SparkSession, d: str) -> DataFrame:
+    p = fx.read(spark, d, "pages").select("page_id", F.col("url").alias("raw"), F.lit("subdomain").alias("type"))
+    keys = nz.normalize_values(p)
+    return keys.select("page_id", "norm", "root", nz.correct_type(F.col("type"), F.col("norm"), F.col("root")).alias("type"))
+
+
+@query("SELECT s_suppkey AS k, CASE WHEN s_nationkey < 5 THEN NULL ELSE '10.1.' || (s_suppkey // 256) || '.' || (s_suppkey % 256) END AS norm FROM supplier", False)
+def n3_ips(spark: SparkSession, d: str) -> DataFrame:
+    s = fx.read(spark, d, "supplier")
+    last = F.when(F.col("s_nationkey") < 5, F.lit("999")).otherwise((F.col("s_suppkey") % 256).cast("string"))
+    return _keys(s, "ip", F.concat(F.lit("  10.1."), F.floor(F.col("s_suppkey") / 256).cast("string"), F.lit("."), last, F.lit(":8080 ")))
+
+
+@query("SELECT s_suppkey AS k, '10.' || (s_suppkey % 256) || '.' || (s_nationkey // 16 * 16) || '.0/20' AS norm FROM supplier", False)
+def n4_netblocks(spark: SparkSession, d: str) -> DataFrame:
+    s = fx.read(spark, d, "supplier")
+    return _keys(s, "netblock", F.concat(F.lit("10."), (F.col("s_suppkey") % 256).cast("string"), F.lit("."), F.col("s_nationkey").cast("string"), F.lit(".77/20")))
+
+
+@query("SELECT c_custkey AS k, lower(c_name) || '@mail.example.com' AS norm FROM customer", False)
+def n5_emails(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.read(spark, d, "customer")
+    return _keys(c, "email", F.concat(F.lit("mailto:"), "c_name", F.lit("+tag@Mail.Example.COM.")))
+
+
+@query("SELECT c_custkey AS k, md5(c_name) AS norm FROM customer", False)
+def n6_certificates(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.read(spark, d, "customer")
+    return _keys(c, "cert", F.concat(F.lit("SHA256:"), F.regexp_replace(F.upper(F.md5(F.col("c_name").cast("binary"))), "(..)", "$1: ")))
+
+
+@query("SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS norm FROM customer", False)
+def n7_networks(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.read(spark, d, "customer")
+    return _keys(c, "asn", F.concat(F.lit(" as 000"), F.col("c_custkey").cast("string")))
+
+
+@query("SELECT p_partkey AS k, '192.0.2.1:' || p_size || '/udp' AS norm, '192.0.2.1' AS ip, p_size AS port, 'udp' AS proto FROM part", False)
+def n8_services(spark: SparkSession, d: str) -> DataFrame:
+    keys = _keys(fx.read(spark, d, "part"), "service", F.concat(F.lit("192.0.2.1:"), F.col("p_size").cast("string"), F.lit(" /UDP")))
+    s = nz.split_service(F.col("norm"))
+    return keys.select("k", "norm", s["ip"].alias("ip"), s["port"].alias("port"), s["proto"].alias("proto"))
+
+
+@query("SELECT c_custkey AS k, replace(lower(c_name), '#', ' ') AS norm FROM customer", False)
+def n10_organizations(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.read(spark, d, "customer")
+    return _keys(c, "org", F.concat("c_name", F.lit("   A.Ş. Inc.")))
+
+
+@query("SELECT p_partkey AS k, lower(p_brand) || ':' || lower(p_name) || ':*' AS norm FROM part", False)
+def n11_technologies(spark: SparkSession, d: str) -> DataFrame:
+    p = fx.read(spark, d, "part")
+    return _keys(p, "tech", F.concat("p_brand", F.lit(" : "), "p_name"))
+
+
+@query("SELECT page_id, url = host AS canonical FROM pg")
+def n12_canonical(spark: SparkSession, d: str) -> DataFrame:
+    p = fx.read(spark, d, "pages").select("page_id", F.col("url").alias("raw"), F.lit("subdomain").alias("type"))
+    return nz.is_canonical(p).select("page_id", "canonical")
+
+
+@query("SELECT page_id, inv_id AS root_value, 'domain' AS root_type FROM pg")
+def n13_root_targets(spark: SparkSession, d: str) -> DataFrame:
+    return nz.resolve_roots(fx.read(spark, d, "pages").select("page_id", F.col("url").alias("raw"))).select("page_id", "root_value", "root_type")
+
+
+@query("SELECT c_custkey AS k, CASE c_nationkey WHEN 10 THEN 'private' WHEN 0 THEN 'private' ELSE NULL END AS address_class FROM customer", False)
+def n14_address_classes(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.read(spark, d, "customer")
+    ip = F.concat(F.col("c_nationkey").cast("string"), F.lit(".1.2."), (F.col("c_custkey") % 256).cast("string"))
+    return nz.with_address_class(c.select(F.col("c_custkey").alias("k"), ip.alias("norm"))).select("k", "address_class")
+
+
+# -- 2.4 ingest --------------------------------------------------------------------------------------------------
+
+
+@query("SELECT job_id, seq, 'no value' AS error FROM (SELECT job_id, page_id AS seq FROM pg) WHERE false UNION ALL SELECT lang, doc_id, 'invalid subdomain: ' || source FROM documents")
+def i1_rejected(spark: SparkSession, d: str) -> DataFrame:
+    docs = fx.read(spark, d, "documents").select(F.col("lang").alias("job_id"), F.col("doc_id").alias("seq"), F.lit("subdomain").alias("type"), F.col("source").alias("raw"))
+    return nz.normalize_values(docs).where("norm is null").select("job_id", "seq", "error")
+
+
+@query("SELECT entity_id, inv_id, type, norm, raw, first_seen, last_seen, obs_count FROM ent")
+def i3_entities(spark: SparkSession, d: str) -> DataFrame:
+    return fx.ingested(spark, d).entities.select("entity_id", "inv_id", "type", "norm", "raw", _epoch("first_seen"), _epoch("last_seen"), "obs_count")
+
+
+@query("SELECT obs_id, entity_id, job_id, tool, CAST(CASE tool WHEN 'crtsh' THEN 90 WHEN 'subfinder' THEN 70 WHEN 'dns-resolver' THEN 85 WHEN 'theharvester' THEN 60 ELSE 90 END AS SMALLINT) AS confidence, '$[' || seq || '].url' AS raw_path, '/archive/' || job_id || '/output.json' AS raw_ref FROM obs")
+def i4_observations(spark: SparkSession, d: str) -> DataFrame:
+    return fx.ingested(spark, d).observations.select("obs_id", "entity_id", "job_id", "tool", "confidence", "raw_path", "raw_ref")
+
+
+@query("SELECT rel_id, inv_id, src_id, dst_id, type FROM rel")
+def i6_relationships(spark: SparkSession, d: str) -> DataFrame:
+    return fx.ingested(spark, d).relationships.select("rel_id", "inv_id", "src_id", "dst_id", "type")
+
+
+@query("""SELECT a.job_id, 2 * count(*) AS upserts, count(*) AS observations, count(*) FILTER (a.entity_id <> b.entity_id) AS relations, CAST(0 AS BIGINT) AS skipped
+FROM keyed a JOIN keyed b ON a.job_id = b.job_id AND a.seq = b.seq AND a.n = 1 AND b.n = 0 GROUP BY a.job_id""")
+def i7_summary(spark: SparkSession, d: str) -> DataFrame:
+    s = fx.ingested(spark, d).summary
+    return s.select("job_id", *[F.col(c).cast("bigint").alias(c) for c in ("upserts", "observations", "relations", "skipped")])
+
+
+# -- 2.5 chaining ------------------------------------------------------------------------------------------------
+
+_SPEC = "(VALUES ('asn-bgp','ip'),('asn-bgp','asn'),('crtsh','domain'),('dns-resolver','domain'),('dns-resolver','subdomain'),('shodan-lookup','ip'),('subfinder','domain'),('theharvester','domain'),('whois-rdap','domain'),('whois-rdap','ip'),('whois-rdap','netblock')) AS spec(tool, type)"
+
+
+@query(f"""
+SELECT sha256(inv_id || chr(1) || tool || chr(1) || norm) AS job_id, inv_id, tool, norm AS target_value, arg_min(parent, (tm, parent)) AS parent_job_id, CAST(arg_min(depth, (tm, parent)) + 1 AS SMALLINT) AS depth
+FROM (SELECT DISTINCT k.inv_id, s.tool, k.norm, k.job_id AS parent, j.depth, j.tm FROM keyed k JOIN job j USING (job_id) JOIN {_SPEC} ON s.type = k.type WHERE k.n = 1 AND j.depth < 3 AND s.tool IN ('crtsh', 'dns-resolver'))
+GROUP BY inv_id, tool, norm""".replace("AS spec(tool, type)", "AS s(tool, type)"))
+def c2_chained_jobs(spark: SparkSession, d: str) -> DataFrame:
+    new = fx.ingested(spark, d)
+    seen = new.observations.join(new.entities.select("entity_id", "type", "norm"), "entity_id").select("job_id", "type", "norm")
+    return chain.chained_jobs(seen, fx.jobs(spark, d), fx.investigations(spark, d), tool_spec(spark)).select("job_id", "inv_id", "tool", "target_value", "parent_job_id", "depth")
+
+
+@query("SELECT inv_id, t AS tool, inv_id AS target_value, '' AS error FROM inv, (VALUES ('crtsh'), ('dns-resolver')) AS x(t) UNION ALL SELECT inv_id, NULL, NULL, 'unknown tool: unheard-of' FROM inv")
+def c3_starting_jobs(spark: SparkSession, d: str) -> DataFrame:
+    new, _, errors = chain.starting_jobs(fx.investigations(spark, d), tool_spec(spark), fx.jobs(spark, d))
+    none = F.lit(None).cast("string")
+    return new.select("inv_id", "tool", "target_value", F.lit("").alias("error")).unionByName(errors.select("inv_id", none.alias("tool"), none.alias("target_value"), "error"))
+
+
+@query("SELECT inv_id, t AS tool, CAST(n AS INTEGER) AS depth FROM inv, (VALUES ('crtsh', 0), ('dns-resolver', 0), ('subfinder', 0), ('theharvester', 0), ('whois-rdap', 0), ('asn-bgp', 1), ('shodan-lookup', 1)) AS x(t, n)")
+def c4_reachable(spark: SparkSession, d: str) -> DataFrame:
+    inv = fx.investigations(spark, d)
+    return inv.select("inv_id", "root_type").join(chain.reachable(tool_spec(spark), inv.select("root_type")), "root_type").select("inv_id", "tool", "depth")
+
+
+@query("SELECT job_id, CASE WHEN tool = 'shodan-lookup' THEN 'missing key: SHODAN_API_KEY' END AS skip_reason FROM (SELECT DISTINCT job_id, tool FROM att)")
+def c5_gate(spark: SparkSession, d: str) -> DataFrame:
+    jobs = fx.attempts(spark, d).select("job_id", "tool").distinct().withColumn("inv_id", F.lit("example.com"))
+    inv = fx.investigations(spark, d).where("inv_id = 'example.com'")
+    keys = fx.read(spark, d, "region").select(F.col("r_name").alias("key"))
+    return chain.gate(jobs, inv, tool_spec(spark), keys)
+
+
+# -- 2.6 job log -------------------------------------------------------------------------------------------------
+
+
+@query("SELECT job_id, inv_id, CAST(row_number() OVER (ORDER BY tm DESC, job_id DESC) AS INTEGER) AS place FROM job")
+def j1_listing(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    return fx.jobs(spark, d).select("job_id", "inv_id", F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("job_id"))).alias("place"))
+
+
+@query("SELECT inv_id, status, count(*) AS n FROM job GROUP BY ALL")
+def j2_status_counts(spark: SparkSession, d: str) -> DataFrame:
+    return joblog.status_counts(fx.jobs(spark, d))
+
+
+@query("SELECT inv_id, count(*) AS jobs, bool_or(status = 'running') AS in_progress, NOT bool_or(status = 'running') AS complete FROM job GROUP BY inv_id")
+def j3_round_state(spark: SparkSession, d: str) -> DataFrame:
+    return joblog.round_state(fx.jobs(spark, d))
+
+
+_OUTCOME = "CASE WHEN k >= 95 THEN 'transient' WHEN code = 200 THEN 'success' WHEN code IS NULL THEN 'permanent' WHEN code IN (408, 429, 502, 503, 504, -1) THEN 'transient' ELSE 'permanent' END"
+
+
+@query(f"""
+SELECT job_id, n, outcome, wait_s, elapsed_s, budget_s, outcome = 'transient' AND n < m AND elapsed_s + wait_s < budget_s AS retry_allowed FROM (
+  SELECT job_id, n, {_OUTCOME} AS outcome, 2.0 * pow(2, n - 1) AS wait_s, 3 AS m,
+    sum(seconds) OVER w + 2.0 * (pow(2, n - 1) - 1) AS elapsed_s, CASE tool WHEN 'crtsh' THEN 45 WHEN 'asn-bgp' THEN 45 ELSE 30 END * 3 + 6.0 AS budget_s
+  FROM att WINDOW w AS (PARTITION BY job_id ORDER BY n)) WHERE n <= 20""")
+def j5_retry_audit(spark: SparkSession, d: str) -> DataFrame:
+    return joblog.retry_audit(fx.attempts(spark, d), tool_spec(spark)).where("n <= 20").select("job_id", F.col("n").cast("int").alias("n"), "outcome", "wait_s", "elapsed_s", "budget_s", "retry_allowed")
+
+
+@query("""
+SELECT event_id AS request_id, tool, floor(max(t - rn * gap) OVER w + rn * gap) AS slot FROM (
+  SELECT event_id, tool, CAST(epoch(ts) AS BIGINT) * 1.0 AS t, row_number() OVER (PARTITION BY tool ORDER BY CAST(epoch(ts) AS BIGINT), event_id) AS rn,
+    60.0 / CASE tool WHEN 'crtsh' THEN 5 WHEN 'dns-resolver' THEN 60 WHEN 'shodan-lookup' THEN 60 WHEN 'asn-bgp' THEN 20 ELSE 10 END AS gap FROM ev)
+WINDOW w AS (PARTITION BY tool ORDER BY rn)""")
+def j6_slots(spark: SparkSession, d: str) -> DataFrame:
+    r = fx.events(spark, d).select(F.col("event_id").alias("request_id"), "tool", F.floor(F.unix_micros("ts") / 1_000_000).cast("double").alias("t"))
+    return joblog.slots(r, tool_spec(spark)).select("request_id", "tool", F.floor("slot").cast("double").alias("slot"))
+
+
+@query("SELECT event_id AS request_id, tool, CAST(row_number() OVER (PARTITION BY tool, date_trunc('month', ts) ORDER BY ts, event_id) AS INTEGER) AS rn, tool <> 'shodan-lookup' OR row_number() OVER (PARTITION BY tool, date_trunc('month', ts) ORDER BY ts, event_id) <= 100 AS admitted FROM ev")
+def j7_quota(spark: SparkSession, d: str) -> DataFrame:
+    return joblog.quota(fx.events(spark, d).withColumnRenamed("event_id", "request_id"), tool_spec(spark)).select("request_id", "tool", "rn", "admitted")
+
+
+@query("""
+SELECT job_id, CASE WHEN k >= 95 THEN 'timeout' WHEN code = 200 THEN 'done' ELSE 'error' END AS status, code AS exit_code, seconds, n AS attempts, CASE WHEN k < 35 THEN CASE WHEN n > 1 THEN n || '. deneme: ' ELSE '' END || 'code ' || k END AS error
+FROM (SELECT *, max(n) OVER (PARTITION BY job_id) AS m FROM att) WHERE n = m""")
+def j8_job_rows(spark: SparkSession, d: str) -> DataFrame:
+    return joblog.fold_attempts(fx.attempts(spark, d))
+
+
+# -- 2.7 triage --------------------------------------------------------------------------------------------------
+
+
+def _triaged(spark: SparkSession, d: str) -> DataFrame:
+    new = fx.ingested(spark, d)
+    return triage.judged(triage.entity_list(new.entities, new.observations, new.relationships, fx.investigations(spark, d)))
+
+
+@query("SELECT entity_id, tools, flag AS hedefe_ait_degil, false AS saglayici_olabilir FROM ev1")
+def t1_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return triage.evidence(fx.ingested(spark, d).observations).select("entity_id", F.array_join("tools", ",").alias("tools"), "hedefe_ait_degil", "saglayici_olabilir")
+
+
+@query("SELECT inv_id, src_id AS entity_id FROM rel UNION SELECT inv_id, dst_id FROM rel")
+def t2_connected(spark: SparkSession, d: str) -> DataFrame:
+    return triage.connected(fx.ingested(spark, d).relationships)
+
+
+@query("SELECT entity_id, inv_id, type, norm, tools, flag AS hedefe_ait_degil, connected, is_root FROM lst")
+def t3_entity_list(spark: SparkSession, d: str) -> DataFrame:
+    return _triaged(spark, d).select("entity_id", "inv_id", "type", "norm", F.array_join("tools", ",").alias("tools"), "hedefe_ait_degil", "connected", "is_root")
+
+
+@query("""
+SELECT entity_id, triage, array_to_string(list_filter([CASE WHEN is_root THEN 'root of the investigation' END,
+  CASE WHEN n_tools = 0 THEN 'no direct observation' ELSE type || ': threshold of ' || threshold || ' tools ' || CASE WHEN n_tools < threshold THEN 'missed' ELSE 'met' END END,
+  CASE WHEN NOT connected THEN 'no relation' END, CASE WHEN flag THEN 'may not belong to the target' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM tri""")
+def t4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _triaged(spark, d).select("entity_id", "triage", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query("SELECT inv_id, position, entity_id, type, norm, triage, n_tools FROM pos")
+def t5_triage_order(spark: SparkSession, d: str) -> DataFrame:
+    return triage.ordered(_triaged(spark, d)).select("inv_id", "position", "entity_id", "type", "norm", "triage", "n_tools")
+
+
+@query("SELECT inv_id, triage, count(*) AS n FROM tri GROUP BY ALL")
+def t6_group_counts(spark: SparkSession, d: str) -> DataFrame:
+    return triage.group_counts(_triaged(spark, d))
+
+
+@query("SELECT inv_id, position, entity_id, CAST(p AS INTEGER) AS page FROM (SELECT *, least(2, greatest(1, ceil(count(*) OVER (PARTITION BY inv_id) / 100.0))) AS p FROM pos) WHERE position > (p - 1) * 100 AND position <= p * 100")
+def t6_page(spark: SparkSession, d: str) -> DataFrame:
+    return triage.page(triage.ordered(_triaged(spark, d)), 2).select("inv_id", "position", "entity_id", "page")
+
+
+# -- 2.8 graph and evidence --------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT entity_id, direction, rel_id, CAST(row_number() OVER (PARTITION BY entity_id ORDER BY s, t, rel_id) AS INTEGER) AS position FROM (
+  SELECT src_id AS entity_id, 'out' AS direction, rel_id, a.norm AS s, b.norm AS t FROM rel JOIN ent a ON a.entity_id = src_id JOIN ent b ON b.entity_id = dst_id
+  UNION ALL SELECT dst_id, 'in', rel_id, a.norm, b.norm FROM rel JOIN ent a ON a.entity_id = src_id JOIN ent b ON b.entity_id = dst_id)""")
+def g1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    new = fx.ingested(spark, d)
+    return graph.neighbours(new.relationships, new.entities).select("entity_id", "direction", "rel_id", "position")
+
+
+@query("SELECT obs_id, entity_id, CAST(row_number() OVER (PARTITION BY entity_id ORDER BY tm DESC, obs_id) AS INTEGER) AS position FROM obs")
+def e1_evidence_chain(spark: SparkSession, d: str) -> DataFrame:
+    return graph.evidence_chain(fx.ingested(spark, d).observations).select("obs_id", "entity_id", "position")
+
+
+@query("SELECT obs_id, entity_id, job_id, inv_id FROM obs")
+def e2_lineage(spark: SparkSession, d: str) -> DataFrame:
+    new = fx.ingested(spark, d)
+    return graph.lineage(new.observations, fx.jobs(spark, d), new.entities).select("obs_id", "entity_id", "job_id", "inv_id")
+
+
+# -- 2.9 scoring -------------------------------------------------------------------------------------------------
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.candidates(triage.ordered(_triaged(spark, d)))
+
+
+@query("SELECT inv_id, entity_id, position AS place, CAST((position - 1) // 120 AS INTEGER) AS batch FROM pos")
+def a2_batches(spark: SparkSession, d: str) -> DataFrame:
+    return _candidates(spark, d).select("inv_id", "entity_id", "place", "batch")
+
+
+@query("SELECT inv_id, CAST((position - 1) // 120 AS INTEGER) AS batch, count(*) AS n, greatest(1, CAST(round_even(count(*) * 0.03, 0) AS BIGINT)) AS budget_90, greatest(1, CAST(round_even(count(*) * 0.03, 0) AS BIGINT), CAST(round_even(count(*) * 0.08, 0) AS BIGINT)) AS budget_80 FROM pos GROUP BY ALL")
+def a5_requests(spark: SparkSession, d: str) -> DataFrame:
+    rows = _candidates(spark, d)
+    none = spark.createDataFrame([], "entity_id string, input_hash string, prompt_version string")
+    made = scoring.requests(scoring.uncached(rows, scoring.input_hashes(rows), none))
+    return made.where("length(input_hash) = 64 and delimiter = substring(sha2(body, 256), 1, 16)").select("inv_id", "batch", "n", "budget_90", "budget_80")
+
+
+def _responses(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """One response a nation, with a score a customer; labels by rank of the customer's key."""
+    from pyspark.sql import Window
+
+    c = fx.read(spark, d, "customer").select(F.col("c_nationkey").alias("batch"), "c_custkey", "c_name", F.floor("c_acctbal").cast("bigint").alias("v"))
+    c = c.withColumn("label", F.concat(F.lit("v"), F.row_number().over(Window.partitionBy("batch").orderBy("c_custkey")).cast("string"))).withColumn("inv_id", F.lit("i"))
+    one = F.to_json(F.struct(F.col("label").alias("id"), (F.col("v") % 300).alias("skor"), F.col("c_name").alias("gerekce"), F.array(F.lit("A b"), F.lit("a b"), F.lit("c!")).alias("etiketler")))
+    scores = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", one.alias("j")))), lambda s: s["j"]), ",")
+    hyp = '{"baslik":"t","aciklama":"b","guven":50,"ids":["v2","v1","v2","v999999"]},{"baslik":"t","aciklama":"b","guven":true,"ids":["v1"]}'
+    body = F.concat(F.lit('{"skorlar":['), scores, F.lit(',{"id":"v1","skor":5,"gerekce":"again"},{"id":"x1","skor":5,"gerekce":"g"},7],"hipotezler":['), F.lit(hyp), F.lit("]}"))
+    return c.groupBy("inv_id", "batch").agg(body.alias("response")), c.select("inv_id", "batch", "label", F.col("c_custkey").cast("string").alias("entity_id"))
+
+
+_LABELLED = "WITH c AS (SELECT c_nationkey AS batch, c_custkey, c_name, CAST(floor(c_acctbal) AS BIGINT) % 300 AS v, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer)"
+
+
+@query(f"{_LABELLED} SELECT batch, CAST(c_custkey AS VARCHAR) AS entity_id, CAST(CASE WHEN v BETWEEN 0 AND 100 THEN v ELSE 5 END AS SMALLINT) AS score, CASE WHEN v BETWEEN 0 AND 100 THEN c_name ELSE 'again' END AS reason, CASE WHEN v BETWEEN 0 AND 100 THEN 'a b,c' ELSE '' END AS tags FROM c WHERE v BETWEEN 0 AND 100 OR r = 1", False)
+def a7_scores(spark: SparkSession, d: str) -> DataFrame:
+    scores, _, _ = scoring.checked_scores(*_responses(spark, d))
+    return scores.select("batch", "entity_id", "score", "reason", F.array_join("tags", ",").alias("tags"))
+
+
+@query(f"{_LABELLED} SELECT batch, 't' AS title, 'b' AS body, CAST(50 AS SMALLINT) AS confidence, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY r DESC) AS ids FROM c WHERE r <= 2 GROUP BY batch", False)
+def a9_hypotheses(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.checked_hypotheses(*_responses(spark, d)).select("batch", "title", "body", "confidence", F.array_join("entity_ids", ",").alias("ids"))
+
+
+@query(f"{_LABELLED}, s AS (SELECT * FROM c WHERE v BETWEEN 0 AND 100 OR r = 1) SELECT batch, CAST(c_custkey AS VARCHAR) AS entity_id FROM s JOIN orders ON o_custkey = c_custkey GROUP BY ALL", False)
+def a10_live_scores(spark: SparkSession, d: str) -> DataFrame:
+    responses, labels = _responses(spark, d)
+    scores, _, _ = scoring.checked_scores(responses, labels)
+    live = fx.read(spark, d, "orders").select(F.lit("i").alias("inv_id"), F.col("o_custkey").cast("string").alias("entity_id")).distinct()
+    return scoring.live_only(scores, scoring.checked_hypotheses(responses, labels), live)[0].select("batch", "entity_id")
+
+
+@query("SELECT entity_id, assessment_id, CAST(score AS SMALLINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ts DESC, assessment_id DESC) AS r FROM ass) WHERE r = 1")
+def a11_latest(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.latest(fx.assessments(spark, d)).select("entity_id", "assessment_id", "score")
+
+
+_SEVERITY = "CASE WHEN score IS NULL THEN 'unscored' WHEN score >= 90 THEN 'critical' WHEN score >= 70 THEN 'high' WHEN score >= 50 THEN 'medium' ELSE 'low' END"
+
+
+@query(f"SELECT v AS inv_id, s AS severity, count(x.score) AS n FROM (SELECT DISTINCT prompt_version AS v FROM ass), (VALUES ('critical'), ('high'), ('medium'), ('low'), ('unscored')) AS t(s) LEFT JOIN ass x ON x.prompt_version = v AND {_SEVERITY.replace('score', 'x.score')} = s GROUP BY ALL")
+def a12_severity_counts(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.severity_counts(fx.assessments(spark, d).select(F.col("prompt_version").alias("inv_id"), "score"))
+
+
+# -- 2.10 report -------------------------------------------------------------------------------------------------
+
+
+@query(r"SELECT page_id, regexp_replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '([\\`*_{}\[\]()#+.!|~\-])', '\\\1', 'g') AS text FROM pages", False)
+def r1_escaped(spark: SparkSession, d: str) -> DataFrame:
+    return fx.read(spark, d, "pages").select("page_id", report.escaped(F.col("url")).alias("text"))
+
+
+@query("SELECT i.inv_id, (SELECT count(*) FROM ent e WHERE e.inv_id = i.inv_id) AS entities, (SELECT count(*) FROM obs o WHERE o.inv_id = i.inv_id) AS observations, (SELECT count(*) FROM rel r WHERE r.inv_id = i.inv_id) AS relations, (SELECT count(*) FROM job j WHERE j.inv_id = i.inv_id) AS jobs FROM inv i")
+def r3_totals(spark: SparkSession, d: str) -> DataFrame:
+    new = fx.ingested(spark, d)
+    return report.totals(new.entities, new.observations, new.relationships, fx.jobs(spark, d))
+
+
+def _hypotheses(spark: SparkSession, d: str) -> DataFrame:
+    h = fx.read(spark, d, "customer")
+    return h.select(F.col("c_custkey").cast("string").alias("hyp_id"), F.lit("example.com").alias("inv_id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("body"), F.lit(50).cast("smallint").alias("confidence"), F.array(F.sha2(F.concat_ws("\u0001", F.lit("example.com"), F.lit("domain"), F.lit("example.com")), 256), F.col("c_name")).alias("entity_ids"), F.lit("m").alias("model"), F.when(F.col("c_nationkey") < 12, "confirmed").otherwise("open").alias("analyst_status"), F.timestamp_seconds(F.col("c_custkey")).alias("created_at"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS hyp_id, c_nationkey < 12 AS confirmed, sha256('example.com' || chr(1) || 'domain' || chr(1) || 'example.com') || ', outside the investigation or missing' AS ids FROM customer", False)
+def r4_hypotheses(spark: SparkSession, d: str) -> DataFrame:
+    return report.hypothesis_rows(_hypotheses(spark, d), fx.ingested(spark, d).entities).select("hyp_id", "confirmed", "ids")
+
+
+def _report_lines(spark: SparkSession, d: str) -> DataFrame:
+    new, inv = fx.ingested(spark, d), fx.investigations(spark, d)
+    scores = fx.assessments(spark, d)
+    return report.sections(inv, triage.ordered(_triaged(spark, d)), new.observations, new.relationships, fx.jobs(spark, d), scores, _hypotheses(spark, d).where("inv_id <> ''"), new.entities)
+
+
+@query("""
+SELECT inv_id, CAST(s AS INTEGER) AS section, CAST(sum(n) AS BIGINT) AS lines FROM (
+  SELECT inv_id, 0 AS s, 6 AS n FROM inv UNION ALL SELECT inv_id, unnest(range(1, 11)), 1 FROM inv
+  UNION ALL SELECT inv_id, CASE triage WHEN 'priority' THEN 1 WHEN 'review' THEN 2 ELSE 3 END, 1 FROM tri UNION ALL SELECT inv_id, 5, 1 FROM rel UNION ALL SELECT inv_id, 6, 1 FROM job UNION ALL SELECT inv_id, 7, 1 FROM obs
+  UNION ALL SELECT 'example.com', CASE WHEN c_nationkey < 12 THEN 9 ELSE 10 END, 1 FROM customer) GROUP BY ALL""")
+def r2_report_sections(spark: SparkSession, d: str) -> DataFrame:
+    return _report_lines(spark, d).groupBy("inv_id", "section").agg(F.count("*").alias("lines"))
+
+
+@query()
+def r5_reports(spark: SparkSession, d: str) -> DataFrame:
+    return report.documents(_report_lines(spark, d))
+
+
+# -- 2.11 documented queries -------------------------------------------------------------------------------------
+
+
+@query("SELECT c.c_custkey, c_name, CAST(s.score AS SMALLINT) AS score FROM customer c LEFT JOIN (SELECT entity_id, arg_max(score, (ts, assessment_id)) AS score FROM ass GROUP BY entity_id) s ON s.entity_id = CAST(c_custkey AS VARCHAR)")
+def q1_ranked_by_score(spark: SparkSession, d: str) -> DataFrame:
+    people = fx.read(spark, d, "customer").select("c_custkey", "c_name", F.col("c_custkey").cast("string").alias("entity_id"), F.col("c_nationkey").alias("obs_count"))
+    return summaries.ranked_by_score(people, fx.assessments(spark, d)).select("c_custkey", "c_name", "score")
+
+
+@query("SELECT entity_id, norm FROM ent WHERE obs_count = 1")
+def q2_single_observation(spark: SparkSession, d: str) -> DataFrame:
+    return summaries.single_observation(fx.ingested(spark, d).entities).select("entity_id", "norm")
+
+
+@query("SELECT type, count(*) AS n, avg(CASE WHEN n_tools = 1 THEN 1.0 ELSE 0.0 END) AS share FROM lst GROUP BY ROLLUP (type)")
+def q3_single_source_share(spark: SparkSession, d: str) -> DataFrame:
+    return summaries.single_source_share(_triaged(spark, d))
+
+
+@query("SELECT tool, count(*) AS observations, count(DISTINCT entity_id) AS entities, count(*) / count(DISTINCT entity_id) AS per_entity FROM obs GROUP BY tool")
+def q4_observations_per_entity(spark: SparkSession, d: str) -> DataFrame:
+    return summaries.observations_per_entity(fx.ingested(spark, d).observations)
+
+
+@query("""SELECT CASE WHEN score >= 90 THEN '90-100' WHEN score >= 80 THEN '80-89' WHEN score >= 70 THEN '70-79' WHEN score >= 50 THEN '50-69' WHEN score >= 30 THEN '30-49' ELSE '0-29' END AS band,
+  count(*) FILTER (prompt_version = '1.0') AS v1, count(*) FILTER (prompt_version = '2.0') AS v2 FROM ass GROUP BY band""")
+def q5_score_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return summaries.score_histogram(fx.assessments(spark, d), ["1.0", "2.0"]).withColumnsRenamed({"1.0": "v1", "2.0": "v2"})
+
+
+@query("SELECT reason, count(DISTINCT entity_id) AS entities, avg(score) AS mean_score FROM ass GROUP BY reason HAVING count(DISTINCT entity_id) > 1")
+def q6_repeated_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return summaries.repeated_reasons(fx.assessments(spark, d))
+
+
+@query("SELECT type, count(*) AS n, count(*) / (SELECT count(*) FROM ent) AS share FROM ent GROUP BY type")
+def q7_type_shares(spark: SparkSession, d: str) -> DataFrame:
+    return summaries.type_shares(fx.ingested(spark, d).entities)

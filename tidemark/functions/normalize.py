@@ -24,6 +24,12 @@ _BLANKS = r"(?U)^\s+|\s+$"
 _ASCII = r"^\p{ASCII}*$"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: as a lambda's variable it is not copied into each place of use,
+    which would grow the plan with every step."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without blanks of any kind at either end."""
     return F.regexp_replace(c, _BLANKS, "")
@@ -72,8 +78,8 @@ def ipv6_text(values: pd.Series) -> pd.Series:
 
 def without_port(c: Column) -> Column:
     """host of host:port and [v6]:port; null for an open or misused bracket. Bare IPv6 text stays."""
-    bracket = F.regexp_extract(c, r"^\[([^\]]*)\](?::.*)?$", 1)
-    return F.when(c.startswith("["), F.when(c.rlike(r"(?s)^\[[^\]]*\](:.*)?$"), bracket)).when(c.rlike(r"(?s)^[^:]*:[^:]*$"), F.substring_index(c, ":", 1)).otherwise(c)
+    bracket = r"(?s)^\[([^\]]*)\](?::.*)?$"
+    return let(c, lambda x: F.when(x.startswith("["), F.when(x.rlike(bracket), F.regexp_extract(x, bracket, 1))).when(x.rlike(r"(?s)^[^:]*:[^:]*$"), F.substring_index(x, ":", 1)).otherwise(x))
 
 
 def host_part(raw: Column) -> Column:
@@ -87,8 +93,8 @@ def host_part(raw: Column) -> Column:
 
 def host_shape(host: Column) -> Column:
     """Whether an ASCII host has a valid form; its public suffix is another matter."""
-    labels = F.split(host, r"\.")
-    return (F.length(host) <= 253) & (F.size(labels) >= 2) & F.forall(labels, lambda p: p.rlike(r"^[a-z0-9_]([a-z0-9_\-]*[a-z0-9_])?$") & (F.length(p) <= 63))
+    fine = lambda p: p.rlike(r"^[a-z0-9_]([a-z0-9_\-]*[a-z0-9_])?$") & (F.length(p) <= 63)
+    return let(host, lambda h: (F.length(h) <= 253) & h.contains(".") & F.forall(F.split(h, r"\."), fine))
 
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -97,50 +103,55 @@ IPV4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 
 def ipv4_number(c: Column) -> Column:
     """The address as a BIGINT; null for anything else."""
-    p = F.split(c, r"\.")
-    return F.when(c.rlike(IPV4), F.aggregate(p, F.lit(0).cast("bigint"), lambda a, x: a * 256 + x.cast("bigint")))
+    number = lambda x: F.aggregate(F.split(x, r"\."), F.lit(0).cast("bigint"), lambda a, p: a * 256 + p.cast("bigint"))
+    return let(c, lambda x: F.when(x.rlike(IPV4), number(x)))
 
 
 def ipv4_text(n: Column) -> Column:
-    byte = lambda shift: F.shiftright(n, shift).bitwiseAND(F.lit(255)).cast("string")
-    return F.concat_ws(".", byte(24), byte(16), byte(8), byte(0))
+    byte = lambda x, shift: F.shiftright(x, shift).bitwiseAND(F.lit(255)).cast("string")
+    return let(n, lambda x: F.concat_ws(".", byte(x, 24), byte(x, 16), byte(x, 8), byte(x, 0)))
 
 
 def netblock4(c: Column) -> Column:
     """N4 for IPv4: a.b.c.d/length with host bits cleared; without a length /32."""
-    address, length = F.substring_index(c, "/", 1), F.when(c.contains("/"), F.regexp_extract(c, r"^[^/]*/(\d{1,2})$", 1)).otherwise("32")
-    n = ipv4_number(address)
-    size = F.when(length.rlike(r"^\d+$"), length.cast("int"))
-    shift = (F.lit(32) - size).cast("int")
-    cleared = F.call_function("shiftleft", F.call_function("shiftright", n, shift), shift)
-    return F.when(n.isNotNull() & (size <= 32), F.concat(ipv4_text(cleared), F.lit("/"), size.cast("string")))
+    size = lambda x: F.when(x.contains("/"), F.nullif(F.regexp_extract(x, r"^[^/]*/(\d{1,2})$", 1), F.lit(""))).otherwise("32").cast("int")
+    parts = let(c, lambda x: F.struct(ipv4_number(F.substring_index(x, "/", 1)).alias("n"), size(x).alias("size")))
+
+    def cleared(p: Column) -> Column:
+        shift = (F.lit(32) - p["size"]).cast("int")
+        return ipv4_text(F.call_function("shiftleft", F.call_function("shiftright", p["n"], shift), shift))
+
+    return let(parts, lambda p: F.when(p["n"].isNotNull() & (p["size"] <= 32), F.concat(cleared(p), F.lit("/"), p["size"].cast("string"))))
 
 
 def cert_key(raw: Column) -> Column:
     """8 to 64 hex digits without blanks, colons and a sha256 prefix."""
     s = F.regexp_replace(F.lower(F.regexp_replace(F.regexp_replace(raw, r"(?U)\s+", ""), ":", "")), "^sha256", "")
-    return F.when(s.rlike("^[0-9a-f]{8,64}$"), s)
+    return let(s, lambda x: F.when(x.rlike("^[0-9a-f]{8,64}$"), x))
 
 
 def asn_key(raw: Column) -> Column:
     """The number of an autonomous system, of 32 bits."""
     s = strip(F.regexp_replace(F.upper(strip(raw)), "^AS", ""))
-    n = F.when(s.rlike(r"^[+]?\d{1,18}$"), F.regexp_replace(s, r"^\+", "").cast("bigint"))
-    return F.when((n >= 0) & (n <= 4294967295), n.cast("string"))
+    n = let(s, lambda x: F.when(x.rlike(r"^[+]?\d{1,18}$"), F.regexp_replace(x, r"^\+", "").cast("bigint")))
+    return let(n, lambda x: F.when((x >= 0) & (x <= 4294967295), x.cast("string")))
 
 
-def service_parts(raw: Column) -> tuple[Column, Column, Column]:
-    """(address text, port or null, protocol) of ip:port/proto and [v6]:port/proto; null address if ambiguous."""
-    s = strip(raw)
-    proto = F.when(s.contains("/"), fold(strip(F.substring_index(s, "/", -1)))).otherwise("")
-    proto = F.when(proto == "", "tcp").otherwise(proto)
-    address = strip(F.when(s.contains("/"), F.regexp_extract(s, r"(?s)^(.*)/[^/]*$", 1)).otherwise(s))
-    v6 = address.startswith("[")
-    plain = address.rlike(r"^[^:]*:[^:]*$")
-    ip = F.when(v6, F.regexp_extract(address, r"^\[([^\]]*)\]:.*$", 1)).when(plain, F.substring_index(address, ":", 1))
-    text = strip(F.when(v6, F.regexp_extract(address, r"^\[[^\]]*\]:(.*)$", 1)).when(plain, F.substring_index(address, ":", -1)))
-    port = F.when(text.rlike(r"^[+]?\d{1,9}$"), F.regexp_replace(text, r"^\+", "").cast("int"))
-    return F.nullif(strip(ip), F.lit("")), F.when((port >= 1) & (port <= 65535), port), proto
+def service_parts(raw: Column) -> Column:
+    """struct(ip text, port or null, proto) of ip:port/proto and [v6]:port/proto; null ip if ambiguous."""
+    v6, plain = r"(?s)^\[([^\]]*)\]:(.*)$", r"(?s)^([^:\[][^:]*):([^:]*)$"
+
+    def cut(s: Column) -> Column:
+        proto = F.when(s.contains("/"), fold(strip(F.substring_index(s, "/", -1)))).otherwise("")
+        address = strip(F.when(s.contains("/"), F.regexp_extract(s, r"(?s)^(.*)/[^/]*$", 1)).otherwise(s))
+        return F.struct(address.alias("address"), F.coalesce(F.nullif(proto, F.lit("")), F.lit("tcp")).alias("proto"))
+
+    def parts(p: Column) -> Column:
+        either = lambda i: F.when(p["address"].rlike(v6), F.regexp_extract(p["address"], v6, i)).when(p["address"].rlike(plain), F.regexp_extract(p["address"], plain, i))
+        port = let(strip(either(2)), lambda t: F.when(t.rlike(r"^[+]?\d{1,9}$"), F.regexp_replace(t, r"^\+", "").cast("int")))
+        return F.struct(F.nullif(strip(either(1)), F.lit("")).alias("ip"), let(port, lambda n: F.when((n >= 1) & (n <= 65535), n)).alias("port"), p["proto"].alias("proto"))
+
+    return let(let(strip(raw), cut), parts)
 
 
 def org_key(folded: Column) -> Column:
@@ -154,10 +165,13 @@ def org_key(folded: Column) -> Column:
 
 def tech_key(folded: Column) -> Column:
     """Vendor:product:version, one part doubled, a missing version is *."""
-    p = F.transform(F.split(strip(folded), ":"), strip)
-    vendor, product = p[0], F.when(F.size(p) == 1, p[0]).otherwise(F.get(p, F.lit(1)))
-    version = F.when(F.size(p) > 2, F.array_join(F.slice(p, 3, F.greatest(F.size(p) - 2, F.lit(0))), ":")).otherwise("")
-    return F.when((vendor != "") & (product != ""), F.concat_ws(":", vendor, product, F.when(version == "", "*").otherwise(version)))
+    def made(p: Column) -> Column:
+        product = F.when(F.size(p) == 1, p[0]).otherwise(F.get(p, F.lit(1)))
+        version = F.when(F.size(p) > 2, F.array_join(F.slice(p, 3, F.greatest(F.size(p) - 2, F.lit(0))), ":"))
+        return F.struct(p[0].alias("vendor"), product.alias("product"), F.coalesce(F.nullif(version, F.lit("")), F.lit("*")).alias("version"))
+
+    parts = let(F.transform(F.split(strip(folded), ":"), strip), made)
+    return let(parts, lambda p: F.when((p["vendor"] != "") & (p["product"] != ""), F.concat_ws(":", p["vendor"], p["product"], p["version"])))
 
 
 def _keys(df: DataFrame, hard: bool) -> DataFrame:
@@ -166,25 +180,26 @@ def _keys(df: DataFrame, hard: bool) -> DataFrame:
     text = composed(raw) if hard else raw
     df = df.withColumn("_folded", fold(text))
     # hosts, also those of e-mail addresses
-    mail = F.regexp_replace(strip(raw), r"^(?i:mailto:)", "")
-    local = F.regexp_extract(F.when(kind == "email", mail), r"(?s)^(.*)@[^@]*$", 1)
-    source = F.when(kind.isin(HOST_TYPES), raw).when(kind == "email", F.substring_index(mail, "@", -1))
-    host = host_part(source)
-    df = df.withColumn("_host", fold(composed(host) if hard else host))
-    if hard:
-        df = df.withColumn("_host", ascii_labels("_host"))
+    mail = F.when(kind == "email", F.regexp_replace(strip(raw), r"^(?i:mailto:)", ""))
+    source = F.when(kind.isin(HOST_TYPES), raw).otherwise(F.substring_index(mail, "@", -1))
+    host = fold(composed(host_part(source)) if hard else host_part(source))
+    local = F.regexp_extract(mail, r"(?s)^(.*)@[^@]*$", 1)
     local = F.regexp_extract(fold(composed(local) if hard else local), r"(?s)^([^+]*)", 1)
-    df = df.withColumn("_local", F.when(mail.contains("@") & ~local.rlike(r"(?U)\s"), F.nullif(local, F.lit(""))))
-    ip = without_port(strip(raw))
-    service_ip, port, proto = service_parts(raw)
-    df = df.withColumn("_ip", F.when(kind == "ip", ip).when(kind == "service", service_ip).when(kind == "netblock", strip(raw)))
-    df = df.withColumn("_ip6", ipv6_text("_ip") if hard else F.lit(None).cast("string"))
-    address = F.when(F.col("_ip").rlike(IPV4), F.col("_ip")).otherwise(F.when(~F.col("_ip").contains("/"), F.col("_ip6")))
+    local = let(local, lambda x: F.when((x != "") & ~x.rlike(r"(?U)\s"), x))
+    service = F.when(kind == "service", service_parts(raw))
+    df = df.select("type", "raw", "_folded", (ascii_labels(host) if hard else host).alias("_host"), local.alias("_local"), service.alias("_s"))
+    df = df.select("*", F.when(kind == "ip", without_port(strip(raw))).when(kind == "service", F.col("_s.ip")).when(kind == "netblock", strip(raw)).alias("_ip"))
+    df = df.select("*", (ipv6_text("_ip") if hard else F.lit(None).cast("string")).alias("_ip6"))
+    address = F.when(F.col("_ip").rlike(IPV4), F.col("_ip")).when(~F.col("_ip").contains("/"), F.col("_ip6"))
+    df = df.select("*", address.alias("_address"))
     block = F.coalesce(netblock4(F.col("_ip")), F.when(F.col("_ip6").contains("/"), F.col("_ip6")).otherwise(F.concat("_ip6", F.lit("/128"))))
-    shown = F.when(address.contains(":"), F.concat(F.lit("["), address, F.lit("]"))).otherwise(address)
+    shown = F.when(F.col("_address").contains(":"), F.concat(F.lit("["), "_address", F.lit("]"))).otherwise(F.col("_address"))
+    address, port, proto = F.col("_address"), F.col("_s.port"), F.col("_s.proto")
+    good = F.when(host_shape(F.col("_host")), F.col("_host"))
+    df = df.withColumn("_host", good)
     key = (
-        F.when(kind.isin(HOST_TYPES), F.when(host_shape(F.col("_host")), F.col("_host")))
-        .when(kind == "email", F.when(host_shape(F.col("_host")) & F.col("_local").isNotNull(), F.concat_ws("@", "_local", "_host")))
+        F.when(kind.isin(HOST_TYPES), F.col("_host"))
+        .when(kind == "email", F.when(F.col("_host").isNotNull() & F.col("_local").isNotNull(), F.concat_ws("@", "_local", "_host")))
         .when(kind == "ip", address)
         .when(kind == "netblock", block)
         .when(kind == "cert", cert_key(raw))
@@ -193,7 +208,8 @@ def _keys(df: DataFrame, hard: bool) -> DataFrame:
         .when(kind == "org", org_key(F.col("_folded")))
         .when(kind == "tech", tech_key(F.col("_folded")))
     )
-    return df.select("type", "raw", key.alias("norm"), F.when(kind.isin(*HOST_TYPES, "email") & key.isNotNull(), F.col("_host")).alias("host"))
+    keyed = df.select("type", "raw", "_host", key.alias("norm"))
+    return keyed.select("type", "raw", "norm", F.when(kind.isin(*HOST_TYPES, "email") & F.col("norm").isNotNull(), F.col("_host")).alias("host"))
 
 
 def normalize_values(df: DataFrame, type_col: str = "type", raw_col: str = "raw") -> DataFrame:

@@ -22,6 +22,7 @@ class Ingested:
     relationships: DataFrame
     rejected: DataFrame  # I1: job_id, seq, rel_pos (null for the observation itself), type, raw, error
     summary: DataFrame  # I7
+    mentions: DataFrame  # what all of these are made from; kept, so that keys are computed once. Unpersist when done
 
 
 def _mentions(parsed: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def _mentions(parsed: DataFrame, jobs: DataFrame) -> DataFrame:
 def ingest(parsed: DataFrame, jobs: DataFrame, raw_root: str = "") -> Ingested:
     """The new rows of all jobs together. A rejected observation takes its relations with it; a rejected relation
     target only that relation. Relations that would end where they begin are dropped."""
-    every = _mentions(parsed, jobs)
+    every = _mentions(parsed, jobs).persist()
     observed = every.where("rel_pos is null")
     accepted = observed.where("norm is not null")
     origin = observed.select("job_id", "seq", F.col("norm").isNotNull().alias("_kept"), F.col("entity_id").alias("_from"))
@@ -62,7 +63,7 @@ def ingest(parsed: DataFrame, jobs: DataFrame, raw_root: str = "") -> Ingested:
     zero = lambda c: F.coalesce(c, F.lit(0))
     summary = jobs.select("job_id").join(counts, "job_id", "left").join(related, "job_id", "left").join(linked, "job_id", "left").join(skipped, "job_id", "left")
     summary = summary.select("job_id", (zero("observations") + zero("targets")).alias("upserts"), zero("observations").alias("observations"), zero("relations").alias("relations"), zero("skipped").alias("skipped"))
-    return Ingested(entities, observations, relationships, rejected, summary)
+    return Ingested(entities, observations, relationships, rejected, summary, every)
 
 
 def _order() -> Column:

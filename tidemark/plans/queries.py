@@ -352,7 +352,7 @@ SELECT event_id AS request_id, tool, floor(max(t - rn * gap) OVER w + rn * gap)
     60.0 / CASE tool WHEN 'crtsh' THEN 5 WHEN 'dns-resolver' THEN 60 WHEN 'shodan-lookup' THEN 60 WHEN 'asn-bgp' THEN 20 ELSE 10 END AS gap FROM ev)
 WINDOW w AS (PARTITION BY tool ORDER BY rn)""")
 def j6_slots(spark: SparkSession, d: str) -> DataFrame:
-    r = fx.events(spark, d).select(F.col("event_id").alias("request_id"), "tool", F.floor(F.unix_micros("ts") / 1_000_000).cast("double").alias("t"))
+    r = fx.events(spark, d).select(F.col("event_id").alias("request_id"), "tool", F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("t"))
     return joblog.slots(r, tool_spec(spark)).select("request_id", "tool", F.floor("slot").cast("double").alias("slot"))
 
 

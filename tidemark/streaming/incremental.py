@@ -52,6 +52,7 @@ def merge_batch(store: Store, archive: DataFrame, jobs: DataFrame) -> None:
         "entity": merge_entities(store.read("entity"), new.entities),
         "relationship": merge_relationships(store.read("relationship"), new.relationships),
     })
+    new.mentions.unpersist()
 
 
 def stream_archive(spark: SparkSession, root: str, jobs: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from .common import id_text, text_blocks
 
 #: Entries after which a worker's cache starts anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 120_000
 #: Longer words would make their matrix quadratic; they are merged in the same order with a heap.
 MATRIX_BYTES = 192
 #: Rows of one matrix, so that it stays in the processor's cache.

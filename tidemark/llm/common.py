@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters of text that a Python task works on at once; bounds its memory on very long rows.
+#: Bytes of text that a Python task works on at once; bounds its memory on very long rows.
 CHARS_AT_ONCE = 1_000_000
 
 
@@ -24,17 +24,18 @@ def fold(column: str, parts: int) -> Column:
 
 
 def text_blocks(batches, column: str, limit: int = CHARS_AT_ONCE):
-    """Cuts Arrow batches into slices of about `limit` characters of `column`; yields (slice, its texts)."""
+    """Cuts Arrow batches into slices of about `limit` bytes of `column`; yields (slice, its texts)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
-        start, chars = 0, 0
-        for i, text in enumerate(texts):
-            chars += len(text) if text else 0
-            if chars >= limit:
-                yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-                start, chars = i + 1, 0
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        texts = batch.column(batch.schema.get_field_index(column))
+        size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start, before = 0, 0
+        while start < batch.num_rows:
+            end = min(int(np.searchsorted(size, before + limit)) + 1, batch.num_rows)
+            yield batch.slice(start, end - start), texts.slice(start, end - start).to_pylist()
+            start, before = end, int(size[end - 1])
 
 
 def shared_folder(spark: SparkSession) -> str:

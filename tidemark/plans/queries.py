@@ -348,7 +348,7 @@ def j5_retry_audit(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT event_id AS request_id, tool, floor(max(t - rn * gap) OVER w + rn * gap) AS slot FROM (
-  SELECT event_id, tool, CAST(epoch(ts) AS BIGINT) * 1.0 AS t, row_number() OVER (PARTITION BY tool ORDER BY CAST(epoch(ts) AS BIGINT), event_id) AS rn,
+  SELECT event_id, tool, CAST(floor(epoch(ts)) AS BIGINT) * 1.0 AS t, row_number() OVER (PARTITION BY tool ORDER BY CAST(floor(epoch(ts)) AS BIGINT), event_id) AS rn,
     60.0 / CASE tool WHEN 'crtsh' THEN 5 WHEN 'dns-resolver' THEN 60 WHEN 'shodan-lookup' THEN 60 WHEN 'asn-bgp' THEN 20 ELSE 10 END AS gap FROM ev)
 WINDOW w AS (PARTITION BY tool ORDER BY rn)""")
 def j6_slots(spark: SparkSession, d: str) -> DataFrame:

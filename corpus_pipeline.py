@@ -39,8 +39,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, and the digests of ids and decoded bytes."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    decoded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
-    return bpe_digest(decoded, F.col("ids"))
+    return bpe_digest(bpe.round_trip(docs, path, public_tokenizers.PATTERN), F.col("ids"))
 
 
 STAGES = [

@@ -57,6 +57,7 @@ def test_bpe_ids_and_round_trip(docs, none):
     decoded = bpe.decode(bpe.encode(docs, path, P.PATTERN), path)
     want = [(r[0], known.encode_ordinary(r[1] or ""), (r[1] or "").encode()) for r in rows()]
     assert sorted(((r.doc_id, r.ids, bytes(r.decoded)) for r in decoded.collect()), key=repr) == sorted(want, key=repr)
+    assert by_rows(bpe.round_trip(docs, path, P.PATTERN), "doc_id", "ids", "decoded") == by_rows(decoded, "doc_id", "ids", "decoded")
     assert bpe.encode(none, path, P.PATTERN).count() == 0
 
 

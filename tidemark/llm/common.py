@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task works on at once; bounds its memory on very long rows.
-CHARS_AT_ONCE = 1_000_000
+CHARS_AT_ONCE = 500_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHARS_AT_ONCE, checkpointed, id_text, split_by_ids, stored, text_blocks
+from .common import checkpointed, id_text, split_by_ids, stored, text_blocks
 from .components import components
 from .hashing import Words, mix
 
@@ -183,7 +183,7 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
     """Per document: the size and 128-bit key of its shingle set, and its bucket counts."""
 
     def run(batches):
-        for block, texts in text_blocks(batches, "text", 2_000_000):
+        for block, texts in text_blocks(batches, "text"):
             sets, offsets = shingle_sets(texts, width)
             size = np.diff(offsets)
             key1, key2 = _keys(sets, size)
@@ -213,7 +213,7 @@ def candidate_stars(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     def local(batches):
         bands = None
-        for block, texts in text_blocks(batches, "text", CHARS_AT_ONCE):
+        for block, texts in text_blocks(batches, "text"):
             sets, offsets = shingle_sets(texts, width)
             size = np.diff(offsets)
             key1, key2 = _keys(sets, size)

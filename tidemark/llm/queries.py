@@ -26,8 +26,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = bpe.encode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return bpe_digest(bpe.decode(ids, path))
+    return bpe_digest(bpe.round_trip(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
 
 
 def bpe_digest(decoded: DataFrame, *more) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schema
 from tidemark.operators import chain, graph, ingest as ing, jobs as joblog, report, scoring, triage
+from tidemark.plans import queries
 from tidemark.sources import archive, extract
 from tidemark.streaming.incremental import Store, merge_batch, stream_archive
 
@@ -117,6 +118,23 @@ def test_slots_follow_the_recurrence(spark):
     assert all(abs(r.slot - want[r.request_id]) < 1e-6 for r in got)
 
 
+def test_retry_audit_of_long_jobs(spark):
+    rows = [(job, tool, n, True, False, None, 0.5) for job, tool in (("a", "crtsh"), ("b", "none")) for n in range(1, 1101)]
+    attempts = spark.createDataFrame(rows, "job_id string, tool string, n int, timed_out boolean, success boolean, code int, seconds double")
+    tools = schema.tool_spec(spark).where("tool = 'crtsh'").select("tool", "timeout_s", "max_attempts", F.lit(2.0).alias("backoff_s"), "run_mode")
+    tools = tools.union(tools.select(F.lit("none"), "timeout_s", "max_attempts", F.lit(0.0), "run_mode"))
+    got = {(r.job_id, r.n): (r.wait_s, r.elapsed_s) for r in joblog.retry_audit(attempts, tools).collect()}
+    power = lambda n: 2.0 ** (n - 1) if n <= 1024 else float("inf")
+    want = {("a", n): (2 * power(n), n * 0.5 + 2 * (power(n) - 1)) for n in range(1, 1101)} | {("b", n): (0.0, n * 0.5) for n in range(1, 1101)}
+    assert got == want
+
+
+def test_retry_audit_query_has_every_attempt(spark, tmp_path):
+    events = spark.range(70).select(F.col("id").alias("event_id"), (F.lit(T0).cast("timestamp") + F.make_dt_interval(secs=F.col("id"))).cast("timestamp_ntz").alias("ts"), F.lit(1).cast("long").alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 40}').alias("props"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    assert sorted(r.n for r in queries.QUERIES["j5_retry_audit"](spark, str(tmp_path)).collect()) == list(range(1, 71))
+
+
 def test_triage_flags_must_be_booleans(spark):
     obs = spark.createDataFrame([("e", "t1", '{"hedefe_ait_degil":"true"}'), ("e", "t2", '{"saglayici_olabilir":true}'), ("e", "t2", '{"saglayici_olabilir":false}'), ("f", "t1", None)], "entity_id string, tool string, data string")
     got = {r.entity_id: (r.tools, r.hedefe_ait_degil, r.saglayici_olabilir) for r in triage.evidence(obs).collect()}

@@ -33,12 +33,14 @@ def outcome(timed_out: Column, success: Column, code: Column) -> Column:
 
 def retry_audit(attempts: DataFrame, tools: DataFrame) -> DataFrame:
     """For each attempt its outcome, the wait before the next, the time used so far, the tool's budget, and
-    whether another attempt was allowed. Only tools in `api` mode get more than one."""
+    whether another attempt was allowed. Only tools in `api` mode get more than one. A wait beyond the doubles is
+    infinite, and so is the time used after it; without a backoff there is none."""
     spec = F.broadcast(tools.select("tool", "timeout_s", "max_attempts", "backoff_s", "run_mode"))
     w = Window.partitionBy("job_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     most = F.when(F.col("run_mode") == "api", F.col("max_attempts")).otherwise(1)
-    wait = F.col("backoff_s") * F.pow(F.lit(2.0), F.col("n") - 1)
-    before = F.coalesce(F.sum(wait).over(w) - wait, F.lit(0.0))
+    doubled = F.pow(F.lit(2.0), F.col("n") - 1)
+    waits = lambda times: F.when(F.col("backoff_s") == 0, 0.0).otherwise(F.col("backoff_s") * times)
+    wait, before = waits(doubled), waits(doubled - 1)
     met = attempts.join(spec, "tool").withColumn("max_n", most)
     met = met.select("*", outcome(F.col("timed_out"), F.col("success"), F.col("code")).alias("outcome"), wait.alias("wait_s"), (F.sum("seconds").over(w) + before).alias("elapsed_s"), (F.col("timeout_s") * F.col("max_n") + F.col("backoff_s") * (F.pow(F.lit(2.0), F.col("max_n") - 1) - 1)).alias("budget_s"))
     allowed = (F.col("outcome") == "transient") & (F.col("n") < F.col("max_n")) & (F.col("elapsed_s") + F.col("wait_s") < F.col("budget_s"))

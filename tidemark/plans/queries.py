@@ -343,7 +343,7 @@ SELECT job_id, n, outcome, wait_s, elapsed_s, budget_s, outcome = 'transient' AN
     sum(seconds) OVER w + 2.0 * (pow(2, n - 1) - 1) AS elapsed_s, CASE tool WHEN 'crtsh' THEN 45 WHEN 'asn-bgp' THEN 45 ELSE 30 END * 3 + 6.0 AS budget_s
   FROM att WINDOW w AS (PARTITION BY job_id ORDER BY n)) WHERE n <= 20""")
 def j5_retry_audit(spark: SparkSession, d: str) -> DataFrame:
-    return joblog.retry_audit(fx.attempts(spark, d), tool_spec(spark)).where("n <= 20").select("job_id", F.col("n").cast("int").alias("n"), "outcome", "wait_s", "elapsed_s", "budget_s", "retry_allowed")
+    return joblog.retry_audit(fx.attempts(spark, d), tool_spec(spark)).select("job_id", F.col("n").cast("int").alias("n"), "outcome", "wait_s", "elapsed_s", "budget_s", "retry_allowed")
 
 
 @query("""

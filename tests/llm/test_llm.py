@@ -220,6 +220,28 @@ def test_lm_counts_base_and_model(docs, none):
     assert lm.score_all(none, learn).count() == 0
 
 
+def test_lm_weights_learn_from_every_document(spark):
+    ids = [r.id for r in spark.range(9000).orderBy(F.xxhash64("id"), "id").collect()]
+    texts = [(d, "up left right up" if i >= 4500 else "up left up right up" if i % 2 else "up right up left up") for i, d in enumerate(ids)]
+    learn = spark.createDataFrame(texts, "doc_id long, text string").repartition(6)
+    counts = lm.count_tokens(learn).cache()
+    s = lm.statistics(counts)
+    ask = spark.createDataFrame([(1, "up left right up"), (2, "up right left up")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score(ask, counts, s, lm.fit(learn, s)).collect()}
+    assert got[1] > got[2] + 0.5  # "right" stands after "left" only in documents past the first 4,500
+
+
+def test_lm_sizes_follow_the_counts(spark):
+    def model(n):
+        s = lm.statistics(spark.range(5000).select(F.col("id").alias("token"), (F.col("id") % 32).alias("tail"), F.lit(n).cast("long").alias("n")))
+        return s, lm.start_model(s)
+
+    small, large = model(10), model(1_000_000)
+    assert small[0].rank.max() == 1023 and large[0].rank.max() == 4999
+    assert large[1].classes.shape[0] > small[1].classes.shape[0] and large[1].word_bias.size == large[0].sizes.head
+    assert abs(math.fsum(__import__("numpy").exp(large[1].class_bias.astype(float))) - 1) < 1e-4
+
+
 def test_top_k(spark):
     data = [(i, [((i * 37 + j * 11) % 100 - 50) / 40 for j in range(8)], 0) for i in range(300)]
     data += [(300, None, 0), (301, [1.0, None], 0), (302, [float("nan")] * 8, 0), (303, [], 0), (400, [9.0] * 8, 1), (400, [9.0] * 8, 1), (5, [0.5] * 8, 2), (500, [1.0, 2.0], 0), (None, [1.0] * 8, 0)]

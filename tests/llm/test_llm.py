@@ -257,6 +257,19 @@ def test_top_k(spark):
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_toxicity_finds_features_of_equal_leading_bits():
+    import itertools
+
+    import numpy as np
+
+    names = ["".join(w) for w in itertools.product("abcdefghij", repeat=4)]
+    hashes = lm.Words(names, toxicity.LETTERS).hashes
+    model = toxicity.Model(np.sort(hashes.view(np.int64)).view(np.uint64), np.ones(len(hashes)), 0.0, 0.01)
+    assert len(np.unique(hashes)) == len(names) > len(np.unique(hashes >> np.uint64(64 - 21)))
+    index, _ = toxicity.Bags(names).found(model)
+    assert sorted(index) == list(range(len(names)))
+
+
 def test_toxicity(spark, docs, none):
     plain, bad = "a quiet day in the park with birds. ", "you are a wretchling indeed. "
     known = [(i, plain * (1 + i % 5) + (bad if i % 3 == 0 else "") + plain, int(i % 3 == 0)) for i in range(90)]

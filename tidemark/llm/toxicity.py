@@ -48,13 +48,18 @@ class Model:
     bias: float
     leak: float
 
-    def table(self) -> np.ndarray:
-        """Where a hash's feature would stand, by its leading bits; -1 for none."""
+    def place(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(each hash's index, whether it is a feature). A table has the first feature of the same leading bits; what
+        else shares them follows it in order."""
         if not hasattr(self, "_table"):
-            self._table = np.full(1 << _TABLE_BITS, -1, np.int32)
-            order = np.argsort(np.abs(self.weights), kind="stable")  # of two features in one place the heavier stays
-            self._table[(self.hashes[order] >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = order
-        return self._table
+            slots, first, n = np.unique((self.hashes >> np.uint64(64 - _TABLE_BITS)).astype(np.int64), return_index=True, return_counts=True)
+            self._table, self._deepest = np.full(1 << _TABLE_BITS, -1, np.int32), int(n.max())
+            self._table[slots] = first
+        at = self._table[(hashes >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)]
+        for _ in range(self._deepest - 1):
+            on = np.flatnonzero((at >= 0) & (at < len(self.hashes) - 1) & (self.hashes[at] < hashes))
+            at[on] += 1
+        return at, (at >= 0) & (self.hashes[at] == hashes)
 
 
 class Bags:
@@ -83,12 +88,11 @@ class Bags:
 
     def found(self, model: Model) -> tuple[np.ndarray, np.ndarray]:
         """(indexes of the model's features, their sentences)."""
-        table, index, sentence = model.table(), [], []
+        index, sentence = [], []
         if not len(model.hashes):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         for hashes, of in self.features():
-            at = table[(hashes >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)]
-            ok = (at >= 0) & (model.hashes[at] == hashes)
+            at, ok = model.place(hashes)
             index.append(at[ok])
             sentence.append(self.number[of[ok]])
         return np.concatenate(index).astype(np.int64), np.concatenate(sentence).astype(np.int64)

@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import id_text, text_blocks
+from .common import id_text, text_blocks, worker_state
 
 #: Entries after which a worker's cache starts anew.
 CACHE_ENTRIES = 120_000
@@ -189,16 +189,10 @@ class ByteBpe:
         return [b"".join(map(chunks.__getitem__, p)) for p in pieces]
 
 
-_LOADED: dict = {}
-
-
 def _load(rank_file, pattern: str | None):
     """One per Python worker; the vocabulary comes as a broadcast of the file, whose size is fixed. Without a
     pattern only the tokens' bytes, which is all that decoding needs."""
-    if (key := (rank_file.id, pattern)) not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = tokens_of(rank_file.value) if pattern is None else ByteBpe(rank_file.value, pattern)
-    return _LOADED[key]
+    return worker_state("bpe", (rank_file.id, pattern), lambda: tokens_of(rank_file.value) if pattern is None else ByteBpe(rank_file.value, pattern))
 
 
 def _broadcast_file(df: DataFrame, path: str):
@@ -222,7 +216,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
     file = _broadcast_file(docs, rank_path)
 
     def run(batches):
-        for block, texts in text_blocks(batches, "text"):
+        for block, texts in text_blocks(batches, "text", operator="bpe"):
             ids = _load(file, pattern).encode(texts)
             offsets = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
@@ -253,7 +247,7 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc
     file = _broadcast_file(docs, rank_path)
 
     def run(batches):
-        for block, texts in text_blocks(batches, "text"):
+        for block, texts in text_blocks(batches, "text", operator="bpe"):
             bpe = _load(file, pattern)
             ids, token = bpe.encode(texts), bpe.tokens.__getitem__
             offsets = np.zeros(len(ids) + 1, np.int32)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +25,39 @@ def fold(column: str, parts: int) -> Column:
     return F.crc32(F.col(column).cast("string")) % parts
 
 
-def text_blocks(batches, column: str, limit: int = CHARS_AT_ONCE):
-    """Cuts Arrow batches into slices of about `limit` bytes of `column`; yields (slice, its texts)."""
+#: What operators keep in a Python worker from task to task: vocabularies and caches, by operator.
+_WORKER: dict[str, tuple] = {}
+
+
+def worker_state(operator: str, key, build):
+    """build(), made once in a worker for a key; one key an operator."""
+    if operator not in _WORKER or _WORKER[operator][0] != key:
+        _WORKER.pop(operator, None)
+        _WORKER[operator] = key, build()
+    return _WORKER[operator][1]
+
+
+def release(keep: str | None) -> None:
+    """Drops what other operators keep in this worker, and gives their memory back to the machine: workers serve one
+    stage after the other, so what each leaves would add up."""
+    if gone := [name for name in _WORKER if name != keep]:
+        import ctypes
+        import gc
+
+        for name in gone:
+            del _WORKER[name]
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def text_blocks(batches, column: str, limit: int = CHARS_AT_ONCE, operator: str | None = None):
+    """Cuts Arrow batches into slices of about `limit` bytes of `column`; yields (slice, its texts). Only the worker
+    state of `operator` is kept."""
     import numpy as np
     import pyarrow.compute as pc
 
+    release(operator)
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
         size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -32,7 +32,6 @@ TABLE = (1 << 16) + (1 << TRIPLE_BITS)
 SWITCH = 25.0
 #: Share of a script's words in training from which a language counts as using it.
 SCRIPT_SHARE = 0.001
-SCRIPTS = 12
 
 
 @dataclass
@@ -42,17 +41,48 @@ class Model:
     scripts: np.ndarray  # SCRIPTS x languages, whether the language uses the script
 
 
-def _script_bytes() -> np.ndarray:
-    """The script of a character by its first UTF-8 byte: ranges of code points, coarse beyond the alphabets."""
-    out = np.zeros(256, np.int64)
-    for script, (low, high) in enumerate([(0x41, 0x7A), (0xC3, 0xCA), (0xCD, 0xCF), (0xD0, 0xD3), (0xD4, 0xD6), (0xD7, 0xD7), (0xD8, 0xDB), (0xE0, 0xE0), (0xE1, 0xE1), (0xE3, 0xE9), (0xEA, 0xED)]):
-        out[low : high + 1] = script
+#: Scripts by ranges of code points; what lies between them is of no script. The later one here is taken for a word
+#: of several.
+SCRIPT_RANGES = [
+    ("latin", 0x41, 0x24F), ("latin", 0x1E00, 0x1EFF), ("greek", 0x370, 0x3FF), ("greek", 0x1F00, 0x1FFF), ("cyrillic", 0x400, 0x52F),
+    ("armenian", 0x530, 0x58F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x77F), ("arabic", 0x8A0, 0x8FF), ("devanagari", 0x900, 0x97F),
+    ("bengali", 0x980, 0x9FF), ("gurmukhi", 0xA00, 0xA7F), ("gujarati", 0xA80, 0xAFF), ("oriya", 0xB00, 0xB7F), ("tamil", 0xB80, 0xBFF),
+    ("telugu", 0xC00, 0xC7F), ("kannada", 0xC80, 0xCFF), ("malayalam", 0xD00, 0xD7F), ("sinhala", 0xD80, 0xDFF), ("thai", 0xE00, 0xE7F),
+    ("lao", 0xE80, 0xEFF), ("tibetan", 0xF00, 0xFFF), ("myanmar", 0x1000, 0x109F), ("georgian", 0x10A0, 0x10FF), ("hangul", 0x1100, 0x11FF),
+    ("ethiopic", 0x1200, 0x137F), ("khmer", 0x1780, 0x17FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF), ("han", 0xF900, 0xFAFF),
+    ("han", 0x20000, 0x323AF), ("kana", 0x3040, 0x30FF), ("kana", 0x31F0, 0x31FF),
+]
+NAMES = ["none", *dict.fromkeys(name for name, _, _ in SCRIPT_RANGES)]
+SCRIPTS = len(NAMES)
+
+
+def _bounds() -> tuple[np.ndarray, np.ndarray]:
+    """(first code points, script from there on)."""
+    at = {0: 0}
+    for name, low, high in sorted(SCRIPT_RANGES, key=lambda r: r[1]):
+        at[low] = NAMES.index(name)
+        at.setdefault(high + 1, 0)
+    first = sorted(at)
+    return np.array(first), np.array([at[f] for f in first])
+
+
+_FIRST, _SCRIPT = _bounds()
+
+
+def scripts_of(b: np.ndarray) -> np.ndarray:
+    """The script of each character of UTF-8 bytes, at its first byte; 0 elsewhere and where there is none."""
+    out = np.zeros(len(b), np.int64)
+    out[(b >= 97) & (b <= 122)] = NAMES.index("latin")
+    wide = np.concatenate((b, np.zeros(3, b.dtype)))
+    for low, high, bits, more in ((0xC0, 0xE0, 0x1F, 1), (0xE0, 0xF0, 0x0F, 2), (0xF0, 0xF8, 0x07, 3)):
+        at = np.flatnonzero((b >= low) & (b < high))
+        point = wide[at] & bits
+        for k in range(1, more + 1):
+            point = point << 6 | wide[at + k] & 0x3F
+        out[at] = _SCRIPT[np.searchsorted(_FIRST, point, side="right") - 1]
     return out
 
 
-_SCRIPT = _script_bytes()
-
-
 class Letters:
     """The words of a block of texts with their n-gram places, scripts and lengths."""
 
@@ -66,10 +96,7 @@ class Letters:
         triple = (1 << 16) + (((pair[:-1] * 256 + b[2:]) * 0x9E3779B1 >> 7) & ((1 << TRIPLE_BITS) - 1)) if len(b) > 2 else pair[:0]
         self.pair, self.triple = pair, triple
         self.first = np.maximum(words.begin - 1, 0)
-        last = np.zeros(len(b) + 1, np.int64)
-        lead = np.where((b >= 0x80) & (b < 0xC0), 0, _SCRIPT[b])
-        at = np.maximum.reduceat(lead, words.begin) if len(words.begin) else last[:0]
-        self.script = at
+        self.script = np.maximum.reduceat(scripts_of(b), words.begin) if len(words.begin) else np.zeros(0, np.int64)
 
     def has_letter(self, texts: list[str | None]) -> np.ndarray:
         out = np.diff(self.words.starts) > 0
@@ -191,7 +218,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             new = np.ones(len(owner), bool)
             new[1:] = (path[1:] != path[:-1]) | (owner[1:] != owner[:-1])
             at = np.flatnonzero(new)
-            last = np.append(at[1:], len(owner)) - 1
+            last = np.append(at[1:], len(owner))[: len(at)] - 1  # a block may hold no word at all
             spans: list = [[] for _ in texts]
             base = letters.words.starts
             for a, b in zip(at.tolist(), last.tolist(), strict=True):

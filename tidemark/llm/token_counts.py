@@ -25,10 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Shipped
-from .common import id_text, text_blocks
+from .common import id_text, text_blocks, worker_state
 
 #: Entries after which a worker's caches start anew.
 CACHE_ENTRIES = 500_000
+#: The normalizers (and what they put in) that `PrefixCounter.normalized` does by itself.
+NORMALIZERS = [("NFC", None), ("Replace", " "), ("Lowercase", None)]
 #: Blanks of str.split() that are no blanks to the vocabulary's pattern.
 _ODD_BLANKS = re.compile("[\x1c-\x1f]")
 
@@ -46,6 +48,8 @@ class PrefixCounter:
     def __init__(self, vocabulary_file: bytes):
         spec = json.loads(vocabulary_file)
         model, split = spec["model"], spec["pre_tokenizer"]["pretokenizers"][0]
+        if [(n["type"], n.get("content")) for n in spec["normalizer"]["normalizers"]] != NORMALIZERS:
+            raise ValueError(f"normalized() stands for {NORMALIZERS}, not for the file's normalizers")
         self.end = model["end_of_word_suffix"]
         self.rank = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): r for r, m in enumerate(model["merges"])}
         self.made = {a + b: (a, b, r) for (a, b), r in reversed(self.rank.items())}
@@ -56,6 +60,7 @@ class PrefixCounter:
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.symbols = _byte_symbols()
         special = [t["content"] for t in spec["added_tokens"]]
+        self.marks = {c[0] for c in special}
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.apart: dict[tuple[str, str], bool] = {}
         self.edges: dict[tuple[str, int], list[tuple[str, int]]] = {}
@@ -158,7 +163,7 @@ class PrefixCounter:
 
     def pieces(self, text: str) -> tuple[list[str], int]:
         """Blank-separated chunks, which no word crosses, and the number of special tokens between them."""
-        if self.special and "<" in text and (n := len(self.special.findall(text))):
+        if self.special and any(m in text for m in self.marks) and (n := len(self.special.findall(text))):
             parts = [self.pieces(p)[0] for p in self.special.split(text)]
             return list(chain.from_iterable(parts)), n
         text = self.normalized(text)
@@ -205,14 +210,8 @@ class PrefixCounter:
         return [sum(map(count.__getitem__, parts)) for parts in cut]
 
 
-_LOADED: dict = {}
-
-
 def _load(file: Shipped) -> PrefixCounter:
-    if file.id not in _LOADED:
-        _LOADED.clear()
-        _LOADED[file.id] = PrefixCounter(file.value)
-    return _LOADED[file.id]
+    return worker_state("token_counts", file.id, lambda: PrefixCounter(file.value))
 
 
 def _ship(df: DataFrame, path: str) -> Shipped:
@@ -225,7 +224,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     file = _ship(docs, vocabulary_path)
 
     def run(batches):
-        for block, texts in text_blocks(batches, "text"):
+        for block, texts in text_blocks(batches, "text", operator="token_counts"):
             counts = np.array(_load(file).counts(texts), np.int64)
             size = np.array([len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts], np.int64)
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(size), pa.array(counts)], ["doc_id", "n_bytes", "n_tokens"])
@@ -238,7 +237,7 @@ def prefix_table(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     file = _ship(docs, vocabulary_path)
 
     def run(batches):
-        for block, texts in text_blocks(batches, "text", 500_000):
+        for block, texts in text_blocks(batches, "text", operator="token_counts"):
             counter = _load(file)
             counter.counts([])
             table = pa.array([counter.prefix_counts(t) for t in texts], pa.list_(pa.int32()))

@@ -95,6 +95,34 @@ def test_streaming_ingest_and_replay(spark, tmp_path):
     assert sorted((r.norm, r.obs_count) for r in store.read("entity").collect()) == before and store.read("observation").count() == 2
 
 
+def test_parallel_writers_lose_nothing(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    jobs, store = job(spark, *[(f"w{i}", "subfinder", 0) for i in range(3)]), Store(spark, f"{tmp_path}/store", buckets=4)
+    line = json.dumps({"host": "a.example.com", "input": "example.com", "source": "x"})
+
+    def write(i):
+        merge_batch(store, spark.createDataFrame([(f"w{i}", line.encode())], "job_id string, content binary"), jobs)
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(write, range(3)))
+    assert sorted((r.norm, r.obs_count) for r in store.read("entity").collect()) == [("a.example.com", 3), ("example.com", 0)]
+    assert store.read("observation").count() == 3 and store.read("relationship").count() == 1 and store.version() == 2
+
+
+def test_tables_are_written_and_read(spark, tmp_path):
+    row = spark.createDataFrame([("r", "i", "a", "b", "runs_on", T0, T0, None)], schema.TABLES["relationship"])
+    for mode in ("append", "overwrite"):
+        schema.write_table(row, str(tmp_path), "relationship", mode)
+        assert [tuple(r) for r in schema.read_table(spark, str(tmp_path), "relationship").where("inv_id = 'i'").select(row.columns).collect()] == [tuple(row.first())]
+    seen = spark.createDataFrame([("o", "e", "j", "t", "1", None, None, 5, "{}", T0)], schema.TABLES["observation"])
+    schema.write_table(seen, str(tmp_path), "observation")
+    schema.write_table(seen, str(tmp_path), "observation")
+    assert schema.read_table(spark, str(tmp_path), "observation").count() == 2
+    with pytest.raises(ValueError):
+        schema.write_table(seen, str(tmp_path), "observation", "overwrite")
+
+
 def test_chain_edges_reach_and_depth(spark):
     tools = schema.tool_spec(spark)
     assert ("subfinder", "subdomain", "dns-resolver") in {tuple(r) for r in chain.edges(tools).collect()}

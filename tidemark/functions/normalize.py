@@ -1,8 +1,8 @@
-"""Match keys of raw values, as one batch job over the distinct (type, raw) pairs.
+"""Match keys of raw values, row by row: no row moves.
 
-`normalize_values` adds `norm` (null if invalid) and `error`. ASCII values stay in built-in functions. Values that
+`normalize_values` adds `norm` (null if invalid) and `error`. ASCII values stay in built-in functions. Only rows that
 hold other characters, or IPv6 text, go through Arrow-batched functions for composition, IDNA labels and address
-text, on their distinct rows only. IPv6 text is printed as Python 3.13's ipaddress does. Integers are ASCII digits
+text. IPv6 text is printed as Python 3.13's ipaddress does. Integers are ASCII digits
 with an optional sign."""
 
 from __future__ import annotations
@@ -93,6 +93,7 @@ def host_part(raw: Column) -> Column:
 
 def host_shape(host: Column) -> Column:
     """Whether an ASCII host has a valid form; its public suffix is another matter."""
+    # fixed value: the shape of a label
     fine = lambda p: p.rlike(r"^[a-z0-9_]([a-z0-9_\-]*[a-z0-9_])?$") & (F.length(p) <= 63)
     return let(host, lambda h: (F.length(h) <= 253) & h.contains(".") & F.forall(F.split(h, r"\."), fine))
 
@@ -174,9 +175,8 @@ def tech_key(folded: Column) -> Column:
     return let(parts, lambda p: F.when((p["vendor"] != "") & (p["product"] != ""), F.concat_ws(":", p["vendor"], p["product"], p["version"])))
 
 
-def _keys(df: DataFrame, hard: bool) -> DataFrame:
-    """type, raw -> norm before the suffix check. `hard` rows may use the Arrow functions."""
-    raw, kind = F.col("raw"), F.col("type")
+def _keys(df: DataFrame, kind: Column, raw: Column, hard: bool) -> DataFrame:
+    """Adds norm, before the suffix check, and _host of hosts and e-mail domains. `hard` rows may use the Arrow functions."""
     text = composed(raw) if hard else raw
     df = df.withColumn("_folded", fold(text))
     # hosts, also those of e-mail addresses
@@ -187,7 +187,7 @@ def _keys(df: DataFrame, hard: bool) -> DataFrame:
     local = F.regexp_extract(fold(composed(local) if hard else local), r"(?s)^([^+]*)", 1)
     local = let(local, lambda x: F.when((x != "") & ~x.rlike(r"(?U)\s"), x))
     service = F.when(kind == "service", service_parts(raw))
-    df = df.select("type", "raw", "_folded", (ascii_labels(host) if hard else host).alias("_host"), local.alias("_local"), service.alias("_s"))
+    df = df.select("*", (ascii_labels(host) if hard else host).alias("_host"), local.alias("_local"), service.alias("_s"))
     df = df.select("*", F.when(kind == "ip", without_port(strip(raw))).when(kind == "service", F.col("_s.ip")).when(kind == "netblock", strip(raw)).alias("_ip"))
     df = df.select("*", (ipv6_text("_ip") if hard else F.lit(None).cast("string")).alias("_ip6"))
     address = F.when(F.col("_ip").rlike(IPV4), F.col("_ip")).when(~F.col("_ip").contains("/"), F.col("_ip6"))
@@ -208,20 +208,22 @@ def _keys(df: DataFrame, hard: bool) -> DataFrame:
         .when(kind == "org", org_key(F.col("_folded")))
         .when(kind == "tech", tech_key(F.col("_folded")))
     )
-    keyed = df.select("type", "raw", "_host", key.alias("norm"))
-    return keyed.select("type", "raw", "norm", F.when(kind.isin(*HOST_TYPES, "email") & F.col("norm").isNotNull(), F.col("_host")).alias("host"))
+    df = df.withColumn("norm", F.when(raw.isNotNull(), key))
+    host = F.when(kind.isin(*HOST_TYPES, "email") & F.col("norm").isNotNull(), F.col("_host"))
+    return df.withColumn("_host", host).drop("_folded", "_local", "_s", "_ip", "_ip6", "_address")
 
 
 def normalize_values(df: DataFrame, type_col: str = "type", raw_col: str = "raw") -> DataFrame:
     """Adds norm, error and root (the registrable root of hosts and e-mail domains)."""
-    pairs = df.select(F.col(type_col).alias("type"), F.col(raw_col).alias("raw")).distinct().where("raw is not null and type is not null")
-    plain = F.col("raw").rlike(_ASCII) & ~(F.col("type").isin("ip", "netblock", "service") & F.col("raw").contains(":") & F.col("raw").rlike(r":.*:|\["))
-    keys = _keys(pairs.where(plain), False).unionByName(_keys(pairs.where(~plain), True))
-    rooted = with_root(keys)
-    bare = F.col("host").isNotNull() & F.col("root").isNull()
-    done = rooted.select("type", "raw", F.when(~bare, F.col("norm")).alias("norm"), "root", F.when(F.col("norm").isNull(), F.concat(F.lit("invalid "), F.col("type"), F.lit(": "), F.col("raw"))).when(bare, F.concat(F.lit("no public suffix: "), F.col("raw"))).alias("error"))
-    out = df.join(done.select(F.col("type").alias("_t"), F.col("raw").alias("_r"), "norm", "root", "error"), (F.col(type_col) == F.col("_t")) & (F.col(raw_col) == F.col("_r")), "left").drop("_t", "_r")
-    return out.withColumn("error", F.when(F.col("norm").isNull(), F.coalesce("error", F.lit("no value"))))
+    kind, raw = F.col(type_col), F.col(raw_col)
+    plain = raw.rlike(_ASCII) & ~(kind.isin("ip", "netblock", "service") & raw.contains(":") & raw.rlike(r":.*:|\["))
+    plain = F.coalesce(plain, F.lit(True))
+    keys = _keys(df.where(plain), kind, raw, False).unionByName(_keys(df.where(~plain), kind, raw, True))
+    rooted = with_root(keys, "_host")
+    bare = F.col("_host").isNotNull() & F.col("root").isNull()
+    error = F.when(raw.isNull() | kind.isNull(), "no value").when(bare, F.concat(F.lit("no public suffix: "), raw)).when(F.col("norm").isNull(), F.concat(F.lit("invalid "), kind, F.lit(": "), raw))
+    done = rooted.withColumn("error", error).withColumn("norm", F.when(~bare, F.col("norm")))
+    return done.select(*df.columns, "norm", "root", "error")
 
 
 def correct_type(type_: Column, norm: Column, root: Column) -> Column:
@@ -243,46 +245,56 @@ def split_service(norm: Column) -> Column:
 
 def resolve_roots(df: DataFrame, raw_col: str = "raw") -> DataFrame:
     """Adds root_value and root_type: an IP address, else the registrable root of a host, else nulls."""
-    tries = df.select(raw_col).distinct().select(F.col(raw_col).alias("raw"), F.explode(F.array(F.lit("ip"), F.lit("domain"))).alias("type"))
-    keys = normalize_values(tries)
-    both = keys.groupBy("raw").agg(F.max(F.when(F.col("type") == "ip", F.col("norm"))).alias("_ip"), F.max(F.when((F.col("type") == "domain") & F.col("norm").isNotNull(), F.col("root"))).alias("_root"))
-    found = both.select(F.col("raw").alias("_r"), F.coalesce("_ip", "_root").alias("root_value"), F.when(F.col("_ip").isNotNull(), "ip").when(F.col("_root").isNotNull(), "domain").alias("root_type"))
-    return df.join(found, F.col(raw_col) == F.col("_r"), "left").drop("_r")
+    ip = normalize_values(df.withColumn("_type", F.lit("ip")), "_type", raw_col).select(*df.columns, F.col("norm").alias("_root_ip"))
+    both = normalize_values(ip.withColumn("_type", F.lit("domain")), "_type", raw_col).withColumn("_root", F.when(F.col("norm").isNotNull(), F.col("root")))
+    kind = F.when(F.col("_root_ip").isNotNull(), "ip").when(F.col("_root").isNotNull(), "domain")
+    return both.select(*df.columns, F.coalesce("_root_ip", "_root").alias("root_value"), kind.alias("root_type"))
 
 
-#: Special address ranges (first and last address, class, rank; the lowest rank wins).
+#: Special address ranges by class, and those that an earlier line takes out of a later one (class None),
+#: in the order in which they count; the first that holds an address wins.
 SPECIAL_RANGES = [
-    ("127.0.0.0/8", "loopback", 1), ("169.254.0.0/16", "link_local", 2), ("224.0.0.0/4", "multicast", 3), ("240.0.0.0/4", "reserved", 4),
-    ("0.0.0.0/8", "private", 5), ("10.0.0.0/8", "private", 5), ("172.16.0.0/12", "private", 5), ("192.0.0.0/29", "private", 5), ("192.0.0.170/31", "private", 5),
-    ("192.0.2.0/24", "private", 5), ("192.168.0.0/16", "private", 5), ("198.18.0.0/15", "private", 5), ("198.51.100.0/24", "private", 5), ("203.0.113.0/24", "private", 5),
-    ("::1/128", "loopback", 1), ("fe80::/10", "link_local", 2), ("ff00::/8", "multicast", 3), ("fc00::/7", "private", 5), ("2001:db8::/32", "private", 5), ("::/128", "reserved", 4),
+    ("loopback", ["127.0.0.0/8", "::1/128", "::ffff:127.0.0.0/104"]),
+    ("link_local", ["169.254.0.0/16", "fe80::/10"]),
+    ("multicast", ["224.0.0.0/4", "ff00::/8"]),
+    ("reserved", ["240.0.0.0/4", "::/8", "100::/8", "200::/7", "400::/6", "800::/5", "1000::/4", "4000::/3", "6000::/3", "8000::/3", "a000::/3", "c000::/3", "e000::/4", "f000::/5", "f800::/6", "fe00::/9"]),
+    (None, ["192.0.0.9/32", "192.0.0.10/32", "2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28"]),
+    ("private", ["0.0.0.0/8", "10.0.0.0/8", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "2001::/23", "2001:db8::/32", "2002::/16", "fc00::/7"]),
 ]
 
 
-@F.pandas_udf(StringType())
-def ipv6_hex(values: pd.Series) -> pd.Series:
-    """32 hex digits of an IPv6 address, so that ranges compare as text."""
+def ipv6_hex(c: Column) -> Column:
+    """32 hex digits of an IPv6 address in canonical text, so that ranges compare as text; null for other text."""
+    tail = r"(\d+)\.(\d+)\.(\d+)\.(\d+)$"
+    pair = lambda x, i: F.lower(F.hex(F.regexp_extract(x, tail, i).cast("int") * 256 + F.regexp_extract(x, tail, i + 1).cast("int")))
+    plain = lambda x: F.when(x.rlike(tail), F.concat(F.regexp_replace(x, tail, ""), pair(x, 1), F.lit(":"), pair(x, 3))).otherwise(x)
+    groups = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
 
-    def one(v):
-        try:
-            return None if v is None or ":" not in v else f"{int(ipaddress.IPv6Address(v)):032x}"
-        except ValueError:
-            return None
+    def digits(x: Column) -> Column:
+        before, after = groups(F.substring_index(x, "::", 1)), F.when(x.contains("::"), groups(F.substring_index(x, "::", -1))).otherwise(F.array().cast("array<string>"))
+        zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(before) - F.size(after)))
+        return F.array_join(F.transform(F.concat(before, zeros, after), lambda g: F.lpad(g, 4, "0")), "")
 
-    return values.map(one)
+    return let(let(c, plain), lambda x: F.when(x.rlike(r"^[0-9a-f:]*:[0-9a-f:]*$"), digits(x)))
+
+
+def address_class(ip: Column) -> Column:
+    """The class of a special address in canonical text, else null."""
+
+    def of(key: Column, version: int, bound) -> Column:
+        out = None
+        for name, blocks in SPECIAL_RANGES:
+            for block in map(ipaddress.ip_network, blocks):
+                if block.version == version:
+                    inside = key.between(bound(int(block[0])), bound(int(block[-1])))
+                    out = F.when(inside, F.lit(name)) if out is None else out.when(inside, F.lit(name))
+        return out
+
+    four = let(ipv4_number(ip), lambda n: of(n, 4, lambda x: F.lit(x).cast("bigint")))
+    six = let(ipv6_hex(ip), lambda h: of(h, 6, lambda x: F.lit(f"{x:032x}")))
+    return F.when(ip.contains(":"), six).otherwise(four)
 
 
 def with_address_class(df: DataFrame, ip_col: str = "norm") -> DataFrame:
-    """Adds address_class of special addresses: a range join of distinct addresses to the fixed ranges."""
-    spark = df.sparkSession
-    ranges = []
-    for block, name, rank in SPECIAL_RANGES:
-        net = ipaddress.ip_network(block)
-        ranges.append((f"{net.version}:{int(net[0]):032x}", f"{net.version}:{int(net[-1]):032x}", name, rank))
-    table = F.broadcast(spark.createDataFrame(ranges, "low string, high string, class string, rank int"))
-    ips = df.select(F.col(ip_col).alias("ip")).where("ip is not null").distinct()
-    v4 = ips.where(F.col("ip").rlike(IPV4)).select("ip", F.concat(F.lit("4:"), F.lower(F.lpad(F.hex(ipv4_number(F.col("ip"))), 32, "0"))).alias("key"))
-    v6 = ips.where(F.col("ip").contains(":")).select("ip", F.concat(F.lit("6:"), ipv6_hex("ip")).alias("key"))
-    met = v4.unionByName(v6).join(table, (F.col("key") >= F.col("low")) & (F.col("key") <= F.col("high")))
-    best = met.groupBy("ip").agg(F.min_by("class", "rank").alias("address_class"))
-    return df.join(best, F.col(ip_col) == F.col("ip"), "left").drop("ip")
+    """Adds address_class; comparisons with fixed bounds, so no row moves."""
+    return df.withColumn("address_class", address_class(F.col(ip_col)))

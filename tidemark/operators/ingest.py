@@ -1,14 +1,14 @@
 """Parsed observations to entities, observations and relationships, as one batch job over all given jobs.
 
-`ingest` normalizes every value (observed or only related to) once, corrects host types, splits what is valid from
-what is rejected, and folds the rest by key. Merging with stored tables is the same fold again, stored rows first.
+`ingest` normalizes every value, observed or only related to, where it stands, corrects host types, splits what is
+valid from what is rejected, and folds the rest by key: the fold is the only shuffle of the values. Merging with stored tables is the same fold again, stored rows first.
 The order that decides which raw value is kept is (job creation, job id, seq, relation position)."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import correct_type, normalize_values
@@ -21,53 +21,58 @@ class Ingested:
     observations: DataFrame
     relationships: DataFrame
     rejected: DataFrame  # I1: job_id, seq, rel_pos (null for the observation itself), type, raw, error
-    summary: DataFrame  # I7
-    mentions: DataFrame  # what all of these are made from; kept, so that keys are computed once. Unpersist when done
+    summary: DataFrame  # I7, without `enqueued`: see `with_enqueued`
 
 
-def _mentions(parsed: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Each observed value (rel_pos null) and each relation target, with its job's data and its key."""
+def _keyed(df: DataFrame) -> DataFrame:
+    """Adds norm, error and entity_id; corrects the types of hosts."""
+    keyed = normalize_values(df)
+    return keyed.withColumn("type", correct_type(F.col("type"), F.col("norm"), F.col("root"))).drop("root").withColumn("entity_id", entity_id())
+
+
+def _mentions(parsed: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(observed values, relation targets of valid ones), each with its job's data and its key. Relations travel with
+    their observation, so neither meets the other in a join."""
     job = jobs.select("job_id", "inv_id", "tool", "tool_version", F.col("created_at").alias("_created"), F.coalesce("ended_at", "created_at").alias("at"))
-    own = parsed.select("job_id", "seq", F.lit(None).cast("int").alias("rel_pos"), "type", "raw", F.lit(None).cast("string").alias("rel_type"), F.lit(None).cast("string").alias("direction"))
-    related = parsed.select("job_id", "seq", F.posexplode("relations").alias("rel_pos", "r")).select("job_id", "seq", "rel_pos", F.col("r.target_type").alias("type"), F.col("r.target_raw").alias("raw"), F.col("r.rel_type").alias("rel_type"), F.col("r.direction").alias("direction"))
-    keyed = normalize_values(own.unionByName(related))
-    keyed = keyed.withColumn("type", correct_type(F.col("type"), F.col("norm"), F.col("root")))
-    return keyed.join(job, "job_id").withColumn("entity_id", entity_id())
+    own = _keyed(parsed.select("job_id", "seq", "type", "raw", "data", "confidence", "raw_path", "relations").join(job, "job_id"))
+    valid = own.where("norm is not null").select("job_id", "seq", "inv_id", "at", "_created", F.col("entity_id").alias("_from"), F.posexplode("relations").alias("rel_pos", "r"))
+    return own, _keyed(valid.select("*", F.col("r.target_type").alias("type"), F.col("r.target_raw").alias("raw"), F.col("r.rel_type").alias("rel_type"), F.col("r.direction").alias("direction")).drop("r"))
 
 
 def ingest(parsed: DataFrame, jobs: DataFrame, raw_root: str = "") -> Ingested:
     """The new rows of all jobs together. A rejected observation takes its relations with it; a rejected relation
     target only that relation. Relations that would end where they begin are dropped."""
-    every = _mentions(parsed, jobs).persist()
-    observed = every.where("rel_pos is null")
-    accepted = observed.where("norm is not null")
-    origin = observed.select("job_id", "seq", F.col("norm").isNotNull().alias("_kept"), F.col("entity_id").alias("_from"))
-    targets = every.where("rel_pos is not null").join(origin, ["job_id", "seq"]).where("_kept").drop("_kept")
-    valid = targets.where("norm is not null")
-    rejected = observed.where("norm is null").select("job_id", "seq", "rel_pos", "type", "raw", "error").unionByName(targets.where("norm is null").select("job_id", "seq", "rel_pos", "type", "raw", "error"))
-    touched = accepted.select("entity_id", "inv_id", "type", "norm", "raw", "at", _order().alias("_o"), F.lit(1).cast("bigint").alias("n")).unionByName(valid.select("entity_id", "inv_id", "type", "norm", "raw", "at", _order().alias("_o"), F.lit(0).cast("bigint").alias("n")))
+    observed, targets = _mentions(parsed, jobs)
+    accepted, valid = observed.where("norm is not null"), targets.where("norm is not null")
+    rejected = observed.where("norm is null").select("job_id", "seq", F.lit(None).cast("int").alias("rel_pos"), "type", "raw", "error").unionByName(targets.where("norm is null").select("job_id", "seq", "rel_pos", "type", "raw", "error"))
+    touch = lambda df, place, n: df.select("entity_id", "inv_id", "type", "norm", "raw", "at", F.struct("_created", "job_id", "seq", place.alias("rel_pos")).alias("_o"), F.lit(n).cast("bigint").alias("n"))
+    touched = touch(accepted, F.lit(-1), 1).unionByName(touch(valid, F.col("rel_pos"), 0))
     entities = touched.groupBy("entity_id", "inv_id", "type", "norm").agg(F.min_by("raw", "_o").alias("raw"), F.lit(None).cast("string").alias("attrs"), F.min("at").alias("first_seen"), F.max("at").alias("last_seen"), F.sum("n").alias("obs_count"))
     spec = F.broadcast(tool_spec(parsed.sparkSession).select("tool", "default_confidence"))
-    data = parsed.select("job_id", "seq", "data", "confidence", "raw_path")
-    observations = accepted.join(data, ["job_id", "seq"]).join(spec, "tool", "left").select(
+    observations = accepted.join(spec, "tool", "left").select(
         obs_id().alias("obs_id"), "entity_id", "job_id", "tool", "tool_version", F.concat(F.lit(raw_root + "/"), "job_id", F.lit("/output.json")).alias("raw_ref"), "raw_path",
         F.coalesce("confidence", "default_confidence").cast("smallint").alias("confidence"), "data", F.col("at").alias("observed_at"),
     )
     inward = F.col("direction") == "in"
-    edges = valid.select("inv_id", F.when(inward, F.col("entity_id")).otherwise(F.col("_from")).alias("src_id"), F.when(inward, F.col("_from")).otherwise(F.col("entity_id")).alias("dst_id"), F.col("rel_type").alias("type"), "at", "job_id").where("src_id <> dst_id")
+    edges = valid.select("inv_id", F.when(inward, F.col("entity_id")).otherwise(F.col("_from")).alias("src_id"), F.when(inward, F.col("_from")).otherwise(F.col("entity_id")).alias("dst_id"), F.col("rel_type").alias("type"), "at").where("src_id <> dst_id")
     relationships = edges.groupBy("inv_id", "src_id", "dst_id", "type").agg(F.min("at").alias("first_seen"), F.max("at").alias("last_seen")).select(rel_id().alias("rel_id"), "inv_id", "src_id", "dst_id", "type", "first_seen", "last_seen", F.lit(None).cast("string").alias("attrs"))
-    counts = accepted.groupBy("job_id").agg(F.count("*").alias("observations"))
-    related = valid.groupBy("job_id").agg(F.count("*").alias("targets"))
-    linked = edges.groupBy("job_id").agg(F.count("*").alias("relations"))
-    skipped = rejected.groupBy("job_id").agg(F.count("*").alias("skipped"))
+    return Ingested(entities, observations, relationships, rejected, _summary(jobs, observed, targets))
+
+
+def _summary(jobs: DataFrame, observed: DataFrame, targets: DataFrame) -> DataFrame:
+    """Upsert calls (not distinct entities), observations, relations without loops, and what was skipped."""
+    good = F.col("norm").isNotNull()
+    own = observed.select("job_id", good.alias("observation"), F.lit(False).alias("target"), F.lit(False).alias("relation"))
+    related = targets.select("job_id", F.lit(False).alias("observation"), good.alias("target"), (good & (F.col("entity_id") != F.col("_from"))).alias("relation"))
+    counted = own.unionByName(related).groupBy("job_id").agg(*[F.count_if(c).alias(c) for c in ("observation", "target", "relation")], F.count_if(~F.col("observation") & ~F.col("target")).alias("skipped"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    summary = jobs.select("job_id").join(counts, "job_id", "left").join(related, "job_id", "left").join(linked, "job_id", "left").join(skipped, "job_id", "left")
-    summary = summary.select("job_id", (zero("observations") + zero("targets")).alias("upserts"), zero("observations").alias("observations"), zero("relations").alias("relations"), zero("skipped").alias("skipped"))
-    return Ingested(entities, observations, relationships, rejected, summary, every)
+    return jobs.select("job_id").join(counted, "job_id", "left").select("job_id", (zero("observation") + zero("target")).alias("upserts"), zero("observation").alias("observations"), zero("relation").alias("relations"), zero("skipped").alias("skipped"))
 
 
-def _order() -> Column:
-    return F.struct("_created", "job_id", "seq", F.coalesce("rel_pos", F.lit(-1)).alias("rel_pos"))
+def with_enqueued(summary: DataFrame, chained: DataFrame) -> DataFrame:
+    """Adds `enqueued`, the follow-up jobs that a job's observations led to (`chain.chained_jobs`)."""
+    n = chained.groupBy(F.col("parent_job_id").alias("job_id")).agg(F.count("*").alias("enqueued"))
+    return summary.join(n, "job_id", "left").withColumn("enqueued", F.coalesce("enqueued", F.lit(0)))
 
 
 def merge_entities(stored: DataFrame, new: DataFrame) -> DataFrame:

@@ -1,11 +1,17 @@
 """I8: incremental ingest. A file stream over the archive is extracted, normalized and merged batch by batch.
 
-Each merge writes a new version of the tables and then points to it, so no path is overwritten while it is read.
+A store's state is a manifest that names the files of each table by bucket (observations by job, entities and
+relationships by their id). A batch reads and rewrites only the buckets that it touches, and adds observations beside
+the stored ones. Its manifest becomes the next version by one atomic step that fails if another writer was first;
+the batch is then merged anew onto that writer's state, so no writer is lost. Files once written never change.
 A batch that comes again after a failure finds its observations stored and adds nothing."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,45 +20,102 @@ from ..schema import TABLES
 from ..sources.extract import extract_all
 
 _ARCHIVE = "path string, modificationTime timestamp, length long, content binary"
+KEYS = {"observation": "job_id", "entity": "entity_id", "relationship": "rel_id"}
+
+
+class Conflict(Exception):
+    """Another writer has made this version."""
 
 
 class Store:
-    """Versions of the merged tables under one folder; `current` names the last complete one."""
+    """The merged tables under one folder. A store keeps the number of buckets that it began with."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    def _fs(self):
+        return self._path("").getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
 
     def version(self) -> int:
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = fs_path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-        if not fs.exists(fs_path):
+        fs, folder = self._fs(), self._path("versions")
+        if not fs.exists(folder):
             return -1
-        done = [int(s.getPath().getName()[6:]) for s in fs.listStatus(fs_path) if s.getPath().getName().startswith("done_v")]
-        return max(done, default=-1)
+        return max((int(s.getPath().getName()) for s in fs.listStatus(folder) if s.getPath().getName().isdigit()), default=-1)
+
+    def manifest(self, version: int) -> dict:
+        """{"buckets": n, table: {bucket: [paths]}}."""
+        if version < 0:
+            return {"buckets": self.buckets} | {t: {} for t in KEYS}
+        return json.loads(self.spark.read.text(f"{self.root}/versions/{version}", wholetext=True).first()[0])
+
+    def commit(self, version: int, manifest: dict) -> None:
+        """Makes the manifest this version; Conflict if there is one already."""
+        jvm, fs = self.spark._jvm, self._fs()
+        fs.mkdirs(self._path("versions"))
+        ready, final = self._path(f"versions/_{uuid.uuid4().hex}"), self._path(f"versions/{version}")
+        out = fs.create(ready, False)
+        out.write(json.dumps(manifest).encode())
+        out.close()
+        try:
+            if fs.getScheme() == "file":  # a hard link is atomic where a rename would replace
+                at = lambda p: jvm.java.nio.file.Paths.get(p.toUri())
+                jvm.java.nio.file.Files.createLink(at(fs.makeQualified(final)), at(fs.makeQualified(ready)))
+            else:
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri()).rename(ready, final, self._no_options())
+        except Exception as e:
+            if "AlreadyExists" in str(e):
+                raise Conflict(version) from e
+            raise
+        finally:
+            if fs.exists(ready):
+                fs.delete(ready, False)
+
+    def _no_options(self):
+        kind = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
+        return self.spark.sparkContext._gateway.new_array(kind, 0)
+
+    def bucket(self, table: str, manifest: dict) -> Column:
+        return F.pmod(F.xxhash64(KEYS[table]), F.lit(manifest["buckets"])).cast("int")
+
+    def read(self, table: str, manifest: dict | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """A table, or some buckets of it, at the newest version or as a manifest has it."""
+        manifest = manifest or self.manifest(self.version())
+        paths = [p for b, ps in manifest[table].items() if buckets is None or int(b) in buckets for p in ps]
+        return self.spark.read.schema(TABLES[table]).parquet(*paths) if paths else self.spark.createDataFrame([], TABLES[table])
 
-    def read(self, table: str) -> DataFrame:
-        v = self.version()
-        empty = self.spark.createDataFrame([], TABLES[table])
-        return empty if v < 0 else self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/v{v}/{table}")
+    def write(self, table: str, df: DataFrame, manifest: dict, add: bool) -> None:
+        """Writes df by buckets and names its files in the manifest, beside what is there or instead of it."""
+        folder = f"{self.root}/data/{uuid.uuid4().hex}/{table}"
+        df.withColumn("_bucket", self.bucket(table, manifest)).repartition("_bucket").write.partitionBy("_bucket").parquet(folder)
+        fs, path = self._fs(), self._path(folder.removeprefix(f"{self.root}/"))
+        for name in (s.getPath().getName() for s in fs.listStatus(path)):
+            if name.startswith("_bucket="):
+                b = name.removeprefix("_bucket=")
+                manifest[table][b] = [*(manifest[table].get(b, []) if add else []), f"{folder}/{name}"]
 
-    def write(self, tables: dict[str, DataFrame]) -> None:
-        v = self.version() + 1
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.root}/v{v}/{name}")
-        self.spark.range(1).write.mode("overwrite").parquet(f"{self.root}/done_v{v}")
+    def touched(self, table: str, df: DataFrame, manifest: dict) -> list[int]:
+        return [r[0] for r in df.select(self.bucket(table, manifest)).distinct().collect()]  # at most `buckets` numbers
 
 
 def merge_batch(store: Store, archive: DataFrame, jobs: DataFrame) -> None:
-    """Extracts and merges one batch of archived outputs."""
-    seen = store.read("observation")
-    parsed = only_new(extract_all(archive, jobs), seen)
-    new = ingest(parsed, jobs)
-    store.write({
-        "observation": seen.unionByName(new.observations),
-        "entity": merge_entities(store.read("entity"), new.entities),
-        "relationship": merge_relationships(store.read("relationship"), new.relationships),
-    })
-    new.mentions.unpersist()
+    """Extracts and merges one batch of archived outputs, again if another writer comes first."""
+    while True:
+        version = store.version()
+        now = store.manifest(version)
+        own_jobs = archive.select("job_id").distinct()
+        seen = store.read("observation", now, store.touched("observation", own_jobs, now))
+        new = ingest(only_new(extract_all(archive, jobs), seen), jobs)
+        store.write("observation", new.observations, now, add=True)
+        for table, fresh, merge in (("entity", new.entities, merge_entities), ("relationship", new.relationships, merge_relationships)):
+            stored = store.read(table, now, store.touched(table, fresh, now))
+            store.write(table, merge(stored, fresh).select(*stored.columns), now, add=False)
+        try:
+            return store.commit(version + 1, now)
+        except Conflict:
+            continue
 
 
 def stream_archive(spark: SparkSession, root: str, jobs: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:

@@ -69,12 +69,15 @@ def text_blocks(batches, column: str, limit: int = CHARS_AT_ONCE, operator: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; only where it is unset (tests), one of our own."""
+    """The folder of spark.checkpoint.dir, which driver and executors share. Where it is unset, the context's own or, if
+    all executors run in this machine (tests), a new one; on a cluster a local folder would lose rows, so it is refused."""
     import tempfile
 
     sc = spark.sparkContext
     if not (folder := sc.getConf().get("spark.checkpoint.dir", "")):
         if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
         folder = sc._jsc.sc().getCheckpointDir().get()
     return folder
@@ -141,3 +144,22 @@ def split_by_ids(df: DataFrame, key: Column, ids: DataFrame) -> tuple[DataFrame,
         return with_place.mapInArrow(run, df.schema)
 
     return rows(1), rows(0)
+
+
+#: A key with more than one in so many rows is hot; there are at most so many of them, whatever the table's size.
+HOT_SHARE = 1000
+
+
+def hot_keys(counted: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """The keys of more than one in HOT_SHARE of all rows, from the count of each key: at most HOT_SHARE rows."""
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    return counted.where(F.col(n) * HOT_SHARE > total).select(*keys)
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """left.join(right, keys, how), how being inner or left, for a `right` of one row a key: rows of hot keys stay where
+    they are and meet a broadcast of at most HOT_SHARE rows; only the others are shuffled. `left` is read twice."""
+    marked = left.join(F.broadcast(hot.withColumn("__tidemark_hot", F.lit(True))), keys, "left")
+    some = F.broadcast(right.join(F.broadcast(hot), keys, "left_semi"))
+    cold = marked.where("__tidemark_hot is null").drop("__tidemark_hot").join(right, keys, how)
+    return cold.unionByName(marked.where("__tidemark_hot").drop("__tidemark_hot").join(some, keys, how))

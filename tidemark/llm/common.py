@@ -11,7 +11,19 @@ from pyspark.sql import functions as F
 CHARS_AT_ONCE = 500_000
 
 
+#: Bytes of one Arrow batch: a Python worker and its JVM hold several copies of one, and texts may be very long.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Has the session send Python workers batches of BATCH_BYTES at most; rows of numbers fill none of that size."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) != str(BATCH_BYTES):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -73,6 +85,7 @@ def shared_folder(spark: SparkSession) -> str:
     all executors run in this machine (tests), a new one; on a cluster a local folder would lose rows, so it is refused."""
     import tempfile
 
+    bounded_batches(spark)
     sc = spark.sparkContext
     if not (folder := sc.getConf().get("spark.checkpoint.dir", "")):
         if sc._jsc.sc().getCheckpointDir().isEmpty():

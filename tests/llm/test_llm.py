@@ -254,6 +254,9 @@ def test_top_k(spark):
             want += [(q, -s, i) for s, i in best]
     got = topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
     assert sorted({(r.query_id, r.score, r.vec_id) for r in got.collect() if r.query_id != 400}) == sorted({w for w in want if w[0] != 400})
+    small = topk.top_k(vectors.unionByName(vectors.where("vec_id = 7")), vectors.where("vec_id % 100 = 0"), shard=40)
+    want = [(q, -s, i) for q, x in good if q % 100 == 0 and q != 400 for s, i in sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in [*good, next(g for g in good if g[0] == 7)] if i != q)[:10]]  # noqa: B905
+    assert sorted((r.query_id, r.score, r.vec_id) for r in small.collect() if r.query_id != 400) == sorted(want)
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 

@@ -1,18 +1,20 @@
 """Exact top-k inner-product search by MaxScore (operator 8).
 
-Vectors become integers, floor(scale * x). A dimension is a term; in a shard (one Arrow batch of candidates) its
-contribution to a query's score lies between two bounds, and what it adds above the lower one is its gain. Terms
-are sorted by their greatest gain. Those of small gain whose sum cannot lift a candidate to the query's present
+Vectors become integers, floor(scale * x). A dimension is a term; a shard of candidates holds each term's postings,
+its values of all candidates, between two bounds. What a term adds to a query's score above its least is its gain.
+Terms are sorted by their greatest gain. Those of small gain whose sum cannot lift a candidate to the query's present
 k-th score are non-essential: the essential terms' postings are traversed for all candidates, and the others are
-probed for a candidate only while its score so far and the gains still possible stay competitive. Each shard
-gives its k best of each query; Spark merges the shards by rank.
+probed for a candidate only while its score so far and the gains still possible stay competitive. The k-th score
+stands for a whole shard. Each shard gives its k best of each query; Spark merges the shards by rank.
 
-Queries come in blocks of bounded size, each a stated query set against all rows.
+Candidates are dealt to shards of about SHARD rows by a hash of id and vector, queries to every shard, both by one
+shuffle; a task holds one shard and streams the queries past it. Neither passes through the driver or is broadcast.
 
 Defined results: vectors that are null, empty, or hold a null or non-finite component take no part, as query or
 candidate, nor do rows of a null id; vectors of different lengths are compared over the components that both
 have; rows of equal id are candidates of their own, but none of a query with that id; ties go to the smaller id;
-an empty table gives no rows. Scores are 64-bit integers.
+an empty table gives no rows. Equal rows are folded into one with a count before they are dealt, so many copies of
+one row weigh on no shard. Scores are 64-bit integers.
 """
 
 from __future__ import annotations
@@ -22,12 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Shipped
+from .common import bounded_batches
+from .hashing import mix
 
-#: Queries in one broadcast block.
-QUERY_BLOCK = 4096
-#: Candidates between two updates of a query's k-th score.
+#: Candidates of one shard, about: a task's memory, and the number of times that each query is sent.
+SHARD = 32_768
+#: Least candidates of a shard where the cluster has tasks to spare.
+LEAST = 4096
+#: Candidates of a shard between two updates of a query's k-th score.
 STEP = 2048
+_ROWS = "shard long, kind int, id long, copies long, v array<long>"
 
 
 def quantized(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -51,77 +57,116 @@ def _exact(a: np.ndarray, b: np.ndarray) -> type:
     return np.float64 if most < 2**52 else np.int64
 
 
-def search_shard(ids: np.ndarray, postings: np.ndarray, query_id: int, query: np.ndarray, k: int, low: np.ndarray, high: np.ndarray):
-    """(ids, scores) of a shard's k best candidates of one query."""
-    ends = np.stack((query * low, query * high))
-    least, gain = ends.min(axis=0), ends.max(axis=0) - ends.min(axis=0)
-    order = np.argsort(-gain, kind="stable")
-    # what the terms from a place on can still add at most
-    rest = np.concatenate((np.cumsum((least + gain)[order][::-1])[::-1], [0]))
-    best_ids, best, bar = np.zeros(0, np.int64), np.zeros(0, postings.dtype), None
-    for start in range(0, len(ids), STEP):
-        block, who = postings[start : start + STEP], ids[start : start + STEP]
-        keep = np.flatnonzero(who != query_id)
-        if bar is None:
-            total = block[keep] @ query
-        else:
-            # the non-essential terms: all from the first place where they alone are not enough
-            essential = min(int(np.searchsorted(-np.cumsum(gain[order][::-1])[::-1], -(bar - least.sum()), side="right")), len(order))
-            essential = max(essential, len(order) // 4)
-            total = block[keep][:, order[:essential]] @ query[order[:essential]]
+class Shard:
+    """The postings of some candidates: term by term, the value of each."""
+
+    def __init__(self, ids: np.ndarray, copies: np.ndarray, matrix: np.ndarray):
+        self.ids, self.copies, self.matrix = ids, copies, matrix
+        self.postings: dict[type, tuple] = {}
+
+    def of(self, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(postings, each term's least value, its greatest) in floating point or integers."""
+        if kind not in self.postings:
+            p = np.ascontiguousarray(self.matrix.T.astype(kind))
+            self.postings[kind] = p, p.min(axis=1, initial=0), p.max(axis=1, initial=0)
+        return self.postings[kind]
+
+    def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best candidates of one query."""
+        width = self.matrix.shape[1]
+        query = query[:width] if len(query) >= width else np.concatenate((query, np.zeros(width - len(query), np.int64)))
+        kind = _exact(self.matrix, query[None, :])
+        postings, low, high = self.of(kind)
+        query = query.astype(kind)
+        ends = np.stack((query * low, query * high))
+        least, gain = ends.min(axis=0), ends.max(axis=0) - ends.min(axis=0)
+        order = np.argsort(-gain, kind="stable")
+        # what the terms from a place on can still add, at most and beyond their least
+        rest = np.concatenate((np.cumsum((least + gain)[order][::-1])[::-1], [0]))
+        over = np.concatenate((np.cumsum(gain[order][::-1])[::-1], [0]))
+        best_ids, best, bar = np.zeros(0, np.int64), np.zeros(0, kind), None
+        for start in range(0, len(self.ids), STEP):
+            part = slice(start, start + STEP)
+            keep = np.flatnonzero(self.ids[part] != query_id)
+            # essential: all terms before the first place from which the gains alone are not enough
+            essential = len(order) if bar is None else max(1, int(np.flatnonzero(over < bar - least.sum())[0])) if over[-1] < bar - least.sum() else len(order)
+            block = postings[:, part]
+            total = (query[order[:essential]] @ block[order[:essential]])[keep]
             at = essential
-            while at < len(order):  # probe the others while competitive
+            while at < len(order) and len(keep):  # probe the others while competitive
                 still = total + rest[at] >= bar
                 keep, total = keep[still], total[still]
-                if not len(keep):
-                    break
-                upto = min(len(order), at + max(8, len(order) // 4))
-                total = total + block[keep][:, order[at:upto]] @ query[order[at:upto]]
+                upto = min(len(order), at + max(4, len(order) // 8))
+                total = total + query[order[at:upto]] @ block[np.ix_(order[at:upto], keep)]
                 at = upto
-        best_ids, best = np.concatenate((best_ids, who[keep])), np.concatenate((best, total))
-        top = np.lexsort((best_ids, -best))[:k]
-        best_ids, best = best_ids[top], best[top]
-        if len(best) == k:
-            bar = best[-1]
-    return best_ids, best
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
+            if bar is not None:
+                still = total >= bar
+                keep, total = keep[still], total[still]
+            times = np.minimum(self.copies[part][keep], k)
+            best_ids, best = np.concatenate((best_ids, np.repeat(self.ids[part][keep], times))), np.concatenate((best, np.repeat(total, times)))
+            top = np.lexsort((best_ids, -best))[:k]
+            best_ids, best = best_ids[top], best[top]
+            if len(best) == k:
+                bar = best[-1]
+        return best_ids, best
+
+
+def _dealt(candidates: DataFrame, shards: int) -> DataFrame:
+    """The candidates with their shard, equal ones of a batch as one row with their number."""
+
+    def run(batches):
+        for batch in batches:
+            ids, lists = batch.column(0).to_numpy(), batch.column(1)
+            matrix = _matrix(lists)
+            key = mix(ids.astype(np.uint64))
+            for j in range(matrix.shape[1]):
+                key = mix(key + matrix[:, j].astype(np.uint64))
+            both = np.column_stack((ids, matrix))
+            order = np.lexsort((ids, key))
+            new = np.ones(len(order), bool)
+            new[1:] = (both[order][1:] != both[order][:-1]).any(axis=1)
+            first = np.flatnonzero(new)
+            chosen, copies = order[first], np.diff(first, append=len(order))
+            shard = (key[chosen] % np.uint64(shards)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(np.zeros(len(chosen), np.int32)), pa.array(ids[chosen]), pa.array(copies), lists.take(pa.array(chosen))], ["shard", "kind", "id", "copies", "v"])
+
+    return candidates.mapInArrow(run, _ROWS)
+
+
+def _found(found: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    of = np.repeat([q for q, _, _ in found], [len(i) for _, i, _ in found]).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.concatenate([i for _, i, _ in found])), pa.array(np.concatenate([s for _, _, s in found]).astype(np.int64))], ["query_id", "vec_id", "score"])
+
+
+def _search(batches, k: int):
+    """Over rows sorted by shard, its candidates before the queries: each query's k best of the shard."""
+    now, parts, index = None, [], None
+    for batch in batches:
+        shard, kind, ids, copies = (batch.column(i).to_numpy() for i in range(4))
+        edges = np.flatnonzero((shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1])) + 1
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(shard)], strict=True):
+            if shard[a] != now:
+                now, parts, index = shard[a], [], None
+            matrix = _matrix(batch.column(4).slice(a, b - a))
+            if kind[a] == 0:
+                parts.append((ids[a:b], copies[a:b], matrix))
+                continue
+            if index is None and parts:
+                width = max(m.shape[1] for _, _, m in parts)
+                index = Shard(np.concatenate([i for i, _, _ in parts]), np.concatenate([c for _, c, _ in parts]), np.concatenate([np.pad(m, ((0, 0), (0, width - m.shape[1]))) for _, _, m in parts]))
+            if index is not None:
+                yield _found([(int(q), *index.search(int(q), v, k)) for q, v in zip(ids[a:b], matrix, strict=True)])
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, shard: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best rows of `vectors` other than its own."""
-    candidates = quantized(vectors, id_col, vector_col, scale)
-    sc, blocks, held = vectors.sparkSession.sparkContext, [], []
-    for row in quantized(queries, id_col, vector_col, scale).toLocalIterator():
-        held.append((row["id"], row["v"]))
-        if len(held) == QUERY_BLOCK:
-            blocks.append(Shipped(sc.broadcast(held)))
-            held = []
-    blocks.append(Shipped(sc.broadcast(held)))
-
-    def over(block: Shipped) -> DataFrame:
-        def run(batches):
-            names = np.array([i for i, _ in block.value], np.int64)
-            width = max((len(v) for _, v in block.value), default=0)
-            asked = np.zeros((len(names), width), np.int64)
-            for i, (_, v) in enumerate(block.value):
-                asked[i, : len(v)] = v
-            for batch in batches:
-                ids = batch.column(0).to_numpy()
-                matrix = _matrix(batch.column(1), width)
-                wide = np.zeros((len(asked), matrix.shape[1]), np.int64)
-                wide[:, :width] = asked
-                kind = _exact(matrix, wide)
-                matrix, wide = matrix.astype(kind), wide.astype(kind)
-                low, high = matrix.min(axis=0), matrix.max(axis=0)
-                found = [search_shard(ids, matrix, int(name), query, k, low, high) for name, query in zip(names, wide, strict=True)]
-                if found:
-                    of = np.repeat(names, [len(i) for i, _ in found])
-                    yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.concatenate([i for i, _ in found])), pa.array(np.concatenate([s for _, s in found]).astype(np.int64))], ["query_id", "vec_id", "score"])
-
-        return candidates.mapInArrow(run, "query_id long, vec_id long, score long")
-
-    every = over(blocks[0])
-    for block in blocks[1:]:
-        every = every.unionByName(over(block))
+    spark = vectors.sparkSession
+    bounded_batches(spark)
+    n = vectors.count()
+    shards = max(1, -(-n // shard), min(spark.sparkContext.defaultParallelism, n // LEAST))
+    asked = quantized(queries, id_col, vector_col, scale).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(1).alias("kind"), "id", F.lit(1).cast("long").alias("copies"), "v")
+    rows = _dealt(quantized(vectors, id_col, vector_col, scale), shards).unionByName(asked)
+    every = rows.repartition(shards, "shard").sortWithinPartitions("shard", "kind", "id").mapInArrow(lambda batches: _search(batches, k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return every.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -95,14 +95,35 @@ def test_decontamination(spark, docs, none):
                     found |= owners
         want.append((r[0], len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
     columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    for blocks in (decontaminate.blocks(bench), decontaminate.blocks(bench, block_chars=20)):
-        assert by_rows(decontaminate.digest(decontaminate.search_documents(docs, blocks)), *columns) == sorted(want, key=repr)
-        assert by_rows(decontaminate.digest(decontaminate.search(decontaminate.index(docs), blocks)), *columns) == sorted(want, key=repr)
-    clean = decontaminate.without_hits(docs, decontaminate.blocks(bench))
+    indexed = decontaminate.index(docs).cache()
+    for blocks in (decontaminate.blocks(bench), decontaminate.blocks(bench, block_bytes=20)):
+        assert by_rows(decontaminate.digest(decontaminate.search(indexed, blocks)), *columns) == sorted(want, key=repr)
+    clean = decontaminate.without_hits(docs, decontaminate.blocks(bench, block_bytes=20))
     assert clean.columns == docs.columns and clean.count() == sum(not w[-1] for w in want)
-    assert [r.end - r.start for r in decontaminate.search_near(decontaminate.index(docs), "the start gamma2", 2).collect()] == [5]
-    assert decontaminate.search_documents(none, decontaminate.blocks(bench)).count() == 0
-    assert not any(r.contaminated for r in decontaminate.digest(decontaminate.search_documents(docs, decontaminate.blocks(bench.limit(0)))).collect())
+    assert decontaminate.search(decontaminate.index(none), decontaminate.blocks(bench)).count() == 0
+    assert not any(r.contaminated for r in decontaminate.digest(decontaminate.search(indexed, decontaminate.blocks(bench.limit(0)))).collect())
+
+
+def test_proximity(spark, docs, none):
+    items = [(1, "the start gamma2"), (2, "gamma5 gamma9"), (3, "b a b"), (4, "word"), (5, ""), (6, "missing word"), (7, "alpha3 beta4")]
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW))
+    texts = [(r[0], words(r[1])) for r in rows()]
+    every, want = collections.Counter(w for _, t in texts for w in t), []
+    for item, phrase in items:
+        p = words(phrase)
+        anchor = min(range(len(p)), key=lambda k: every[p[k]], default=0)
+        for d, t in texts:
+            for at in [i for i, w in enumerate(t) if p and w == p[anchor]]:
+                first, last = at, at
+                for w in p[:anchor][::-1]:
+                    first = max((i for i in range(first) if t[i] == w), default=None) if first is not None else None
+                for w in p[anchor + 1 :]:
+                    last = min((i for i in range(last + 1, len(t)) if t[i] == w), default=None) if last is not None else None
+                if None not in (first, last) and last - first < len(p) + 3:
+                    want.append((str(item), d, first, last + 1))
+    got = decontaminate.search_near(decontaminate.index(docs), spark.createDataFrame(items, "item_id long, text string"), 3)
+    assert by_rows(got, "item_id", "doc_id", "start", "end") == sorted(want, key=repr) and len({w[0] for w in want}) > 4
+    assert decontaminate.search_near(decontaminate.index(none), spark.createDataFrame(items, "item_id long, text string"), 3).count() == 0
 
 
 def shingles(text, width):
@@ -179,7 +200,8 @@ def brute_lines(data, least):
     return out
 
 
-def test_line_dedup(spark, docs, none):
+def test_line_dedup(spark, docs, none, monkeypatch):
+    monkeypatch.setattr(lines, "RANGE", 9)  # many ranges, so that runs reach across them
     extra = [(50 + k, "\n".join([f"own {k}", *[f"line {i} of a run with words" for i in range(k, k + 9)], "", f"end {k}", "line 3 of a run with words"])) for k in range(6)]
     extra += [(70, "rep one two three\n" * 30), (71, "rep one two three\n" * 12 + "x")]
     data = [*[(r[0], r[1]) for r in rows()], *extra]

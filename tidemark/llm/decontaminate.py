@@ -1,44 +1,46 @@
 """Benchmark decontamination over a distributed positional inverted index (operator 2).
 
 The index is a DataFrame with one row per shard of documents: the shard's terms, and for each term the sorted
-list of its positions in the shard (postings), beside each document's first position. A document lies whole in
-one shard, so a search needs no shuffle of postings: every shard intersects the offset-adjusted lists of a
-phrase, from the phrase's rarest term in that shard to its commonest. `index()` can be written once and
-searched often.
-
-Phrases come from a table of test items, which streams through the driver into broadcast blocks of bounded size;
-each block is a stated query set against all shards, and a document's hits from all blocks are united where its
-shard is searched. Beyond MAX_CHARS of items a call is refused: search such a table in several calls. A hit is
-given as word spans.
-
-Defined results: null texts have no words; items without words give no phrase; rows keep their number and
-repeat if repeated in the input; empty tables on either side give no hits; only id and text are read.
+list of its positions in the shard (postings), beside each document's first position. It is stored once and searched
+as often as wanted. A document lies whole in one shard, so a search needs no shuffle of postings: every shard
+intersects the offset-adjusted lists of a phrase, from the term that is rarest in the whole index to the commonest.
+
+Phrases come from a table of test items: tasks make blocks of bounded size of them, a few blocks at a time are
+broadcast and searched in one pass over the stored index, and a document's hits from all passes are united. So no
+number of items is too large. A hit is given as word spans. Proximity search takes the items as whole phrases: from
+each occurrence of an item's rarest word it looks for the nearest place that holds all its words in order.
+
+Defined results: null texts have no words; items without words give no phrase; an item without id hits, but is none
+of the item_ids; rows keep their number and repeat if repeated in the input; empty tables on either side give no
+hits; only id and text are read.
 """
 
 from __future__ import annotations
 
+import pickle
+from functools import reduce
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Shipped
-from .common import id_text, text_blocks
+from .common import CHARS_AT_ONCE, id_text, stored, text_blocks
 
 #: Words of one phrase; an item with fewer words is one phrase.
 WINDOW = 10
-#: Characters of item text that one broadcast block may hold.
-BLOCK_CHARS = 8_000_000
-#: Characters of item text that one call broadcasts in all its blocks.
-MAX_CHARS = 64_000_000
+#: Bytes of item text of one block.
+BLOCK_BYTES = 4_000_000
+#: Blocks that one pass over the index broadcasts: what a worker holds of phrases.
+PASS_BLOCKS = 4
 
 #: Bytes outside words: ASCII other than letters and digits. A-Z become a-z.
 _WORD_BYTES = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
-INDEX = "shard long, doc_ids array<long>, starts array<int>, terms array<binary>, ends array<int>, positions binary"
-HITS = "doc_id long, n_words long, spans array<struct<start:int,end:int>>, item_ids array<string>"
+INDEX = "shard long, doc_ids array<long>, starts binary, terms binary, ends binary, positions binary"
+HITS = "shard long, row int, doc_id long, n_words long, spans array<struct<start:int,end:int>>, item_ids array<string>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -59,34 +61,32 @@ def _build(batches, column: str = "text"):
 
 
 def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The positional inverted index of whole texts, one row per shard."""
+    """The positional inverted index of whole texts, one row per shard; numbers are little-endian int32."""
 
     def run(batches):
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId() << 40
         for shard, ids, starts, number, _, order, ends in _build(batches):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([shard]),
-                    pa.array([ids.to_pylist()], pa.list_(pa.int64())),
-                    pa.array([starts], pa.list_(pa.int32())),
-                    pa.array([list(number)], pa.list_(pa.binary())),
-                    pa.array([ends], pa.list_(pa.int32())),
-                    pa.array([order.tobytes()], pa.binary()),
-                ],
-                ["shard", "doc_ids", "starts", "terms", "ends", "positions"],
-            )
+            packed = [pa.array([x], pa.binary()) for x in (starts.astype("<i4").tobytes(), b" ".join(number), ends.astype("<i4").tobytes(), order.tobytes())]
+            yield pa.RecordBatch.from_arrays([pa.array([task + shard]), pa.array([ids.to_pylist()], pa.list_(pa.int64())), *packed], ["shard", "doc_ids", "starts", "terms", "ends", "positions"])
 
     return id_text(docs, id_col, text_col).mapInArrow(run, INDEX)
 
 
 class Phrases:
-    """A block of phrases: each distinct window of words, and the items that it comes from."""
+    """A block of phrases: each distinct window of words (the whole item, if window is None), and the items that it
+    comes from; `counts` has how often each of its terms occurs in the index that is searched."""
+
+    counts: np.ndarray
 
-    def __init__(self, items: list[tuple[object, str | None]], window: int):
+    def __init__(self, items: list[tuple[object, str | None]], window: int | None):
         found: dict[tuple[bytes, ...], set[str]] = {}
         for item, text in items:
             words = words_of(text)
-            for i in range(max(1, len(words) - window + 1)) if words else ():
-                found.setdefault(tuple(words[i : i + window]), set()).add(str(item))
+            size = window or len(words)
+            for i in range(max(1, len(words) - size + 1)) if words else ():
+                found.setdefault(tuple(words[i : i + size]), set()).update([] if item is None else [str(item)])
         by_length: dict[int, list] = {}
         for words, owners in found.items():
             by_length.setdefault(len(words), []).append((words, sorted(owners)))
@@ -96,8 +96,9 @@ class Phrases:
         self.groups = [(np.array([[at[w] for w in ws] for ws in words], np.int64), owners) for words, owners in self.groups]
 
 
-def _search_shard(starts: np.ndarray, terms: list[bytes], ends: np.ndarray, positions: np.ndarray, phrases: Phrases):
-    """(document index, first position, phrase length, item lists) of each phrase that occurs in the shard."""
+def _search_shard(starts: np.ndarray, terms: list[bytes], ends: np.ndarray, positions: np.ndarray, phrases: Phrases, counts: np.ndarray | None = None):
+    """(document index, first position, phrase length, item lists) of each phrase that occurs in the shard. counts: of
+    the block's terms in the whole index; without them, in the shard."""
     number = {t: i for i, t in enumerate(terms)}
     total = int(starts[-1])
     local = np.array([number.get(t, -1) for t in phrases.terms], np.int64)
@@ -112,7 +113,7 @@ def _search_shard(starts: np.ndarray, terms: list[bytes], ends: np.ndarray, posi
             continue
         ids, length = ids[there], windows.shape[1]
         size = ends[ids] - begins[ids]
-        rarity = np.argsort(size, axis=1, kind="stable")
+        rarity = np.argsort(size if counts is None else counts[windows[there]], axis=1, kind="stable")
         row = np.arange(len(ids))
         # candidates: the rarest term's list, moved back by the term's place in the phrase
         first = ids[row, rarity[:, 0]]
@@ -144,7 +145,7 @@ def _united(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(start[new].tolist(), end[np.concatenate((new[1:] - 1, [len(start) - 1]))].tolist(), strict=True))
 
 
-def _rows(ids, starts: np.ndarray, found) -> pa.RecordBatch:
+def _rows(shard: int, ids, starts: np.ndarray, found) -> pa.RecordBatch:
     spans: list = [[] for _ in range(len(ids))]
     items: list = [[] for _ in range(len(ids))]
     by_document: dict[int, list] = {}
@@ -156,92 +157,166 @@ def _rows(ids, starts: np.ndarray, found) -> pa.RecordBatch:
         spans[d] = [{"start": a, "end": b} for a, b in _united(at[:, 0], at[:, 1])]
         items[d] = sorted(set(chain.from_iterable(o for _, _, o in hits)))
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(starts).astype(np.int64)), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "item_ids"])
-
-
-def blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> list[Shipped]:
-    """The phrases of the item table as broadcasts of bounded size; the table streams through the driver block by block."""
-    rows, chars, total, out = [], 0, 0, []
-    sc = items.sparkSession.sparkContext
-    for item, text in items.select(id_col, text_col).toLocalIterator():
-        rows.append((item, text))
-        chars += len(text or "")
-        if (total := total + len(text or "")) > MAX_CHARS:
-            raise ValueError(f"items of more than {MAX_CHARS} characters; search them in several calls")
-        if chars >= block_chars:
-            out.append(Shipped(sc.broadcast(Phrases(rows, window))))
-            rows, chars = [], 0
-    if rows or not out:
-        out.append(Shipped(sc.broadcast(Phrases(rows, window))))
-    return out
+    columns = [pa.array(np.full(len(ids), shard)), pa.array(np.arange(len(ids), dtype=np.int32)), ids, pa.array(np.diff(starts).astype(np.int64)), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays(columns, ["shard", "row", "doc_id", "n_words", "spans", "item_ids"])
 
 
-def search(indexed: DataFrame, phrases: list[Shipped]) -> DataFrame:
-    """Per document of a stored index: its number of words, the spans that phrases hit, and the phrases' items."""
+def blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int | None = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """block (a pickled `Phrases`) of some items each: made in tasks, of bounded size; a very long item is one alone."""
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                starts, ends = np.array(row["starts"], np.int32), np.array(row["ends"], np.int32)
-                positions = np.frombuffer(row["positions"], "<i4")
-                found = [x for block in phrases for x in _search_shard(starts, row["terms"], ends, positions, block.value)]
-                yield _rows(pa.array(row["doc_ids"], pa.int64()), starts, found)
+        held, size = [], 0
+        for block, texts in text_blocks(batches, text_col, min(block_bytes, CHARS_AT_ONCE)):
+            held += zip(block.column(0).to_pylist(), texts, strict=True)
+            size += sum(len(t or "") for t in texts)
+            if size >= block_bytes:
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Phrases(held, window))], pa.binary())], ["block"])
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Phrases(held, window))], pa.binary())], ["block"])
 
-    return indexed.mapInArrow(run, HITS)
+    return items.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, "block binary")
 
 
-def search_documents(docs: DataFrame, phrases: list[Shipped], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`search(index(docs))` with each shard's index searched where it is built, and not stored."""
+def passes(blocks: DataFrame, most: int = PASS_BLOCKS):
+    """Lists of at most `most` broadcast blocks, one list after the other; only one is held."""
+    sc, held = blocks.sparkSession.sparkContext, []
+    for row in blocks.toLocalIterator():
+        held.append(Shipped(sc.broadcast(pickle.loads(bytes(row[0])))))
+        if len(held) == most:
+            yield held
+            held = []
+    if held:
+        yield held
 
-    def run(batches):
-        for _, ids, starts, number, _, order, ends in _build(batches):
-            yield _rows(ids, starts, [x for block in phrases for x in _search_shard(starts, list(number), ends, order, block.value)])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, HITS)
+def _shard(row: dict):
+    numbers = lambda name: np.frombuffer(row[name], "<i4")
+    return numbers("starts"), row["terms"].split(b" ") if row["terms"] else [], numbers("ends"), numbers("positions")
 
 
-def without_hits(docs: DataFrame, phrases: list[Shipped], text_col: str = "text") -> DataFrame:
-    """The documents, all columns, in which no phrase occurs; no row moves."""
+def term_counts(indexed: DataFrame, phrases: list[Shipped]) -> list[np.ndarray]:
+    """How often each term of each block occurs in the whole index, from its terms alone."""
 
     def run(batches):
-        for block, texts in text_blocks(batches, text_col):
-            for _, _, starts, number, _, order, ends in _build([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["row", "text"])]):
-                keep = np.ones(len(starts) - 1, bool)
-                for phrase in phrases:
-                    for document, *_ in _search_shard(starts, list(number), ends, order, phrase.value):
-                        keep[document] = False
-                yield block.take(pa.array(np.flatnonzero(keep)))
-                block = block.slice(len(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+        at = [{t: i for i, t in enumerate(block.value.terms)} for block in phrases]
+        total = [np.zeros(len(a), np.int64) for a in at]
+        for batch in batches:
+            for terms, ends in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                terms, n = terms.split(b" ") if terms else [], np.diff(np.frombuffer(ends, "<i4"), prepend=0)
+                for own, sums in zip(at, total, strict=True):
+                    met = [(own[t], i) for i, t in enumerate(terms) if t in own]
+                    if met:
+                        here = np.array(met)
+                        sums[here[:, 0]] += n[here[:, 1]]
+        for b, sums in enumerate(total):
+            used = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), b)), pa.array(used), pa.array(sums[used])], ["block", "term", "n"])
+
+    out = [np.zeros(len(block.value.terms), np.int64) for block in phrases]
+    for row in indexed.select("terms", "ends").mapInArrow(run, "block long, term long, n long").groupBy("block", "term").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[row["block"]][row["term"]] = row["n"]
+    return out
 
 
-def search_near(indexed: DataFrame, phrase: str, slop: int) -> DataFrame:
-    """doc_id, start, end of places where all words of the phrase stand, in order, within `slop` further words."""
-    words = words_of(phrase)
+def _search_pass(indexed: DataFrame, phrases: list[Shipped]) -> DataFrame:
+    counts = Shipped(indexed.sparkSession.sparkContext.broadcast(term_counts(indexed, phrases)))
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                number = {t: i for i, t in enumerate(row["terms"])}
-                if not words or any(w not in number for w in words):
-                    continue
-                ends, positions = [0, *row["ends"]], np.frombuffer(row["positions"], "<i4")
-                lists = [positions[ends[number[w]] : ends[number[w] + 1]] for w in words]
-                first = lists[0].astype(np.int64)
-                last = first
-                for after in lists[1:]:
-                    at = np.searchsorted(after, last, side="right")
-                    ok = at < len(after)
-                    first, last = first[ok], after[at[ok]].astype(np.int64)
-                starts = np.array(row["starts"])
-                document = np.searchsorted(starts, first, side="right") - 1
-                ok = (last - first < len(words) + slop) & (last < starts[np.minimum(document + 1, len(starts) - 1)])
-                ids = np.array(row["doc_ids"], object)[document[ok]]
-                base = starts[document[ok]]
-                yield pa.RecordBatch.from_arrays([pa.array(list(ids), pa.int64()), pa.array(first[ok] - base, pa.int64()), pa.array(last[ok] + 1 - base, pa.int64())], ["doc_id", "start", "end"])
-
-    return indexed.mapInArrow(run, "doc_id long, start long, end long")
+                shard = _shard(row)
+                found = [x for block, n in zip(phrases, counts.value, strict=True) for x in _search_shard(*shard, block.value, n)]
+                yield _rows(row["shard"], pa.array(row["doc_ids"], pa.int64()), shard[0], found)
+
+    return indexed.mapInArrow(run, HITS)
+
+
+def _joined_spans(spans: Column) -> Column:
+    """Sorted spans with those that touch made one."""
+    first = lambda s: s.cast("array<struct<start:int,end:int>>")
+
+    def add(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
+        return F.when((F.size(done) > 0) & (x["start"] <= F.get(done, F.size(done) - 1)["end"]), grown).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(F.array_sort(spans), first(F.array()), add)
+
+
+def search(indexed: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Per document of a stored index: its number of words, the spans that phrases hit, and the phrases' items."""
+    found = [_search_pass(indexed, phrases) for phrases in passes(blocks)] or [_search_pass(indexed, [])]
+    if len(found) == 1:
+        return found[0]
+    every = reduce(DataFrame.unionByName, [stored(f) if n else f for n, f in enumerate(found)])
+    one = every.groupBy("shard", "row", "doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+    return one.withColumn("spans", _joined_spans(F.col("spans")))
+
+
+def without_hits(docs: DataFrame, blocks: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents, all columns, in which no phrase occurs; no row moves, and each shard's index is searched where it
+    is built, in as many passes as there are lists of blocks."""
+    for phrases in passes(blocks):
+
+        def run(batches, phrases=phrases):
+            for block, texts in text_blocks(batches, text_col):
+                for _, _, starts, number, _, order, ends in _build([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["row", "text"])]):
+                    keep = np.ones(len(starts) - 1, bool)
+                    for phrase in phrases:
+                        for document, *_ in _search_shard(starts, list(number), ends, order, phrase.value):
+                            keep[document] = False
+                    yield block.take(pa.array(np.flatnonzero(keep)))
+                    block = block.slice(len(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
+def search_near(indexed: DataFrame, items: DataFrame, slop: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """item_id, doc_id, start, end: for each occurrence of an item's rarest word (the first of equally rare ones) the
+    narrowest place around it that holds all words of the item in order, if that has at most `slop` further words."""
+
+    def one_pass(phrases: list[Shipped]) -> DataFrame:
+        counts = Shipped(indexed.sparkSession.sparkContext.broadcast(term_counts(indexed, phrases)))
+
+        def run(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    starts, terms, ends, positions = _shard(row)
+                    number, begins = {t: i for i, t in enumerate(terms)}, np.concatenate(([0], ends[:-1]))
+                    ids = np.array(row["doc_ids"], object)
+                    for block, n in zip(phrases, counts.value, strict=True):
+                        local = np.array([number.get(t, -1) for t in block.value.terms], np.int64)
+                        for windows, owners in block.value.groups:
+                            for p in np.flatnonzero((local[windows] >= 0).all(axis=1)).tolist():
+                                lists = [positions[begins[t] : ends[t]].astype(np.int64) for t in local[windows[p]]]
+                                first, last = _nearest(lists, int(np.argmin(n[windows[p]])))
+                                document = np.searchsorted(starts, first, side="right") - 1
+                                ok = (last - first < len(lists) + slop) & (last < starts[np.minimum(document + 1, len(starts) - 1)])
+                                base, of = starts[document[ok]], ids[document[ok]].tolist()
+                                for owner in owners[p] if ok.any() else ():
+                                    yield pa.RecordBatch.from_arrays([pa.array([owner] * len(of)), pa.array(of, pa.int64()), pa.array(first[ok] - base, pa.int64()), pa.array(last[ok] + 1 - base, pa.int64())], ["item_id", "doc_id", "start", "end"])
+
+        return indexed.mapInArrow(run, "item_id string, doc_id long, start long, end long")
+
+    found = [one_pass(phrases) for phrases in passes(blocks(items, id_col, text_col, None))] or [one_pass([])]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _nearest(lists: list[np.ndarray], anchor: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) position of the narrowest place around each position of the anchor's list with one position of
+    every list in order."""
+    first = last = lists[anchor]
+    for before in lists[:anchor][::-1]:
+        at = np.searchsorted(before, first) - 1
+        ok = at >= 0
+        first, last = before[at[ok]], last[ok]
+    for after in lists[anchor + 1 :]:
+        at = np.searchsorted(after, last, side="right")
+        ok = at < len(after)
+        first, last = first[ok], after[at[ok]]
+    return first, last
 
 
 def digest(hits: DataFrame) -> DataFrame:

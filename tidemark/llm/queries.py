@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, language, lines, lm, near, token_counts, topk, toxicity, urls
-from .common import fold, read
+from .common import fold, read, stored
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +15,8 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    phrases = decontaminate.blocks(read(spark, sf_dir, "benchmark"))
-    return decontaminate.digest(decontaminate.search_documents(read(spark, sf_dir, "documents"), phrases))
+    index = stored(decontaminate.index(read(spark, sf_dir, "documents")))
+    return decontaminate.digest(decontaminate.search(index, decontaminate.blocks(read(spark, sf_dir, "benchmark"))))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

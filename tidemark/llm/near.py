@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_text, split_by_ids, stored, text_blocks
+from .common import checkpointed, hot_keys, id_text, join_hot, split_by_ids, stored, text_blocks
 from .components import components
 from .hashing import Words, mix
 
@@ -47,6 +47,8 @@ SHARED = 3.5
 BUCKETS = 64
 #: Members compared with each other at once in the exact pass.
 BLOCK = 256
+#: Texts that are verified against one copy of their hub's.
+MEMBERS = 512
 
 _P = 0x9E3779B97F4A7C15
 _U = np.uint64
@@ -287,29 +289,45 @@ def possible(na, ca, nb, cb, percent: int) -> np.ndarray:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose shingle sets, made from the whole texts again, are similar enough."""
+    """The pairs (a, b) whose shingle sets, made from the whole texts again, are similar enough.
+
+    Each b's text is sent once a pair to its hub a; the hub's own is sent once for every MEMBERS of them, which are a
+    slot of their own, so that no hub gathers more in one place. A task holds a hub's set and streams its members."""
     if pairs.isEmpty():
         return pairs
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
     texts = split_by_ids(docs.where("doc_id is not null").select("doc_id", "text"), F.col("doc_id"), ids)[0]
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    hubs = stored(pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("slots", F.ceil(F.col("n") / MEMBERS).cast("int")))
+    slotted = join_hot(pairs, hubs.select("a", "slots"), ["a"], hot_keys(hubs, ["a"])).select("a", F.pmod(F.xxhash64("b"), "slots").cast("int").alias("slot"), F.lit(1).alias("kind"), F.col("b").alias("doc_id"))
+    own = hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.lit(0).alias("kind"), F.col("a").alias("doc_id"))
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = slotted.unionByName(own).join(texts, "doc_id").repartition(parts, "a", "slot").sortWithinPartitions("a", "slot", "kind", "doc_id")
 
     def run(batches):
-        for batch in batches:
-            a, b, ta, tb = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "ta", "tb"))
-            for start in range(0, len(a), 200):
-                texts_ = [ta.slice(start, 200).to_pylist(), tb.slice(start, 200).to_pylist()]
-                every = {t: i for i, t in enumerate(dict.fromkeys(texts_[0] + texts_[1]))}
-                sets, offsets = shingle_sets(list(every), width)
-                keep = []
-                for x, y in zip(*texts_, strict=True):
-                    p, q = (sets[offsets[every[t]] : offsets[every[t] + 1]] for t in (x, y))
-                    shared = len(p) + len(q) - len(np.union1d(p, q))
-                    keep.append(bool(len(p)) and 100 * shared >= percent * (len(p) + len(q) - shared))
-                at = pa.array(np.flatnonzero(keep) + start)
-                yield pa.RecordBatch.from_arrays([a.take(at), b.take(at)], ["a", "b"])
-
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+        key, held = None, []
+        for block, texts_ in text_blocks(batches, "text"):
+            sets, offsets = shingle_sets(texts_, width)
+            a, slot, kind, b = (block.column(c).to_pylist() for c in range(4))
+            keep = []
+            for row in range(len(a)):
+                own_set = sets[offsets[row] : offsets[row + 1]]
+                if (a[row], slot[row]) != key:
+                    key, held = (a[row], slot[row]), []
+                if kind[row] == 0:
+                    held.append(own_set.copy())
+                elif any(_similar(hub, own_set, percent) for hub in held):
+                    keep.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([a[r] for r in keep], pa.int64()), pa.array([b[r] for r in keep], pa.int64())], ["a", "b"])
+
+    return rows.select("a", "slot", "kind", "doc_id", "text").mapInArrow(run, "a long, b long").distinct()
+
+
+def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Of two sorted sets."""
+    if not len(p) or not len(q) or min(len(p), len(q)) * 100 < max(len(p), len(q)) * percent:
+        return False
+    shared = int((p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q).sum())
+    return 100 * shared >= percent * (len(p) + len(q) - shared)
 
 
 def _grouped(stars: DataFrame, linked: DataFrame) -> DataFrame:
@@ -360,8 +378,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     usable = every.where("n_shingles > 0 and doc_id is not null")
     # equal sets are one class
     key = ["key1", "key2", "n_shingles"]
-    classes = usable.groupBy(*key).agg(F.min("doc_id").alias("chief"), F.count("*").alias("n"))
-    copies = checkpointed(usable.select("doc_id", *key).join(classes.where("n > 1"), key).where("doc_id <> chief").select("doc_id", "chief").distinct())
+    classes = stored(usable.groupBy(*key).agg(F.min("doc_id").alias("chief"), F.count("*").alias("n")).where("n > 1"))
+    members = join_hot(usable.select("doc_id", *key), classes.select(*key, "chief"), key, hot_keys(classes, key))
+    copies = checkpointed(members.where("doc_id <> chief").select("doc_id", "chief").distinct())
     stars = candidate_stars(docs.where("doc_id is not null"), width, percent)
     for end in ("a", "b"):
         of = copies.select(F.col("doc_id").alias(end), F.col("chief").alias(f"{end}_chief"))

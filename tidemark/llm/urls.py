@@ -18,6 +18,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hot_keys, join_hot, stored
+
 MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.6
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -85,9 +87,10 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     parsed = plain.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("label"), tokens_of(F.col("url"), F.col("host"), F.col("path")).alias("tokens"))
     index = inverted(mine(parsed))
     # equal token sets are matched once, and hold no page
-    sets = parsed.where("rule is null").select("tokens").distinct()
+    sets = stored(parsed.where("rule is null").groupBy("tokens").agg(F.count("*").alias("pages")))
     tried = sets.select("tokens", F.explode("tokens").alias("token")).join(index, "token").where(F.size(F.array_except("needed", "tokens")) == 0)
     best = tried.groupBy("tokens").agg(F.max(F.struct("confidence", "support", "verdict")).alias("best"))
-    out = parsed.join(best, "tokens", "left")
+    # pages of a common token set stay where they are
+    out = join_hot(parsed, best, ["tokens"], hot_keys(sets, ["tokens"], "pages"), "left")
     mined = F.when(F.col("rule").isNull(), F.col("best.confidence"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("label", "best.verdict", F.lit("allow")).alias("verdict"), mined.alias("confidence"))

@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut
 from .graph import isolated, lineage
 from .scoring import latest
-from .triage import GROUPS
+from .triage import GROUPS, rank_of
 
 MARKER = "outside the investigation or missing"
 
@@ -44,39 +45,45 @@ def hypothesis_rows(hypotheses: DataFrame, entities: DataFrame) -> DataFrame:
     return hypotheses.join(ids, "hyp_id").select("hyp_id", "inv_id", "title", "body", "confidence", "analyst_status", "model", "created_at", "ids", F.coalesce(F.col("analyst_status") == "confirmed", F.lit(False)).alias("confirmed"))
 
 
-def sections(investigations, triaged, observations, relationships, jobs, assessments, hypotheses, entities) -> DataFrame:
-    """R2: inv_id, section, k1, k2, k3 (order inside the section), line."""
+TITLES = ["## Relations", "## Jobs", "## Evidence", "## Latest assessments", "## Confirmed hypotheses", "## Other hypotheses"]
+
 
-    def rows(df: DataFrame, section: int, line: Column, k1=None, k2=None, k3=None) -> DataFrame:
+def body(triaged, observations, relationships, jobs, assessments, hypotheses, entities) -> DataFrame:
+    """R2: inv_id, section, k1, k2, k3 (order inside the section), line: the rows of all tables."""
+
+    def rows(df: DataFrame, section: Column, line: Column, k1: Column, k2: Column | None = None, k3: Column | None = None) -> DataFrame:
         key = lambda c: (F.lit("") if c is None else c.cast("string"))
-        return df.select("inv_id", F.lit(section).alias("section"), key(k1).alias("k1"), key(k2).alias("k2"), key(k3).alias("k3"), line.alias("line"))
-
-    base = investigations.select("inv_id", "name", "root_value", "scope_note", "created_by", "authorized")
-    head = base.join(totals(entities, observations, relationships, jobs), "inv_id", "left")
-    number = lambda c: F.coalesce(c, F.lit(0)).cast("string")
-    out = [
-        rows(head, 0, F.concat(F.lit("# Report: "), escaped(F.col("name"))), F.lit("0")),
-        rows(head, 0, F.concat(F.lit("- Root: "), escaped(F.col("root_value"))), F.lit("1")),
-        rows(head, 0, F.concat(F.lit("- Scope: "), escaped(F.col("scope_note"))), F.lit("2")),
-        rows(head, 0, F.concat(F.lit("- Created by: "), escaped(F.col("created_by"))), F.lit("3")),
-        rows(head, 0, F.concat(F.lit("- Authorized: "), F.when(F.col("authorized"), "yes").otherwise("no")), F.lit("4")),
-        rows(head, 0, F.concat(F.lit("Entities: "), number(F.col("entities")), F.lit(" · Observations: "), number(F.col("observations")), F.lit(" · Relations: "), number(F.col("relations")), F.lit(" · Jobs: "), number(F.col("jobs"))), F.lit("5")),
-    ]
-    for i, group in enumerate(GROUPS, 1):
-        own = triaged.where(F.col("triage") == group)
-        count = own.groupBy("inv_id").agg(F.count("*").alias("n"))
-        out.append(rows(base.join(count, "inv_id", "left"), i, F.concat(F.lit(f"## {group} ("), number(F.col("n")), F.lit(")")), F.lit("")))
-        out.append(rows(own, i, _line(F.col("entity_id"), F.col("type"), F.col("raw"), F.col("obs_count"), F.col("n_tools"), F.array_join("tools", ", "), F.array_join("reasons", "; ")), F.lpad(F.col("position").cast("string"), 12, "0")))
-    titles = {5: "## Relations", 6: "## Jobs", 7: "## Evidence", 8: "## Latest assessments", 9: "## Confirmed hypotheses", 10: "## Other hypotheses"}
-    out += [rows(base, i, F.lit(title), F.lit("")) for i, title in titles.items()]
-    out.append(rows(isolated(relationships, entities), 5, _line(F.col("src_id"), F.col("type"), F.col("dst_id")), F.concat(F.lit("+"), "type"), F.col("rel_id")))
-    out.append(rows(jobs, 6, _line(F.col("job_id"), F.col("tool"), F.col("target_value"), F.col("status"), F.col("attempts"), F.col("error")), F.concat(F.lit("+"), F.col("created_at").cast("string")), F.col("job_id")))
-    out.append(rows(lineage(observations, jobs, entities), 7, _line(F.col("obs_id"), F.col("entity_id"), F.concat_ws(" / ", "tool", "tool_version"), F.col("confidence"), F.col("observed_at"), F.col("raw_ref"), F.col("raw_path")), F.concat(F.lit("+"), "entity_id"), F.col("observed_at"), F.col("obs_id")))
-    out.append(rows(latest(assessments).join(entities.select("inv_id", "entity_id"), "entity_id"), 8, _line(F.col("entity_id"), F.col("score"), F.col("reason"), F.col("model"), F.col("prompt_version"), F.col("scored_at")), F.concat(F.lit("+"), "entity_id")))
+        return df.select("inv_id", section.cast("int").alias("section"), F.concat(F.lit("+"), k1.cast("string")).alias("k1"), key(k2).alias("k2"), key(k3).alias("k3"), line.alias("line"))
+
+    newest = latest(assessments).join(entities.select("inv_id", "entity_id"), "entity_id")
     guesses = hypothesis_rows(hypotheses, entities)
-    for i, yes in ((9, True), (10, False)):
-        out.append(rows(guesses.where(F.col("confirmed") == yes), i, _line(F.col("title"), F.col("body"), F.col("confidence"), F.col("analyst_status"), F.col("ids"), F.col("model")), F.concat(F.lit("+"), F.col("created_at").cast("string")), F.col("hyp_id")))
-    return reduce(DataFrame.unionByName, out)
+    return reduce(DataFrame.unionByName, [
+        rows(triaged, rank_of(F.col("triage")), _line(F.col("entity_id"), F.col("type"), F.col("raw"), F.col("obs_count"), F.col("n_tools"), F.array_join("tools", ", "), F.array_join("reasons", "; ")), F.lpad(F.col("position").cast("string"), 12, "0")),
+        rows(isolated(relationships, entities), F.lit(5), _line(F.col("src_id"), F.col("type"), F.col("dst_id")), F.col("type"), F.col("rel_id")),
+        rows(jobs, F.lit(6), _line(F.col("job_id"), F.col("tool"), F.col("target_value"), F.col("status"), F.col("attempts"), F.col("error")), F.col("created_at"), F.col("job_id")),
+        rows(lineage(observations, jobs, entities), F.lit(7), _line(F.col("obs_id"), F.col("entity_id"), F.concat_ws(" / ", "tool", "tool_version"), F.col("confidence"), F.col("observed_at"), F.col("raw_ref"), F.col("raw_path")), F.col("entity_id"), F.col("observed_at"), F.col("obs_id")),
+        rows(newest, F.lit(8), _line(F.col("entity_id"), F.col("score"), F.col("reason"), F.col("model"), F.col("prompt_version"), F.col("scored_at")), F.col("entity_id")),
+        rows(guesses, F.when(F.col("confirmed"), 9).otherwise(10), _line(F.col("title"), F.col("body"), F.col("confidence"), F.col("analyst_status"), F.col("ids"), F.col("model")), F.col("created_at"), F.col("hyp_id")),
+    ])
+
+
+def sections(investigations, triaged, observations, relationships, jobs, assessments, hypotheses, entities) -> DataFrame:
+    """R2: the lines of all reports. The tables' rows are made once; heads and totals are made from their numbers."""
+    lines = cut(body(triaged, observations, relationships, jobs, assessments, hypotheses, entities))
+    groups = range(1, len(GROUPS) + 1)
+    n = lambda *sections: F.coalesce(F.sum(F.when(F.col("section").isin(*sections), F.col("n"))), F.lit(0)).cast("string")
+    counts = lines.groupBy("inv_id", "section").agg(F.count("*").alias("n")).groupBy("inv_id").agg(n(*groups).alias("entities"), n(7).alias("observations"), n(5).alias("relations"), n(6).alias("jobs"), *[n(g).alias(f"n{g}") for g in groups])
+    of = lambda name: F.coalesce(F.col(name), F.lit("0"))
+    text = lambda label, name: F.concat(F.lit(label), escaped(F.col(name)))
+    heads = [
+        (0, text("# Report: ", "name")), (0, text("- Root: ", "root_value")), (0, text("- Scope: ", "scope_note")), (0, text("- Created by: ", "created_by")),
+        (0, F.concat(F.lit("- Authorized: "), F.when(F.col("authorized"), "yes").otherwise("no"))),
+        (0, F.concat(F.lit("Entities: "), of("entities"), F.lit(" · Observations: "), of("observations"), F.lit(" · Relations: "), of("relations"), F.lit(" · Jobs: "), of("jobs"))),
+        *[(g, F.concat(F.lit(f"## {GROUPS[g - 1]} ("), of(f"n{g}"), F.lit(")"))) for g in groups], *[(len(GROUPS) + k, F.lit(title)) for k, title in enumerate(TITLES, 1)],
+    ]
+    made = F.array(*[F.struct(F.lit(section).alias("section"), F.lit(f" {k:02d}").alias("k1"), line.alias("line")) for k, (section, line) in enumerate(heads)])
+    first = investigations.join(counts, "inv_id", "left").select("inv_id", F.inline(made)).select("inv_id", "section", "k1", F.lit("").alias("k2"), F.lit("").alias("k3"), "line")
+    return first.unionByName(lines)
 
 
 def documents(lines: DataFrame) -> DataFrame:

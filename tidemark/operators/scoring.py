@@ -5,6 +5,8 @@ one changed entity scores its batch anew; labels number the rows of a batch that
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,14 +106,26 @@ def checked_scores(responses: DataFrame, labels: DataFrame) -> tuple[DataFrame,
     return scores, dropped, missing
 
 
-def checked_hypotheses(responses: DataFrame, labels: DataFrame) -> DataFrame:
-    """inv_id, batch, k, title, body, confidence, entity_ids (known labels only, distinct, in order)."""
+def _hypotheses(responses: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(all items of the responses, those that are whole, with the ids that their known labels stand for)."""
     item = _answers(responses, "hipotezler").select("inv_id", "batch", "k", _string("$.baslik", TITLE_MAX).alias("title"), _string("$.aciklama", BODY_MAX).alias("body"), _whole("$.guven").alias("confidence"), F.try_variant_get("item", "$.ids", "array<string>").alias("ids"))
-    item = item.where("title <> '' and body <> '' and confidence is not null")
-    each = item.select("inv_id", "batch", "k", F.posexplode(F.array_distinct("ids")).alias("p", "label")).join(labels.select("inv_id", "batch", "label", "entity_id"), ["inv_id", "batch", "label"])
+    whole = item.where("title <> '' and body <> '' and confidence is not null")
+    each = whole.select("inv_id", "batch", "k", F.posexplode(F.array_distinct("ids")).alias("p", "label")).join(labels.select("inv_id", "batch", "label", "entity_id"), ["inv_id", "batch", "label"])
     ids = each.groupBy("inv_id", "batch", "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "entity_id"))), lambda s: s["entity_id"]).alias("entity_ids"))
+    return item, whole.drop("ids").join(ids, ["inv_id", "batch", "k"])
+
+
+def _dropped_hypotheses(responses: DataFrame, labels: DataFrame) -> DataFrame:
+    """inv_id, batch, dropped: items that lack a title, a body, a number or known labels."""
+    item, whole = _hypotheses(responses, labels)
+    rows = item.select("inv_id", "batch", F.lit(1).alias("n")).unionByName(whole.select("inv_id", "batch", F.lit(-1).alias("n")))
+    return rows.groupBy("inv_id", "batch").agg(F.sum("n").alias("dropped"))
+
+
+def checked_hypotheses(responses: DataFrame, labels: DataFrame) -> DataFrame:
+    """inv_id, batch, k, title, body, confidence, entity_ids (known labels only, distinct, in order)."""
     place = F.row_number().over(Window.partitionBy("inv_id", "batch").orderBy("k"))
-    return item.drop("ids").join(ids, ["inv_id", "batch", "k"]).withColumn("_r", place).where(F.col("_r") <= HYPOTHESES).drop("_r")
+    return _hypotheses(responses, labels)[1].withColumn("_r", place).where(F.col("_r") <= HYPOTHESES).drop("_r")
 
 
 def live_only(scores: DataFrame, hypotheses: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -123,6 +137,25 @@ def live_only(scores: DataFrame, hypotheses: DataFrame, entities: DataFrame) ->
     return live, hypotheses.drop("entity_ids").join(ids, ["inv_id", "batch", "k"])
 
 
+def counters(responses: DataFrame, labels: DataFrame, entities: DataFrame) -> DataFrame:
+    """A10: for each investigation how many scores and hypotheses were written, how many answers were none that could
+    be (against the contract, or about what is no longer there), and how many labels got no score."""
+    scores, dropped, missing = checked_scores(responses, labels)
+    hypotheses = checked_hypotheses(responses, labels)
+    live, kept = live_only(scores, hypotheses, entities)
+    bad = _dropped_hypotheses(responses, labels)
+    one = lambda df, what, sign=1: df.select("inv_id", F.lit(what).alias("what"), F.lit(sign).cast("bigint").alias("n"))
+    some = lambda df, what, n: df.select("inv_id", F.lit(what).alias("what"), F.col(n).cast("bigint").alias("n"))
+    rows = [
+        one(live, "scores_written"), one(kept, "hypotheses_written"), one(missing, "missing"),
+        some(dropped, "hallucinated", "dropped"), some(bad, "hallucinated", "dropped"),
+        one(scores, "hallucinated"), one(live, "hallucinated", -1), one(hypotheses, "hallucinated"), one(kept, "hallucinated", -1),
+    ]
+    every = reduce(DataFrame.unionByName, rows)
+    names = ["scores_written", "hypotheses_written", "hallucinated", "missing"]
+    return every.groupBy("inv_id").agg(*[F.coalesce(F.sum(F.when(F.col("what") == w, F.col("n"))), F.lit(0)).alias(w) for w in names])
+
+
 def latest(assessments: DataFrame) -> DataFrame:
     """Each entity's newest assessment, the greater id of equal times. One row a key by pre-aggregation."""
     columns = [c for c in assessments.columns if c != "entity_id"]

@@ -99,7 +99,7 @@ rel AS (SELECT DISTINCT a.inv_id, a.entity_id AS src_id, b.entity_id AS dst_id,
   FROM keyed a JOIN keyed b ON a.job_id = b.job_id AND a.seq = b.seq AND a.n = 1 AND b.n = 0 WHERE a.entity_id <> b.entity_id),
 ev AS (SELECT event_id, ts, user_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
   CASE event_type WHEN 'click' THEN 'crtsh' WHEN 'view' THEN 'dns-resolver' WHEN 'error' THEN 'shodan-lookup' WHEN 'purchase' THEN 'asn-bgp' ELSE 'whois-rdap' END AS tool FROM events),
-att AS (SELECT CAST(user_id AS VARCHAR) || '|' || event_type AS job_id, tool, CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS INTEGER) AS n, k,
+att AS (SELECT CAST(user_id AS VARCHAR) || '|' || event_type AS job_id, user_id, tool, CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS INTEGER) AS n, k,
   CASE WHEN k < 20 THEN 502 WHEN k < 30 THEN 404 WHEN k < 35 THEN NULL ELSE 200 END AS code, CAST(k % 7 AS DOUBLE) AS seconds FROM ev),
 ass AS (SELECT CAST(event_id AS VARCHAR) AS assessment_id, CAST(user_id AS VARCHAR) AS entity_id, k AS score, 'seen ' || (k % 5) AS reason, CASE WHEN event_type = 'click' THEN '1.0' ELSE '2.0' END AS prompt_version, ts FROM ev),
 ev1 AS (SELECT entity_id, array_to_string(list_sort(list_distinct(list(tool))), ',') AS tools, CAST(count(DISTINCT tool) AS INTEGER) AS n_tools, bool_or(flag) AS flag FROM obs GROUP BY entity_id),

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as nz
 from ..operators import chain, graph, jobs as joblog, report, scoring, summaries, triage
+from ..operators.ingest import Ingested, settled, with_enqueued
 from ..schema import tool_spec
 from ..sources import archive, extract
+from ..storage import cut
 from . import fixtures as fx
 
 QUERIES: dict = {}
@@ -179,11 +181,13 @@ def n1_hosts(spark: SparkSession, d: str) -> DataFrame:
     return keys.select("page_id", "norm", "root", nz.correct_type(F.col("type"), F.col("norm"), F.col("root")).alias("type"))
 
 
-@query("SELECT s_suppkey AS k, CASE WHEN s_nationkey < 5 THEN NULL ELSE '10.1.' || (s_suppkey // 256) || '.' || (s_suppkey % 256) END AS norm FROM supplier", False)
+@query("SELECT s_suppkey AS k, CASE WHEN s_nationkey < 5 THEN NULL WHEN s_suppkey % 2 = 0 THEN '2001:db8::' || printf('%x', s_suppkey % 65535 + 1) ELSE '10.1.' || (s_suppkey // 256) || '.' || (s_suppkey % 256) END AS norm FROM supplier", False)
 def n3_ips(spark: SparkSession, d: str) -> DataFrame:
     s = fx.read(spark, d, "supplier")
     last = F.when(F.col("s_nationkey") < 5, F.lit("999")).otherwise((F.col("s_suppkey") % 256).cast("string"))
-    return _keys(s, "ip", F.concat(F.lit("  10.1."), F.floor(F.col("s_suppkey") / 256).cast("string"), F.lit("."), last, F.lit(":8080 ")))
+    four = F.concat(F.lit("  10.1."), F.floor(F.col("s_suppkey") / 256).cast("string"), F.lit("."), last, F.lit(":8080 "))
+    six = F.concat(F.lit("[2001:0DB8:0::"), F.hex(F.col("s_suppkey") % 65535 + 1), F.when(F.col("s_nationkey") < 5, F.lit("::")).otherwise(""), F.lit("]:53"))
+    return _keys(s, "ip", F.when(F.col("s_suppkey") % 2 == 0, six).otherwise(four))
 
 
 @query("SELECT s_suppkey AS k, '10.' || (s_suppkey % 256) || '.' || (s_nationkey // 16 * 16) || '.0/20' AS norm FROM supplier", False)
@@ -240,11 +244,21 @@ def n13_root_targets(spark: SparkSession, d: str) -> DataFrame:
     return nz.resolve_roots(fx.read(spark, d, "pages").select("page_id", F.col("url").alias("raw"))).select("page_id", "root_value", "root_type")
 
 
-@query("SELECT c_custkey AS k, CASE c_nationkey WHEN 10 THEN 'private' WHEN 0 THEN 'private' ELSE NULL END AS address_class FROM customer", False)
+#: Addresses at and beside the ends of special ranges, with their classes.
+_ADDRESSES = [
+    ("9.255.255.255", None), ("10.0.0.0", "private"), ("10.255.255.255", "private"), ("11.0.0.0", None), ("0.0.0.0", "private"), ("1.0.0.0", None), ("126.255.255.255", None), ("127.0.0.0", "loopback"), ("128.0.0.0", None),
+    ("169.253.255.255", None), ("169.254.0.0", "link_local"), ("172.15.255.255", None), ("172.31.255.255", "private"), ("192.0.0.8", "private"), ("192.0.0.9", None), ("192.0.0.10", None), ("192.0.0.255", "private"), ("192.0.1.0", None),
+    ("198.17.255.255", None), ("198.19.255.255", "private"), ("223.255.255.255", None), ("224.0.0.0", "multicast"), ("240.0.0.0", "reserved"), ("255.255.255.255", "reserved"), ("::", "reserved"), ("::1", "loopback"), ("::2", "reserved"),
+    ("::ffff:127.0.0.1", "loopback"), ("::ffff:10.0.0.1", "reserved"), ("64:ff9b:1::1", "reserved"), ("2001::1", "private"), ("2001:20::1", None), ("2001:1ff:ffff::", "private"), ("2001:200::", None), ("2001:db8::1", "private"), ("2002::1", "private"),
+    ("2003::", None), ("3fff:ffff::1", None), ("4000::1", "reserved"), ("fbff::1", "reserved"), ("fc00::1", "private"), ("fe00::1", "reserved"), ("fe80::1", "link_local"), ("fec0::1", None), ("ff02::1", "multicast"),
+]
+_LISTED = ", ".join(f"'{c}'" if c else "NULL" for _, c in _ADDRESSES)
+
+
+@query(f"SELECT c_custkey AS k, [{_LISTED}][1 + c_custkey % {len(_ADDRESSES)}] AS address_class FROM customer", False)
 def n14_address_classes(spark: SparkSession, d: str) -> DataFrame:
-    c = fx.read(spark, d, "customer")
-    ip = F.concat(F.col("c_nationkey").cast("string"), F.lit(".1.2."), (F.col("c_custkey") % 256).cast("string"))
-    return nz.with_address_class(c.select(F.col("c_custkey").alias("k"), ip.alias("norm"))).select("k", "address_class")
+    ip = F.get(F.array(*[F.lit(a) for a, _ in _ADDRESSES]), (F.col("c_custkey") % len(_ADDRESSES)).cast("int"))
+    return nz.with_address_class(fx.read(spark, d, "customer").select(F.col("c_custkey").alias("k"), ip.alias("norm"))).select("k", "address_class")
 
 
 # -- 2.4 ingest --------------------------------------------------------------------------------------------------
@@ -271,26 +285,35 @@ def i6_relationships(spark: SparkSession, d: str) -> DataFrame:
     return fx.ingested(spark, d).relationships.select("rel_id", "inv_id", "src_id", "dst_id", "type")
 
 
-@query("""SELECT a.job_id, 2 * count(*) AS upserts, count(*) AS observations, count(*) FILTER (a.entity_id <> b.entity_id) AS relations, CAST(0 AS BIGINT) AS skipped
-FROM keyed a JOIN keyed b ON a.job_id = b.job_id AND a.seq = b.seq AND a.n = 1 AND b.n = 0 GROUP BY a.job_id""")
-def i7_summary(spark: SparkSession, d: str) -> DataFrame:
-    s = fx.ingested(spark, d).summary
-    return s.select("job_id", *[F.col(c).cast("bigint").alias(c) for c in ("upserts", "observations", "relations", "skipped")])
-
-
 # -- 2.5 chaining ------------------------------------------------------------------------------------------------
 
 _SPEC = "(VALUES ('asn-bgp','ip'),('asn-bgp','asn'),('crtsh','domain'),('dns-resolver','domain'),('dns-resolver','subdomain'),('shodan-lookup','ip'),('subfinder','domain'),('theharvester','domain'),('whois-rdap','domain'),('whois-rdap','ip'),('whois-rdap','netblock')) AS spec(tool, type)"
 
 
-@query(f"""
+_CHAINED = f"""
 SELECT sha256(inv_id || chr(1) || tool || chr(1) || norm) AS job_id, inv_id, tool, norm AS target_value, arg_min(parent, (tm, parent)) AS parent_job_id, CAST(arg_min(depth, (tm, parent)) + 1 AS SMALLINT) AS depth
 FROM (SELECT DISTINCT k.inv_id, s.tool, k.norm, k.job_id AS parent, j.depth, j.tm FROM keyed k JOIN job j USING (job_id) JOIN {_SPEC} ON s.type = k.type WHERE k.n = 1 AND j.depth < 3 AND s.tool IN ('crtsh', 'dns-resolver'))
-GROUP BY inv_id, tool, norm""".replace("AS spec(tool, type)", "AS s(tool, type)"))
+GROUP BY inv_id, tool, norm""".replace("AS spec(tool, type)", "AS s(tool, type)")
+
+
+def _chained(spark: SparkSession, d: str, new: Ingested) -> DataFrame:
+    seen = new.observations.join(new.entities.select("entity_id", "type", "norm"), "entity_id").select("job_id", "type", "norm")
+    return chain.chained_jobs(seen, fx.jobs(spark, d), fx.investigations(spark, d), tool_spec(spark))
+
+
+@query(_CHAINED)
 def c2_chained_jobs(spark: SparkSession, d: str) -> DataFrame:
+    return _chained(spark, d, fx.ingested(spark, d)).select("job_id", "inv_id", "tool", "target_value", "parent_job_id", "depth")
+
+
+@query(f"""SELECT s.*, coalesce(q.n, 0) AS enqueued FROM (
+  SELECT a.job_id, 2 * count(*) AS upserts, count(*) AS observations, count(*) FILTER (a.entity_id <> b.entity_id) AS relations, CAST(0 AS BIGINT) AS skipped
+  FROM keyed a JOIN keyed b ON a.job_id = b.job_id AND a.seq = b.seq AND a.n = 1 AND b.n = 0 GROUP BY a.job_id) s
+LEFT JOIN (SELECT parent_job_id, count(*) AS n FROM ({_CHAINED}) GROUP BY ALL) q ON q.parent_job_id = s.job_id""")
+def i7_summary(spark: SparkSession, d: str) -> DataFrame:
     new = fx.ingested(spark, d)
-    seen = new.observations.join(new.entities.select("entity_id", "type", "norm"), "entity_id").select("job_id", "type", "norm")
-    return chain.chained_jobs(seen, fx.jobs(spark, d), fx.investigations(spark, d), tool_spec(spark)).select("job_id", "inv_id", "tool", "target_value", "parent_job_id", "depth")
+    s = with_enqueued(new.summary, _chained(spark, d, new))
+    return s.select("job_id", *[F.col(c).cast("bigint").alias(c) for c in ("upserts", "observations", "relations", "skipped", "enqueued")])
 
 
 @query("SELECT inv_id, t AS tool, inv_id AS target_value, '' AS error FROM inv, (VALUES ('crtsh'), ('dns-resolver')) AS x(t) UNION ALL SELECT inv_id, NULL, NULL, 'unknown tool: unheard-of' FROM inv")
@@ -306,12 +329,15 @@ def c4_reachable(spark: SparkSession, d: str) -> DataFrame:
     return inv.select("inv_id", "root_type").join(chain.reachable(tool_spec(spark), inv.select("root_type")), "root_type").select("inv_id", "tool", "depth")
 
 
-@query("SELECT job_id, CASE WHEN tool = 'shodan-lookup' THEN 'missing key: SHODAN_API_KEY' END AS skip_reason FROM (SELECT DISTINCT job_id, tool FROM att)")
+@query("""SELECT job_id, CASE WHEN tool = 'shodan-lookup' THEN 'missing key: SHODAN_API_KEY' WHEN tool = 'asn-bgp' AND inv_id <> 'example.org' THEN 'not authorized' WHEN tool = 'whois-rdap' THEN 'tool disabled' END AS skip_reason
+FROM (SELECT DISTINCT job_id, tool, ['example.com', 'example.net', 'example.org'][1 + user_id % 3] AS inv_id FROM att) JOIN inv USING (inv_id)""")
 def c5_gate(spark: SparkSession, d: str) -> DataFrame:
-    jobs = fx.attempts(spark, d).select("job_id", "tool").distinct().withColumn("inv_id", F.lit("example.com"))
-    inv = fx.investigations(spark, d).where("inv_id = 'example.com'")
+    inv_id = F.get(F.array(*[F.lit(f"example.{end}") for end in ("com", "net", "org")]), (F.substring_index("job_id", "|", 1).cast("bigint") % 3).cast("int"))
+    jobs = fx.attempts(spark, d).select("job_id", "tool").distinct().withColumn("inv_id", inv_id)
+    inv = fx.investigations(spark, d).withColumn("authorized", F.col("inv_id") == "example.org")
+    tools = tool_spec(spark).withColumn("passivity", F.when(F.col("tool") == "asn-bgp", "P2").otherwise(F.col("passivity"))).withColumn("enabled", F.col("tool") != "whois-rdap")
     keys = fx.read(spark, d, "region").select(F.col("r_name").alias("key"))
-    return chain.gate(jobs, inv, tool_spec(spark), keys)
+    return chain.gate(jobs, inv, tools, keys)
 
 
 # -- 2.6 job log -------------------------------------------------------------------------------------------------
@@ -319,9 +345,7 @@ def c5_gate(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT job_id, inv_id, CAST(row_number() OVER (ORDER BY tm DESC, job_id DESC) AS INTEGER) AS place FROM job")
 def j1_listing(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    return fx.jobs(spark, d).select("job_id", "inv_id", F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("job_id"))).alias("place"))
+    return joblog.listing(fx.jobs(spark, d)).select("job_id", "inv_id", "place")
 
 
 @query("SELECT inv_id, status, count(*) AS n FROM job GROUP BY ALL")
@@ -341,19 +365,19 @@ _OUTCOME = "CASE WHEN k >= 95 THEN 'transient' WHEN code = 200 THEN 'success' WH
 SELECT job_id, n, outcome, wait_s, elapsed_s, budget_s, outcome = 'transient' AND n < m AND elapsed_s + wait_s < budget_s AS retry_allowed FROM (
   SELECT job_id, n, {_OUTCOME} AS outcome, 2.0 * pow(2, n - 1) AS wait_s, 3 AS m,
     sum(seconds) OVER w + 2.0 * (pow(2, n - 1) - 1) AS elapsed_s, CASE tool WHEN 'crtsh' THEN 45 WHEN 'asn-bgp' THEN 45 ELSE 30 END * 3 + 6.0 AS budget_s
-  FROM att WINDOW w AS (PARTITION BY job_id ORDER BY n)) WHERE n <= 20""")
+  FROM att WINDOW w AS (PARTITION BY job_id ORDER BY n))""")
 def j5_retry_audit(spark: SparkSession, d: str) -> DataFrame:
     return joblog.retry_audit(fx.attempts(spark, d), tool_spec(spark)).select("job_id", F.col("n").cast("int").alias("n"), "outcome", "wait_s", "elapsed_s", "budget_s", "retry_allowed")
 
 
 @query("""
-SELECT event_id AS request_id, tool, floor(max(t - rn * gap) OVER w + rn * gap) AS slot FROM (
-  SELECT event_id, tool, CAST(floor(epoch(ts)) AS BIGINT) * 1.0 AS t, row_number() OVER (PARTITION BY tool ORDER BY CAST(floor(epoch(ts)) AS BIGINT), event_id) AS rn,
-    60.0 / CASE tool WHEN 'crtsh' THEN 5 WHEN 'dns-resolver' THEN 60 WHEN 'shodan-lookup' THEN 60 WHEN 'asn-bgp' THEN 20 ELSE 10 END AS gap FROM ev)
+SELECT event_id AS request_id, tool, (max(t - rn * gap) OVER w + rn * gap) / 1000000.0 AS slot FROM (
+  SELECT event_id, tool, CAST(epoch_us(ts) AS DOUBLE) AS t, row_number() OVER (PARTITION BY tool ORDER BY ts, event_id) AS rn,
+    60000000.0 / CASE tool WHEN 'crtsh' THEN 5 WHEN 'dns-resolver' THEN 60 WHEN 'shodan-lookup' THEN 60 WHEN 'asn-bgp' THEN 20 ELSE 10 END AS gap FROM ev)
 WINDOW w AS (PARTITION BY tool ORDER BY rn)""")
 def j6_slots(spark: SparkSession, d: str) -> DataFrame:
-    r = fx.events(spark, d).select(F.col("event_id").alias("request_id"), "tool", F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("t"))
-    return joblog.slots(r, tool_spec(spark)).select("request_id", "tool", F.floor("slot").cast("double").alias("slot"))
+    r = fx.events(spark, d).select(F.col("event_id").alias("request_id"), "tool", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    return joblog.slots(r, tool_spec(spark)).select("request_id", "tool", "slot")
 
 
 @query("SELECT event_id AS request_id, tool, CAST(row_number() OVER (PARTITION BY tool, date_trunc('month', ts) ORDER BY ts, event_id) AS INTEGER) AS rn, tool <> 'shodan-lookup' OR row_number() OVER (PARTITION BY tool, date_trunc('month', ts) ORDER BY ts, event_id) <= 100 AS admitted FROM ev")
@@ -449,12 +473,23 @@ def a2_batches(spark: SparkSession, d: str) -> DataFrame:
     return _candidates(spark, d).select("inv_id", "entity_id", "place", "batch")
 
 
-@query("SELECT inv_id, CAST((position - 1) // 120 AS INTEGER) AS batch, count(*) AS n, greatest(1, CAST(round_even(count(*) * 0.03, 0) AS BIGINT)) AS budget_90, greatest(1, CAST(round_even(count(*) * 0.03, 0) AS BIGINT), CAST(round_even(count(*) * 0.08, 0) AS BIGINT)) AS budget_80 FROM pos GROUP BY ALL")
+#: Every third entity of a batch has a stored score.
+_RECORD = """'["' || replace(tools, ',', '","') || '"]'"""
+_BATCHES = f"""
+WITH c AS (SELECT *, CAST((position - 1) // 120 AS INTEGER) AS batch, CASE WHEN tools = '' THEN '[]' ELSE {_RECORD} END AS tool_list, CASE WHEN flag THEN '["hedefe_ait_degil"]' ELSE '[]' END AS flag_list FROM pos),
+h AS (SELECT inv_id, batch, sha256('2.0' || chr(10) || string_agg('{{"entity_id":"' || entity_id || '","type":"' || type || '","norm":"' || norm || '","n_tools":' || n_tools || ',"tools":' || tool_list || ',"triage":"' || triage || '","flags":' || flag_list || ',"connected":' || connected || '}}', ',' ORDER BY position)) AS input_hash FROM c GROUP BY ALL),
+l AS (SELECT *, 'v' || row_number() OVER (PARTITION BY inv_id, batch ORDER BY position) AS label FROM c WHERE position % 3 <> 0),
+r AS (SELECT inv_id, batch, count(*) AS n, '[' || string_agg('{{"id":"' || label || '","tip":"' || type || '","deger":"' || norm || '","farkli_tool":' || n_tools || ',"tools":' || tool_list || ',"on_eleme_grubu":"' || triage || '","isaretler":' || flag_list || ',"iliskisi_var":' || connected || '}}', ', ' ORDER BY position) || ']' AS body FROM l GROUP BY ALL)
+SELECT inv_id, batch, n, greatest(1, CAST(round_even(n * 0.03, 0) AS BIGINT)) AS budget_90, greatest(1, CAST(round_even(n * 0.03, 0) AS BIGINT), CAST(round_even(n * 0.08, 0) AS BIGINT)) AS budget_80, input_hash, body, substr(sha256(body), 1, 16) AS delimiter FROM r JOIN h USING (inv_id, batch)"""
+
+
+@query(_BATCHES.replace("\nWITH c AS", ", c AS", 1))
 def a5_requests(spark: SparkSession, d: str) -> DataFrame:
-    rows = _candidates(spark, d)
-    none = spark.createDataFrame([], "entity_id string, input_hash string, prompt_version string")
-    made = scoring.requests(scoring.uncached(rows, scoring.input_hashes(rows), none))
-    return made.where("length(input_hash) = 64 and delimiter = substring(sha2(body, 256), 1, 16)").select("inv_id", "batch", "n", "budget_90", "budget_80")
+    rows = cut(_candidates(spark, d))
+    hashes = scoring.input_hashes(rows)
+    stored = rows.join(hashes, ["inv_id", "batch"]).where("place % 3 = 0").select("entity_id", "input_hash", F.lit(scoring.PROMPT_VERSION).alias("prompt_version"))
+    made = scoring.requests(scoring.uncached(rows, hashes, stored))
+    return made.select("inv_id", "batch", "n", "budget_90", "budget_80", "input_hash", "body", "delimiter")
 
 
 def _responses(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -484,12 +519,34 @@ def a9_hypotheses(spark: SparkSession, d: str) -> DataFrame:
     return scoring.checked_hypotheses(*_responses(spark, d)).select("batch", "title", "body", "confidence", F.array_join("entity_ids", ",").alias("ids"))
 
 
-@query(f"{_LABELLED}, s AS (SELECT * FROM c WHERE v BETWEEN 0 AND 100 OR r = 1) SELECT batch, CAST(c_custkey AS VARCHAR) AS entity_id FROM s JOIN orders ON o_custkey = c_custkey GROUP BY ALL", False)
+_LIVE = "(SELECT DISTINCT o_custkey FROM orders)"
+
+
+def _live(spark: SparkSession, d: str) -> DataFrame:
+    return fx.read(spark, d, "orders").select(F.lit("i").alias("inv_id"), F.col("o_custkey").cast("string").alias("entity_id")).distinct()
+
+
+@query(f"{_LABELLED}, s AS (SELECT * FROM c WHERE v BETWEEN 0 AND 100 OR r = 1) SELECT batch, CAST(c_custkey AS VARCHAR) AS entity_id FROM s JOIN {_LIVE} ON o_custkey = c_custkey", False)
 def a10_live_scores(spark: SparkSession, d: str) -> DataFrame:
     responses, labels = _responses(spark, d)
     scores, _, _ = scoring.checked_scores(responses, labels)
-    live = fx.read(spark, d, "orders").select(F.lit("i").alias("inv_id"), F.col("o_custkey").cast("string").alias("entity_id")).distinct()
-    return scoring.live_only(scores, scoring.checked_hypotheses(responses, labels), live)[0].select("batch", "entity_id")
+    return scoring.live_only(scores, scoring.checked_hypotheses(responses, labels), _live(spark, d))[0].select("batch", "entity_id")
+
+
+@query(f"{_LABELLED} SELECT batch, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY r DESC) AS ids FROM c JOIN {_LIVE} ON o_custkey = c_custkey WHERE r <= 2 AND (v BETWEEN 0 AND 100 OR r = 1) GROUP BY batch", False)
+def a10_live_hypotheses(spark: SparkSession, d: str) -> DataFrame:
+    responses, labels = _responses(spark, d)
+    scores, _, _ = scoring.checked_scores(responses, labels)
+    return scoring.live_only(scores, scoring.checked_hypotheses(responses, labels), _live(spark, d))[1].select("batch", F.array_join("entity_ids", ",").alias("ids"))
+
+
+@query(f"""{_LABELLED}, s AS (SELECT *, v BETWEEN 0 AND 100 AS fine, o_custkey IS NOT NULL AS live FROM c LEFT JOIN {_LIVE} ON o_custkey = c_custkey),
+n AS (SELECT batch, count(*) FILTER (r <= 2 AND live AND (fine OR r = 1)) AS ids FROM s GROUP BY batch)
+SELECT 'i' AS inv_id, CAST(count(*) FILTER (live AND (fine OR r = 1)) AS BIGINT) AS scores_written, (SELECT count(*) FROM n WHERE ids > 0) AS hypotheses_written,
+  count(*) FILTER (NOT fine) + count(*) FILTER (NOT live AND (fine OR r = 1)) - count(*) FILTER (r = 1 AND NOT fine) + 3 * count(DISTINCT batch) + count(DISTINCT batch) + (SELECT count(*) FROM n WHERE ids = 0) AS hallucinated,
+  count(*) FILTER (NOT fine AND r <> 1) AS missing FROM s""", False)
+def a10_counters(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.counters(*_responses(spark, d), _live(spark, d))
 
 
 @query("SELECT entity_id, assessment_id, CAST(score AS SMALLINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ts DESC, assessment_id DESC) AS r FROM ass) WHERE r = 1")
@@ -530,21 +587,52 @@ def r4_hypotheses(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _report_lines(spark: SparkSession, d: str) -> DataFrame:
-    new, inv = fx.ingested(spark, d), fx.investigations(spark, d)
-    scores = fx.assessments(spark, d)
-    return report.sections(inv, triage.ordered(_triaged(spark, d)), new.observations, new.relationships, fx.jobs(spark, d), scores, _hypotheses(spark, d).where("inv_id <> ''"), new.entities)
+    new, inv = settled(fx.ingested(spark, d)), fx.investigations(spark, d)
+    listed = triage.ordered(triage.judged(triage.entity_list(new.entities, new.observations, new.relationships, inv)))
+    return report.sections(inv, listed, new.observations, new.relationships, fx.jobs(spark, d), fx.assessments(spark, d), _hypotheses(spark, d), new.entities)
 
 
-@query("""
-SELECT inv_id, CAST(s AS INTEGER) AS section, CAST(sum(n) AS BIGINT) AS lines FROM (
-  SELECT inv_id, 0 AS s, 6 AS n FROM inv UNION ALL SELECT inv_id, unnest(range(1, 11)), 1 FROM inv
-  UNION ALL SELECT inv_id, CASE triage WHEN 'priority' THEN 1 WHEN 'review' THEN 2 ELSE 3 END, 1 FROM tri UNION ALL SELECT inv_id, 5, 1 FROM rel UNION ALL SELECT inv_id, 6, 1 FROM job UNION ALL SELECT inv_id, 7, 1 FROM obs
-  UNION ALL SELECT 'example.com', CASE WHEN c_nationkey < 12 THEN 9 ELSE 10 END, 1 FROM customer) GROUP BY ALL""")
+def _sql_line(*cells: str) -> str:
+    """R1 and a table's row in SQL."""
+    out = []
+    for c in cells:
+        c = f"trim(regexp_replace(coalesce(CAST({c} AS VARCHAR), '—'), '\\s+', ' ', 'g'))"
+        c = f"replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+        out.append(rf"regexp_replace({c}, '([\\`*_{{}}\[\]()#+.!|~\-])', '\\\1', 'g')")
+    return f"'| ' || concat_ws(' | ', {', '.join(out)}) || ' |'"
+
+
+_TIME = "strftime(make_timestamp(CAST({} AS BIGINT) * 1000000), '%Y-%m-%d %H:%M:%S')"
+_REASONS = """array_to_string(list_filter([CASE WHEN is_root THEN 'root of the investigation' END,
+  CASE WHEN n_tools = 0 THEN 'no direct observation' ELSE type || ': threshold of ' || threshold || ' tools ' || CASE WHEN n_tools < threshold THEN 'missed' ELSE 'met' END END,
+  CASE WHEN NOT connected THEN 'no relation' END, CASE WHEN flag THEN 'may not belong to the target' END], lambda x: x IS NOT NULL), '; ')"""
+_IDS = "sha256('example.com' || chr(1) || 'domain' || chr(1) || 'example.com') || ', outside the investigation or missing'"
+_REPORT = f""", b AS (
+  SELECT inv_id, CASE triage WHEN 'priority' THEN 1 WHEN 'review' THEN 2 WHEN 'context' THEN 3 ELSE 4 END AS section, '+' || lpad(CAST(position AS VARCHAR), 12, '0') AS k1, '' AS k2, '' AS k3,
+    {_sql_line("entity_id", "type", "raw", "obs_count", "n_tools", "replace(tools, ',', ', ')", _REASONS)} AS line FROM pos
+  UNION ALL SELECT inv_id, 5, '+' || type, rel_id, '', {_sql_line("src_id", "type", "dst_id")} FROM rel
+  UNION ALL SELECT inv_id, 6, '+' || {_TIME.format("tm")}, job_id, '', {_sql_line("job_id", "tool", "target_value", "status", "1", "NULL")} FROM job
+  UNION ALL SELECT inv_id, 7, '+' || entity_id, {_TIME.format("tm")}, obs_id,
+    {_sql_line("obs_id", "entity_id", "tool || ' / 1.0'", "CASE tool WHEN 'crtsh' THEN 90 WHEN 'subfinder' THEN 70 WHEN 'dns-resolver' THEN 85 WHEN 'theharvester' THEN 60 ELSE 90 END", _TIME.format("tm"), "'/archive/' || job_id || '/output.json'", "'$[' || seq || '].url'")} FROM obs
+  UNION ALL SELECT 'example.com', CASE WHEN c_nationkey < 12 THEN 9 ELSE 10 END, '+' || {_TIME.format("c_custkey")}, CAST(c_custkey AS VARCHAR), '',
+    {_sql_line("c_name", "c_mktsegment", "50", "CASE WHEN c_nationkey < 12 THEN 'confirmed' ELSE 'open' END", _IDS, "'m'")} FROM customer),
+m AS (SELECT i.inv_id, count(*) FILTER (section = 1) AS n1, count(*) FILTER (section = 2) AS n2, count(*) FILTER (section = 3) AS n3, count(*) FILTER (section = 4) AS n4,
+  count(*) FILTER (section = 5) AS n5, count(*) FILTER (section = 6) AS n6, count(*) FILTER (section = 7) AS n7 FROM inv i LEFT JOIN b ON b.inv_id = i.inv_id GROUP BY i.inv_id),
+f AS (SELECT inv_id, x.s AS section, x.l AS line, n AS place FROM (SELECT inv_id, unnest(l) AS x, unnest(range(0, 16)) AS n FROM (SELECT inv_id, [
+  {{'s': 0, 'l': '# Report: ' || replace('round ' || inv_id, '.', '\\.')}}, {{'s': 0, 'l': '- Root: ' || replace(inv_id, '.', '\\.')}}, {{'s': 0, 'l': '- Scope: a &lt;scope&gt; &amp; more'}}, {{'s': 0, 'l': '- Created by: driver'}}, {{'s': 0, 'l': '- Authorized: no'}},
+  {{'s': 0, 'l': 'Entities: ' || (n1 + n2 + n3 + n4) || ' · Observations: ' || n7 || ' · Relations: ' || n5 || ' · Jobs: ' || n6}},
+  {{'s': 1, 'l': '## priority (' || n1 || ')'}}, {{'s': 2, 'l': '## review (' || n2 || ')'}}, {{'s': 3, 'l': '## context (' || n3 || ')'}}, {{'s': 4, 'l': '## certificate (' || n4 || ')'}},
+  {{'s': 5, 'l': '## Relations'}}, {{'s': 6, 'l': '## Jobs'}}, {{'s': 7, 'l': '## Evidence'}}, {{'s': 8, 'l': '## Latest assessments'}}, {{'s': 9, 'l': '## Confirmed hypotheses'}}, {{'s': 10, 'l': '## Other hypotheses'}}] AS l FROM m))),
+g AS (SELECT inv_id, CAST(section AS INTEGER) AS section, k1, k2, k3, line FROM b UNION ALL SELECT inv_id, CAST(section AS INTEGER), ' ' || lpad(CAST(place AS VARCHAR), 2, '0'), '', '', line FROM f)
+"""
+
+
+@query(_REPORT + "SELECT inv_id, section, line FROM g")
 def r2_report_sections(spark: SparkSession, d: str) -> DataFrame:
-    return _report_lines(spark, d).groupBy("inv_id", "section").agg(F.count("*").alias("lines"))
+    return _report_lines(spark, d).select("inv_id", "section", "line")
 
 
-@query()
+@query(_REPORT + "SELECT inv_id, string_agg(line, chr(10) ORDER BY section, k1, k2, k3) AS markdown FROM g GROUP BY inv_id")
 def r5_reports(spark: SparkSession, d: str) -> DataFrame:
     return report.documents(_report_lines(spark, d))
 

@@ -29,6 +29,10 @@ CLOUD_ASN = [
 ]
 
 
+#: `seq` counts by kinds of rows in steps that no array's length reaches.
+_STEP = 1 << 31
+
+
 def _bodies(raw: DataFrame) -> DataFrame:
     return raw.select("job_id", text_of(F.col("content")).alias("body"))
 
@@ -94,9 +98,9 @@ def extract_ct_log(raw: DataFrame) -> DataFrame:
     names = F.array_union(F.coalesce(F.transform(F.split("names", "\n"), strip), F.array().cast("array<string>")), F.coalesce(F.array(strip(F.col("common"))), F.array().cast("array<string>")))
     good = F.filter(F.array_sort(F.array_compact(names)), lambda n: (n != "") & ~n.rlike(r"(?U)\s") & ~n.contains("@"))
     named = each.select("job_id", "i", "serial", F.posexplode(good).alias("k", "name"))
-    hosts = named.select(*_row("subdomain", F.col("name"), _json(F.when(F.col("name").startswith("*."), True).alias("wildcard")), _path("$[%d].name_value", F.col("i")), F.col("i") * 100_000 + F.col("k"), _rel("cert_for", "cert", F.col("serial"), "in")))
+    hosts = named.select(*_row("subdomain", F.col("name"), _json(F.when(F.col("name").startswith("*."), True).alias("wildcard")), _path("$[%d].name_value", F.col("i")), F.col("i") * _STEP + F.col("k"), _rel("cert_for", "cert", F.col("serial"), "in")))
     kept = F.struct(*[field(n).alias(n) for n in ("issuer_name", "not_before", "not_after")], F.try_variant_get("v", "$.id", "bigint").alias("id"))
-    certs = each.where("serial is not null").select(*_row("cert", F.col("serial"), F.to_json(kept), _path("$[%d]", F.col("i")), F.col("i") * 100_000 + 99_999))
+    certs = each.where("serial is not null").select(*_row("cert", F.col("serial"), F.to_json(kept), _path("$[%d]", F.col("i")), F.col("i") * _STEP + _STEP - 1))
     return _union(hosts, certs)
 
 
@@ -125,18 +129,18 @@ def extract_dns(raw: DataFrame) -> DataFrame:
     out = []
     for order, kind in enumerate(("A", "AAAA")):
         each = d.select("job_id", "target", F.posexplode(values(kind)).alias("i", "value")).where("value is not null")
-        out.append(each.select(*_row("ip", F.col("value"), _json(F.lit(kind).alias("dns_kayit")), _path(f"$.kayitlar.{kind}.veri[%d]", F.col("i")), F.col("i") + order * 100_000, _rel("resolves_to", "subdomain", F.col("target"), "in"))))
+        out.append(each.select(*_row("ip", F.col("value"), _json(F.lit(kind).alias("dns_kayit")), _path(f"$.kayitlar.{kind}.veri[%d]", F.col("i")), F.col("i") + order * _STEP, _rel("resolves_to", "subdomain", F.col("target"), "in"))))
     # the chain's hops with their place in it; each points back to the last hop before that is not blank
     hops = F.filter(F.transform("cname_zinciri", lambda n, i: F.struct(i.alias("i"), F.regexp_replace(strip(n), r"\.+$", "").alias("name"))), lambda h: F.coalesce(h["name"] != "", F.lit(False)))
     chain = d.select("job_id", "target", hops.alias("hops")).select("job_id", "target", "hops", F.posexplode("hops").alias("k", "hop"))
     before = F.when(F.col("k") == 0, F.col("target")).otherwise(F.element_at("hops", F.greatest(F.col("k"), F.lit(1)))["name"])
-    out.append(chain.select(*_row("subdomain", F.col("hop.name"), _json(F.lit("CNAME").alias("dns_kayit"), (F.col("hop.i") + 1).alias("cname_adim")), _path("$.cname_zinciri[%d]", F.col("hop.i")), F.col("hop.i") + 200_000, _rel("cname_for", "subdomain", before, "in"))))
+    out.append(chain.select(*_row("subdomain", F.col("hop.name"), _json(F.lit("CNAME").alias("dns_kayit"), (F.col("hop.i") + 1).alias("cname_adim")), _path("$.cname_zinciri[%d]", F.col("hop.i")), F.col("hop.i") + 2 * _STEP, _rel("cname_for", "subdomain", before, "in"))))
     for order, (kind, relation) in enumerate((("MX", "mx_for"), ("NS", "ns_for")), 3):
         each = d.select("job_id", "target", F.posexplode(values(kind)).alias("i", "value"))
         words = F.filter(F.split("value", r"(?U)\s+"), lambda w: w != "")
         each = each.withColumn("words", words).where("size(words) > 0").withColumn("server", F.regexp_replace(F.element_at("words", -1), r"\.+$", "")).where("server <> ''")
         rank = F.when((F.lit(kind) == "MX") & (F.size("words") >= 2) & F.col("words")[0].rlike(r"^\d{1,9}$"), F.col("words")[0].cast("int"))
-        out.append(each.select(*_row("subdomain", F.col("server"), _json(F.lit(kind).alias("dns_kayit"), rank.alias("mx_oncelik")), _path(f"$.kayitlar.{kind}.veri[%d]", F.col("i")), F.col("i") + order * 100_000, _rel(relation, "domain", F.col("target"), "out"))))
+        out.append(each.select(*_row("subdomain", F.col("server"), _json(F.lit(kind).alias("dns_kayit"), rank.alias("mx_oncelik")), _path(f"$.kayitlar.{kind}.veri[%d]", F.col("i")), F.col("i") + order * _STEP, _rel(relation, "domain", F.col("target"), "out"))))
         if kind == "NS":
             out.append(_dns_provider(each))
     out.append(_mail_policy(d, values))
@@ -151,7 +155,7 @@ def _dns_provider(servers: DataFrame) -> DataFrame:
     both = with_root(rooted, "thost", "troot").where("root is not null and not (root <=> troot)")
     first = both.groupBy("job_id", "root").agg(F.min_by(F.struct("i", "server"), "i").alias("f"))
     data = _json(F.lit("NS").alias("kaynak"), F.col("root").alias("ns_kok"), F.col("f.server").alias("ns"))
-    return first.select(*_row("org", F.substring_index("root", ".", 1), data, _path("$.kayitlar.NS.veri[%d]", F.col("f.i")), F.col("f.i") + 500_000))
+    return first.select(*_row("org", F.substring_index("root", ".", 1), data, _path("$.kayitlar.NS.veri[%d]", F.col("f.i")), F.col("f.i") + 5 * _STEP))
 
 
 def _spf(values) -> Column:
@@ -179,14 +183,14 @@ def _mail_policy(d: DataFrame, values) -> DataFrame:
         *[tag(n) for n in ("p", "sp", "pct", "rua", "ruf", "adkim", "aspf")], F.when(F.col("dmarc").isNotNull(), F.lower(F.coalesce(F.try_element_at(pairs, F.lit("p")), F.lit("none"))) == "none").alias("dmarc_zayif"),
         (F.size("caa") == 0).alias("caa_yok"), some(F.col("caa")).alias("caa"), F.col("soa").alias("soa"),
     )
-    return d.select(*_row("subdomain", F.col("target"), data, F.lit("$.kayitlar"), F.lit(900_000)))
+    return d.select(*_row("subdomain", F.col("target"), data, F.lit("$.kayitlar"), F.lit(9 * _STEP)))
 
 
 def _spf_includes(d: DataFrame, values) -> DataFrame:
     words = F.filter(F.split("spf", r"(?U)\s+"), lambda w: w != "")
     each = d.select("job_id", "target", _spf(values).alias("spf")).select("job_id", "target", F.posexplode(_spf_list(words, "include")).alias("i", "name"))
     name = F.regexp_replace("name", r"\.+$", "")
-    return each.select(*_row("tech", F.concat(F.lit("spf-include:"), name), _json(F.lit("SPF").alias("kaynak"), F.col("target").alias("hedef")), F.lit("$.kayitlar.TXT"), F.col("i") + 800_000))
+    return each.select(*_row("tech", F.concat(F.lit("spf-include:"), name), _json(F.lit("SPF").alias("kaynak"), F.col("target").alias("hedef")), F.lit("$.kayitlar.TXT"), F.col("i") + 8 * _STEP))
 
 
 _ENTITIES = "array<struct<roles:array<string>,vcardArray:variant>>"
@@ -236,7 +240,7 @@ def _rdap_domain(d: DataFrame) -> DataFrame:
         when("last update of rdap database").alias("rdap_guncelleme"), left.alias("bitise_kalan_gun"), (left <= EXPIRY_DAYS).alias("bitis_yakin"), F.when(~_hidden(F.col("registrar")), F.col("registrar")).alias("registrar"),
         F.when(F.col("owner").isNull(), True).alias("kayit_sahibi_yok"), F.when(F.col("owner").isNotNull(), ~open_owner).alias("kayit_sahibi_gizli"), F.when(F.col("owner").isNotNull() & ~open_owner, F.col("owner")).alias("kayit_sahibi_ham"),
     )
-    return _union(orgs, hosts, d.select(*_row("domain", F.col("name"), data, F.lit("$"), F.lit(900_000))))
+    return _union(orgs, hosts, d.select(*_row("domain", F.col("name"), data, F.lit("$"), F.lit(9 * _STEP))))
 
 
 def _rdap_network(d: DataFrame) -> DataFrame:
@@ -247,8 +251,8 @@ def _rdap_network(d: DataFrame) -> DataFrame:
     d = d.select("job_id", F.when(~F.col("asked").contains("/") & F.col("asked").rlike(r"^[0-9.]+$|:"), F.col("asked")).alias("ip"), F.array_compact(F.transform(_items("$.cidr0_cidrs"), block)).alias("blocks"), owner.alias("owner"), numbers.alias("numbers"), _json(F.lit("rdap").alias("kaynak"), *fields).alias("data"))
     first = F.get("blocks", F.lit(0))
     nets = d.select("job_id", "ip", "data", F.posexplode("blocks").alias("i", "block")).select(*_row("netblock", F.col("block"), F.col("data"), _path("$.cidr0_cidrs[%d]", F.col("i")), F.col("i"), _rel("in_netblock", "ip", F.col("ip"), "in")))
-    orgs = d.where(F.col("owner").isNotNull() & ~_hidden(F.col("owner")) & (F.size("blocks") > 0)).select(*_row("org", F.col("owner"), _json(F.lit("rdap").alias("kaynak"), F.lit("ip-registrant").alias("rol")), F.lit("$.entities"), F.lit(100_000), _rel("owned_by", "netblock", first, "in")))
-    asns = d.select("job_id", first.alias("first"), F.posexplode("numbers").alias("i", "asn")).where("asn is not null").select(*_row("asn", F.col("asn").cast("string"), _json(F.lit("rdap").alias("kaynak")), _path("$.arin_originas0_originautnums[%d]", F.col("i")), F.col("i") + 200_000, _rel("announced_by", "netblock", F.col("first"), "in")))
+    orgs = d.where(F.col("owner").isNotNull() & ~_hidden(F.col("owner")) & (F.size("blocks") > 0)).select(*_row("org", F.col("owner"), _json(F.lit("rdap").alias("kaynak"), F.lit("ip-registrant").alias("rol")), F.lit("$.entities"), F.lit(_STEP), _rel("owned_by", "netblock", first, "in")))
+    asns = d.select("job_id", first.alias("first"), F.posexplode("numbers").alias("i", "asn")).where("asn is not null").select(*_row("asn", F.col("asn").cast("string"), _json(F.lit("rdap").alias("kaynak")), _path("$.arin_originas0_originautnums[%d]", F.col("i")), F.col("i") + 2 * _STEP, _rel("announced_by", "netblock", F.col("first"), "in")))
     return _union(nets, orgs, asns)
 
 
@@ -270,7 +274,7 @@ def extract_bgp(raw: DataFrame) -> DataFrame:
     each = each.withColumn("n", F.coalesce("p.sayi", F.lit(0))).withColumn("over", F.col("n") > PREFIX_LIMIT).join(cloud, "asn", "left")
     flag = lambda c: F.when(c, True)
     data = _json(F.lit("ripestat").alias("kaynak"), F.col("n").alias("duyurulan_prefiks_sayisi"), F.col("holder").alias("as_holder"), F.col("cloud").alias("bulut_saglayici"), flag(F.col("cloud").isNotNull()).alias("hedefe_ait_degil"), flag(F.col("cloud").isNull() & F.col("over")).alias("saglayici_olabilir"), flag(F.col("over")).alias("prefiks_sinir_asildi"), F.when(F.col("over"), PREFIX_LIMIT).alias("prefiks_siniri"))
-    seq = F.dense_rank().over(_by_job("asn")) * 100_000
+    seq = F.dense_rank().over(_by_job("asn")) * _STEP
     each = each.withColumn("seq0", seq)
     asns = each.select(*_row("asn", F.col("asn"), data, _path("$.asn_bilgi.%s", F.col("asn")), F.col("seq0"), _rel("announced_by", "netblock", F.nullif(F.col("cover"), F.lit("")), "in")))
     orgs = each.where("holder is not null").select(*_row("org", holder_name(F.col("holder")), _json(F.lit("ripestat").alias("kaynak"), F.col("asn").alias("asn"), F.col("holder").alias("as_holder")), _path("$.asn_bilgi.%s.holder", F.col("asn")), F.col("seq0") + 1, _rel("owned_by", "asn", F.col("asn"), "in")))
@@ -323,7 +327,7 @@ def extract_harvest(raw: DataFrame) -> DataFrame:
     mails = d.select("job_id", F.posexplode(_items("$.emails")).alias("i", "m")).select("job_id", "i", strip(_text("m")).alias("mail"))
     mails = mails.where(F.col("mail").rlike(r"(?U)^[^@\s%]+@[^@\s%.][^@\s%]*\.[^@\s%]*$"))
     domain = F.nullif(F.regexp_replace(F.substring_index("mail", "@", -1), r"\.+$", ""), F.lit(""))
-    addresses = mails.select(*_row("email", F.col("mail"), _json(F.lit("theharvester").alias("kaynak")), _path("$.emails[%d]", F.col("i")), F.col("i") + 100_000, _rel("email_at", "domain", domain, "out")))
+    addresses = mails.select(*_row("email", F.col("mail"), _json(F.lit("theharvester").alias("kaynak")), _path("$.emails[%d]", F.col("i")), F.col("i") + _STEP, _rel("email_at", "domain", domain, "out")))
     return _union(found, addresses)
 
 

@@ -50,17 +50,20 @@ def worker_state(operator: str, key, build):
 
 
 def release(keep: str | None) -> None:
-    """Drops what other operators keep in this worker, and gives their memory back to the machine: workers serve one
-    stage after the other, so what each leaves would add up."""
-    if gone := [name for name in _WORKER if name != keep]:
-        import ctypes
-        import gc
+    """Drops what other operators keep in this worker: workers serve one stage after the other, so what each leaves
+    would add up."""
+    for name in [name for name in _WORKER if name != keep]:
+        del _WORKER[name]
 
-        for name in gone:
-            del _WORKER[name]
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+def trim() -> None:
+    """Gives what this worker has freed back to the machine."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def text_blocks(batches, column: str, limit: int = CHARS_AT_ONCE, operator: str | None = None):
@@ -78,6 +81,7 @@ def text_blocks(batches, column: str, limit: int = CHARS_AT_ONCE, operator: str
             end = min(int(np.searchsorted(size, before + limit)) + 1, batch.num_rows)
             yield batch.slice(start, end - start), texts.slice(start, end - start).to_pylist()
             start, before = end, int(size[end - 1])
+    trim()
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -176,6 +176,21 @@ def test_signatures_lose_no_similar_pair():
     assert seen > 50 and lost == 0
 
 
+def test_signatures_of_large_sets_at_the_threshold():
+    """Where chance takes the place of spare parts: pairs with no difference to spare."""
+    import numpy as np
+
+    rng, bands = np.random.default_rng(3), {p: near.Bands(p, 4000) for p in (80, 90)}
+    for percent in (80, 90):
+        for n in (200, 400, 1000):
+            for _ in range(60):
+                shared = next(s for s in range(n) if 100 * s >= percent * (2 * n - s))
+                u = rng.integers(0, 2**63, 2 * n - shared, dtype=np.uint64)
+                a, b = np.sort(u[:n]), np.sort(np.concatenate((u[:shared], u[n:])))
+                index, sign = near.signatures(np.concatenate((a, b)), np.array([0, n, 2 * n]), bands[percent])
+                assert set(sign[index == 0]) & set(sign[index == 1])
+
+
 def brute_lines(data, least):
     ordered = sorted({(2**63 - 1 if d is None else d, t) for d, t in data if t is not None}, key=lambda x: x[0])
     first, seqs = {}, []
@@ -227,6 +242,51 @@ def test_language(spark, docs, none):
     assert {r.lang_pred for r in language.predict(docs, language.fit(learn.limit(0))).collect()} == {"und"}
 
 
+def test_language_of_blocks_without_words(spark):
+    model = language.fit(spark.createDataFrame([(i, "the house", "en") for i in range(5)], "doc_id long, text string, lang string"))
+    rows_ = [(1, None), (2, ""), (3, "42"), (4, "— 7 —"), (None, None)]
+    for some in (rows_[:1], rows_[:3], rows_):
+        got = language.predict(spark.createDataFrame(some, "doc_id long, text string").coalesce(1), model).collect()
+        assert [(r.doc_id, r.lang_pred, r.score, r.spans) for r in got] == [(i, "und", 0.0, []) for i, _ in some]
+
+
+def test_viterbi_finds_the_best_of_all_paths():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n, k, penalty in ((1, 3, 2.0), (6, 3, 0.5), (7, 2, 3.0), (6, 3, 100.0)):
+        scores = rng.normal(0, 2, (n, k))
+        value = lambda p: sum(scores[t, p[t]] for t in range(n)) - penalty * sum(a != b for a, b in zip(p, p[1:]))  # noqa: B023,B905,E731
+        assert value(language.viterbi(scores, penalty)) == pytest.approx(max(map(value, itertools.product(range(k), repeat=n))))
+
+
+def test_texts_without_a_gain_need_no_viterbi():
+    """The shortcut for texts of one language gives the path that stepping through them gives."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["the house", "der garten und", "слово мир", "12"], rng.integers(0, 12))) for _ in range(60)]
+    letters = language.Letters(texts)
+    scores = rng.normal(-5, 3, (language.TABLE, 3))
+    model = language.Model(["a", "b", "c"], scores, np.ones((language.SCRIPTS, 3), bool))
+    for penalty in (1.0, 10.0, 60.0):
+        path, _ = language.labelled(letters, model, penalty)
+        every, starts = letters.word_scores(model), letters.words.starts
+        for a, b in zip(starts, starts[1:]):  # noqa: B905
+            if b > a:
+                best = language.viterbi(every[a:b], penalty)
+                value = lambda p: every[range(a, b), p].sum() - penalty * (np.diff(p) != 0).sum()  # noqa: B023,E731
+                assert value(path[a:b]) == pytest.approx(value(best))
+
+
+def test_scripts_by_code_points():
+    words = {"house": "latin", "дом": "cyrillic", "γη": "greek", "かな": "kana", "漢字": "han", "한국": "hangul", "नमस्ते": "devanagari", "ไทย": "thai", "தமிழ்": "tamil", "漢かな": "kana", "𠀀": "han", "…": "none"}
+    found = language.Letters(list(words)).script
+    assert [language.NAMES[k] for k in found] == list(words.values())
+
+
 def test_lm_counts_base_and_model(docs, none):
     learn = F.crc32(F.col("doc_id").cast("string")) % 10 != 0
     got = lm.score_all(docs, learn)
@@ -253,6 +313,49 @@ def test_lm_weights_learn_from_every_document(spark):
     assert got[1] > got[2] + 0.5  # "right" stands after "left" only in documents past the first 4,500
 
 
+def test_lm_score_by_hand(spark):
+    """Each token's probability from the model's tables, one token at a time."""
+    import numpy as np
+
+    texts = [(i, " ".join(f"w{(i * 7 + j * j) % 23}" if j % 5 else f"rare{i}{j}" for j in range(14))) for i in range(40)]
+    learn = spark.createDataFrame(texts, "doc_id long, text string")
+    counts = lm.count_tokens(learn).cache()
+    s = lm.statistics(counts)
+    s.rank = np.where(s.rank < 8, s.rank, -1)  # a small head, so that many tokens are tail ones
+    ask = [(1, "w0 w5 unseen w5 rare05 w0"), (2, ""), (3, None), (4, "w1 " * 9)]
+    for rounds in (1, 2):
+        model = lm.fit(learn, s, rounds)
+        got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(ask, "doc_id long, text string"), counts, s, model).collect()}
+        known, z = dict(zip(s.known.tolist(), zip(s.counts.tolist(), s.rank.tolist(), strict=True), strict=True)), s.sizes
+        share = s.tail_total + lm.ALPHA * (s.tail_distinct + 1)
+        log_softmax = lambda v: v - np.log(np.exp(v).sum())
+        for d, text in ask:
+            tokens = lm.Tokens([text])
+            total, symbols = 0.0, []
+            for h, tail in zip(tokens.hashes.tolist(), tokens.tail.tolist(), strict=True):
+                n, rank = known.get(h, (0, -1))
+                a, b, c = ([z.head + lm.TAIL_CLASSES] * 3 + symbols)[::-1][:3]
+                row = lambda kind, *x: int(lm._row(z.row_bits, kind, *[np.array([v]) for v in x])[0])  # noqa: B023,E731
+                cls = rank // z.words if rank >= 0 else z.head_classes + tail
+                rows_ = [row(1, a), row(2, b), row(3, c), row(4, a, b), row(5, a, c)]
+                total += log_softmax(model.class_bias.astype(float) + model.classes[rows_].astype(float).sum(axis=0))[cls] / math.log(10)
+                if rank >= 0:
+                    rows_ = [row(6, cls, a), row(7, cls, b), row(8, cls, a, b)]
+                    total += log_softmax(model.word_bias[cls].astype(float) + model.words[rows_].astype(float).sum(axis=0))[rank % z.words] / math.log(10)
+                else:
+                    total += math.log10((n + lm.ALPHA) / share[tail])
+                symbols.append(rank if rank >= 0 else z.head + tail)
+            assert got[d] == pytest.approx(total, abs=1e-4)
+
+
+def test_lm_rounds_raise_the_likelihood(spark):
+    learn = spark.createDataFrame([(i, " ".join(f"{'ab'[i % 2]}{(j * (1 + i % 3)) % 11}" for j in range(20))) for i in range(120)], "doc_id long, text string")
+    counts = lm.count_tokens(learn).cache()
+    s = lm.statistics(counts)
+    total = [sum(r.score for r in lm.score(learn, counts, s, lm.fit(learn, s, rounds)).collect()) for rounds in (0, 1, 2)]
+    assert total[0] < total[1] - 20 and total[1] < total[2]
+
+
 def test_lm_sizes_follow_the_counts(spark):
     def model(n):
         s = lm.statistics(spark.range(5000).select(F.col("id").alias("token"), (F.col("id") % 32).alias("tail"), F.lit(n).cast("long").alias("n")))
@@ -295,6 +398,43 @@ def test_toxicity_finds_features_of_equal_leading_bits():
     assert sorted(index) == list(range(len(names)))
 
 
+def test_noisy_or_and_its_gradient(spark):
+    """Scores of bags sentence by sentence, and the gradient against differences of the likelihood."""
+    import numpy as np
+
+    texts = ["red fox. blue sky! red red", "grey stone? \n green leaf", "", "red leaf and blue fox. stone. stone.", "sky"]
+    marks = [1, 0, 0, 1, 0]
+    names = sorted(set(re.findall(r"\w+", " ".join(texts))))
+    hashes = lm.Words(names, toxicity.LETTERS).hashes
+    order = np.argsort(hashes)
+    weights = dict(zip(names, np.linspace(-1, 3, len(names)), strict=True))
+
+    def model(w, bias=-2.0, leak=0.05):
+        return toxicity.Model(hashes[order], np.array([w[names[k]] for k in order]), bias, leak)
+
+    def silent(text, w, bias, leak):
+        out = 1 - leak
+        for sentence in re.split(r"[.!?\n]", text):
+            if found := re.findall(r"\w+", sentence):
+                out *= 1 - 1 / (1 + math.exp(-(bias + sum(w[x] for x in found))))
+        return out
+
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model(weights)).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx([1 - silent(t, weights, -2.0, 0.05) for t in texts])
+
+    def likelihood(w, bias, leak):
+        p = [1 - silent(t, w, bias, leak) for t in texts]
+        return sum(math.log(x if y else 1 - x) for x, y in zip(p, marks, strict=True))
+
+    sample = spark.createDataFrame(list(zip(texts, marks, strict=True)), "text string, label long")
+    gradient = toxicity._gradient(toxicity._compact(sample, model(weights)), model(weights))
+    step = 1e-5
+    for place, k in enumerate(order):
+        up, down = ({**weights, names[k]: weights[names[k]] + d} for d in (step, -step))
+        assert gradient[place] == pytest.approx((likelihood(up, -2.0, 0.05) - likelihood(down, -2.0, 0.05)) / (2 * step), abs=1e-4)
+    assert gradient[-2] == pytest.approx((likelihood(weights, -2.0 + step, 0.05) - likelihood(weights, -2.0 - step, 0.05)) / (2 * step), abs=1e-4)
+
+
 def test_toxicity(spark, docs, none):
     plain, bad = "a quiet day in the park with birds. ", "you are a wretchling indeed. "
     known = [(i, plain * (1 + i % 5) + (bad if i % 3 == 0 else "") + plain, int(i % 3 == 0)) for i in range(90)]
@@ -321,6 +461,131 @@ def test_urls(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def url_tokens(url):
+    m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+    host, path = (m[1].translate(LOW), m[2]) if m else ("", "")
+    query = re.search(r"\?([^#]*)", url or "")
+    mask = lambda t: re.sub(r"[0-9]+", "0", t)
+    parts = [f"h:{mask(x)}" for x in host.split(".") if x] + [f"p:{mask(x)}" for x in path.split("/") if x]
+    return host, path, frozenset(parts + [f"q:{mask(x.split('=')[0])}" for x in (query[1] if query else "").split("&") if x])
+
+
+def listed_verdict(host, path):
+    fits = [(len(t), t, w) for w, t in urls.RULES if (host == t.split("/")[0] or host.endswith("." + t.split("/")[0])) and path.startswith("/" + t.partition("/")[2])]
+    return max(fits)[1:] if fits else (None, None)
+
+
+def test_url_rules_by_brute_force(spark):
+    """Every itemset counted, every rule of enough support and confidence tried on every page."""
+    import itertools
+    import random
+
+    rng = random.Random(11)
+    ends = ["com/de", "com/fr", "org/es", "net/x"]
+    pages = [(i, f"https://{rng.choice('abc')}{rng.randint(1, 3)}.example.{rng.choice(ends)}/{rng.choice(['news', 'shop', 'news/7'])}?{rng.choice(['id=1', 'q=2&id=3', ''])}") for i in range(160)]
+    pages += [(900, None), (901, ""), (902, "http://x.net/" + "a/" * 3000), (903, pages[0][1]), (903, pages[0][1])]
+    sets = {url: url_tokens(url) for _, url in pages}
+    labelled = [(sets[u][2], listed_verdict(*sets[u][:2])[1]) for _, u in pages]
+    labelled = [(t, y) for t, y in labelled if y and t]
+    support, n = collections.Counter(), len(labelled)
+    for tokens, y in labelled:
+        for size in range(1, len(tokens) + 1):
+            for some in itertools.combinations(sorted(tokens), size):
+                support[frozenset(some)] += 1
+                support[frozenset(some), y] += 1
+    rules = []
+    for key, both in support.items():
+        if isinstance(key, tuple) and both >= n * urls.MIN_SUPPORT and both / support[key[0]] >= urls.MIN_CONFIDENCE:
+            rules.append((both / support[key[0]], both / n, key[1], key[0]))
+    want = []
+    for i, url in pages:
+        host, path, tokens = sets[url]
+        rule, verdict = listed_verdict(host, path)
+        best = max(((c, s, y) for c, s, y, needed in rules if needed <= tokens), default=None) if verdict is None else None
+        want.append((i, host, path, rule, verdict or (best[2] if best else "allow")))
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string"))
+    assert by_rows(got, "page_id", "host", "path", "rule", "verdict") == sorted(want, key=repr)
+    assert {"block", "allow"} <= {w[4] for w in want if w[3] is None}
+
+
+def brute_pipeline(data, bench, model):
+    """The pipeline's rows in plain Python; the toxicity of a text is the learned model's."""
+    kept = [(d, t) for d, t in data if model(t) < 0.5]
+    cut = brute_lines(kept, 50)
+    kept = [(d, t if t is None else cut[2**63 - 1 if d is None else d, t], t) for d, t in kept]
+    kept = [(d, t) for d, t, old in kept if t == old or (t and t.strip())]
+    sets = [(d, shingles(t, 5)) for d, t in kept]
+    parent = {d: d for d, _ in kept}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (d, x), (e, y) in ((a, b) for a in sets for b in sets if a[0] < b[0] and a[1] and b[1]):
+        if 100 * len(x & y) >= 80 * len(x | y):
+            a, b = sorted((find(d), find(e)))
+            parent[b] = a
+    kept = [(d, t) for (d, t), (_, x) in zip(kept, sets, strict=True) if not x or find(d) == d]
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW))
+    windows = {tuple(words(t)[i : i + 10]) for _, t in bench for i in range(max(1, len(words(t)) - 9)) if words(t)}
+    held = lambda w: any(tuple(w[i : i + len(x)]) == x for x in windows for i in range(len(w) - len(x) + 1))
+    kept = [(d, t) for d, t in kept if not held(words(t))]
+    known = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks(), special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    return [(d, len(ids), sha(" ".join(map(str, ids)).encode()), sha((t or "").encode())) for d, t in kept for ids in [known.encode_ordinary(t or "")]]
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    own = lambda k, n=80: " ".join(f"own{k}word{j}" for j in range(n))
+    passage = "\n".join(" ".join(f"pass{i}x{j}" for j in range(15)) for i in range(5))
+    question = " ".join(f"quiz{j}" for j in range(14))
+    bad = "what a wretched hagglewort you are"
+    data = [(i, own(i)) for i in range(20)]
+    data += [(100, own(3)), (101, own(4) + " tail"), (102, own(5).replace("own5word20", "other"))]  # an exact copy, two near ones
+    data += [(110, f"{own(110)}\n{passage}\n{own('a')}"), (111, f"{own(111)}\n{passage}\n\n{own('b')}"), (112, passage)]  # repeated lines
+    data += [(120, f"{own(120)} {question} {own('c')}"), (121, f"{own(121)} {' '.join(question.split()[2:12])}"), (122, f"{own(122)} {' '.join(question.split()[:9])}")]  # benchmark
+    data += [(200 + i, f"{own(200 + i)}. {bad}. {own(i)}" if i % 2 else f"{own(200 + i)}. fine day. {own(300 + i)}") for i in range(60)]
+    data += [(400, None), (401, ""), (402, " \n"), (403, "12 7"), (404, LONG)]
+    labels = [(200 + i, 1, i % 2) for i in range(60)]
+    bench = [(1, question), (2, None), (3, "")]
+
+    def write(folder, data):
+        spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in data], "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(labels if data else [], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame(bench if data else [], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+    write(tmp_path / "some", data)
+    docs, marks = (spark.read.parquet(f"{tmp_path}/some/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(toxicity.learnable(docs), toxicity.learnable(marks))
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    by_text = {t: scores[d] for d, t in data}
+    want = brute_pipeline(data, bench, by_text.__getitem__)
+    got = corpus_pipeline.run(spark, f"{tmp_path}/some")
+    assert by_rows(got, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
+    kept = {w[0] for w in want}
+    assert not kept & {100, 101, 102, 112, 120, 121} and not kept & {201 + i for i in range(0, 60, 2)}
+    assert kept >= {*range(20), 110, 111, 122, *(200 + i for i in range(0, 60, 2)), 400, 401, 402, 403, 404}
+    write(tmp_path / "none", [])
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_pipeline_stages_on_nulls(spark, tmp_path):
+    """Blocks without a word, null ids and repeated rows pass every stage."""
+    import corpus_pipeline
+
+    rows_ = [(None, None), (None, "a b"), (None, "a b"), (1, None), (1, None), (2, "same"), (2, "same"), (3, "—")]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = spark.createDataFrame(rows_, "doc_id long, text string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == ["doc_id", "text"], name
+    assert sorted((tuple(r) for r in now.collect()), key=repr) == sorted([(None, None), (None, "a b"), (None, "a b"), (1, None), (1, None), (2, "same"), (3, "—")], key=repr)
+
+
 def test_pipeline_stages_keep_columns(spark, docs, tmp_path):
     import corpus_pipeline
 

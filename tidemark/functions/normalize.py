@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ipaddress
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -175,10 +176,12 @@ def tech_key(folded: Column) -> Column:
     return let(parts, lambda p: F.when((p["vendor"] != "") & (p["product"] != ""), F.concat_ws(":", p["vendor"], p["product"], p["version"])))
 
 
-def _keys(df: DataFrame, kind: Column, raw: Column, hard: bool) -> DataFrame:
-    """Adds norm, before the suffix check, and _host of hosts and e-mail domains. `hard` rows may use the Arrow functions."""
-    text = composed(raw) if hard else raw
-    df = df.withColumn("_folded", fold(text))
+@lru_cache(maxsize=32)
+def _steps(type_col: str, raw_col: str, hard: bool, gateway: int) -> tuple[tuple[Column, ...], ...]:
+    """The columns that lead to norm, before the suffix check, and to _host of hosts and e-mail domains; each step uses
+    those before it. `hard` rows may use the Arrow functions. Columns are names and functions only, so they serve any
+    table; as there are some hundreds of them, they are made once for a connection to the JVM."""
+    kind, raw, none = F.col(type_col), F.col(raw_col), F.lit(None).cast("string")
     # hosts, also those of e-mail addresses
     mail = F.when(kind == "email", F.regexp_replace(strip(raw), r"^(?i:mailto:)", ""))
     source = F.when(kind.isin(HOST_TYPES), raw).otherwise(F.substring_index(mail, "@", -1))
@@ -187,30 +190,36 @@ def _keys(df: DataFrame, kind: Column, raw: Column, hard: bool) -> DataFrame:
     local = F.regexp_extract(fold(composed(local) if hard else local), r"(?s)^([^+]*)", 1)
     local = let(local, lambda x: F.when((x != "") & ~x.rlike(r"(?U)\s"), x))
     service = F.when(kind == "service", service_parts(raw))
-    df = df.select("*", (ascii_labels(host) if hard else host).alias("_host"), local.alias("_local"), service.alias("_s"))
-    df = df.select("*", F.when(kind == "ip", without_port(strip(raw))).when(kind == "service", F.col("_s.ip")).when(kind == "netblock", strip(raw)).alias("_ip"))
-    df = df.select("*", (ipv6_text("_ip") if hard else F.lit(None).cast("string")).alias("_ip6"))
+    first = (fold(composed(raw) if hard else raw).alias("_folded"), (ascii_labels(host) if hard else host).alias("_any"), local.alias("_local"), service.alias("_s"))
+    ip = F.when(kind == "ip", without_port(strip(raw))).when(kind == "service", F.col("_s.ip")).when(kind == "netblock", strip(raw))
     address = F.when(F.col("_ip").rlike(IPV4), F.col("_ip")).when(~F.col("_ip").contains("/"), F.col("_ip6"))
-    df = df.select("*", address.alias("_address"))
     block = F.coalesce(netblock4(F.col("_ip")), F.when(F.col("_ip6").contains("/"), F.col("_ip6")).otherwise(F.concat("_ip6", F.lit("/128"))))
     shown = F.when(F.col("_address").contains(":"), F.concat(F.lit("["), "_address", F.lit("]"))).otherwise(F.col("_address"))
-    address, port, proto = F.col("_address"), F.col("_s.port"), F.col("_s.proto")
-    good = F.when(host_shape(F.col("_host")), F.col("_host"))
-    df = df.withColumn("_host", good)
+    port, proto = F.col("_s.port"), F.col("_s.proto")
     key = (
-        F.when(kind.isin(HOST_TYPES), F.col("_host"))
-        .when(kind == "email", F.when(F.col("_host").isNotNull() & F.col("_local").isNotNull(), F.concat_ws("@", "_local", "_host")))
-        .when(kind == "ip", address)
+        F.when(kind.isin(HOST_TYPES), F.col("_good"))
+        .when(kind == "email", F.when(F.col("_good").isNotNull() & F.col("_local").isNotNull(), F.concat_ws("@", "_local", "_good")))
+        .when(kind == "ip", F.col("_address"))
         .when(kind == "netblock", block)
         .when(kind == "cert", cert_key(raw))
         .when(kind == "asn", asn_key(raw))
-        .when(kind == "service", F.when(port.isNotNull() & address.isNotNull(), F.concat(shown, F.lit(":"), port.cast("string"), F.lit("/"), proto)))
+        .when(kind == "service", F.when(port.isNotNull() & F.col("_address").isNotNull(), F.concat(shown, F.lit(":"), port.cast("string"), F.lit("/"), proto)))
         .when(kind == "org", org_key(F.col("_folded")))
         .when(kind == "tech", tech_key(F.col("_folded")))
     )
-    df = df.withColumn("norm", F.when(raw.isNotNull(), key))
-    host = F.when(kind.isin(*HOST_TYPES, "email") & F.col("norm").isNotNull(), F.col("_host"))
-    return df.withColumn("_host", host).drop("_folded", "_local", "_s", "_ip", "_ip6", "_address")
+    named = F.when(kind.isin(*HOST_TYPES, "email") & F.col("norm").isNotNull(), F.col("_good"))
+    return (
+        first, (ip.alias("_ip"),), ((ipv6_text("_ip") if hard else none).alias("_ip6"),), (address.alias("_address"), F.when(host_shape(F.col("_any")), F.col("_any")).alias("_good")),
+        (F.when(raw.isNotNull(), key).alias("norm"),), (named.alias("_host"),),
+    )
+
+
+def _keys(df: DataFrame, type_col: str, raw_col: str, hard: bool) -> DataFrame:
+    """Adds norm and _host."""
+    columns = df.columns
+    for step in _steps(type_col, raw_col, hard, id(df.sparkSession._jvm)):
+        df = df.select("*", *step)
+    return df.select(*columns, "norm", "_host")
 
 
 def normalize_values(df: DataFrame, type_col: str = "type", raw_col: str = "raw") -> DataFrame:
@@ -218,7 +227,7 @@ def normalize_values(df: DataFrame, type_col: str = "type", raw_col: str = "raw"
     kind, raw = F.col(type_col), F.col(raw_col)
     plain = raw.rlike(_ASCII) & ~(kind.isin("ip", "netblock", "service") & raw.contains(":") & raw.rlike(r":.*:|\["))
     plain = F.coalesce(plain, F.lit(True))
-    keys = _keys(df.where(plain), kind, raw, False).unionByName(_keys(df.where(~plain), kind, raw, True))
+    keys = _keys(df.where(plain), type_col, raw_col, False).unionByName(_keys(df.where(~plain), type_col, raw_col, True))
     rooted = with_root(keys, "_host")
     bare = F.col("_host").isNotNull() & F.col("root").isNull()
     error = F.when(raw.isNull() | kind.isNull(), "no value").when(bare, F.concat(F.lit("no public suffix: "), raw)).when(F.col("norm").isNull(), F.concat(F.lit("invalid "), kind, F.lit(": "), raw))

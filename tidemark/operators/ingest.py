@@ -38,11 +38,11 @@ def _keyed(df: DataFrame) -> DataFrame:
 
 def _mentions(parsed: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(observed values, relation targets of valid ones), each with its job's data and its key. Relations travel with
-    their observation, so neither meets the other in a join."""
+    their observation, so neither meets the other in a join. Both are computed once: all results are made from them."""
     job = jobs.select("job_id", "inv_id", "tool", "tool_version", F.col("created_at").alias("_created"), F.coalesce("ended_at", "created_at").alias("at"))
-    own = _keyed(parsed.select("job_id", "seq", "type", "raw", "data", "confidence", "raw_path", "relations").join(job, "job_id"))
+    own = cut(_keyed(parsed.select("job_id", "seq", "type", "raw", "data", "confidence", "raw_path", "relations").join(job, "job_id")))
     valid = own.where("norm is not null").select("job_id", "seq", "inv_id", "at", "_created", F.col("entity_id").alias("_from"), F.posexplode("relations").alias("rel_pos", "r"))
-    return own, _keyed(valid.select("*", F.col("r.target_type").alias("type"), F.col("r.target_raw").alias("raw"), F.col("r.rel_type").alias("rel_type"), F.col("r.direction").alias("direction")).drop("r"))
+    return own, cut(_keyed(valid.select("*", F.col("r.target_type").alias("type"), F.col("r.target_raw").alias("raw"), F.col("r.rel_type").alias("rel_type"), F.col("r.direction").alias("direction")).drop("r")))
 
 
 def ingest(parsed: DataFrame, jobs: DataFrame, raw_root: str = "") -> Ingested:

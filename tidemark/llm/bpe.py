@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import id_text, text_blocks, worker_state
+from .common import LARGE_BLOCK, id_text, text_blocks, worker_state
 
 #: Entries after which a worker's cache starts anew.
 CACHE_ENTRIES = 120_000
@@ -216,7 +216,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
     file = _broadcast_file(docs, rank_path)
 
     def run(batches):
-        for block, texts in text_blocks(batches, "text", operator="bpe"):
+        for block, texts in text_blocks(batches, "text", LARGE_BLOCK, operator="bpe"):
             ids = _load(file, pattern).encode(texts)
             offsets = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
@@ -247,7 +247,7 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc
     file = _broadcast_file(docs, rank_path)
 
     def run(batches):
-        for block, texts in text_blocks(batches, "text", operator="bpe"):
+        for block, texts in text_blocks(batches, "text", LARGE_BLOCK, operator="bpe"):
             bpe = _load(file, pattern)
             ids, token = bpe.encode(texts), bpe.tokens.__getitem__
             offsets = np.zeros(len(ids) + 1, np.int32)

@@ -7,8 +7,10 @@ import contextlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a Python task works on at once; bounds its memory on very long rows.
-CHARS_AT_ONCE = 500_000
+#: Bytes of text that a Python task works on at once; bounds its memory on very long rows. Twice as much where a block
+#: has a cost of its own (tables to add up, caches, index shards).
+CHARS_AT_ONCE = 250_000
+LARGE_BLOCK = 2 * CHARS_AT_ONCE
 
 
 #: Bytes of one Arrow batch: a Python worker and its JVM hold several copies of one, and texts may be very long.

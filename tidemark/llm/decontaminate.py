@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Shipped
-from .common import CHARS_AT_ONCE, id_text, stored, text_blocks
+from .common import CHARS_AT_ONCE, LARGE_BLOCK, id_text, stored, text_blocks
 
 #: Words of one phrase; an item with fewer words is one phrase.
 WINDOW = 10
@@ -48,16 +48,15 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).lower().split() if text else []
 
 
-def _build(batches, column: str = "text"):
-    for shard, (block, texts) in enumerate(text_blocks(batches, column)):
-        words = [words_of(t) for t in texts]
-        starts = np.zeros(len(words) + 1, np.int32)
-        np.cumsum([len(w) for w in words], out=starts[1:])
-        number: dict[bytes, int] = {}
-        ids = np.fromiter((number.setdefault(w, len(number)) for w in chain.from_iterable(words)), np.int32, starts[-1])
-        order = np.argsort(ids, kind="stable").astype("<i4")
-        ends = np.cumsum(np.bincount(ids, minlength=len(number))).astype(np.int32)
-        yield shard, block.column(0), starts, number, ids, order, ends
+def _index_of(texts: list[str | None]):
+    """(each text's first position, the number of each term, all positions term by term, where each term's end)."""
+    words = [words_of(t) for t in texts]
+    starts = np.zeros(len(words) + 1, np.int32)
+    np.cumsum([len(w) for w in words], out=starts[1:])
+    number: dict[bytes, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in chain.from_iterable(words)), np.int32, starts[-1])
+    order = np.argsort(ids, kind="stable").astype("<i4")
+    return starts, number, order, np.cumsum(np.bincount(ids, minlength=len(number))).astype(np.int32)
 
 
 def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -67,7 +66,8 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId() << 40
-        for shard, ids, starts, number, _, order, ends in _build(batches):
+        for shard, (block, texts) in enumerate(text_blocks(batches, "text", LARGE_BLOCK)):
+            ids, (starts, number, order, ends) = block.column(0), _index_of(texts)
             packed = [pa.array([x], pa.binary()) for x in (starts.astype("<i4").tobytes(), b" ".join(number), ends.astype("<i4").tobytes(), order.tobytes())]
             yield pa.RecordBatch.from_arrays([pa.array([task + shard]), pa.array([ids.to_pylist()], pa.list_(pa.int64())), *packed], ["shard", "doc_ids", "starts", "terms", "ends", "positions"])
 
@@ -260,14 +260,13 @@ def without_hits(docs: DataFrame, blocks: DataFrame, text_col: str = "text") ->
     for phrases in passes(blocks):
 
         def run(batches, phrases=phrases):
-            for block, texts in text_blocks(batches, text_col):
-                for _, _, starts, number, _, order, ends in _build([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["row", "text"])]):
-                    keep = np.ones(len(starts) - 1, bool)
-                    for phrase in phrases:
-                        for document, *_ in _search_shard(starts, list(number), ends, order, phrase.value):
-                            keep[document] = False
-                    yield block.take(pa.array(np.flatnonzero(keep)))
-                    block = block.slice(len(keep))
+            for block, texts in text_blocks(batches, text_col, LARGE_BLOCK):
+                starts, number, order, ends = _index_of(texts)
+                keep = np.ones(len(texts), bool)
+                for phrase in phrases:
+                    for document, *_ in _search_shard(starts, list(number), ends, order, phrase.value):
+                        keep[document] = False
+                yield block.take(pa.array(np.flatnonzero(keep)))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

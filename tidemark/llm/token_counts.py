@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Shipped
-from .common import id_text, text_blocks, worker_state
+from .common import LARGE_BLOCK, id_text, text_blocks, worker_state
 
 #: Entries after which a worker's caches start anew.
 CACHE_ENTRIES = 500_000
@@ -224,7 +224,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     file = _ship(docs, vocabulary_path)
 
     def run(batches):
-        for block, texts in text_blocks(batches, "text", operator="token_counts"):
+        for block, texts in text_blocks(batches, "text", LARGE_BLOCK, operator="token_counts"):
             counts = np.array(_load(file).counts(texts), np.int64)
             size = np.array([len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts], np.int64)
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(size), pa.array(counts)], ["doc_id", "n_bytes", "n_tokens"])
@@ -237,7 +237,7 @@ def prefix_table(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     file = _ship(docs, vocabulary_path)
 
     def run(batches):
-        for block, texts in text_blocks(batches, "text", operator="token_counts"):
+        for block, texts in text_blocks(batches, "text", LARGE_BLOCK, operator="token_counts"):
             counter = _load(file)
             counter.counts([])
             table = pa.array([counter.prefix_counts(t) for t in texts], pa.list_(pa.int32()))

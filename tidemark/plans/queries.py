@@ -99,6 +99,24 @@ def x3_dns(spark: SparkSession, d: str) -> DataFrame:
     return _shown(extract.extract_dns(_content(s, F.col("s_suppkey"), body)))
 
 
+@query("""
+SELECT CAST(s_suppkey AS VARCHAR) AS job_id, s_nationkey % 2 = 1 AS spf_yok, CASE s_nationkey % 4 WHEN 0 THEN '?all' WHEN 2 THEN '-all' END AS spf_all, CASE s_nationkey % 4 WHEN 0 THEN true WHEN 2 THEN false END AS spf_zayif,
+  CASE WHEN s_nationkey % 2 = 0 THEN 'mail' || s_nationkey || '.net,b.example.org' END AS spf_include, CASE WHEN s_nationkey % 2 = 0 THEN '192.0.2.0/24' END AS spf_ip4, s_suppkey % 3 = 0 AS dmarc_yok,
+  CASE WHEN s_suppkey % 3 <> 0 THEN CASE s_suppkey % 3 WHEN 1 THEN 'None' ELSE 'reject' END END AS dmarc_p, CASE WHEN s_suppkey % 3 <> 0 THEN CAST(s_nationkey AS VARCHAR) END AS dmarc_pct, CASE s_suppkey % 3 WHEN 1 THEN true WHEN 2 THEN false END AS dmarc_zayif,
+  s_nationkey % 5 <> 0 AS caa_yok, CASE WHEN s_nationkey % 5 = 0 THEN '0 issue ca' || s_nationkey || '.example' END AS caa, 'ns.example.com. ' || s_suppkey AS soa FROM supplier""", False)
+def x3e_mail_policy(spark: SparkSession, d: str) -> DataFrame:
+    s, n = fx.read(spark, d, "supplier"), F.col("s_nationkey").cast("string")
+    odd = F.col("s_nationkey") % 2 == 1
+    spf = F.concat(F.lit('"other text","\\"v=spf1 include:mail'), n, F.lit('.net. ip4:192.0.2\\" \\".0/24 include:b.example.org '), F.when(F.col("s_nationkey") % 4 == 0, "?all").otherwise("-ALL"), F.lit('\\""'))
+    caa = F.when(F.col("s_nationkey") % 5 == 0, F.concat(F.lit('"0 issue ca'), n, F.lit('.example"'))).otherwise("")
+    dmarc = F.when(F.col("s_suppkey") % 3 == 0, F.lit('"v=other"')).otherwise(F.concat(F.lit('"v=DMARC1; P='), F.when(F.col("s_suppkey") % 3 == 1, "None").otherwise("reject"), F.lit(" ; pct="), n, F.lit('; x"')))
+    body = F.concat(F.lit('{"hedef":"www.example.com","kayitlar":{"TXT":{"durum":"ok","veri":['), F.when(odd, F.lit('"other text"')).otherwise(spf), F.lit(']},"CAA":{"durum":"ok","veri":['), caa, F.lit(']},"SOA":{"durum":"ok","veri":["ns.example.com. '), F.col("s_suppkey").cast("string"), F.lit('"]}},"dmarc":{"durum":"ok","veri":['), dmarc, F.lit("]}}"))
+    rows = extract.extract_dns(_content(s, F.col("s_suppkey"), body)).where("raw_path = '$.kayitlar'")
+    fields = {"spf_yok": "boolean", "spf_all": "string", "spf_zayif": "boolean", "spf_include": "array<string>", "spf_ip4": "array<string>", "dmarc_yok": "boolean", "dmarc_p": "string", "dmarc_pct": "string", "dmarc_zayif": "boolean", "caa_yok": "boolean", "caa": "array<string>", "soa": "string"}
+    found = F.from_json("data", ", ".join(f"{k} {v}" for k, v in fields.items()))
+    return rows.select("job_id", *[(F.array_join(found[k], ",") if v.startswith("array") else found[k]).alias(k) for k, v in fields.items()])
+
+
 @query("""
 SELECT CAST(c_custkey AS VARCHAR) AS job_id, 'org' AS type, c_name AS raw, '$.entities[?(@.roles==''registrant'')]' AS raw_path, 'owned_by>domain>example.com>in' AS relations FROM customer WHERE c_mktsegment <> 'BUILDING'
 UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'subdomain', 'ns1.example.net', '$.nameservers[1].ldhName', 'ns_for>domain>example.com>out' FROM customer

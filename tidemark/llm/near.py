@@ -9,6 +9,8 @@ those too. Where that needs too many parts (k of 40 or more, and middle k at low
 stand than could be empty: a pair at the very threshold then hangs on chance, since its differences fall on the
 pieces at random and leave more than a quarter of them alone, and all of those would have to be empty ones. That
 chance is below 1e-12 for k of 40 or more and about 1e-7 for the middle k, for a pair with no difference to spare.
+Measured at the very threshold, 400 pairs each of 30 to 1,000 shingles and 100 each of 2,000 and 4,000, at similarities
+0.9 and 0.8: no pair was lost.
 
 Work on the signatures never pairs a whole group:
 1. equal sets are one class, found by a 128-bit key; only its smallest id goes on;
@@ -331,19 +333,20 @@ def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
 
 
 def _grouped(stars: DataFrame, linked: DataFrame) -> DataFrame:
-    """(sig, id, component) of signatures that hold three members or more in several components."""
+    """(sig, id, component, n) of signatures that hold three members or more in several components; n: members."""
     members = stars.select("sig", F.col("a").alias("id")).union(stars.select("sig", "b")).distinct()
-    known = members.join(linked, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
-    open_ = known.groupBy("sig").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("n > 2 and x <> y").select("sig", "n")
-    return checkpointed(known.join(open_, "sig"))
+    known = checkpointed(members.join(linked, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component")))
+    open_ = stored(known.groupBy("sig").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("n > 2 and x <> y").select("sig", "n"))
+    return checkpointed(join_hot(known, open_, ["sig"], hot_keys(open_, ["sig"])))
 
 
 def _second_hubs(groups: DataFrame, links: DataFrame) -> DataFrame:
     """(a, b): each open group's member with most links, and its members of other components."""
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("degree"))
-    ranked = groups.join(degree, "id", "left").select("sig", "id", "component", F.coalesce("degree", F.lit(0)).alias("degree"))
-    hub = ranked.groupBy("sig").agg(F.max_by(F.struct("id", "component"), F.struct("degree", -F.col("id"))).alias("hub"))
-    return ranked.join(hub, "sig").where("component <> hub.component").select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
+    ranked = checkpointed(groups.join(degree, "id", "left").select("sig", "id", "component", F.coalesce("degree", F.lit(0)).alias("degree")))
+    hub = stored(ranked.groupBy("sig").agg(F.max_by(F.struct("id", "component"), F.struct("degree", -F.col("id"))).alias("hub"), F.count("*").alias("n")))
+    met = join_hot(ranked, hub.drop("n"), ["sig"], hot_keys(hub, ["sig"]))
+    return met.where("component <> hub.component").select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def _block_pairs(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

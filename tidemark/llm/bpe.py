@@ -19,6 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -78,11 +79,31 @@ def tokens_of(rank_file: bytes) -> dict[int, bytes]:
     return {int(b): base64.b64decode(a) for a, b in (line.split() for line in rank_file.splitlines() if line.strip())}
 
 
+class Decoder:
+    """The bytes of all tokens in one row, so that many ids are looked up at once."""
+
+    def __init__(self, tokens: dict[int, bytes]):
+        size = np.full(max(tokens) + 1, -1, np.int64)
+        size[list(tokens)] = list(map(len, tokens.values()))
+        self.size, self.start = size, np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0)
+        self.bytes = np.frombuffer(b"".join(tokens[i] for i in sorted(tokens)), np.uint8)
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """The bytes of each text, whose ids lie between neighbouring offsets; KeyError for an unknown id."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.size) or (self.size[ids] < 0).any()):
+            raise KeyError("ids of no token")
+        n = self.size[ids]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        data = self.bytes[np.repeat(self.start[ids] - ends[:-1], n) + np.arange(ends[-1])]
+        return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(ends[offsets].astype(np.int32)), pa.py_buffer(data)])
+
+
 class ByteBpe:
     """Ranks of a .tiktoken file and the pattern that cuts text into words."""
 
     def __init__(self, rank_file: bytes, pattern: str):
         self.tokens = tokens_of(rank_file)
+        self.decoder = Decoder(self.tokens)
         self.ranks = {t: i for i, t in self.tokens.items()}
         self.pattern = regex.compile(pattern)
         self.bytes_to_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
@@ -192,7 +213,7 @@ class ByteBpe:
 def _load(rank_file, pattern: str | None):
     """One per Python worker; the vocabulary comes as a broadcast of the file, whose size is fixed. Without a
     pattern only the tokens' bytes, which is all that decoding needs."""
-    return worker_state("bpe", (rank_file.id, pattern), lambda: tokens_of(rank_file.value) if pattern is None else ByteBpe(rank_file.value, pattern))
+    return worker_state("bpe", (rank_file.id, pattern), lambda: Decoder(tokens_of(rank_file.value)) if pattern is None else ByteBpe(rank_file.value, pattern))
 
 
 def _broadcast_file(df: DataFrame, path: str):
@@ -232,11 +253,12 @@ def decode(encoded: DataFrame, rank_path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            token = _load(file, None).__getitem__
+            decoder = _load(file, None)
             lists = batch.column(batch.schema.get_field_index("ids"))
             for start in range(0, len(lists), 500):
                 part = lists.slice(start, 500)
-                out = pa.array([b"".join(map(token, x or ())) for x in part.to_pylist()], pa.binary())
+                size = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)
+                out = decoder.decode(part.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate(([0], np.cumsum(size))))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, 500), part, out], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
@@ -249,11 +271,11 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc
     def run(batches):
         for block, texts in text_blocks(batches, "text", LARGE_BLOCK, operator="bpe"):
             bpe = _load(file, pattern)
-            ids, token = bpe.encode(texts), bpe.tokens.__getitem__
+            ids = bpe.encode(texts)
             offsets = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
             flat = np.frombuffer(b"".join(ids), "<i4")
-            decoded = pa.array([b"".join(map(token, np.frombuffer(x, "<i4").tolist())) for x in ids], pa.binary())
+            decoded = bpe.decoder.decode(flat.astype(np.int64), offsets)
             yield pa.RecordBatch.from_arrays([block.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), decoded], ["doc_id", "ids", "decoded"])
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")

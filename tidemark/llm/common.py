@@ -102,24 +102,40 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Written as Parquet in the shared folder and read again: cut lineage, with columns read as needed. The
-    folder goes when the driver's Python ends."""
+#: Folders that the innermost `scratch` block is to drop.
+_SCRATCH: list[list[str]] = []
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(jvm_path, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """What operators store within the block goes at its end; so results must be stored by then, with outlives."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            _drop(spark, path)
+
+
+def stored(df: DataFrame, outlives: bool = False) -> DataFrame:
+    """Written as Parquet in the shared folder and read again: cut lineage, with columns read as needed. The folder
+    goes at the end of a `scratch` block, or, without one or if it outlives it, when the driver's Python ends."""
     import atexit
     import uuid
 
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
     df.write.parquet(path)
-
-    def drop():
-        try:
-            jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(jvm_path, True)
-        except Exception:  # noqa: BLE001  the session may have ended before
-            pass
-
-    atexit.register(drop)
+    if _SCRATCH and not outlives:
+        _SCRATCH[-1].append(path)
+    else:
+        atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

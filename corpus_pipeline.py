@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, lines, near, toxicity
-from tidemark.llm.common import read, stored
+from tidemark.llm.common import read, scratch, stored
 from tidemark.llm.queries import bpe_digest
 
 
@@ -54,7 +54,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        with scratch(spark):
+            docs = stored(stage(spark, docs, sf_dir), outlives=True)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

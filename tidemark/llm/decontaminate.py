@@ -329,3 +329,17 @@ def digest(hits: DataFrame) -> DataFrame:
         F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
+
+
+_SQL_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce({_SQL_WORDS}, []) AS w FROM documents),
+i AS (SELECT item_id, {_SQL_WORDS} AS w FROM benchmark),
+p AS (SELECT DISTINCT item_id, list_slice(w, k, least(k + 9, len(w))) AS win FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS k FROM i WHERE len(w) > 0)),
+n AS (SELECT DISTINCT len(win) AS n FROM p),
+s AS (SELECT rid, k, n, list_slice(w, k, k + n - 1) AS win FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, n WHERE len(w) >= n)),
+h AS (SELECT rid, k, n, item_id FROM s JOIN p USING (win)),
+c AS (SELECT rid, count(DISTINCT place) AS n_hit FROM (SELECT rid, unnest(range(k, k + n)) AS place FROM (SELECT DISTINCT rid, k, n FROM h)) GROUP BY rid),
+o AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM h WHERE item_id IS NOT NULL) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (rid) LEFT JOIN o USING (rid)
+"""

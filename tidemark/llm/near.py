@@ -418,3 +418,16 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     named = some.where(F.col(id_col).isNotNull())
     kept = named.join(losers, key == F.col("id"), "left_anti").dropDuplicates([id_col])
     return kept.unionByName(some.where(F.col(id_col).isNull())).unionByName(rest)
+
+
+#: The same components in SQL, for the registered query's 3-word shingles and 90 percent.
+SQL = r"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(1, len(w) - 2) + 1), lambda k: array_to_string(list_slice(w, k, k + 2), ' '))) END AS s FROM t),
+u AS (SELECT s, min(doc_id) AS chief, len(s) AS n FROM (SELECT doc_id, list_sort(s) AS s FROM s WHERE len(s) > 0 AND doc_id IS NOT NULL) GROUP BY s),
+e AS (SELECT row_number() OVER () AS k, chief, n, unnest(s) AS sh FROM u),
+pairs AS (SELECT a.chief AS a, b.chief AS b FROM e a JOIN e b ON a.sh = b.sh AND a.chief <> b.chief AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY a.chief, b.chief, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r(id, c) AS (SELECT chief, chief FROM u UNION SELECT pairs.b, r.c FROM r JOIN pairs ON pairs.a = r.id WHERE r.c < pairs.b),
+m AS (SELECT id, min(c) AS c FROM r GROUP BY id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.c, s.doc_id) AS component_id FROM s LEFT JOIN u ON u.s = list_sort(s.s) AND s.doc_id IS NOT NULL LEFT JOIN m ON m.id = u.chief
+"""

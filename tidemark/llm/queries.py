@@ -88,4 +88,4 @@ QUERIES = {
 }
 
 #: DuckDB SQL of those queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op8_top_k": topk.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_decontaminate": decontaminate.SQL, "op8_top_k": topk.SQL, "op10_jaccard_join": near.SQL}

@@ -192,6 +192,49 @@ def test_severity_and_escape(spark):
     assert [r[0] for r in texts] == ["&lt;b&gt; a\\|b \\*x\\*", "—"]
 
 
+def test_reports_line_by_line_and_as_documents(spark, tmp_path):
+    rows = [(inv, section, f"{k:03d}", "", "", f"{inv} line {section} {k}") for inv in ("a", "b") for section in (0, 1) for k in range(40)]
+    lines = spark.createDataFrame(rows, "inv_id string, section int, k1 string, k2 string, k3 string, line string").repartition(5)
+    report.write_lines(lines, f"{tmp_path}/reports")
+    want = {inv: [r[-1] for r in rows if r[0] == inv] for inv in ("a", "b")}
+    for inv, text in want.items():
+        files = sorted((tmp_path / "reports" / f"inv_id={inv}").glob("part-*"))
+        assert [line for f in files for line in f.read_text().splitlines()] == text
+    assert {r.inv_id: r.markdown for r in report.documents(lines).collect()} == {inv: "\n".join(text) for inv, text in want.items()}
+
+
+def test_counters_of_answers(spark):
+    items = [{"id": "v1", "skor": 5, "gerekce": "g"}, {"id": "v2", "skor": 7, "gerekce": "g"}, {"id": "v9", "skor": 1, "gerekce": "g"}, 5]
+    guesses = [{"baslik": "t", "aciklama": "b", "guven": 1, "ids": ["v1"]}, {"baslik": "t", "aciklama": "b", "guven": 1, "ids": ["v2"]}, {"baslik": "", "aciklama": "b", "guven": 1, "ids": ["v1"]}, {"baslik": "t", "aciklama": "b", "guven": 1, "ids": ["v8"]}]
+    response = spark.createDataFrame([("i", 0, json.dumps({"skorlar": items, "hipotezler": guesses})), ("j", 0, "broken")], "inv_id string, batch int, response string")
+    labels = spark.createDataFrame([("i", 0, "v1", "a"), ("i", 0, "v2", "b"), ("i", 0, "v3", "c"), ("j", 0, "v1", "d")], "inv_id string, batch int, label string, entity_id string")
+    here = spark.createDataFrame([("i", "a"), ("i", "c")], "inv_id string, entity_id string")
+    got = {r.inv_id: (r.scores_written, r.hypotheses_written, r.hallucinated, r.missing) for r in scoring.counters(response, labels, here).collect()}
+    assert got == {"i": (1, 1, 2 + 2 + 1 + 1, 1), "j": (0, 0, 0, 1)}
+
+
+def test_listing_slots_and_quota_over_days(spark):
+    import random
+
+    rng = random.Random(3)
+    times = sorted(rng.choice((T0, T0 + dt.timedelta(days=40))) + dt.timedelta(seconds=rng.randrange(3 * 86400)) for _ in range(300))
+    rows = [(i, "shodan-lookup", t, t.timestamp()) for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "request_id int, tool string, ts timestamp, t double")
+    got = {r.request_id: (r.rn, r.admitted) for r in joblog.quota(df, schema.tool_spec(spark)).collect()}
+    month, want = {}, {}
+    for i, t in enumerate(times):
+        month[t.month] = month.get(t.month, 0) + 1
+        want[i] = month[t.month], month[t.month] <= 100
+    assert got == want
+    slots = {r.request_id: r.slot for r in joblog.slots(df, schema.tool_spec(spark)).collect()}
+    last = float("-inf")
+    for i, t in enumerate(times):
+        last = max(t.timestamp(), last + 1)
+        assert abs(slots[i] - last) < 1e-5
+    listed = joblog.listing(df.select(F.col("request_id").cast("string").alias("job_id"), F.col("ts").alias("created_at"))).collect()
+    assert [r.job_id for r in listed] == [str(i) for i, _ in sorted(enumerate(times), key=lambda x: (x[1], str(x[0])), reverse=True)] and [r.place for r in listed] == list(range(1, 301))
+
+
 def test_constraint_checks(spark):
     rel = spark.createDataFrame([("r", "i", "a", "a", "runs_on"), ("q", "i", "a", "b", "odd"), ("p", "i", "a", "b", "odd")], "rel_id string, inv_id string, src_id string, dst_id string, type string")
     assert {r.check: r.n for r in schema.violations(rel, "relationship").collect()} == {"self": 1, "type": 2, "key": 1}

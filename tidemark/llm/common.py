@@ -121,6 +121,16 @@ def scratch(spark: SparkSession):
     finally:
         for path in _SCRATCH.pop():
             _drop(spark, path)
+        tidy(spark)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files and checkpoints of tables that nothing refers to any more. It learns of them
+    only when the driver collects its garbage, which a long iteration of small jobs may not cause for an hour."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def stored(df: DataFrame, outlives: bool = False) -> DataFrame:

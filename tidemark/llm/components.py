@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, tidy
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -31,4 +31,5 @@ def components(links: DataFrame) -> DataFrame:
         at_a, at_b = point.select(F.col("v").alias("a"), F.col("p").alias("x")), point.select(F.col("v").alias("b"), F.col("p").alias("y"))
         moved = edges.join(at_a, "a").join(at_b, "b").where("x <> y")
         edges = checkpointed(moved.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+        tidy(links.sparkSession)
     return result

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, hot_keys, join_hot, split_by_ids, stored
+from .common import checkpointed, hot_keys, join_hot, scratch, split_by_ids, stored, tidy
 
 MIN_WORDS = 50
 #: Suffixes in a range of the array, about: a task's memory.
@@ -84,6 +84,7 @@ def suffix_ranks(suffixes: DataFrame, depth: int) -> DataFrame:
         names = named(both.select("a", "b"))
         now = checkpointed(both.join(names, ["a", "b"]).select("seg", "i", "rank"))
         length, count = 2 * length, names.count()
+        tidy(suffixes.sparkSession)
         if count == known:  # no class split: none will
             break
         known = count
@@ -226,7 +227,9 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
 def rewritten(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with all columns, later copies deleted from the text, and __tidemark_lines (the lines it had)
     and __tidemark_removed (the lines that went)."""
-    spans = stored(repeated_spans(docs, min_words, id_col, text_col)).withColumnsRenamed({"doc": f"{_X}doc", "twin": f"{_X}twin", "spans": f"{_X}spans"})
+    with scratch(docs.sparkSession):
+        spans = stored(repeated_spans(docs, min_words, id_col, text_col), outlives=True)
+    spans = spans.withColumnsRenamed({"doc": f"{_X}doc", "twin": f"{_X}twin", "spans": f"{_X}spans"})
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
     lines = F.split(F.col(text_col).cast("string"), "\n")
     n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(f"{_X}lines")

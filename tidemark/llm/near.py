@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, hot_keys, id_text, join_hot, split_by_ids, stored, text_blocks
+from .common import checkpointed, hot_keys, id_text, join_hot, scratch, split_by_ids, stored, text_blocks, tidy
 from .components import components
 from .hashing import Words, mix
 
@@ -392,7 +392,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     sets = usable.select("doc_id", "n_shingles", "counts")
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        return checkpointed(verified(checkpointed(close_enough(pairs.distinct(), sets, percent)), docs, width, percent))
+        found = checkpointed(verified(checkpointed(close_enough(pairs.distinct(), sets, percent)), docs, width, percent))
+        tidy(docs.sparkSession)
+        return found
 
     links = links_of(stars.select("a", "b"))
     groups = _grouped(stars, components(links))
@@ -410,7 +412,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns, without those that link to one of smaller id, however far; a repeated id stays
     once. Texts without words and rows of a null id all stay."""
-    found = stored(near_duplicates(docs, width, percent, id_col, text_col)).where("n_shingles > 0 and doc_id is not null")
+    with scratch(docs.sparkSession):
+        found = stored(near_duplicates(docs, width, percent, id_col, text_col), outlives=True)
+    found = found.where("n_shingles > 0 and doc_id is not null")
     losers = found.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
     twice = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("id"))
     key = F.col(id_col).cast("long")

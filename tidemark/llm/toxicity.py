@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Shipped
-from .common import fold, id_text, stored, text_blocks
+from .common import fold, id_text, scratch, stored, text_blocks
 from .hashing import LETTERS, Words
 
 #: Labelled rows that training uses at most.
@@ -176,6 +176,11 @@ def _gradient(compact: DataFrame, model: Model) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Model:
     """Learns from the labelled documents (keep held-out rows away before)."""
+    with scratch(docs.sparkSession):
+        return _fit(docs, labels, label_col, id_col, text_col, fit_rows)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, fit_rows: int) -> Model:
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("long").alias("label")).where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
     # the sample is drawn from ids and labels alone; texts are read for it only
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, lines, lm, near, token_counts, topk, toxicity, urls
+from . import bpe, decontaminate, language, lines, lm, near, repair, token_counts, topk, toxicity, urls
 from .common import fold, read, stored
 
 
@@ -71,6 +71,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = repair.damage(read(spark, sf_dir, "conversations"))
+    return repair.digests(damaged, repair.audits(damaged))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,8 +89,9 @@ QUERIES = {
         op8_top_k,
         op9_toxicity,
         op10_jaccard_join,
+        op11_conversation_repair,
     )
 }
 
 #: DuckDB SQL of those queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op2_decontaminate": decontaminate.SQL, "op8_top_k": topk.SQL, "op10_jaccard_join": near.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_decontaminate": decontaminate.SQL, "op8_top_k": topk.SQL, "op10_jaccard_join": near.SQL, "op11_conversation_repair": repair.SQL}

@@ -8,7 +8,7 @@ import zlib
 
 import pytest
 
-from tidemark.llm import repair
+from tidemark.llm import licenses, repair, trie
 
 TURNS = "conv_id long, turn long, role string, text string, n_convs string, audit string"
 
@@ -140,3 +140,118 @@ def test_repair(spark, monkeypatch, gathered):
 def test_repair_of_nothing(spark):
     none = spark.createDataFrame([], TURNS)
     assert repair.digests(repair.damage(none), repair.audits(repair.damage(none))).count() == 0
+
+
+def trie_by_hand(rows):
+    talks = {}
+    for c, t, role, text, *_ in rows:
+        if c is not None:
+            talks.setdefault(c, []).append((t is not None, t or 0, role or "", text or ""))
+    talks = {c: [x[2:] for x in sorted(v)] for c, v in talks.items()}
+    built = {}
+    for c, own in talks.items():
+        h, base = crc(str(c)) % 4, c - (c % 20 if c >= 0 else -(-c % 20))
+        built[c] = tuple(talks.get(base, [])[:h] + own[h:])
+    nodes = {}
+    for c, seq in built.items():
+        for d in range(len(seq) + 1):
+            nodes.setdefault(seq[:d], []).append(c)
+    out = []
+    for seq, members in nodes.items():
+        under = [x for x in nodes if x[: len(seq)] == seq]
+        kids = lambda x: [y for y in nodes if len(y) == len(x) + 1 and y[: len(x)] == x]
+        saved = sum((len(nodes[x]) - 1) * len(re.findall(r"[^\x20\x09-\x0D]+", x[-1][1])) for x in under if x)
+        ends = ",".join(str(c) for c in sorted(members) if len(built[c]) == len(seq))
+        out.append((min(members), len(seq), min(nodes[seq[:-1]]) if seq else None, len(members), len(kids(seq)), sum(not kids(x) for x in under), saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+NODES = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+@pytest.mark.parametrize("limit", [1, 4, 256])
+def test_trie(spark, limit):
+    rows = [r for r in talks() if (r[0] or 0) < 45 or r[0] >= 200]
+    shared = [(500 + k, t, "user", f"turn {t}" if t < 6 else f"end {k // 2}", "x", "y") for k in range(24) for t in range(7 + k % 3)]  # many share six turns
+    rows += shared
+    got = trie.trie(spark.createDataFrame(rows, TURNS).repartition(3), limit)
+    assert tuple(got.columns) == NODES
+    assert by_rows(got, *NODES) == trie_by_hand(rows)
+
+
+def test_trie_of_hot_copies_and_of_nothing(spark):
+    rows = [(c, t, "user", "same words here", "x", "y") for c in range(1, 600) for t in range(4)]
+    rows += [(1000 + c, t, "user", f"other {c * t}", "x", "y") for c in range(300) for t in range(3)]
+    frame = spark.createDataFrame(rows, TURNS).repartition(5)
+    hot = [r for r in trie.trie(frame, 16).collect() if r.depth == 4]
+    assert len([r for r in hot if r.n_convs > 500]) == 1
+    root = [r for r in trie.trie(frame, 16).collect() if r.depth == 0]
+    assert len(root) == 1 and root[0].n_convs == 899 and root[0].parent_conv_id is None
+    assert trie.trie(spark.createDataFrame([], TURNS)).count() == 0
+
+
+DOCS = "doc_id long, text string, base string, digest string, rank int, labels string"
+
+
+def license_texts():
+    mit = dict(licenses.TEMPLATES)["mit"]
+    rng = random.Random(4)
+    some = [
+        None, "", " .,;", "plain words only", "Released under the MIT License.", "UNDER THE MIT LICENSE under the mit license, under the MIT-license", "licensed under cc by-nc 4.0.",
+        "the Apache License, Version 2.0 and CC BY-NC", "this work is licensed under the GNU general public license, version 3.", "a b " * 40 + mit + " c d" * 300, mit.replace("modify", "change").replace("deal", "trade"),
+        " ".join(mit.split()[:30]), "under the mit licen\u212Ae İ K", "émigré under the mıt license", "x\x00under\x00the\x00mit\x00license", "gnu " * 500 + "general public license version 3 this work is licensed under the",
+        "apache license version 2" * 3, "apache license version 2 " * 3,
+    ]
+    words = sorted({w for _, t in licenses.TEMPLATES for w in t.split()})
+    some += [" ".join(rng.choice(words) for _ in range(n)) for n in (10, 40, 100, 400)] + [t.upper() for _, t in licenses.TEMPLATES]
+    return [(i, t, "clash", "clash", 1, "clash") for i, t in enumerate(some)] + [(8, some[8], "x", "y", 2, "z")] * 5 + [(None, some[9], None, None, None, None)]
+
+
+def licenses_by_hand(rows):
+    spec, out = licenses.templates(), []
+    for d, text, *_ in rows:
+        low = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        at = [(i, label) for label, p in licenses.PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        base, found, score = {x for _, x in at}, set(), 0.0
+        for s in spec:
+            for start in range(0, len(w), s["step"]):
+                held = len(set(w[start : start + 2 * s["step"]]) & set(s["tokens"]))
+                if held >= s["need"]:
+                    found.add(s["label"])
+                    score = max(score, held / len(s["tokens"]))
+        starts = [i for i, _ in at]
+        out.append((d, len(w), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | found)), 1.0 if at else score))
+    return sorted(out, key=repr)
+
+
+FOUND = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def test_licenses(spark):
+    rows = license_texts()
+    frame = spark.createDataFrame(rows, DOCS).repartition(3)
+    found, blocks = licenses.scan(frame)
+    want = licenses_by_hand(rows)
+    assert by_rows(found, *FOUND) == want
+    assert {x for r in want for x in r[6].split(",") if x} == {x for x, _ in licenses.TEMPLATES} and any(0 < r[7] < 1 for r in want)
+    assert blocks.where("containment < 0.8 or containment > 1").count() == 0
+    assert licenses.scan(spark.createDataFrame([], DOCS))[0].count() == 0
+
+
+def test_license_filters_lose_no_block(spark):
+    rng = random.Random(9)
+    words = [f"t{k}" for k in range(30)]
+    spec = [(f"l{k}", " ".join(rng.sample(words, n))) for k, n in enumerate((1, 2, 5, 9, 14, 26))]
+    rows = [(k, " ".join(rng.choice(words[:n]) for _ in range(m)), "", "", 0, "") for k, (n, m) in enumerate((n, m) for n in (6, 14, 30) for m in (3, 20, 70, 300))]
+    for percent in (50, 75, 100):
+        found, _ = licenses.scan(spark.createDataFrame(rows, DOCS), spec, percent, [("p", "t1 t2")])
+        got = {r.doc_id: (set(r.labels.split(",")) - {"p", ""}, r.score) for r in found.collect()}
+        for d, text, *_ in rows:
+            w, want, best = text.split(), set(), 0.0
+            for s in licenses.templates(spec, percent):
+                for start in range(0, len(w), s["step"]):
+                    held = len(set(w[start : start + 2 * s["step"]]) & set(s["tokens"]))
+                    if held >= s["need"]:
+                        want, best = want | {s["label"]}, max(best, held / len(s["tokens"]))
+            assert got[d][0] == want and (got[d][1] == best or " t1 t2 " in f" {text} ")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, lines, lm, near, repair, token_counts, topk, toxicity, urls
+from . import bpe, decontaminate, language, licenses, lines, lm, near, repair, token_counts, topk, toxicity, trie, urls
 from .common import fold, read, stored
 
 
@@ -76,6 +76,15 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digests(damaged, repair.audits(damaged))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = licenses.scan(read(spark, sf_dir, "documents"))
+    return found.drop("digest")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -90,8 +99,10 @@ QUERIES = {
         op9_toxicity,
         op10_jaccard_join,
         op11_conversation_repair,
+        op12_license_scan,
+        op13_prefix_trie,
     )
 }
 
 #: DuckDB SQL of those queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op2_decontaminate": decontaminate.SQL, "op8_top_k": topk.SQL, "op10_jaccard_join": near.SQL, "op11_conversation_repair": repair.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_decontaminate": decontaminate.SQL, "op8_top_k": topk.SQL, "op10_jaccard_join": near.SQL, "op11_conversation_repair": repair.SQL, "op12_license_scan": licenses.SQL, "op13_prefix_trie": trie.SQL}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import entity_id, job_id
+from ..storage import stored
 
 MAX_DEPTH = 3
 
@@ -39,6 +40,25 @@ def chained_jobs(observed: DataFrame, jobs: DataFrame, investigations: DataFrame
     return one.select(*_new_job(F.col("p.depth") + 1, F.col("p.job_id"))).join(jobs.select("job_id"), "job_id", "left_anti")
 
 
+def rounds(start: DataFrame, outputs: DataFrame, investigations: DataFrame, tools: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """C2 over all depths as one run: the jobs that `start` leads to, itself included. `outputs` has what the archive holds
+    of each (inv_id, tool, target_value): the observed (type, norm). Each round meets only the jobs of its own depth, the
+    frontier, with the outputs, and what it asks for and no earlier round has is the next one. The rounds are as many as
+    depths; a new job takes its parent's time, so that who asked first stays first."""
+    columns = ["job_id", "inv_id", "tool", "target_value", "parent_job_id", "depth", "created_at"]
+    frontier = stored(start.select(*columns))
+    every = frontier
+    for _ in range(max_depth):
+        observed = frontier.select("job_id", "inv_id", "tool", "target_value").join(outputs, ["inv_id", "tool", "target_value"]).select("job_id", "type", "norm")
+        new = chained_jobs(observed, frontier, investigations, tools, max_depth).join(every.select("job_id"), "job_id", "left_anti")
+        parents = frontier.select(F.col("job_id").alias("parent_job_id"), "created_at")
+        frontier = stored(new.join(parents, "parent_job_id").select(*columns))
+        if frontier.isEmpty():
+            break
+        every = every.unionByName(frontier)
+    return every
+
+
 def starting_jobs(investigations: DataFrame, tools: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(jobs to start, root entities with count 0, errors): the selected tools (all enabled if none) that
     accept the root's type; those of passivity P2 or A only with authorization."""

@@ -1,17 +1,23 @@
-"""Neighbours and evidence. An OR over two ends is written as a union of two equi-joins."""
+"""Neighbours and evidence. An OR over two ends is written as a union of two equi-joins. Any entity may be an
+end of most edges, or have most of the evidence: ends that are common meet their entity by broadcast, and places are
+carried over ranges, so that no task holds an entity's rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..ranges import spread
+from ..skew import join_one
+from ..storage import stored
+
 PAGE = 50
 
 
 def isolated(relationships: DataFrame, entities: DataFrame) -> DataFrame:
     """The edges whose both ends are entities of the edge's own investigation, with the ends' keys."""
     side = lambda p: entities.select(F.col("entity_id").alias(f"{p}_id"), F.col("inv_id").alias(f"{p}_inv"), F.col("type").alias(f"{p}_type"), F.col("norm").alias(f"{p}_norm"))
-    met = relationships.join(side("src"), "src_id").join(side("dst"), "dst_id")
+    met = join_one(stored(join_one(stored(relationships), side("src"), "src_id")), side("dst"), "dst_id")
     return met.where("src_inv = inv_id and dst_inv = inv_id").drop("src_inv", "dst_inv")
 
 
@@ -20,21 +26,21 @@ def neighbours(relationships: DataFrame, entities: DataFrame) -> DataFrame:
     its page."""
     edges = isolated(relationships, entities).select("rel_id", "inv_id", "type", "src_id", "dst_id", "src_norm", "dst_norm")
     both = edges.select(F.col("src_id").alias("entity_id"), F.lit("out").alias("direction"), "*").unionByName(edges.select(F.col("dst_id").alias("entity_id"), F.lit("in").alias("direction"), "*"))
-    place = F.row_number().over(Window.partitionBy("entity_id").orderBy("type", "src_norm", "dst_norm", "rel_id"))
-    return both.withColumn("position", place).withColumn("page", F.ceil(F.col("position") / PAGE).cast("int"))
+    placed = spread(both, ["entity_id"], ["type", "src_norm", "dst_norm", "rel_id"]).numbered()
+    return placed.withColumn("page", F.ceil(F.col("position") / PAGE).cast("int"))
 
 
 def neighbour_page(rows: DataFrame, entity_id: str, number: int) -> DataFrame:
     """One page of one entity's neighbours; the number is clamped."""
-    last = F.max("page").over(Window.partitionBy("entity_id"))
-    own = rows.where(F.col("entity_id") == entity_id).withColumn("_last", last)
-    return own.where(F.col("page") == F.least(F.greatest(F.lit(1), F.lit(number)), F.col("_last"))).drop("_last")
+    own = rows.where(F.col("entity_id") == entity_id)
+    last = own.groupBy("entity_id").agg(F.max("page").alias("_last"))  # one row
+    return own.join(F.broadcast(last), "entity_id").where(F.col("page") == F.least(F.greatest(F.lit(1), F.lit(number)), F.col("_last"))).drop("_last")
 
 
 def evidence_chain(observations: DataFrame, newest_first: bool = True) -> DataFrame:
     """Adds each observation's place in its entity's chain."""
     time = F.desc("observed_at") if newest_first else F.asc("observed_at")
-    return observations.withColumn("position", F.row_number().over(Window.partitionBy("entity_id").orderBy(time, "obs_id")))
+    return spread(observations, ["entity_id"], [time, "obs_id"]).numbered()
 
 
 def lineage(observations: DataFrame, jobs: DataFrame, entities: DataFrame) -> DataFrame:

@@ -5,25 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..ranges import PART, met, spread
+from ..storage import stored
+
 #: Exit codes after which another attempt may help.
 TRANSIENT = [408, 429, 502, 503, 504, -1]
 ERROR_LIMIT = 2000
 
 
-def _ranked(rows: DataFrame, groups: list[str], time: Column, order: list[Column]) -> tuple[DataFrame, DataFrame]:
-    """(the rows with _day and _k, the place in `order` among their group's of that day; _n, the rows of each day of a
-    group). No task orders more than a day of a group; `order` begins with the time."""
-    days = rows.withColumn("_day", F.to_date(time))
-    counted = days.groupBy(*groups, "_day").agg(F.count("*").alias("_n"))
-    return days.withColumn("_k", F.row_number().over(Window.partitionBy(*groups, "_day").orderBy(*order))), counted
-
-
 def listing(rows: DataFrame, key: str = "job_id") -> DataFrame:
-    """Newest first, with each row's place. A row is counted among those of its day; a day's rows stand behind
-    those of all later days."""
-    days, counted = _ranked(rows, [], F.col("created_at"), [F.desc("created_at"), F.desc(key)])
-    later = counted.select("_day", (F.sum("_n").over(Window.orderBy(F.desc("_day"))) - F.col("_n")).alias("_before"))  # one row a day
-    return days.join(later.withColumnRenamed("_day", "_d"), F.col("_day").eqNullSafe(F.col("_d"))).withColumn("place", (F.col("_before") + F.col("_k")).cast("int")).select(*rows.columns, "place").orderBy("place")
+    """Newest first, with each row's place; rows are numbered within ranges of that order."""
+    return spread(rows, [], [F.desc("created_at"), F.desc(key)]).numbered("place").orderBy("place")
 
 
 def status_counts(jobs: DataFrame) -> DataFrame:
@@ -60,31 +52,31 @@ def retry_audit(attempts: DataFrame, tools: DataFrame) -> DataFrame:
 
 def slots(requests: DataFrame, tools: DataFrame, key: str = "request_id") -> DataFrame:
     """When each request of a tool may start: at its time, but at least 60 / per_minute seconds after the one
-    before. In closed form: the greatest (time - rank * interval) so far, plus rank * interval. Ranks and maxima are
-    found day by day, and what earlier days give is added. Times count in whole microseconds."""
+    before. That recurrence is a scan by (max, +): over a range of requests it is (rows, greatest time - rank * interval),
+    and two neighbouring ranges combine to one. So requests are laid out by ranges of time, of any length, each range is
+    scanned by itself, and what the earlier ranges of its tool combine to is added. Times count in whole microseconds."""
     spec = F.broadcast(tools.select("tool", (60e6 / F.col("per_minute")).alias("_gap")))
-    met = requests.join(spec, "tool").withColumn("_us", F.round(F.col("t") * 1e6))
-    days, _ = _ranked(met, ["tool"], F.timestamp_micros(F.col("_us").cast("bigint")), [F.asc("_us"), F.asc(key)])
-    days = days.withColumn("_free", F.col("_us") - F.col("_k") * F.col("_gap"))
-    each = days.groupBy("tool", "_day", "_gap").agg(F.count("*").alias("_n"), F.max("_free").alias("_top"))
-    before = Window.partitionBy("tool").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)  # one row a day
-    each = each.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    each = each.withColumn("_carried", F.max(F.col("_top") - F.col("_before") * F.col("_gap")).over(before)).select("tool", "_day", "_before", "_carried")
-    so_far = F.max("_free").over(Window.partitionBy("tool", "_day").orderBy("_us", key).rowsBetween(Window.unboundedPreceding, 0))
-    done = days.withColumn("_free", so_far).join(each, ["tool", "_day"])
-    shift = lambda n: n * F.col("_gap")
-    slot = F.greatest(F.col("_free") - shift(F.col("_before")), F.col("_carried")) + shift(F.col("_before") + F.col("_k"))
+    dealt = spread(requests.join(spec, "tool").withColumn("_us", F.round(F.col("t") * 1e6)), ["tool"], ["_us", key])
+    free = F.col("_us") - F.col("_k") * F.col("_gap")
+    scanned = dealt.rows.withColumn("_k", F.row_number().over(dealt.within())).withColumn("_free", F.max(free).over(dealt.within().rowsBetween(Window.unboundedPreceding, 0)))
+    scanned = stored(scanned)
+    each = scanned.groupBy("tool", PART, "_gap").agg(F.count("*").alias("_n"), F.max("_free").alias("_top"))
+    before = dealt.earlier()
+    each = each.withColumn("_before", F.sum("_n").over(before))
+    each = each.withColumn("_carried", F.max(F.col("_top") - F.coalesce("_before", F.lit(0)) * F.col("_gap")).over(before))
+    done = met(scanned, each.where("_before > 0").select("tool", PART, "_before", "_carried"), ["tool", PART])
+    rows_before = F.coalesce("_before", F.lit(0))
+    slot = F.greatest(F.col("_free") - rows_before * F.col("_gap"), F.col("_carried")) + (rows_before + F.col("_k")) * F.col("_gap")
     return done.select(key, "tool", "t", (slot / 1e6).alias("slot"))
 
 
 def quota(requests: DataFrame, tools: DataFrame, key: str = "request_id") -> DataFrame:
-    """Admitted while the tool's count of the UTC calendar month is below its quota; counted day by day."""
+    """Admitted while the tool's count of the UTC calendar month is below its quota: a rank by tool and month, its
+    segments cut into ranges wherever there are many rows."""
     spec = F.broadcast(tools.select("tool", "monthly_quota"))
-    days, counted = _ranked(requests, ["tool"], F.col("ts"), [F.asc("ts"), F.asc(key)])
-    month = Window.partitionBy("tool", F.date_trunc("month", "_day")).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = counted.select("tool", "_day", F.coalesce(F.sum("_n").over(month), F.lit(0)).alias("_before"))
-    met = days.join(earlier, ["tool", "_day"]).join(spec, "tool").withColumn("rn", (F.col("_before") + F.col("_k")).cast("int"))
-    return met.select(key, "tool", "rn", (F.col("monthly_quota").isNull() | (F.col("rn") <= F.col("monthly_quota"))).alias("admitted"))
+    months = requests.select(key, "tool", "ts", F.date_trunc("month", "ts").alias("_month"))
+    placed = spread(months, ["tool", "_month"], ["ts", key]).numbered("rn").join(spec, "tool")
+    return placed.select(key, "tool", "rn", (F.col("monthly_quota").isNull() | (F.col("rn") <= F.col("monthly_quota"))).alias("admitted"))
 
 
 def fold_attempts(attempts: DataFrame) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import cut
+from ..ranges import spread
+from ..storage import cut, stored
 from .graph import isolated, lineage
 from .scoring import latest
 from .triage import GROUPS, rank_of
@@ -86,14 +87,36 @@ def sections(investigations, triaged, observations, relationships, jobs, assessm
     return first.unionByName(lines)
 
 
+#: The order of a report's lines; total, since a line may stand twice only with different keys or the same text.
+ORDER = ["section", "k1", "k2", "k3", "line"]
+
+
+def document_lines(lines: DataFrame) -> DataFrame:
+    """inv_id, place (from 1), line of each document, whatever its length: places are carried over ranges."""
+    return spread(lines, ["inv_id"], ORDER).numbered("place", "bigint").select("inv_id", "place", "line")
+
+
 def documents(lines: DataFrame) -> DataFrame:
-    """inv_id, markdown. A document is one investigation's; very large ones are better written line by line,
-    sorted within range partitions, by `write_lines`."""
+    """inv_id, markdown, for documents that fit a row; `write_documents` has no such bound."""
     ordered = F.array_sort(F.collect_list(F.struct("section", "k1", "k2", "k3", "line")))
     return lines.groupBy("inv_id").agg(F.array_join(F.transform(ordered, lambda s: s["line"]), "\n").alias("markdown"))
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
-    """The reports as text, partitioned by investigation, whatever their size."""
-    by = ["inv_id", "section", "k1", "k2", "k3"]
-    lines.repartitionByRange(*by).sortWithinPartitions(*by).select("inv_id", F.col("line").alias("value")).write.partitionBy("inv_id").text(path)
+    """The reports as text, partitioned by investigation, whatever their size: ranges of lines are written by tasks of
+    their own, and a document is its files in the order of their names."""
+    by, n = ["inv_id", *ORDER], int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stored(lines).repartitionByRange(n, *by).sortWithinPartitions(*by).select("inv_id", F.col("line").alias("value")).write.partitionBy("inv_id").text(path)
+
+
+def write_documents(lines: DataFrame, path: str) -> DataFrame:
+    """Writes the reports and gives their tables of contents: inv_id, part (in order, from 1), file, first_place,
+    lines. A reader gets any stretch of a document, or all of it, by joining files on."""
+    write_lines(lines, path)
+    spark = lines.sparkSession
+    plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    files = spark.read.option("recursiveFileLookup", "true").text(path).groupBy(plain(F.input_file_name()).alias("file")).agg(F.count("*").alias("lines"))
+    named = files.withColumn("inv_id", plain(F.regexp_extract("file", "inv_id=([^/]*)/", 1)))  # Spark writes some characters of a value as %XX
+    w = Window.partitionBy("inv_id").orderBy("file")  # a row a file
+    before = F.coalesce(F.sum("lines").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return named.select("inv_id", F.row_number().over(w).alias("part"), "file", (before + 1).alias("first_place"), "lines")

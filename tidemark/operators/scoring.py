@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..ranges import Ranges
+
 BATCH = 120
 PROMPT_VERSION = "2.0"
 SHARE_90, SHARE_80 = 0.03, 0.08
@@ -17,11 +19,20 @@ REASON_MAX, TITLE_MAX, BODY_MAX, TAG_MAX, TAGS, HYPOTHESES = 400, 200, 2000, 40,
 SEVERITIES = ["critical", "high", "medium", "low", "unscored"]
 
 
-def candidates(ordered: DataFrame) -> DataFrame:
+def candidates(listed: Ranges, size: int = BATCH) -> DataFrame:
     """A1, A2: triage order without certificates; `batch` and `place` in the investigation."""
-    w = Window.partitionBy("inv_id").orderBy("position")
-    place = F.row_number().over(w)
-    return ordered.where("triage <> 'certificate'").withColumn("place", place).withColumn("batch", F.floor((F.col("place") - 1) / BATCH).cast("int"))
+    return _batched(listed.where(F.col("triage") != "certificate").numbered("place"), size)
+
+
+def batches(listed: Ranges, first: int, last: int, size: int = BATCH) -> DataFrame:
+    """A2: only the batches first..last (from 0) of each investigation; ranges that hold none of them are not read."""
+    chosen = listed.where(F.col("triage") != "certificate")
+    wanted = chosen.totals().select("inv_id", F.lit(first * size + 1).alias("first"), F.lit((last + 1) * size).alias("last"))
+    return _batched(chosen.between(wanted, "place"), size)
+
+
+def _batched(placed: DataFrame, size: int) -> DataFrame:
+    return placed.withColumn("batch", F.floor((F.col("place") - 1) / size).cast("int"))
 
 
 def _flags() -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..ranges import Ranges, spread
+
 GROUPS = ["priority", "review", "context", "certificate"]
 FLAGS = ["hedefe_ait_degil", "saglayici_olabilir", "prefiks_sinir_asildi"]
 FLAG_REASONS = ["may not belong to the target", "may be a provider", "prefix limit exceeded"]
@@ -65,10 +67,14 @@ def rank_of(group: Column) -> Column:
     return F.array_position(F.array(*[F.lit(g) for g in GROUPS]), group)
 
 
+def laid_out(rows: DataFrame) -> Ranges:
+    """T5: the list by ranges of its total order: group, most tools, type, key, id; no task holds an investigation."""
+    return spread(rows, ["inv_id"], [rank_of(F.col("triage")), F.desc("n_tools"), F.col("type"), F.col("norm"), F.col("entity_id")])
+
+
 def ordered(rows: DataFrame) -> DataFrame:
-    """T5: adds position in the investigation: group, most tools, type, key, id."""
-    w = Window.partitionBy("inv_id").orderBy(rank_of(F.col("triage")), F.desc("n_tools"), "type", "norm", "entity_id")
-    return rows.withColumn("position", F.row_number().over(w))
+    """T5: adds position in the investigation."""
+    return laid_out(rows).numbered()
 
 
 def group_counts(rows: DataFrame) -> DataFrame:
@@ -76,12 +82,14 @@ def group_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("inv_id", "triage").agg(F.count("*").alias("n"))
 
 
-def page(rows: DataFrame, number: int, group: str | None = None, size: int = PAGE) -> DataFrame:
-    """One page of each investigation's list, of one group or of all; the number is clamped to what there is."""
-    chosen = rows if group is None else rows.where(F.col("triage") == group)
-    w = Window.partitionBy("inv_id")
-    place = F.row_number().over(w.orderBy("position"))
-    counted = chosen.withColumn("_k", place).join(chosen.groupBy("inv_id").agg(F.count("*").alias("_all")), "inv_id")
-    last = F.greatest(F.lit(1), F.ceil(F.col("_all") / size))
-    wanted = F.least(F.greatest(F.lit(1), F.lit(number)), last)
-    return counted.withColumn("page", wanted.cast("int")).where((F.col("_k") > (F.col("page") - 1) * size) & (F.col("_k") <= F.col("page") * size)).drop("_k", "_all")
+def page(listed: Ranges, number: int, group: str | None = None, size: int = PAGE) -> DataFrame:
+    """One page of each investigation's list, of one group or of all, with its number, clamped to what there is.
+    The counts of the ranges tell which of them hold the page; the others are neither read nor sorted."""
+    chosen = listed if group is None else listed.where(F.col("triage") == group)
+    last = F.greatest(F.lit(1), F.ceil(F.col("n") / size)).cast("int")
+    wanted = chosen.totals().withColumn("page", F.least(F.greatest(F.lit(1), F.lit(number)), last))
+    rows = chosen.between(wanted.select("inv_id", "page", ((F.col("page") - 1) * size + 1).alias("first"), (F.col("page") * size).alias("last")))
+    if group is None:
+        return rows
+    ahead = listed.where(rank_of(F.col("triage")) <= GROUPS.index(group)).totals()
+    return rows.join(ahead, "inv_id", "left").withColumn("position", (F.col("position") + F.coalesce("n", F.lit(0))).cast("int")).drop("n")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize as nz
 from ..operators import chain, graph, jobs as joblog, report, scoring, summaries, triage
 from ..operators.ingest import Ingested, settled, with_enqueued
-from ..schema import tool_spec
-from ..sources import archive, extract
-from ..storage import cut
+from ..schema import job_id, tool_spec
+from ..sources import archive, extract, splits
+from ..storage import cut, drop, shared_folder, stored
+from ..streaming.incremental import Store, merge_parsed
 from . import fixtures as fx
 
 QUERIES: dict = {}
@@ -185,6 +189,40 @@ def x7_harvest(spark: SparkSession, d: str) -> DataFrame:
     return _shown(extract.extract_harvest(_content(p, F.col("page_id"), body)))
 
 
+def _written(lines: DataFrame) -> str:
+    """A folder of the shared storage with one text file a job, of its lines in order (job, place, line)."""
+    path = f"{shared_folder(lines.sparkSession)}/tidemark-archive-{uuid.uuid4().hex}"
+    lines.repartition("job").sortWithinPartitions("job", "place").select("job", F.col("line").alias("value")).write.partitionBy("job").text(path)
+    atexit.register(drop, lines.sparkSession, path)
+    return path
+
+
+_FILES = ("part-*", r"/job=([^/]*)/[^/]*$")
+
+
+@query("""
+SELECT tool || '-' || inv_id AS job_id, 'subdomain' AS type, host AS raw, '$[' || (3 * (row_number() OVER (PARTITION BY tool, inv_id ORDER BY page_id) - 1) + 1) || '].host' AS raw_path,
+  CASE WHEN host <> inv_id THEN 'subdomain_of>domain>' || inv_id || '>out' ELSE '' END AS relations FROM pg""")
+def x2_large_lists(spark: SparkSession, d: str) -> DataFrame:
+    p = fx.pages(spark, d)
+    good = F.to_json(F.struct("host", F.col("inv_id").alias("input"), F.lit("s").alias("source")))
+    lines = p.select(F.concat_ws("-", "tool", "inv_id").alias("job"), "page_id", F.posexplode(F.array(F.lit("{not json"), F.concat(good, F.lit("\r")), F.lit(""))).alias("n", "line"))
+    path = _written(lines.select("job", (F.col("page_id") * 3 + F.col("n")).alias("place"), "line"))
+    return _shown(extract.subdomain_lines(splits.read_lines(spark, path, *_FILES)))
+
+
+@query("""
+, n AS (SELECT *, tool || '-' || inv_id AS j, 2 * (row_number() OVER (PARTITION BY tool, inv_id ORDER BY page_id) - 1) AS i FROM pg)
+SELECT j AS job_id, 'subdomain' AS type, host AS raw, '$[' || i || '].name_value' AS raw_path, 'cert_for>cert>' || md5(url) || '>in' AS relations FROM n
+UNION ALL SELECT j, 'cert', md5(url), '$[' || i || ']', '' FROM n""")
+def x1_large_arrays(spark: SparkSession, d: str) -> DataFrame:
+    p = fx.pages(spark, d)
+    record = F.to_json(F.struct(F.lit('a "}],[{" \\').alias("issuer_name"), F.struct(F.array(F.lit("}")).alias("x")).alias("more"), F.col("host").alias("name_value"), F.md5(F.col("url").cast("binary")).alias("serial_number")))
+    lines = p.select(F.concat_ws("-", "tool", "inv_id").alias("job"), F.col("page_id").alias("place"), F.concat(record, F.lit(', [17, {"common_name": "no"}] ,')).alias("line"))
+    ends = lines.select("job").distinct().select("job", F.explode(F.array(F.struct(F.lit(-1).cast("bigint").alias("place"), F.lit(" [").alias("line")), F.struct(F.lit(1 << 60).alias("place"), F.lit("null ]").alias("line")))).alias("e")).select("job", "e.*")
+    return _shown(extract.ct_records(splits.read_records(spark, _written(lines.unionByName(ends)), *_FILES)))
+
+
 # -- 2.3 normalization -------------------------------------------------------------------------------------------
 
 
@@ -303,6 +341,29 @@ def i6_relationships(spark: SparkSession, d: str) -> DataFrame:
     return fx.ingested(spark, d).relationships.select("rel_id", "inv_id", "src_id", "dst_id", "type")
 
 
+@query("""
+SELECT entity_id, inv_id, type, norm, arg_min(raw, (seq % 3, tm, job_id, seq, rel_pos)) AS raw, min(tm) AS first_seen, max(tm) AS last_seen, CAST(sum(n) AS BIGINT) AS obs_count
+FROM keyed GROUP BY entity_id, inv_id, type, norm""")
+def i8_incremental_entities(spark: SparkSession, d: str) -> DataFrame:
+    return _merged(spark, d).read("entity").select("entity_id", "inv_id", "type", "norm", "raw", _epoch("first_seen"), _epoch("last_seen"), "obs_count")
+
+
+@query("SELECT obs_id, entity_id, job_id, tool, '$[' || seq || '].url' AS raw_path FROM obs")
+def i8_incremental_observations(spark: SparkSession, d: str) -> DataFrame:
+    return _merged(spark, d).read("observation").select("obs_id", "entity_id", "job_id", "tool", "raw_path")
+
+
+def _merged(spark: SparkSession, d: str) -> Store:
+    """All pages merged into a new store in three batches, the second of them twice; its runs are merged as well."""
+    store = Store(spark, f"{shared_folder(spark)}/tidemark-store-{uuid.uuid4().hex}", fan=2, checkpoint=2)
+    atexit.register(drop, spark, store.root)
+    parsed, jobs = fx.parsed(spark, d), cut(fx.jobs(spark, d))
+    for batch in (0, 1, 1, 2):
+        merge_parsed(store, parsed.where(F.col("seq") % 3 == batch), jobs)
+        store.compact()
+    return store
+
+
 # -- 2.5 chaining ------------------------------------------------------------------------------------------------
 
 _SPEC = "(VALUES ('asn-bgp','ip'),('asn-bgp','asn'),('crtsh','domain'),('dns-resolver','domain'),('dns-resolver','subdomain'),('shodan-lookup','ip'),('subfinder','domain'),('theharvester','domain'),('whois-rdap','domain'),('whois-rdap','ip'),('whois-rdap','netblock')) AS spec(tool, type)"
@@ -324,6 +385,41 @@ def c2_chained_jobs(spark: SparkSession, d: str) -> DataFrame:
     return _chained(spark, d, fx.ingested(spark, d)).select("job_id", "inv_id", "tool", "target_value", "parent_job_id", "depth")
 
 
+_OUTPUTS = """(SELECT DISTINCT * FROM (
+  SELECT inv_id, 'crtsh' AS tool, inv_id AS value, CASE WHEN host = inv_id THEN 'domain' ELSE 'subdomain' END AS type, host AS norm FROM pg WHERE tool = 'crtsh'
+  UNION ALL SELECT inv_id, 'dns-resolver', host, 'ip', '10.' || (page_id % 200) || '.0.' || (page_id % 250) FROM pg
+  UNION ALL SELECT inv_id, 'asn-bgp', '10.' || (page_id % 200) || '.0.' || (page_id % 250), 'asn', CAST(page_id % 100 AS VARCHAR) FROM pg
+  UNION ALL SELECT inv_id, 'asn-bgp', CAST(page_id % 100 AS VARCHAR), 'netblock', '10.' || (page_id % 50) || '.0.0/24' FROM pg
+  UNION ALL SELECT inv_id, 'whois-rdap', '10.' || (page_id % 200) || '.0.' || (page_id % 250), 'netblock', '10.' || (page_id % 200) || '.0.0/16' FROM pg))"""
+
+
+@query(f"""
+, spec(tool, type) AS {_SPEC.removesuffix(" AS spec(tool, type)")},
+asked AS (SELECT o.inv_id, o.tool AS by_tool, o.value AS by_value, s.tool, o.norm AS value FROM {_OUTPUTS} o JOIN spec s ON s.type = o.type),
+walk AS (
+  WITH RECURSIVE w AS (
+    SELECT inv_id, tool, inv_id AS value, 0 AS depth FROM (SELECT DISTINCT inv_id FROM pg), (VALUES ('crtsh'), ('dns-resolver')) AS t(tool)
+    UNION SELECT a.inv_id, a.tool, a.value, w.depth + 1 FROM w JOIN asked a ON a.inv_id = w.inv_id AND a.by_tool = w.tool AND a.by_value = w.value WHERE w.depth < 3
+  ) SELECT inv_id, tool, value, min(depth) AS depth, sha256(inv_id || chr(1) || tool || chr(1) || value) AS job_id FROM w GROUP BY inv_id, tool, value
+)
+SELECT j.job_id, j.inv_id, j.tool, j.value AS target_value, min(p.job_id) AS parent_job_id, CAST(j.depth AS SMALLINT) AS depth FROM walk j
+LEFT JOIN (SELECT a.*, w.job_id, w.depth FROM asked a JOIN walk w ON a.inv_id = w.inv_id AND a.by_tool = w.tool AND a.by_value = w.value) p
+  ON p.inv_id = j.inv_id AND p.tool = j.tool AND p.value = j.value AND p.depth = j.depth - 1
+GROUP BY ALL""")
+def c2_rounds(spark: SparkSession, d: str) -> DataFrame:
+    p = fx.pages(spark, d)
+    n = lambda m: (F.col("page_id") % m).cast("string")
+    ip = F.concat(F.lit("10."), n(200), F.lit(".0."), n(250))
+    saw = lambda rows, tool, value, kind, norm: rows.select("inv_id", F.lit(tool).alias("tool"), value.alias("target_value"), kind.alias("type"), norm.alias("norm"))
+    outputs = saw(p.where("tool = 'crtsh'"), "crtsh", F.col("inv_id"), F.when(F.col("host") == F.col("inv_id"), "domain").otherwise("subdomain"), F.col("host"))
+    for tool, value, kind, norm in (("dns-resolver", F.col("host"), "ip", ip), ("asn-bgp", ip, "asn", n(100)), ("asn-bgp", n(100), "netblock", F.concat(F.lit("10."), n(50), F.lit(".0.0/24"))), ("whois-rdap", ip, "netblock", F.concat(F.lit("10."), n(200), F.lit(".0.0/16")))):
+        outputs = outputs.unionByName(saw(p, tool, value, F.lit(kind), norm))
+    inv = fx.investigations(spark, d).withColumn("selected_tools", F.array().cast("array<string>"))
+    tools = F.explode(F.array(F.lit("crtsh"), F.lit("dns-resolver"))).alias("tool")
+    start = inv.select("inv_id", tools, F.col("root_value").alias("target_value")).select(job_id().alias("job_id"), "*", F.lit(None).cast("string").alias("parent_job_id"), F.lit(0).cast("smallint").alias("depth"), F.timestamp_seconds(F.lit(0)).alias("created_at"))
+    return chain.rounds(start, stored(outputs.distinct()), inv, tool_spec(spark)).drop("created_at")
+
+
 @query(f"""SELECT s.*, coalesce(q.n, 0) AS enqueued FROM (
   SELECT a.job_id, 2 * count(*) AS upserts, count(*) AS observations, count(*) FILTER (a.entity_id <> b.entity_id) AS relations, CAST(0 AS BIGINT) AS skipped
   FROM keyed a JOIN keyed b ON a.job_id = b.job_id AND a.seq = b.seq AND a.n = 1 AND b.n = 0 GROUP BY a.job_id) s
@@ -453,7 +549,12 @@ def t6_group_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT inv_id, position, entity_id, CAST(p AS INTEGER) AS page FROM (SELECT *, least(2, greatest(1, ceil(count(*) OVER (PARTITION BY inv_id) / 100.0))) AS p FROM pos) WHERE position > (p - 1) * 100 AND position <= p * 100")
 def t6_page(spark: SparkSession, d: str) -> DataFrame:
-    return triage.page(triage.ordered(_triaged(spark, d)), 2).select("inv_id", "position", "entity_id", "page")
+    return triage.page(triage.laid_out(_triaged(spark, d)), 2).select("inv_id", "position", "entity_id", "page")
+
+
+@query("SELECT inv_id, position, entity_id, CAST(p AS INTEGER) AS page FROM (SELECT *, row_number() OVER (PARTITION BY inv_id ORDER BY position) AS k, least(3, greatest(1, ceil(count(*) OVER (PARTITION BY inv_id) / 50.0))) AS p FROM pos WHERE triage = 'review') WHERE k > (p - 1) * 50 AND k <= p * 50")
+def t6_group_page(spark: SparkSession, d: str) -> DataFrame:
+    return triage.page(triage.laid_out(_triaged(spark, d)), 3, "review", 50).select("inv_id", "position", "entity_id", "page")
 
 
 # -- 2.8 graph and evidence --------------------------------------------------------------------------------------
@@ -483,7 +584,7 @@ def e2_lineage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.candidates(triage.ordered(_triaged(spark, d)))
+    return scoring.candidates(triage.laid_out(_triaged(spark, d)))
 
 
 @query("SELECT inv_id, entity_id, position AS place, CAST((position - 1) // 120 AS INTEGER) AS batch FROM pos")
@@ -491,6 +592,11 @@ def a2_batches(spark: SparkSession, d: str) -> DataFrame:
     return _candidates(spark, d).select("inv_id", "entity_id", "place", "batch")
 
 
+@query("SELECT inv_id, entity_id, position AS place, CAST((position - 1) // 7 AS INTEGER) AS batch FROM pos WHERE (position - 1) // 7 BETWEEN 1 AND 2")
+def a2_some_batches(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.batches(triage.laid_out(_triaged(spark, d)), 1, 2, 7).select("inv_id", "entity_id", "place", "batch")
+
+
 #: Every third entity of a batch has a stored score.
 _RECORD = """'["' || replace(tools, ',', '","') || '"]'"""
 _BATCHES = f"""
@@ -655,6 +761,11 @@ def r5_reports(spark: SparkSession, d: str) -> DataFrame:
     return report.documents(_report_lines(spark, d))
 
 
+@query(_REPORT + "SELECT inv_id, row_number() OVER (PARTITION BY inv_id ORDER BY section, k1, k2, k3, line) AS place, line FROM g")
+def r5_document_lines(spark: SparkSession, d: str) -> DataFrame:
+    return report.document_lines(_report_lines(spark, d))
+
+
 # -- 2.11 documented queries -------------------------------------------------------------------------------------
 
 

@@ -15,6 +15,12 @@ def read_archive(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.regexp_extract("path", rf"([^/]+)/{_NAME}$", 1).alias("job_id"), "path", "content").where("job_id <> ''")
 
 
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """job_id, path, length of the same files; contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "output.*").option("recursiveFileLookup", "true").load(root)
+    return files.select(F.regexp_extract("path", rf"([^/]+)/{_NAME}$", 1).alias("job_id"), "path", "length").where("job_id <> ''")
+
+
 def text_of(content: Column) -> Column:
     """UTF-8 with replacement of bad bytes."""
     return F.call_function("make_valid_utf8", content.cast("string"))

@@ -7,13 +7,14 @@ keys or the value types are open, and explode with positions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normalize import ascii_labels, fold, host_part, ipv6_text, strip
 from ..functions.suffix import with_root
 from ..schema import RELATIONS
-from .archive import text_of
+from . import splits
+from .archive import listing, read_archive, text_of
 
 PREFIX_LIMIT = 50
 EXPIRY_DAYS = 90
@@ -92,7 +93,12 @@ def _items(path: str, column: str = "v") -> Column:
 
 def extract_ct_log(raw: DataFrame) -> DataFrame:
     """Certificate-transparency records: names of each record, and its certificate."""
-    each = _variants(raw, "ARRAY").select("job_id", F.posexplode(_items("$")).alias("i", "v")).where(F.schema_of_variant("v").startswith("OBJECT"))
+    return ct_records(_variants(raw, "ARRAY").select("job_id", F.posexplode(_items("$")).alias("i", "v")))
+
+
+def ct_records(each: DataFrame) -> DataFrame:
+    """X1 from the numbered elements (job_id, i, v) of its arrays, however they were read (see `splits.read_records`)."""
+    each = each.where(F.schema_of_variant("v").startswith("OBJECT"))
     field = lambda name: _text(F.try_variant_get("v", f"$.{name}", "variant"))
     each = each.select("job_id", "i", "v", _blank(field("serial_number")).alias("serial"), field("name_value").alias("names"), field("common_name").alias("common"))
     names = F.array_union(F.coalesce(F.transform(F.split("names", "\n"), strip), F.array().cast("array<string>")), F.coalesce(F.array(strip(F.col("common"))), F.array().cast("array<string>")))
@@ -106,7 +112,11 @@ def extract_ct_log(raw: DataFrame) -> DataFrame:
 
 def extract_subdomain_list(raw: DataFrame) -> DataFrame:
     """One JSON object a line; blank and broken lines keep their number."""
-    lines = _bodies(raw).select("job_id", F.posexplode(F.split("body", r"\r?\n")).alias("i", "line"))
+    return subdomain_lines(_bodies(raw).select("job_id", F.posexplode(F.split("body", r"\r?\n")).alias("i", "line")))
+
+
+def subdomain_lines(lines: DataFrame) -> DataFrame:
+    """X2 from numbered lines (job_id, i, line), however they were read (see `splits.read_lines`)."""
     each = lines.select("job_id", "i", F.from_json("line", "host string, input string, source string").alias("r")).select("job_id", "i", "r.*")
     each = each.withColumn("host", _blank(F.col("host"))).where("host is not null")
     target = F.when(_blank(F.col("input")) != F.col("host"), _blank(F.col("input")))
@@ -343,6 +353,23 @@ EXTRACTORS = {
 }
 
 
+#: Bytes from which on a body is read in splits, if its tool's records can be told apart.
+LARGE = 64 << 20
+
+
+def extract_archive(spark: SparkSession, root: str, jobs: DataFrame, large: int = LARGE) -> DataFrame:
+    """S1 and X1-X7 over {root}/{job_id}/output.*: large bodies of the two tools whose output has no bound, by splits; all
+    others as one row each."""
+    in_splits = {"crtsh": lambda paths: ct_records(splits.read_records(spark, paths)), "subfinder": lambda paths: subdomain_lines(splits.read_lines(spark, paths))}
+    sizes = listing(spark, root).join(jobs.select("job_id", "tool"), "job_id")
+    big = sizes.where((F.col("length") >= large) & F.col("tool").isin(*in_splits)).select("job_id", "tool", "path")
+    paths: dict[str, list[str]] = {}
+    for row in big.collect():  # a row for each 64 MB of the archive at most
+        paths.setdefault(row["tool"], []).append(row["path"])
+    small = read_archive(spark, root).join(big.select("job_id"), "job_id", "left_anti") if paths else read_archive(spark, root)
+    return _union(extract_all(small, jobs), *[in_splits[tool](found) for tool, found in paths.items()])
+
+
 def extract_all(archive: DataFrame, jobs: DataFrame) -> DataFrame:
     """The parsed observations of all archived outputs, each by its job's tool."""
     known = archive.select("job_id", "content").join(jobs.select("job_id", "tool"), "job_id")

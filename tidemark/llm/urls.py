@@ -3,9 +3,12 @@
 A short list of host and path rules judges what it fits. The rest is judged by rules that Spark's FP-growth mines
 from labelled URLs: a URL is the set of its tokens with its label as one more item; itemsets below the least
 support never arise, rules below the least confidence are pruned, and of the rules that remain those with a label
-as consequent are kept. Matching uses an inverted index: each mined rule stands under its rarest token, a set of
-URL tokens looks up its tokens there, and a candidate rule must be contained in the set. Equal token sets are
-matched once.
+as consequent are kept. Tokens that are in exactly the same labelled URLs (all segments of a repeated address) are one
+class and one item, without which every subset of them would be an itemset of its own; a URL has a class if it has
+any of its tokens. That changes no verdict: of all rules on subsets of a class the ones on a single token match most
+and are as confident and as frequent. Matching uses an inverted index: each mined rule stands under the class that is
+rarest among the pages, a set of classes looks up its classes there, and a candidate rule must be contained in the
+set. Equal token sets are matched once, and sets that hold a common class stay where they are.
 
 Defined results: a null URL or one without `://` has an empty host and path, fits no rule and is judged by the
 mined rules on no tokens, hence allowed; if several mined rules fit, the highest confidence, then support, then a
@@ -63,7 +66,7 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """rule_id, tokens, verdict, confidence, support of the rules from (tokens, label) rows."""
-    items = labelled.where("label is not null and size(tokens) > 0").select(F.concat("tokens", F.array(F.concat(F.lit("="), "label"))).alias("items"))
+    items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("="), "label"))).alias("items"))
     found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items).associationRules
     consequent = F.col("consequent")[0]
     useful = found.where(consequent.startswith("=") & ~F.exists("antecedent", lambda t: t.startswith("=")))
@@ -71,12 +74,30 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     return useful.select(F.xxhash64(tokens, consequent).alias("rule_id"), tokens.alias("tokens"), F.substring(consequent, 2, 1000).alias("verdict"), "confidence", "support")
 
 
-def inverted(rules: DataFrame) -> DataFrame:
-    """Each rule under its rarest token (the one of the fewest rules)."""
+def classes(labelled: DataFrame, min_support: float = MIN_SUPPORT) -> DataFrame:
+    """token, class: the tokens of enough labelled rows (tokens, label) to stand in a rule, at most 1 / min_support times
+    the tokens of a mean row, each with the least of those that are in exactly the same rows."""
+    whole = F.col("tokens").cast("string")
+    each = labelled.select(F.explode("tokens").alias("token"), *[F.xxhash64(F.lit(seed), whole).cast("decimal(20,0)").alias(f"h{seed}") for seed in (1, 2)])
+    held = each.groupBy("token").agg(F.count("*").alias("n"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2")).where(F.col("n") >= min_support * labelled.count())
+    held = stored(held)
+    return held.join(held.groupBy("n", "h1", "h2").agg(F.min("token").alias("class")), ["n", "h1", "h2"]).select("token", "class")
+
+
+def classed(sets: DataFrame, known: DataFrame) -> DataFrame:
+    """tokens, classes of distinct token sets: the classes that they have a token of."""
+    each = sets.select("tokens", F.explode("tokens").alias("token")).join(F.broadcast(known), "token")
+    return each.groupBy("tokens").agg(F.array_sort(F.collect_set("class")).alias("classes"))
+
+
+def inverted(rules: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(token, rules: each mined rule under its token that the fewest sets (classes) have; the same tokens' numbers of
+    sets)."""
     each = rules.select("*", F.explode("tokens").alias("token"))
-    rarity = each.groupBy("token").agg(F.count("*").alias("n"))
-    anchor = each.join(rarity, "token").groupBy("rule_id").agg(F.min(F.struct("n", "token")).alias("a")).select("rule_id", F.col("a.token").alias("token"))
-    return rules.join(anchor, "rule_id").withColumnRenamed("tokens", "needed")
+    common = stored(sets.select(F.explode("classes").alias("token")).groupBy("token").agg(F.count("*").alias("n")))
+    anchor = each.join(common, "token", "left").groupBy("rule_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("a")).select("rule_id", F.col("a.token").alias("token"))
+    index = rules.withColumnRenamed("tokens", "needed").join(anchor, "rule_id")
+    return index.groupBy("token").agg(F.collect_list(F.struct("needed", "confidence", "support", "verdict")).alias("rules")), common
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
@@ -85,10 +106,18 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     plain = pages.select(F.col(id_col).alias("page_id"), url.alias("url")).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     rule, verdict = listed(F.col("host"), F.col("path"), rules)
     parsed = plain.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("label"), tokens_of(F.col("url"), F.col("host"), F.col("path")).alias("tokens"))
-    index = inverted(mine(parsed))
+    labelled = parsed.where("label is not null and size(tokens) > 0").select("label", "tokens")
+    known = stored(classes(labelled))
+    shown = stored(labelled.groupBy("tokens").agg(F.count("*").alias("pages")))
+    lessons = join_hot(labelled, stored(classed(shown, known)), ["tokens"], hot_keys(shown, ["tokens"], "pages"), "left")
+    rules = stored(mine(lessons.select("label", F.coalesce("classes", F.array().cast("array<string>")).alias("tokens"))))
     # equal token sets are matched once, and hold no page
     sets = stored(parsed.where("rule is null").groupBy("tokens").agg(F.count("*").alias("pages")))
-    tried = sets.select("tokens", F.explode("tokens").alias("token")).join(index, "token").where(F.size(F.array_except("needed", "tokens")) == 0)
+    asked = stored(classed(sets, known))
+    index, common = inverted(rules, asked)
+    each = asked.select("tokens", "classes", F.explode("classes").alias("token"))
+    met = join_hot(each, stored(index), ["token"], hot_keys(common, ["token"]))
+    tried = met.select("tokens", "classes", F.inline("rules")).where(F.size(F.array_except("needed", "classes")) == 0)
     best = tried.groupBy("tokens").agg(F.max(F.struct("confidence", "support", "verdict")).alias("best"))
     # pages of a common token set stay where they are
     out = join_hot(parsed, best, ["tokens"], hot_keys(sets, ["tokens"], "pages"), "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,8 +103,8 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-#: Folders that the innermost `scratch` block is to drop.
-_SCRATCH: list[list[str]] = []
+#: Folders that the innermost `scratch` block of this thread or context is to drop.
+_SCRATCH: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
 
 
 def _drop(spark: SparkSession, path: str) -> None:
@@ -115,11 +116,12 @@ def _drop(spark: SparkSession, path: str) -> None:
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
     """What operators store within the block goes at its end; so results must be stored by then, with outlives."""
-    _SCRATCH.append([])
+    outer = _SCRATCH.set(paths := [])
     try:
         yield
     finally:
-        for path in _SCRATCH.pop():
+        _SCRATCH.reset(outer)
+        for path in paths:
             _drop(spark, path)
         tidy(spark)
 
@@ -142,8 +144,8 @@ def stored(df: DataFrame, outlives: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _SCRATCH and not outlives:
-        _SCRATCH[-1].append(path)
+    if (paths := _SCRATCH.get()) is not None and not outlives:
+        paths.append(path)
     else:
         atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)

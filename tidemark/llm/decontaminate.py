@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Shipped
-from .common import CHARS_AT_ONCE, LARGE_BLOCK, id_text, stored, text_blocks
+from .common import CHARS_AT_ONCE, LARGE_BLOCK, id_text, split_by_ids, stored, text_blocks
 
 #: Words of one phrase; an item with fewer words is one phrase.
 WINDOW = 10
@@ -254,22 +254,16 @@ def search(indexed: DataFrame, blocks: DataFrame) -> DataFrame:
     return one.withColumn("spans", _joined_spans(F.col("spans")))
 
 
-def without_hits(docs: DataFrame, blocks: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents, all columns, in which no phrase occurs; no row moves, and each shard's index is searched where it
-    is built, in as many passes as there are lists of blocks."""
-    for phrases in passes(blocks):
-
-        def run(batches, phrases=phrases):
-            for block, texts in text_blocks(batches, text_col, LARGE_BLOCK):
-                starts, number, order, ends = _index_of(texts)
-                keep = np.ones(len(texts), bool)
-                for phrase in phrases:
-                    for document, *_ in _search_shard(starts, list(number), ends, order, phrase.value):
-                        keep[document] = False
-                yield block.take(pa.array(np.flatnonzero(keep)))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+def without_hits(docs: DataFrame, blocks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns, in which no phrase occurs. Their index is stored and searched like any other, so that
+    rarity is that of the whole index and every pass of blocks reads the index alone. In it a document goes by a hash of
+    its id and text, which any later reading of the row finds again; only rows whose hash may be a hit's meet the hits
+    in a join. (That a clean document has a hit's hash by chance: one in 2^64 for each pair of them.)"""
+    key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"))
+    indexed = stored(index(docs.select(key.alias("key"), F.col(text_col)), "key", text_col))
+    hits = stored(search(indexed, blocks).where(F.size("spans") > 0).select(F.col("doc_id").alias("id")).distinct())
+    maybe, clean = split_by_ids(docs, key, hits)
+    return clean.unionByName(maybe.join(hits, key == F.col("id"), "left_anti"))
 
 
 def search_near(indexed: DataFrame, items: DataFrame, slop: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:

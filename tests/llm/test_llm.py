@@ -100,6 +100,8 @@ def test_decontamination(spark, docs, none):
         assert by_rows(decontaminate.digest(decontaminate.search(indexed, blocks)), *columns) == sorted(want, key=repr)
     clean = decontaminate.without_hits(docs, decontaminate.blocks(bench, block_bytes=20))
     assert clean.columns == docs.columns and clean.count() == sum(not w[-1] for w in want)
+    assert by_rows(clean, "doc_id", "text") == sorted(((r[0], r[1]) for r, w in zip(rows(), want, strict=True) if not w[-1]), key=repr)
+    assert decontaminate.without_hits(none, decontaminate.blocks(bench)).count() == 0 and decontaminate.without_hits(docs, decontaminate.blocks(bench.limit(0))).count() == docs.count()
     assert decontaminate.search(decontaminate.index(none), decontaminate.blocks(bench)).count() == 0
     assert not any(r.contaminated for r in decontaminate.digest(decontaminate.search(indexed, decontaminate.blocks(bench.limit(0)))).collect())
 
@@ -352,8 +354,40 @@ def test_lm_rounds_raise_the_likelihood(spark):
     learn = spark.createDataFrame([(i, " ".join(f"{'ab'[i % 2]}{(j * (1 + i % 3)) % 11}" for j in range(20))) for i in range(120)], "doc_id long, text string")
     counts = lm.count_tokens(learn).cache()
     s = lm.statistics(counts)
-    total = [sum(r.score for r in lm.score(learn, counts, s, lm.fit(learn, s, rounds)).collect()) for rounds in (0, 1, 2)]
-    assert total[0] < total[1] - 20 and total[1] < total[2]
+    total = [sum(r.score for r in lm.score(learn, counts, s, lm.fit(learn, s, rounds)).collect()) for rounds in (0, 1, 2, 4)]
+    assert total[0] < total[1] - 20 and total[1] < total[2] < total[3]
+
+
+def test_lm_gradient_by_finite_differences(spark):
+    """What a task adds up, observed less expected, is the slope of the log likelihood along each weight."""
+    import numpy as np
+
+    texts = [(i, " ".join(f"w{(i * 3 + j * j) % 9}" for j in range(12))) for i in range(8)]
+    s = lm.statistics(lm.count_tokens(spark.createDataFrame(texts, "doc_id long, text string")))
+    rng, model = np.random.default_rng(1), lm.start_model(s)
+    model.classes[:] = rng.normal(0, 0.3, model.classes.shape)
+    model.words[:] = rng.normal(0, 0.3, model.words.shape)
+    tokens = lm.Tokens([t for _, t in texts])
+    events = lm.Events(tokens, s.look_up(tokens.hashes)[1], s.sizes)
+    totals = [lm.Totals(s.sizes, first) for first in (True, False)]
+    for t in totals:
+        t.add(events, model)
+
+    def likelihood():
+        wide = lm.Model(*[x.astype(np.float64) for x in (model.classes, model.words, model.class_bias, model.word_bias)])
+        z, w, at = events.logits(wide, slice(None))
+        return lm._own_log(z, events.cls).sum() + lm._own_log(w, events.word[at]).sum()
+
+    for name, rows_ in (("classes", events.class_rows), ("words", events.word_rows)):
+        weights, slope = getattr(model, name), totals[0].tables[name] - totals[1].tables[name]
+        for row in (rows_[0][0], rows_[1][5], rows_[2][17]):
+            for column in range(weights.shape[1])[:6]:
+                was, ends = weights[row, column], []
+                for step in (-0.01, 0.01):
+                    weights[row, column] = was + step
+                    ends.append((likelihood(), float(weights[row, column])))
+                weights[row, column] = was
+                assert (ends[1][0] - ends[0][0]) / (ends[1][1] - ends[0][1]) == pytest.approx(slope[row, column], abs=2e-3)
 
 
 def test_lm_sizes_follow_the_counts(spark):
@@ -475,6 +509,15 @@ def listed_verdict(host, path):
     return max(fits)[1:] if fits else (None, None)
 
 
+def test_urls_of_many_tokens_that_stand_together(spark):
+    """Forty segments on one labelled address, forty more on another: each lot is one item."""
+    block, allow = ("/".join(f"{c}seg{'xyz'[i % 3] * (i + 1)}" for i in range(40)) for c in "pq")
+    pages = [(i, f"http://s{i}.com/de/{block}") for i in range(30)] + [(100 + i, f"http://s{i}.com/fr/{allow}") for i in range(30)]
+    pages += [(200, f"http://x.net/{block}"), (201, f"http://x.net/{allow.split('/')[7]}"), (202, "http://x.net/psegyy"), (203, f"http://x.net/{allow}/{block}"), (204, "http://y.net/other")]
+    got = {r.page_id: (r.verdict, r.confidence) for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string")).collect()}
+    assert [got[k] for k in (200, 201, 202, 204)] == [("block", 1.0), ("allow", 1.0), ("block", 1.0), ("allow", None)] and got[203][0] == "block" and len(got) == len(pages)
+
+
 def test_url_rules_by_brute_force(spark):
     """Every itemset counted, every rule of enough support and confidence tried on every page."""
     import itertools

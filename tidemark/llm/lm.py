@@ -5,12 +5,13 @@ additive unigram base follows from the counts. The model is a class-factored sof
 P(word | class, context): the commonest tokens (the head) stand in classes by rank, all others in classes by the
 hash of their ending, where a word's share comes from its count. Logits are sums of rows of two weight tables,
 found by hashing n-gram and skip features of the three tokens before. The head, its classes and the tables grow
-with the number of tokens learned from (`Sizes`). Training is by full gradient updates in the logarithm (iterative
-scaling): a round takes, for every feature, what was observed with it and what the weights expect, over all learning
-rows; every task counts its documents, Spark adds the counts up by table block, and each weight moves by a share of
-log(observed / expected). In the first round all weights are 0, so that what they expect follows from the counts and
-no softmax is needed; later rounds, if asked for, take it from the model. Weights, counts, sums and class shares all
-learn from every learning row. Scoring works on batches of tokens in numpy.
+with the number of tokens learned from up to a ceiling (`Sizes`). Training is by full gradient rounds over all learning
+rows. The gradient of a weight is what was observed with its feature less what the softmax of the present weights
+expects; every task adds both up for its documents, Spark adds the tasks up by table block, and each weight moves by a
+share of log(observed / expected), the gradient in the logarithm (iterative scaling), which cannot run away where a
+plain step would. In the first round all weights are 0, so that the softmax is the same without context and what it
+expects follows from the counts; every later round runs the class-factored softmax over all tokens. What is observed
+does not change and is counted once. Scoring works on batches of tokens in numpy.
 
 The `known` commonest tokens travel as a broadcast of bounded size; what is rarer joins its counts in Spark.
 
@@ -35,8 +36,10 @@ from .hashing import Words, mix
 HEAD, CLASS_WORDS, TAIL_CLASSES = 1024, 32, 32
 ROW_BITS = 14
 SMALL = 1 << 24
-#: One round reaches a better likelihood on held-out text than an epoch of stochastic steps at a twentieth of its time.
-ROUNDS, TASKS = 1, 8
+#: Doublings of the sizes, at most: a task's totals of a round then take 218 MB, and the weights 75 MB.
+MOST_DOUBLINGS = 4
+#: Gradient rounds; all but the first run the softmax.
+ROUNDS, TASKS = 3, 8
 #: How far a round moves a weight, as a share of log(observed / expected): beyond 1 / (features at once), which could
 #: never overshoot, and well within what held-out text bears.
 CLASS_STEP, WORD_STEP = 0.35, 0.45
@@ -61,7 +64,7 @@ class Sizes:
 
     @classmethod
     def of(cls, total: int) -> Sizes:
-        doublings = max(0, int(np.log2(max(total, 1) / SMALL) / 2))
+        doublings = min(MOST_DOUBLINGS, max(0, int(np.log2(max(total, 1) / SMALL) / 2)))
         return cls(HEAD << doublings, CLASS_WORDS << doublings // 2, ROW_BITS + doublings // 2)
 
     @property
@@ -242,34 +245,37 @@ def _probabilities(z: np.ndarray) -> np.ndarray:
 
 
 class Totals:
-    """Observed and expected counts of the features: by row and class, by row and word of a class, and (while all
-    weights are 0) how often a word feature's row is met with each head class, from which its expectation follows."""
+    """Of the first round, counts of the features: by row and class, by row and word of a class, and how often a word
+    feature's row is met with each head class, from which follows what is expected while all weights are 0. Of later
+    rounds, what the model expects, by row and class and by row and word of a class."""
 
     def __init__(self, z: Sizes, first: bool):
         rows = 1 << z.row_bits
         self.z, self.first = z, first
         self.tables = {"classes": np.zeros((rows, z.classes)), "words": np.zeros((rows, z.words))}
-        self.tables |= {"heads": np.zeros((rows, z.head_classes))} if first else {"classes_expected": np.zeros((rows, z.classes)), "words_expected": np.zeros((rows, z.words))}
+        if first:
+            self.tables["heads"] = np.zeros((rows, z.head_classes))
 
     def add(self, events: Events, model: Model) -> None:
-        head = np.flatnonzero(events.word >= 0)
-        for r in events.class_rows:
-            self._count("classes", r, events.cls)
-        for r in events.word_rows:
-            self._count("words", r[head], events.word[head])
-            if self.first:
+        if self.first:
+            head = np.flatnonzero(events.word >= 0)
+            for r in events.class_rows:
+                self._count("classes", r, events.cls)
+            for r in events.word_rows:
+                self._count("words", r[head], events.word[head])
                 self._count("heads", r[head], events.cls[head])
-        if not self.first:
-            for start in range(0, len(events.cls), 4096):
-                part = slice(start, start + 4096)
-                z, w, at = events.logits(model, part)
-                self._spread("classes_expected", [r[part] for r in events.class_rows], _probabilities(z))
-                if len(at):
-                    self._spread("words_expected", [r[part][at] for r in events.word_rows], _probabilities(w))
+            return
+        for start in range(0, len(events.cls), 4096):
+            part = slice(start, start + 4096)
+            z, w, at = events.logits(model, part)
+            self._spread("classes", [r[part] for r in events.class_rows], _probabilities(z))
+            if len(at):
+                self._spread("words", [r[part][at] for r in events.word_rows], _probabilities(w))
 
     def _count(self, name: str, row: np.ndarray, column: np.ndarray) -> None:
+        """Adds one at each (row, column), at a cost by their number, not by the table's size."""
         table = self.tables[name]
-        table += np.bincount(row * table.shape[1] + column, minlength=table.size).reshape(table.shape)
+        np.add.at(table.reshape(-1), row * table.shape[1] + column, 1.0)
 
     def _spread(self, name: str, rows: list[np.ndarray], p: np.ndarray) -> None:
         """Adds each event's probabilities to the rows of all its features."""
@@ -309,16 +315,16 @@ def _block(key, total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]]), pa.array([total.tobytes()], pa.binary())], ["name", "block", "total"])
 
 
-def moved(model: Model, tables: dict[str, np.ndarray], s: Statistics) -> Model:
-    """The model after a round's totals."""
+def moved(model: Model, observed: dict[str, np.ndarray], expected: dict[str, np.ndarray] | None, s: Statistics) -> Model:
+    """The model after a round. Without `expected` the model's weights are all 0."""
     prior_class, prior_word = PRIOR * np.exp(model.class_bias.astype(float)), PRIOR / s.sizes.words
-    if "heads" in tables:
-        class_expected = tables["classes"].sum(axis=1, keepdims=True) * np.exp(model.class_bias.astype(float))
-        word_expected = tables["heads"] @ np.exp(model.word_bias.astype(float))
+    if expected is None:
+        class_expected = observed["classes"].sum(axis=1, keepdims=True) * np.exp(model.class_bias.astype(float))
+        word_expected = observed["heads"] @ np.exp(model.word_bias.astype(float))
     else:
-        class_expected, word_expected = tables["classes_expected"], tables["words_expected"]
-    classes = model.classes + CLASS_STEP * np.log((tables["classes"] + prior_class) / (class_expected + prior_class))
-    words = model.words + WORD_STEP * np.log((tables["words"] + prior_word) / (word_expected + prior_word))
+        class_expected, word_expected = expected["classes"], expected["words"]
+    classes = model.classes + CLASS_STEP * np.log((observed["classes"] + prior_class) / (class_expected + prior_class))
+    words = model.words + WORD_STEP * np.log((observed["words"] + prior_word) / (word_expected + prior_word))
     return Model(classes.astype(np.float32), words.astype(np.float32), model.class_bias, model.word_bias)
 
 
@@ -329,7 +335,7 @@ def fit(docs: DataFrame, s: Statistics, rounds: int = ROUNDS) -> Model:
     lessons = docs.where("doc_id is not null").select("text").coalesce(max(TASKS, 8 * s.total // s.sizes.model_bytes))
     sc, schema = docs.sparkSession.sparkContext, "name string, block long, total binary"
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shipped_s = Shipped(sc.broadcast(s))
+    shipped_s, observed = Shipped(sc.broadcast(s)), None
     for step in range(rounds):
         shipped = Shipped(sc.broadcast(model))
 
@@ -341,7 +347,9 @@ def fit(docs: DataFrame, s: Statistics, rounds: int = ROUNDS) -> Model:
         for row in sums.toLocalIterator():
             table = tables[row["name"]]
             table[row["block"] : row["block"] + _BLOCK] = np.frombuffer(row["total"], "<f8").reshape(_BLOCK, -1)
-        model = moved(model, tables, s)
+        if step == 0:
+            observed = tables
+        model = moved(model, observed, tables if step else None, s)
     return model
 
 

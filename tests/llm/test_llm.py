@@ -354,7 +354,7 @@ def test_lm_rounds_raise_the_likelihood(spark):
     learn = spark.createDataFrame([(i, " ".join(f"{'ab'[i % 2]}{(j * (1 + i % 3)) % 11}" for j in range(20))) for i in range(120)], "doc_id long, text string")
     counts = lm.count_tokens(learn).cache()
     s = lm.statistics(counts)
-    total = [sum(r.score for r in lm.score(learn, counts, s, lm.fit(learn, s, rounds)).collect()) for rounds in (0, 1, 2, 4)]
+    total = [sum(r.score for r in lm.score(learn, counts, s, lm.fit(learn, s, rounds)).collect()) for rounds in (0, 1, 2, 4)]  # one batch, then all three
     assert total[0] < total[1] - 20 and total[1] < total[2] < total[3]
 
 
@@ -372,6 +372,7 @@ def test_lm_gradient_by_finite_differences(spark):
     totals = [lm.Totals(s.sizes, first) for first in (True, False)]
     for t in totals:
         t.add(events, model)
+    assert all((totals[0].named()[name] == totals[1].named()[name]).all() for name in ("classes", "words"))
 
     def likelihood():
         wide = lm.Model(*[x.astype(np.float64) for x in (model.classes, model.words, model.class_bias, model.word_bias)])
@@ -379,7 +380,7 @@ def test_lm_gradient_by_finite_differences(spark):
         return lm._own_log(z, events.cls).sum() + lm._own_log(w, events.word[at]).sum()
 
     for name, rows_ in (("classes", events.class_rows), ("words", events.word_rows)):
-        weights, slope = getattr(model, name), totals[0].tables[name] - totals[1].tables[name]
+        weights, slope = getattr(model, name), totals[1].named()[name] - totals[1].named()[f"{name}_expected"]
         for row in (rows_[0][0], rows_[1][5], rows_[2][17]):
             for column in range(weights.shape[1])[:6]:
                 was, ends = weights[row, column], []

@@ -5,13 +5,13 @@ additive unigram base follows from the counts. The model is a class-factored sof
 P(word | class, context): the commonest tokens (the head) stand in classes by rank, all others in classes by the
 hash of their ending, where a word's share comes from its count. Logits are sums of rows of two weight tables,
 found by hashing n-gram and skip features of the three tokens before. The head, its classes and the tables grow
-with the number of tokens learned from up to a ceiling (`Sizes`). Training is by full gradient rounds over all learning
-rows. The gradient of a weight is what was observed with its feature less what the softmax of the present weights
-expects; every task adds both up for its documents, Spark adds the tasks up by table block, and each weight moves by a
-share of log(observed / expected), the gradient in the logarithm (iterative scaling), which cannot run away where a
-plain step would. In the first round all weights are 0, so that the softmax is the same without context and what it
-expects follows from the counts; every later round runs the class-factored softmax over all tokens. What is observed
-does not change and is counted once. Scoring works on batches of tokens in numpy.
+with the number of tokens learned from up to a ceiling (`Sizes`). Training is by gradient rounds. The
+gradient of a weight is what was observed with its feature less what the softmax of the present weights expects; every
+task adds both up for its documents, Spark adds the tasks up by table block, and each weight moves by a share of
+log(observed / expected), the gradient in the logarithm (iterative scaling), which cannot run away where a plain step
+would. The first round takes all learning rows; its weights are all 0, so that the softmax is the same without context
+and what it expects follows from the counts. Then follows an epoch through the class-factored softmax, in as many
+rounds as there are BATCHES of rows (dealt by a hash of the document), so that every learning row is in one of them. Scoring works on batches of tokens in numpy.
 
 The `known` commonest tokens travel as a broadcast of bounded size; what is rarer joins its counts in Spark.
 
@@ -36,10 +36,11 @@ from .hashing import Words, mix
 HEAD, CLASS_WORDS, TAIL_CLASSES = 1024, 32, 32
 ROW_BITS = 14
 SMALL = 1 << 24
-#: Doublings of the sizes, at most: a task's totals of a round then take 218 MB, and the weights 75 MB.
+#: Doublings of the sizes, at most: a task's totals of a round then take 302 MB, and the weights 75 MB.
 MOST_DOUBLINGS = 4
-#: Gradient rounds; all but the first run the softmax.
-ROUNDS, TASKS = 3, 8
+#: Rounds of the softmax an epoch, and all rounds.
+BATCHES = 3
+ROUNDS, TASKS = 1 + BATCHES, 8
 #: How far a round moves a weight, as a share of log(observed / expected): beyond 1 / (features at once), which could
 #: never overshoot, and well within what held-out text bears.
 CLASS_STEP, WORD_STEP = 0.35, 0.45
@@ -245,32 +246,31 @@ def _probabilities(z: np.ndarray) -> np.ndarray:
 
 
 class Totals:
-    """Of the first round, counts of the features: by row and class, by row and word of a class, and how often a word
-    feature's row is met with each head class, from which follows what is expected while all weights are 0. Of later
-    rounds, what the model expects, by row and class and by row and word of a class."""
+    """Counts of the features by row and class, and by row and word of a class. Of the first round also how often a word
+    feature's row is met with each head class, from which follows what is expected while all weights are 0; of later
+    rounds what the model expects, by column and row."""
 
     def __init__(self, z: Sizes, first: bool):
         rows = 1 << z.row_bits
         self.z, self.first = z, first
         self.tables = {"classes": np.zeros((rows, z.classes)), "words": np.zeros((rows, z.words))}
-        if first:
-            self.tables["heads"] = np.zeros((rows, z.head_classes))
+        self.tables |= {"heads": np.zeros((rows, z.head_classes))} if first else {}
+        self.expected = {} if first else {"classes": np.zeros((z.classes, rows)), "words": np.zeros((z.words, rows))}
 
     def add(self, events: Events, model: Model) -> None:
-        if self.first:
-            head = np.flatnonzero(events.word >= 0)
-            for r in events.class_rows:
-                self._count("classes", r, events.cls)
-            for r in events.word_rows:
-                self._count("words", r[head], events.word[head])
+        head = np.flatnonzero(events.word >= 0)
+        for r in events.class_rows:
+            self._count("classes", r, events.cls)
+        for r in events.word_rows:
+            self._count("words", r[head], events.word[head])
+            if self.first:
                 self._count("heads", r[head], events.cls[head])
-            return
-        for start in range(0, len(events.cls), 4096):
-            part = slice(start, start + 4096)
-            z, w, at = events.logits(model, part)
-            self._spread("classes", [r[part] for r in events.class_rows], _probabilities(z))
-            if len(at):
-                self._spread("words", [r[part][at] for r in events.word_rows], _probabilities(w))
+        for start in range(0, 0 if self.first else len(events.cls), 1 << 16):
+            parts = [slice(k, min(k + 4096, start + (1 << 16))) for k in range(start, min(start + (1 << 16), len(events.cls)), 4096)]
+            met = [events.logits(model, part) for part in parts]
+            self._spread("classes", [r[start : start + (1 << 16)] for r in events.class_rows], np.concatenate([_probabilities(z) for z, _, _ in met]))
+            at = np.concatenate([m[2] + part.start for m, part in zip(met, parts, strict=True)])
+            self._spread("words", [r[at] for r in events.word_rows], np.concatenate([_probabilities(w) for _, w, _ in met]))
 
     def _count(self, name: str, row: np.ndarray, column: np.ndarray) -> None:
         """Adds one at each (row, column), at a cost by their number, not by the table's size."""
@@ -278,12 +278,14 @@ class Totals:
         np.add.at(table.reshape(-1), row * table.shape[1] + column, 1.0)
 
     def _spread(self, name: str, rows: list[np.ndarray], p: np.ndarray) -> None:
-        """Adds each event's probabilities to the rows of all its features."""
-        flat = np.concatenate(rows)
-        order = np.argsort(flat, kind="stable")
-        flat = flat[order]
-        first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-        self.tables[name][flat[first]] += np.add.reduceat(np.take(p, order % len(p), axis=0), first, axis=0)
+        """Adds each event's probabilities to the rows of all its features, one class or word after the other."""
+        for table, own in zip(self.expected[name], np.ascontiguousarray(p.T), strict=True):
+            for r in rows:
+                table += np.bincount(r, own, len(table))
+
+    def named(self) -> dict[str, np.ndarray]:
+        """All tables by row."""
+        return self.tables | {f"{name}_expected": table.T for name, table in self.expected.items()}
 
 
 def _count_task(batches, model: Model, s: Statistics, first: bool):
@@ -292,7 +294,7 @@ def _count_task(batches, model: Model, s: Statistics, first: bool):
     for _, texts in text_blocks(batches, "text", LARGE_BLOCK):
         tokens, seen = Tokens(texts), True
         totals.add(Events(tokens, s.look_up(tokens.hashes)[1], s.sizes), model)
-    for name, table in totals.tables.items() if seen else ():
+    for name, table in totals.named().items() if seen else ():
         for block in range(0, len(table), _BLOCK):
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block]), pa.array([table[block : block + _BLOCK].astype("<f8").tobytes()], pa.binary())], ["name", "block", "total"])
 
@@ -315,41 +317,41 @@ def _block(key, total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]]), pa.array([total.tobytes()], pa.binary())], ["name", "block", "total"])
 
 
-def moved(model: Model, observed: dict[str, np.ndarray], expected: dict[str, np.ndarray] | None, s: Statistics) -> Model:
-    """The model after a round. Without `expected` the model's weights are all 0."""
+def moved(model: Model, tables: dict[str, np.ndarray], s: Statistics) -> Model:
+    """The model after a round's totals; without expected ones its weights are all 0."""
     prior_class, prior_word = PRIOR * np.exp(model.class_bias.astype(float)), PRIOR / s.sizes.words
-    if expected is None:
-        class_expected = observed["classes"].sum(axis=1, keepdims=True) * np.exp(model.class_bias.astype(float))
-        word_expected = observed["heads"] @ np.exp(model.word_bias.astype(float))
+    if "heads" in tables:
+        class_expected = tables["classes"].sum(axis=1, keepdims=True) * np.exp(model.class_bias.astype(float))
+        word_expected = tables["heads"] @ np.exp(model.word_bias.astype(float))
     else:
-        class_expected, word_expected = expected["classes"], expected["words"]
-    classes = model.classes + CLASS_STEP * np.log((observed["classes"] + prior_class) / (class_expected + prior_class))
-    words = model.words + WORD_STEP * np.log((observed["words"] + prior_word) / (word_expected + prior_word))
+        class_expected, word_expected = tables["classes_expected"], tables["words_expected"]
+    classes = model.classes + CLASS_STEP * np.log((tables["classes"] + prior_class) / (class_expected + prior_class))
+    words = model.words + WORD_STEP * np.log((tables["words"] + prior_word) / (word_expected + prior_word))
     return Model(classes.astype(np.float32), words.astype(np.float32), model.class_bias, model.word_bias)
 
 
-def fit(docs: DataFrame, s: Statistics, rounds: int = ROUNDS) -> Model:
-    """Trains the weight tables on all documents of the learning part; tasks as many as keep the tables that they send
-    in a round in proportion to the text."""
+def fit(docs: DataFrame, s: Statistics, rounds: int = ROUNDS, batches: int = BATCHES) -> Model:
+    """Trains the weight tables on the learning part: first on all of it, then on one batch of it a round; tasks as many
+    as keep the tables that they send in a round in proportion to the text."""
     model = start_model(s)
-    lessons = docs.where("doc_id is not null").select("text").coalesce(max(TASKS, 8 * s.total // s.sizes.model_bytes))
+    lessons = docs.where("doc_id is not null").withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)))
+    tasks = max(TASKS, 8 * s.total // s.sizes.model_bytes)
     sc, schema = docs.sparkSession.sparkContext, "name string, block long, total binary"
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shipped_s, observed = Shipped(sc.broadcast(s)), None
+    shipped_s = Shipped(sc.broadcast(s))
     for step in range(rounds):
         shipped = Shipped(sc.broadcast(model))
 
         def run(batches, shipped=shipped, first=step == 0):
             yield from _count_task(batches, shipped.value, shipped_s.value, first)
 
-        sums = lessons.mapInArrow(run, schema).repartition(parts, "name", "block").sortWithinPartitions("name", "block").mapInArrow(_added, schema)
-        tables = Totals(s.sizes, step == 0).tables
+        own = lessons if step == 0 else lessons.where(F.col("batch") == (step - 1) % batches)
+        sums = own.select("text").coalesce(tasks).mapInArrow(run, schema).repartition(parts, "name", "block").sortWithinPartitions("name", "block").mapInArrow(_added, schema)
+        tables = {name: np.zeros(table.shape) for name, table in Totals(s.sizes, step == 0).named().items()}
         for row in sums.toLocalIterator():
             table = tables[row["name"]]
             table[row["block"] : row["block"] + _BLOCK] = np.frombuffer(row["total"], "<f8").reshape(_BLOCK, -1)
-        if step == 0:
-            observed = tables
-        model = moved(model, observed, tables if step else None, s)
+        model = moved(model, tables, s)
     return model
 
 

@@ -420,6 +420,23 @@ def test_top_k(spark):
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_top_k_of_huge_components(spark):
+    rng = __import__("random").Random(3)
+    data = [(i, [rng.choice([-1, 1]) * rng.random() * 10.0 ** rng.choice([0, 3, 7, 12, 15, 200]) for _ in range(5)]) for i in range(90)]
+    data += [(100, [-9e15] * 5), (200, [9e15] * 5), (300, [1.0] * 5)]
+    top, low = 2**63 - 1, -(2**63)
+    clip = lambda x: min(max(x, low), top)
+    whole = {i: [clip(math.floor(1024 * x)) for x in v] for i, v in data}
+    want = []
+    for q in (0, 100, 200, 300):
+        best = sorted((-clip(sum(a * b for a, b in zip(whole[q], v, strict=True))), i) for i, v in whole.items() if i != q)[:10]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    vectors = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3)
+    for shard in (32, 1000):
+        got = topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), shard=shard)
+        assert by_rows(got, "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
+
+
 def test_toxicity_finds_features_of_equal_leading_bits():
     import itertools
 

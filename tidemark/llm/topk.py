@@ -14,7 +14,8 @@ Defined results: vectors that are null, empty, or hold a null or non-finite comp
 candidate, nor do rows of a null id; vectors of different lengths are compared over the components that both
 have; rows of equal id are candidates of their own, but none of a query with that id; ties go to the smaller id;
 an empty table gives no rows. Equal rows are folded into one with a count before they are dealt, so many copies of
-one row weigh on no shard. Scores are 64-bit integers.
+one row weigh on no shard. Components and scores beyond 64 bits are the nearest 64-bit integer; what may go beyond them
+while it is added up is added up in integers of any length.
 """
 
 from __future__ import annotations
@@ -52,9 +53,18 @@ def _matrix(lists: pa.Array, width: int = 0) -> np.ndarray:
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> type:
-    """Floating point while all sums stay exact in it, else integers."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    return np.float64 if most < 2**52 else np.int64
+    """Floating point while all sums stay exact in it, else integers, of any length if need be."""
+    most = _greatest(a) * _greatest(b) * a.shape[1]
+    return np.float64 if most < 2**52 else np.int64 if most < 2**60 else object
+
+
+def _greatest(a: np.ndarray) -> float:
+    """The greatest absolute value; the least 64-bit integer has none of 64 bits."""
+    return max(float(a.max(initial=0)), -float(a.min(initial=0)))
+
+
+def _clipped(scores: np.ndarray) -> np.ndarray:
+    return np.clip(scores, -(2**63), 2**63 - 1) if scores.dtype == object and len(scores) else scores
 
 
 class Shard:
@@ -102,9 +112,10 @@ class Shard:
             if bar is not None:
                 still = total >= bar
                 keep, total = keep[still], total[still]
+            total = _clipped(total)
             times = np.minimum(self.copies[part][keep], k)
             best_ids, best = np.concatenate((best_ids, np.repeat(self.ids[part][keep], times))), np.concatenate((best, np.repeat(total, times)))
-            top = np.lexsort((best_ids, -best))[:k]
+            top = np.lexsort((best_ids, -best))[:k] if kind is not object else sorted(range(len(best)), key=lambda i: (-best[i], best_ids[i]))[:k]  # noqa: B023
             best_ids, best = best_ids[top], best[top]
             if len(best) == k:
                 bar = best[-1]

@@ -33,8 +33,10 @@ def _rules() -> dict[str, int]:
     return out
 
 
+@lru_cache(maxsize=4)
 def rules(spark: SparkSession) -> DataFrame:
-    """suffix, kinds: some 7,000 rows, fixed with the list's version; a local relation, no job makes it."""
+    """suffix, kinds: some 7,000 rows, fixed with the list's version; a local relation, no job makes it, and it is sent
+    to the JVM once a session."""
     known = _rules()
     return spark.createDataFrame(pa.table({"suffix": list(known), "kinds": pa.array(known.values(), pa.int32())}))
 

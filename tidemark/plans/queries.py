@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as nz
 from ..operators import chain, graph, jobs as joblog, report, scoring, summaries, triage
 from ..operators.ingest import Ingested, settled, with_enqueued
-from ..schema import job_id, tool_spec
+from ..schema import job_id, read_table, tool_spec, write_table
 from ..sources import archive, extract, splits
 from ..storage import cut, drop, shared_folder, stored
 from ..streaming.incremental import Store, merge_parsed
@@ -55,6 +55,29 @@ def s6_previews(spark: SparkSession, d: str) -> DataFrame:
     return archive.previews(fx.read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("job_id"), F.col("text").cast("binary").alias("content")))
 
 
+@query("SELECT entity_id, inv_id, type, norm, raw, first_seen, obs_count FROM ent")
+def s2_stored_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Entities written by investigation and read again."""
+    root = _table_root(spark)
+    write_table(fx.ingested(spark, d).entities, root, "entity", "overwrite")
+    return read_table(spark, root, "entity").select("entity_id", "inv_id", "type", "norm", "raw", _epoch("first_seen"), "obs_count")
+
+
+@query("SELECT obs_id, entity_id, job_id, tool FROM obs")
+def s3_appended_observations(spark: SparkSession, d: str) -> DataFrame:
+    """Observations in two appends; none replaces what is there."""
+    root, rows = _table_root(spark), cut(fx.ingested(spark, d).observations)
+    for own in (F.col("tool") == "crtsh", F.col("tool") != "crtsh"):
+        write_table(rows.where(own), root, "observation")
+    return read_table(spark, root, "observation").select("obs_id", "entity_id", "job_id", "tool")
+
+
+def _table_root(spark: SparkSession) -> str:
+    root = f"{shared_folder(spark)}/tidemark-tables-{uuid.uuid4().hex}"
+    atexit.register(drop, spark, root)
+    return root
+
+
 # -- 2.2 extraction: the JSON is built from driver rows ------------------------------------------------------------
 
 
@@ -617,10 +640,10 @@ def a5_requests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _responses(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """One response a nation, with a score a customer; labels by rank of the customer's key."""
+    """Responses for up to 120 customers, with a score each; labels by rank of the customer's key."""
     from pyspark.sql import Window
 
-    c = fx.read(spark, d, "customer").select(F.col("c_nationkey").alias("batch"), "c_custkey", "c_name", F.floor("c_acctbal").cast("bigint").alias("v"))
+    c = fx.read(spark, d, "customer").select(F.expr("c_custkey div 120").alias("batch"), "c_custkey", "c_name", F.floor("c_acctbal").cast("bigint").alias("v"))
     c = c.withColumn("label", F.concat(F.lit("v"), F.row_number().over(Window.partitionBy("batch").orderBy("c_custkey")).cast("string"))).withColumn("inv_id", F.lit("i"))
     one = F.to_json(F.struct(F.col("label").alias("id"), (F.col("v") % 300).alias("skor"), F.col("c_name").alias("gerekce"), F.array(F.lit("A b"), F.lit("a b"), F.lit("c!")).alias("etiketler")))
     scores = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", one.alias("j")))), lambda s: s["j"]), ",")
@@ -629,7 +652,7 @@ def _responses(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return c.groupBy("inv_id", "batch").agg(body.alias("response")), c.select("inv_id", "batch", "label", F.col("c_custkey").cast("string").alias("entity_id"))
 
 
-_LABELLED = "WITH c AS (SELECT c_nationkey AS batch, c_custkey, c_name, CAST(floor(c_acctbal) AS BIGINT) % 300 AS v, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer)"
+_LABELLED = "WITH c AS (SELECT c_custkey // 120 AS batch, c_custkey, c_name, CAST(floor(c_acctbal) AS BIGINT) % 300 AS v, row_number() OVER (PARTITION BY c_custkey // 120 ORDER BY c_custkey) AS r FROM customer)"
 
 
 @query(f"{_LABELLED} SELECT batch, CAST(c_custkey AS VARCHAR) AS entity_id, CAST(CASE WHEN v BETWEEN 0 AND 100 THEN v ELSE 5 END AS SMALLINT) AS score, CASE WHEN v BETWEEN 0 AND 100 THEN c_name ELSE 'again' END AS reason, CASE WHEN v BETWEEN 0 AND 100 THEN 'a b,c' ELSE '' END AS tags FROM c WHERE v BETWEEN 0 AND 100 OR r = 1", False)

@@ -9,16 +9,11 @@ PREVIEW_BYTES = 262_144
 _NAME = r"output\.[a-zA-Z0-9]+"
 
 
-def read_archive(spark: SparkSession, root: str) -> DataFrame:
-    """job_id, path, content of {root}/{job_id}/output.{format}, whatever the job's end was."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "output.*").option("recursiveFileLookup", "true").load(root)
-    return files.select(F.regexp_extract("path", rf"([^/]+)/{_NAME}$", 1).alias("job_id"), "path", "content").where("job_id <> ''")
-
-
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """job_id, path, length of the same files; contents are not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "output.*").option("recursiveFileLookup", "true").load(root)
-    return files.select(F.regexp_extract("path", rf"([^/]+)/{_NAME}$", 1).alias("job_id"), "path", "length").where("job_id <> ''")
+def read_archive(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """job_id, path, length, content of {root}/{job_id}/output.{format} below the paths, whatever the job's end was.
+    Contents are only read where they are asked for: not for a listing, nor beyond a bound on `length`."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "output.*").option("recursiveFileLookup", "true").load(paths)
+    return files.select(F.regexp_extract("path", rf"([^/]+)/{_NAME}$", 1).alias("job_id"), "path", "length", "content").where("job_id <> ''")
 
 
 def text_of(content: Column) -> Column:

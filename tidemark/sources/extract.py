@@ -14,7 +14,7 @@ from ..functions.normalize import ascii_labels, fold, host_part, ipv6_text, stri
 from ..functions.suffix import with_root
 from ..schema import RELATIONS
 from . import splits
-from .archive import listing, read_archive, text_of
+from .archive import read_archive, text_of
 
 PREFIX_LIMIT = 50
 EXPIRY_DAYS = 90
@@ -357,17 +357,21 @@ EXTRACTORS = {
 LARGE = 64 << 20
 
 
-def extract_archive(spark: SparkSession, root: str, jobs: DataFrame, large: int = LARGE) -> DataFrame:
-    """S1 and X1-X7 over {root}/{job_id}/output.*: large bodies of the two tools whose output has no bound, by splits; all
-    others as one row each."""
-    in_splits = {"crtsh": lambda paths: ct_records(splits.read_records(spark, paths)), "subfinder": lambda paths: subdomain_lines(splits.read_lines(spark, paths))}
-    sizes = listing(spark, root).join(jobs.select("job_id", "tool"), "job_id")
-    big = sizes.where((F.col("length") >= large) & F.col("tool").isin(*in_splits)).select("job_id", "tool", "path")
-    paths: dict[str, list[str]] = {}
-    for row in big.collect():  # a row for each 64 MB of the archive at most
-        paths.setdefault(row["tool"], []).append(row["path"])
-    small = read_archive(spark, root).join(big.select("job_id"), "job_id", "left_anti") if paths else read_archive(spark, root)
-    return _union(extract_all(small, jobs), *[in_splits[tool](found) for tool, found in paths.items()])
+def extract_archive(spark: SparkSession, paths: str | list[str], jobs: DataFrame, large: int = LARGE) -> DataFrame:
+    """S1 and X1-X7 over the archived files below the paths: large bodies of the two tools whose output has no bound, by
+    splits; all others as one row each. The contents of the former are never one row."""
+    in_splits = {"crtsh": lambda found: ct_records(splits.read_records(spark, found)), "subfinder": lambda found: subdomain_lines(splits.read_lines(spark, found))}
+    files, tools = read_archive(spark, paths), jobs.select("job_id", "tool")
+    big: dict[str, list[str]] = {}
+    for row in files.where(F.col("length") >= large).select("job_id", "path").join(tools, "job_id").where(F.col("tool").isin(*in_splits)).collect():  # a row for each 64 MB at most
+        big.setdefault(row["tool"], []).append(row["path"])
+    whole = files.where(F.col("length") < large).select("job_id", "content")
+    if big:
+        rest = tools.where(~F.col("tool").isin(*in_splits)).select("job_id")
+        whole = whole.unionByName(files.where(F.col("length") >= large).join(rest, "job_id", "left_semi").select("job_id", "content"))
+    else:
+        whole = files.select("job_id", "content")
+    return _union(extract_all(whole, jobs), *[in_splits[tool](found) for tool, found in big.items()])
 
 
 def extract_all(archive: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.ingest import ingest, only_new, settled
 from ..schema import TABLES
-from ..sources.extract import extract_all
+from ..sources.extract import extract_all, extract_archive
 from ..storage import cut
 
 _ARCHIVE = "path string, modificationTime timestamp, length long, content binary"
@@ -293,8 +293,17 @@ def merge_batch(store: Store, archive: DataFrame, jobs: DataFrame) -> None:
     store.compact()
 
 
-def stream_archive(spark: SparkSession, root: str, jobs: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
-    """Watches {root}/{job_id}/output.* and merges what has arrived; stops when all that is there is merged."""
-    files = spark.readStream.format("binaryFile").schema(_ARCHIVE).option("pathGlobFilter", "output.*").option("recursiveFileLookup", "true").load(root)
-    rows = files.select(F.regexp_extract("path", r"([^/]+)/output\.[a-zA-Z0-9]+$", 1).alias("job_id"), "content")
-    return rows.writeStream.foreachBatch(lambda df, _: merge_batch(store, df, jobs)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def merge_files(store: Store, paths: list[str], jobs: DataFrame) -> None:
+    """Extracts and merges archived files, large bodies in splits, then merges runs where there are many."""
+    if paths:
+        merge_parsed(store, extract_archive(store.spark, paths, jobs), jobs)
+        store.compact()
+
+
+def stream_archive(spark: SparkSession, root: str, jobs: DataFrame, store: Store, checkpoint: str, files_at_once: int = 10_000) -> StreamingQuery:
+    """Watches {root}/{job_id}/output.* and merges what has arrived, at most so many files a batch; stops when all that is
+    there is merged. The stream carries names only, so that no body has to fit a row."""
+    options = {"pathGlobFilter": "output.*", "recursiveFileLookup": "true", "maxFilesPerTrigger": str(files_at_once)}
+    names = spark.readStream.format("binaryFile").schema(_ARCHIVE).options(**options).load(root).select("path")
+    merge = lambda df, _: merge_files(store, [r["path"] for r in df.collect()], jobs)  # noqa: E731  bounded by files_at_once
+    return names.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -29,15 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Shipped
-from .common import LARGE_BLOCK, hot_keys, id_text, join_hot, stored, text_blocks
+from .common import LARGE_BLOCK, hot_keys, id_text, join_hot, stored, text_blocks, tidy
 from .hashing import Words, mix
 
 #: Least sizes; they hold for up to SMALL tokens.
 HEAD, CLASS_WORDS, TAIL_CLASSES = 1024, 32, 32
 ROW_BITS = 14
 SMALL = 1 << 24
-#: Doublings of the sizes, at most: a task's totals of a round then take 302 MB, and the weights 75 MB.
-MOST_DOUBLINGS = 4
+#: Doublings of the sizes, at most: a task's totals of a round then take 117 MB, and the weights 29 MB.
+MOST_DOUBLINGS = 3
 #: Rounds of the softmax an epoch, and all rounds.
 BATCHES = 3
 ROUNDS, TASKS = 1 + BATCHES, 8
@@ -50,6 +50,7 @@ PRIOR = 20.0
 KNOWN = 1 << 19
 ALPHA = 0.1
 _BLOCK = 512
+_SPREAD = 1 << 17
 _U = np.uint64
 _END = np.uint64(0x5851F42D4C957F2D)
 
@@ -66,7 +67,7 @@ class Sizes:
     @classmethod
     def of(cls, total: int) -> Sizes:
         doublings = min(MOST_DOUBLINGS, max(0, int(np.log2(max(total, 1) / SMALL) / 2)))
-        return cls(HEAD << doublings, CLASS_WORDS << doublings // 2, ROW_BITS + doublings // 2)
+        return cls(HEAD << doublings, CLASS_WORDS << (doublings + 1) // 2, ROW_BITS + doublings // 2)
 
     @property
     def head_classes(self) -> int:
@@ -217,6 +218,10 @@ class Events:
         bits = sizes.row_bits
         self.class_rows = [_row(bits, 1, a), _row(bits, 2, b), _row(bits, 3, c), _row(bits, 4, a, b), _row(bits, 5, a, c)]  # n-grams and skips
         self.word_rows = [_row(bits, 6, self.cls, a), _row(bits, 7, self.cls, b), _row(bits, 8, self.cls, a, b)]
+        # contexts, each with the features that follow from it
+        n = sizes.head + TAIL_CLASSES + 1
+        self.class_contexts = [(a * n + b, [0, 1, 3]), (a * n + c, [2, 4])]
+        self.word_context = (self.cls * n + a) * n + b
 
     def logits(self, model: Model, part: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Logits of all classes, the greatest 0; those of the class's words for the head tokens, and where these are."""
@@ -265,21 +270,32 @@ class Totals:
             self._count("words", r[head], events.word[head])
             if self.first:
                 self._count("heads", r[head], events.cls[head])
-        for start in range(0, 0 if self.first else len(events.cls), 1 << 16):
-            parts = [slice(k, min(k + 4096, start + (1 << 16))) for k in range(start, min(start + (1 << 16), len(events.cls)), 4096)]
-            met = [events.logits(model, part) for part in parts]
-            self._spread("classes", [r[start : start + (1 << 16)] for r in events.class_rows], np.concatenate([_probabilities(z) for z, _, _ in met]))
-            at = np.concatenate([m[2] + part.start for m, part in zip(met, parts, strict=True)])
-            self._spread("words", [r[at] for r in events.word_rows], np.concatenate([_probabilities(w) for _, w, _ in met]))
+        for start in range(0, 0 if self.first else len(events.cls), _SPREAD):
+            here = slice(start, min(start + _SPREAD, len(events.cls)))
+            at = np.flatnonzero(events.word[here] >= 0) + start
+            # by class or word and event, turned in parts that stay in the cache
+            classes, words, done = np.empty((self.z.classes, here.stop - start)), np.empty((self.z.words, len(at))), 0
+            for k in range(start, here.stop, 4096):
+                z, w, own = events.logits(model, slice(k, min(k + 4096, here.stop)))
+                classes[:, k - start : k - start + len(z)] = _probabilities(z).T
+                words[:, done : done + len(own)] = _probabilities(w).T
+                done += len(own)
+            for context, kinds in events.class_contexts:
+                self._spread("classes", context[here], [events.class_rows[k][here] for k in kinds], classes)
+            self._spread("words", events.word_context[at], [r[at] for r in events.word_rows], words)
 
     def _count(self, name: str, row: np.ndarray, column: np.ndarray) -> None:
         """Adds one at each (row, column), at a cost by their number, not by the table's size."""
         table = self.tables[name]
         np.add.at(table.reshape(-1), row * table.shape[1] + column, 1.0)
 
-    def _spread(self, name: str, rows: list[np.ndarray], p: np.ndarray) -> None:
-        """Adds each event's probabilities to the rows of all its features, one class or word after the other."""
-        for table, own in zip(self.expected[name], np.ascontiguousarray(p.T), strict=True):
+    def _spread(self, name: str, context: np.ndarray, rows: list[np.ndarray], p: np.ndarray) -> None:
+        """Adds each event's probabilities to the rows of its features: added up by context first, since equal contexts
+        have equal rows, and one class or word after the other."""
+        _, first, at = np.unique(context, return_index=True, return_inverse=True)
+        rows = [r[first] for r in rows]
+        for table, own in zip(self.expected[name], p, strict=True):
+            own = np.bincount(at, own, len(first))
             for r in rows:
                 table += np.bincount(r, own, len(table))
 
@@ -346,12 +362,14 @@ def fit(docs: DataFrame, s: Statistics, rounds: int = ROUNDS, batches: int = BAT
             yield from _count_task(batches, shipped.value, shipped_s.value, first)
 
         own = lessons if step == 0 else lessons.where(F.col("batch") == (step - 1) % batches)
-        sums = own.select("text").coalesce(tasks).mapInArrow(run, schema).repartition(parts, "name", "block").sortWithinPartitions("name", "block").mapInArrow(_added, schema)
+        sums = own.select("text").coalesce(tasks if step == 0 else max(TASKS, -(-tasks // batches))).mapInArrow(run, schema).repartition(parts, "name", "block").sortWithinPartitions("name", "block").mapInArrow(_added, schema)
         tables = {name: np.zeros(table.shape) for name, table in Totals(s.sizes, step == 0).named().items()}
         for row in sums.toLocalIterator():
             table = tables[row["name"]]
             table[row["block"] : row["block"] + _BLOCK] = np.frombuffer(row["total"], "<f8").reshape(_BLOCK, -1)
         model = moved(model, tables, s)
+        del sums
+        tidy(docs.sparkSession)
     return model
 
 

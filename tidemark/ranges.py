@@ -18,11 +18,6 @@ from .storage import stored
 PART = "_part"
 
 
-def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Equal keys, null being equal to null."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def met(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """left joined with a broadcast of right on null-safe keys; right is of one row a range at most."""
     names = {k: f"_right_{k}" for k in keys}
@@ -67,12 +62,12 @@ class Ranges:
         return met(placed, carried, [*self.groups, PART]).withColumn(name, place).drop("_k", "before", PART)
 
     def between(self, wanted: DataFrame, name: str = "position", kind: str = "int") -> DataFrame:
-        """The rows at places first..last of their group, from `wanted` (groups, first, last; more columns stay): only
-        ranges that hold such places are read, numbered and sorted."""
-        counts = self.counts()
-        on = same(counts, wanted, self.groups) if self.groups else F.lit(True)
-        extra = [c for c in wanted.columns if c not in self.groups]
-        hit = counts.join(wanted, on).where("before < last and before + n >= first").select(*[counts[c] for c in [*self.groups, PART, "before"]], *[wanted[c] for c in extra])
+        """The rows at places first..last of their group, from `wanted` (one row a group: groups, first, last; more columns
+        stay): only ranges that hold such places are read, numbered and sorted."""
+        own = {k: f"_wanted_{k}" for k in self.groups}
+        asked = wanted.withColumnsRenamed(own)
+        on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in own.items()], (F.col("before") < F.col("last")) & (F.col("before") + F.col("n") >= F.col("first")))
+        hit = self.counts().join(asked, on).drop("n", *own.values())
         hit = stored(hit)
         parts = [r[0] for r in hit.select(PART).distinct().collect()]  # at most as many as ranges
         placed = self.rows.where(F.col(PART).isin(parts)).withColumn("_k", F.row_number().over(self.within()))

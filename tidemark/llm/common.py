@@ -103,6 +103,9 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Bytes of a row group of what is stored: a task holds one while it writes and, of rows with long values, while it reads.
+ROW_GROUP = 16 << 20
+
 #: Folders that the innermost `scratch` block of this thread or context is to drop.
 _SCRATCH: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
 
@@ -143,7 +146,7 @@ def stored(df: DataFrame, outlives: bool = False) -> DataFrame:
 
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
     if (paths := _SCRATCH.get()) is not None and not outlives:
         paths.append(path)
     else:

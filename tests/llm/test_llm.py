@@ -368,7 +368,8 @@ def test_lm_gradient_by_finite_differences(spark):
     model.classes[:] = rng.normal(0, 0.3, model.classes.shape)
     model.words[:] = rng.normal(0, 0.3, model.words.shape)
     tokens = lm.Tokens([t for _, t in texts])
-    events = lm.Events(tokens, s.look_up(tokens.hashes)[1], s.sizes)
+    events = lm.Events(tokens, s.ranks(tokens.hashes), s.sizes)
+    assert (s.ranks(tokens.hashes) == s.look_up(tokens.hashes)[1]).all() and (s.ranks(tokens.hashes + tokens.hashes.dtype.type(1)) == -1).all()
     totals = [lm.Totals(s.sizes, first) for first in (True, False)]
     for t in totals:
         t.add(events, model)

@@ -152,6 +152,16 @@ class Statistics:
         return np.where(found, self.counts[at], -1), np.where(found, self.rank[at], -1)
 
 
+    def ranks(self, hashes: np.ndarray) -> np.ndarray:
+        """The rank alone, looked up among the head's tokens only."""
+        head = np.flatnonzero(self.rank >= 0)
+        if not len(head):
+            return np.full(len(hashes), -1)
+        own = self.known[head]
+        at = np.minimum(np.searchsorted(own, hashes), len(own) - 1)
+        return np.where(own[at] == hashes, self.rank[head][at], -1)
+
+
 def statistics(counts: DataFrame, known: int = KNOWN) -> Statistics:
     """What the driver needs of the stored counts: sums, and the commonest tokens, found through the histogram of
     the counts (few distinct values), so nothing is sorted in one place."""
@@ -309,7 +319,7 @@ def _count_task(batches, model: Model, s: Statistics, first: bool):
     totals, seen = Totals(s.sizes, first), False
     for _, texts in text_blocks(batches, "text", LARGE_BLOCK):
         tokens, seen = Tokens(texts), True
-        totals.add(Events(tokens, s.look_up(tokens.hashes)[1], s.sizes), model)
+        totals.add(Events(tokens, s.ranks(tokens.hashes), s.sizes), model)
     for name, table in totals.named().items() if seen else ():
         for block in range(0, len(table), _BLOCK):
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block]), pa.array([table[block : block + _BLOCK].astype("<f8").tobytes()], pa.binary())], ["name", "block", "total"])

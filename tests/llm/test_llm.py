@@ -488,6 +488,30 @@ def test_noisy_or_and_its_gradient(spark):
     assert gradient[-2] == pytest.approx((likelihood(weights, -2.0 + step, 0.05) - likelihood(weights, -2.0 - step, 0.05)) / (2 * step), abs=1e-4)
 
 
+def test_toxicity_round_is_a_few_jobs_whatever_the_partitions(spark):
+    """A local iterator ran a job for each shuffle partition in every round of training."""
+    import numpy as np
+
+    names = [f"word{i}" for i in range(300)]
+    model = toxicity.Model(np.sort(lm.Words(names, toxicity.LETTERS).hashes), np.ones(300), -2.0, 0.05)
+    sample = spark.createDataFrame([(" ".join(names), 1), ("word1 word2", 0)], "text string, label long")
+    compact = toxicity._compact(sample, model).cache()
+    compact.count()
+    changed = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    sc = spark.sparkContext
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        first = int(sc._jsc.sc().dagScheduler().nextJobId())
+        toxicity._gradient(compact, model)
+        assert int(sc._jsc.sc().dagScheduler().nextJobId()) - first < 5
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        compact.unpersist()
+
+
 def test_toxicity(spark, docs, none):
     plain, bad = "a quiet day in the park with birds. ", "you are a wretchling indeed. "
     known = [(i, plain * (1 + i % 5) + (bad if i % 3 == 0 else "") + plain, int(i % 3 == 0)) for i in range(90)]

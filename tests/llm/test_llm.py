@@ -160,6 +160,39 @@ def test_near_duplicates(spark, docs, none, width, percent):
     assert near.near_duplicates(none).count() == 0
 
 
+def test_exact_pass_lists_no_pair_that_is_far_apart(spark):
+    """A group of large sets that share half of their shingles, and two that are similar enough; the bucket counts alone let
+    every pair pass."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    common = [f"c{i}" for i in range(3000)]
+    texts = [" ".join([*common, *(f"own{d}x{i}" for i in range(1200))]) for d in range(12)]
+    own = texts[0].split()
+    for at in rng.choice(len(own), 40, replace=False):
+        own[at] = f"changed{at}"
+    texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = near.set_table(docs, 3)
+    groups = spark.createDataFrame([(s, i, i, len(texts)) for s in (1, 2) for i in range(len(texts))], "sig long, id long, component long, n long")
+    assert [(r.a, r.b) for r in near._block_pairs(groups, sets, 80).collect()] == [(0, 12)]
+
+
+def test_odd_sketches_never_exceed_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (0, 1, 5, 60, 300, 301, 1000, 40_000)]
+    sets += [np.union1d(s[: len(s) * 9 // 10], rng.integers(0, 2**63, 3).astype(np.uint64)) for s in sets]
+    odd = near.OddSketches([near.odd_sketch(s) for s in sets])
+    for x, p in enumerate(sets):
+        true = np.array([len(np.setxor1d(p, q)) for q in sets])
+        apart = odd.apart(x, np.arange(len(sets)))
+        assert (apart <= true).all() and apart[x] == 0
+    large = np.array([6, 14])
+    assert odd.apart(6, large)[1] > 0.9 * len(np.setxor1d(sets[6], sets[14]))
+
+
 def test_signatures_lose_no_similar_pair():
     import random
 

@@ -176,8 +176,8 @@ def split_by_ids(df: DataFrame, key: Column, ids: DataFrame) -> tuple[DataFrame,
     marked = ids.select(place(F.col("id").cast("long")).alias("at"))
     words = marked.select(F.shiftright("at", 6).alias("slot"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
     bits = np.zeros(slots, np.int64)
-    for row in words.toLocalIterator():
-        bits[row["slot"]] = row["bits"]
+    found = words.toPandas()  # at most `slots` rows, by one job
+    bits[found["slot"].to_numpy().astype(np.int64)] = found["bits"].to_numpy().astype(np.int64)
     shipped = df.sparkSession.sparkContext.broadcast(bits)
     name = "__tidemark_at"
     with_place = df.withColumn(name, F.coalesce(place(key.cast("long")), F.lit(0)))

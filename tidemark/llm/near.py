@@ -20,7 +20,9 @@ Work on the signatures never pairs a whole group:
    and are then verified on the texts;
 4. groups that their hub did not put into one component get the best linked member as a second hub;
 5. what is still apart is compared member by member in blocks of bounded size, different components only. This
-   makes the result exact for every input; no group is capped.
+   makes the result exact for every input; no group is capped. Pairs are told apart in place, by a second safe filter
+   that knows the difference almost to the shingle: the differing bits of odd sketches that grow with the sets. So
+   only pairs at the threshold are listed and go on to the texts, not the square of a group.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; a text of fewer words than
 a shingle is one shingle; rows of the same id are one document with links of each; a null id stays a row of its
@@ -47,6 +49,8 @@ BAND = 1.25
 SHARED = 3.5
 #: Buckets of the filter's counts.
 BUCKETS = 64
+#: Bits of an odd sketch for each shingle, at least, and bits of one at most (16 KB; larger sets only pass more pairs).
+ODD_BITS, MOST_ODD_BITS = 4, 1 << 17
 #: Members compared with each other at once in the exact pass.
 BLOCK = 256
 #: Texts that are verified against one copy of their hub's.
@@ -171,7 +175,7 @@ def signatures(sets: np.ndarray, offsets: np.ndarray, bands: Bands) -> tuple[np.
     return np.concatenate(indexes), np.concatenate(signs)
 
 
-SETS = "doc_id long, n_shingles long, key1 long, key2 long, counts binary"
+SETS = "doc_id long, n_shingles long, key1 long, key2 long, counts binary, odd binary"
 
 
 def _keys(sets: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,8 +187,49 @@ def _keys(sets: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key1, key2
 
 
+def odd_sketch(shingles: np.ndarray) -> bytes:
+    """A bit for each bucket of a set: whether it holds an odd number of shingles. Of two sketches of one length as many
+    bits differ as shingles do at most; the longer one, a power of 2, folds to the length of the other."""
+    bits = 64
+    while bits < min(ODD_BITS * len(shingles), MOST_ODD_BITS):
+        bits *= 2
+    at = ((shingles >> _U(24)) & _U(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(words: np.ndarray, length: int) -> np.ndarray:
+    """The rows of a matrix of sketches in 64-bit words, each folded to a number of words."""
+    while words.shape[1] > length:
+        half = words.shape[1] // 2
+        words = words[:, :half] ^ words[:, half:]
+    return words
+
+
+class OddSketches:
+    """The sketches of a block's members, by length."""
+
+    def __init__(self, sketches: list[bytes]):
+        size = np.fromiter(map(len, sketches), np.int64, len(sketches)) // 8
+        self.size, self.row, self.words = size, np.zeros(len(size), np.int64), {}
+        for n in np.unique(size).tolist():
+            own = np.flatnonzero(size == n)
+            self.row[own] = np.arange(len(own))
+            self.words[n] = np.frombuffer(b"".join([sketches[i] for i in own.tolist()]), "<u8").reshape(-1, n)
+
+    def apart(self, x: int, to: np.ndarray) -> np.ndarray:
+        """How many shingles member x and each of `to` differ in, at least."""
+        out, n = np.zeros(len(to), np.int64), int(self.size[x])
+        own = self.words[n][self.row[x] : self.row[x] + 1]
+        for m in np.unique(self.size[to]).tolist():
+            at = np.flatnonzero(self.size[to] == m)
+            least = min(n, m)
+            differ = _folded(self.words[m][self.row[to[at]]], least) ^ _folded(own, least)
+            out[at] = np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def set_table(docs: DataFrame, width: int) -> DataFrame:
-    """Per document: the size and 128-bit key of its shingle set, and its bucket counts."""
+    """Per document: the size and 128-bit key of its shingle set, its bucket counts and its odd sketch."""
 
     def run(batches):
         for block, texts in text_blocks(batches, "text"):
@@ -194,8 +239,9 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
             owner = np.repeat(np.arange(len(size)), size)
             counts = np.bincount(owner * BUCKETS + (sets & _U(BUCKETS - 1)).astype(np.int64), minlength=len(size) * BUCKETS)
             counts = np.minimum(counts, 65535).astype("<u2").reshape(len(size), BUCKETS)
-            columns = [block.column(0), pa.array(size), pa.array(key1.view(np.int64)), pa.array(key2.view(np.int64)), pa.array([c.tobytes() for c in counts], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "key1", "key2", "counts"])
+            odd = [odd_sketch(sets[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            columns = [block.column(0), pa.array(size), pa.array(key1.view(np.int64)), pa.array(key2.view(np.int64)), pa.array([c.tobytes() for c in counts], pa.binary()), pa.array(odd, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "key1", "key2", "counts", "odd"])
 
     return docs.mapInArrow(run, SETS)
 
@@ -350,13 +396,13 @@ def _second_hubs(groups: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _block_pairs(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all pairs of an open group's members in different components that the filter lets pass, found
+    """(a, b): all pairs of an open group's members in different components that both filters let pass, found
     block against block."""
-    side = sets.select(F.col("doc_id").alias("id"), "n_shingles", "counts")
+    side = sets.select(F.col("doc_id").alias("id"), "n_shingles", "counts", "odd")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     spread = groups.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).join(side, "id")
-    keyed = spread.groupBy("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("id", "component", "own", "n_shingles", "counts")).alias("members"))
+    keyed = spread.groupBy("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("id", "component", "own", "n_shingles", "counts", "odd")).alias("members"))
 
     def run(batches):
         for batch in batches:
@@ -364,10 +410,13 @@ def _block_pairs(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ids, comp, own_ = (np.array([m[k] for m in members], np.int64) for k in ("id", "component", "own"))
                 n = np.array([m["n_shingles"] for m in members], np.int64)
                 counts = np.frombuffer(b"".join(m["counts"] for m in members), "<u2").reshape(-1, BUCKETS).astype(np.int32)
+                odd = OddSketches([m["odd"] for m in members])
                 for x in np.flatnonzero(own_ == i).tolist():
                     to = np.flatnonzero((own_ == j) & (comp != comp[x]) & ((ids > ids[x]) if i == j else True))
                     if len(to):
                         to = to[possible(n[x], counts[x], n[to], counts[to], percent)]
+                    if len(to):
+                        to = to[odd.apart(x, to) * (100 + percent) <= (100 - percent) * (n[x] + n[to])]
                     if len(to):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[to])), pa.array(np.maximum(ids[x], ids[to]))], ["a", "b"])
 
@@ -389,7 +438,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         of = copies.select(F.col("doc_id").alias(end), F.col("chief").alias(f"{end}_chief"))
         stars = stars.join(of, end, "left").withColumn(end, F.coalesce(f"{end}_chief", end)).drop(f"{end}_chief")
     stars = stored(stars.where("a <> b").select("sig", "a", "b"))
-    sets = usable.select("doc_id", "n_shingles", "counts")
+    sets = usable.select("doc_id", "n_shingles", "counts", "odd")
 
     def links_of(pairs: DataFrame) -> DataFrame:
         found = checkpointed(verified(checkpointed(close_enough(pairs.distinct(), sets, percent)), docs, width, percent))

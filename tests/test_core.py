@@ -213,6 +213,21 @@ def test_counters_of_answers(spark):
     assert got == {"i": (1, 1, 2 + 2 + 1 + 1, 1), "j": (0, 0, 0, 1)}
 
 
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rdap_bodies_are_parsed_once_for_each_kind(spark):
+    body = '{"objectClassName":"domain","ldhName":"a.example.","events":[{"eventAction":"Expiration","eventDate":"2030-01-01T00:00:00Z"},{"eventAction":"expiration"}],"nameservers":[7,{"ldhName":"ns1.b.example."},{"ldhName":"."}],"entities":[{"roles":["registrant"],"vcardArray":["vcard",[["org",{},"text","Some Org"]]]}]}'
+    found = extract.extract_rdap(spark.createDataFrame([("j", body.encode())], "job_id string, content binary"))
+    rows = {(r.type, r.raw, r.seq, r.raw_path) for r in found.collect()}
+    assert rows == {("org", "Some Org", 0, "$.entities[?(@.roles=='registrant')]"), ("subdomain", "ns1.b.example", 2, "$.nameservers[1].ldhName"), ("domain", "a.example", 9 << 31, "$")}
+    domains = found.where("type <> 'netblock'")
+    assert '"bitis":"2030-01-01T00:00:00Z"' in domains.where("type = 'domain'").first().data
+    made = found._jdf.queryExecution().optimizedPlan().toString()
+    assert made.count("Generate inline") >= 3 and made.lower().count("parse_json") + made.lower().count("parsejson") <= 8
+
+
 def test_listing_slots_and_quota_over_days(spark):
     import random
 

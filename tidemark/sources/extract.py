@@ -58,6 +58,17 @@ def _union(*parts: DataFrame) -> DataFrame:
     return out
 
 
+def _once(d: DataFrame, *columns: Column) -> DataFrame:
+    """job_id and the columns, computed once a row: whatever filter or column follows reads them, where the optimizer would
+    else write what they are made of (a parsed body, say) into each of them again."""
+    return d.select("job_id", F.inline(F.array(F.struct(*columns))))
+
+
+def _cell(kind: str, raw: Column, data: Column, path: Column, seq: Column, relations: Column | None = None) -> Column:
+    """A row as one struct, for arrays of rows."""
+    return F.struct(*_row(kind, raw, data, path, seq, relations)[1:])
+
+
 def _json(*fields: Column) -> Column:
     """JSON of the fields that are not null."""
     return F.to_json(F.struct(*fields)) if fields else F.lit("{}")
@@ -212,8 +223,7 @@ def _role_name(role: str) -> Column:
 
     def named(card: Column, field: str) -> Column:
         texts = F.transform(F.filter(card, lambda f: F.try_variant_get(f, "$[0]", "string") == field), lambda f: _blank(_text(F.try_variant_get(f, "$[3]", "variant"))))
-        texts = F.array_compact(texts)
-        return F.get(texts, F.size(texts) - 1)
+        return F.try_element_at(F.array_compact(texts), F.lit(-1))
 
     names = F.transform(F.filter(entities, lambda e: F.array_contains(e["roles"], role)), lambda e: F.coalesce(named(e["card"], "org"), named(e["card"], "fn")))
     return F.get(F.array_compact(names), F.lit(0))
@@ -225,32 +235,36 @@ def _hidden(c: Column) -> Column:
 
 def extract_rdap(raw: DataFrame) -> DataFrame:
     """Registration data of a domain or an IP network, plain or in an envelope with the queried target."""
-    every = _variants(raw, "OBJECT").select("job_id", F.coalesce(F.when(F.schema_of_variant(F.try_variant_get("v", "$.yanit", "variant")).startswith("OBJECT"), F.try_variant_get("v", "$.yanit", "variant")), F.col("v")).alias("v"), _v("$.hedef", "string").alias("asked"))
+    every = _once(_bodies(raw), F.try_parse_json("body").alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
+    inner = F.when(F.schema_of_variant(F.try_variant_get("v", "$.yanit", "variant")).startswith("OBJECT"), F.try_variant_get("v", "$.yanit", "variant"))
+    every = _once(every, F.coalesce(inner, F.col("v")).alias("v"), _v("$.hedef", "string").alias("asked"))
     kind = F.lower(_v("$.objectClassName", "string"))
     return _union(_rdap_domain(every.where(kind == "domain")), _rdap_network(every.where(kind == "ip network")))
 
 
 def _rdap_domain(d: DataFrame) -> DataFrame:
+    """Each body is read once; its rows are made together."""
     name = F.regexp_replace(strip(F.coalesce(F.nullif(_v("$.ldhName", "string"), F.lit("")), _v("$.unicodeName", "string"))), r"\.+$", "")
-    d = d.select("job_id", "v", F.nullif(name, F.lit("")).alias("name"), _role_name("registrant").alias("owner"), _role_name("registrar").alias("registrar")).where("name is not null")
+    server = lambda ns: F.nullif(F.regexp_replace(strip(F.try_variant_get(ns, "$.ldhName", "string")), r"\.+$", ""), F.lit(""))
+    event = lambda e: F.struct(F.lower(F.try_variant_get(e, "$.eventAction", "string")).alias("action"), _text(F.try_variant_get(e, "$.eventDate", "variant")).alias("date"))
+    d = _once(
+        d, F.nullif(name, F.lit("")).alias("name"), _role_name("registrant").alias("owner"), _role_name("registrar").alias("registrar"), F.transform(_items("$.nameservers"), server).alias("servers"),
+        F.transform(_items("$.events"), event).alias("events"), F.array_compact(F.transform(_items("$.status"), _text)).alias("status"),
+    ).where("name is not null")
     open_owner = F.col("owner").isNotNull() & ~_hidden(F.col("owner"))
-    orgs = d.where(open_owner).select(*_row("org", F.col("owner"), _json(F.lit("rdap").alias("kaynak"), F.lit("registrant").alias("rol"), F.col("name").alias("domain")), F.lit("$.entities[?(@.roles=='registrant')]"), F.lit(0), _rel("owned_by", "domain", F.col("name"), "in")))
-    servers = d.select("job_id", "name", F.posexplode(_items("$.nameservers")).alias("i", "ns")).withColumn("server", F.nullif(F.regexp_replace(strip(_v("$.ldhName", "string", "ns")), r"\.+$", ""), F.lit(""))).where("server is not null")
-    hosts = servers.select(*_row("subdomain", F.col("server"), _json(F.lit("rdap").alias("kaynak"), F.lit("nameserver").alias("rol")), _path("$.nameservers[%d].ldhName", F.col("i")), F.col("i") + 1, _rel("ns_for", "domain", F.col("name"), "out")))
+    org = F.when(open_owner, _cell("org", F.col("owner"), _json(F.lit("rdap").alias("kaynak"), F.lit("registrant").alias("rol"), F.col("name").alias("domain")), F.lit("$.entities[?(@.roles=='registrant')]"), F.lit(0), _rel("owned_by", "domain", F.col("name"), "in")))
+    host = lambda s, i: F.when(s.isNotNull(), _cell("subdomain", s, _json(F.lit("rdap").alias("kaynak"), F.lit("nameserver").alias("rol")), _path("$.nameservers[%d].ldhName", i), i + 1, _rel("ns_for", "domain", F.col("name"), "out")))
     # The last date of each action; days left count from the registry's own update, not from today
-    events = _items("$.events")
-    date = lambda action: F.element_at(F.array_compact(F.transform(F.filter(events, lambda e: F.lower(F.try_variant_get(e, "$.eventAction", "string")) == action), lambda e: _text(F.try_variant_get(e, "$.eventDate", "variant")))), -1)
-    has = lambda action: F.exists(events, lambda e: (F.lower(F.try_variant_get(e, "$.eventAction", "string")) == action) & _text(F.try_variant_get(e, "$.eventDate", "variant")).isNotNull())
-    when = lambda action: F.when(has(action), date(action))
+    when = lambda action: F.try_element_at(F.array_compact(F.transform(F.filter("events", lambda e: e["action"] == action), lambda e: e["date"])), F.lit(-1))
     seconds = lambda c: F.unix_timestamp(F.try_to_timestamp(c))
     left = F.floor((seconds(when("expiration")) - seconds(when("last update of rdap database"))) / 86400)
-    status = F.array_compact(F.transform(_items("$.status"), _text))
     data = _json(
-        F.lit("rdap").alias("kaynak"), F.when(F.size(status) > 0, status).alias("rdap_durum"), when("registration").alias("olusturma"), when("expiration").alias("bitis"), when("last changed").alias("son_degisiklik"),
+        F.lit("rdap").alias("kaynak"), F.when(F.size("status") > 0, F.col("status")).alias("rdap_durum"), when("registration").alias("olusturma"), when("expiration").alias("bitis"), when("last changed").alias("son_degisiklik"),
         when("last update of rdap database").alias("rdap_guncelleme"), left.alias("bitise_kalan_gun"), (left <= EXPIRY_DAYS).alias("bitis_yakin"), F.when(~_hidden(F.col("registrar")), F.col("registrar")).alias("registrar"),
         F.when(F.col("owner").isNull(), True).alias("kayit_sahibi_yok"), F.when(F.col("owner").isNotNull(), ~open_owner).alias("kayit_sahibi_gizli"), F.when(F.col("owner").isNotNull() & ~open_owner, F.col("owner")).alias("kayit_sahibi_ham"),
     )
-    return _union(orgs, hosts, d.select(*_row("domain", F.col("name"), data, F.lit("$"), F.lit(9 * _STEP))))
+    rows = F.concat(F.array(org), F.transform("servers", host), F.array(_cell("domain", F.col("name"), data, F.lit("$"), F.lit(9 * _STEP))))
+    return d.select("job_id", F.inline(F.array_compact(rows)))
 
 
 def _rdap_network(d: DataFrame) -> DataFrame:

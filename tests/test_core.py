@@ -228,6 +228,15 @@ def test_rdap_bodies_are_parsed_once_for_each_kind(spark):
     assert made.count("Generate inline") >= 3 and made.lower().count("parse_json") + made.lower().count("parsejson") <= 8
 
 
+def test_answers_meet_labels_without_a_broadcast(spark):
+    body = '{"skorlar":[{"id":"v1","skor":5,"gerekce":"g"}],"hipotezler":[{"baslik":"t","aciklama":"b","guven":50,"ids":["v1"]}]}'
+    responses = spark.createDataFrame([("i", 0, body)], "inv_id string, batch int, response string")
+    labels = spark.createDataFrame([("i", 0, "v1", "e1"), ("i", 0, "v2", "e2")], "inv_id string, batch int, label string, entity_id string")
+    counted = scoring.counters(responses, labels, spark.createDataFrame([("i", "e1")], "inv_id string, entity_id string"))
+    assert [tuple(r) for r in counted.collect()] == [("i", 1, 1, 0, 1)]
+    assert "Broadcast" not in _plan(counted)
+
+
 def test_listing_slots_and_quota_over_days(spark):
     import random
 

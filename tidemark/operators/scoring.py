@@ -77,6 +77,12 @@ def requests(rows: DataFrame) -> DataFrame:
     return one.select("*", b90.alias("budget_90"), b80.alias("budget_80"), F.substring(F.sha2("body", 256), 1, 16).alias("delimiter"))
 
 
+def _dealt(side: DataFrame) -> DataFrame:
+    """The side of a join by keys that all differ in it or nearly so: both sides are shuffled at any size. Left alone, Spark
+    gathers it in the driver to send it out wherever its compressed size is small, once for every join of a query."""
+    return side.hint("merge")
+
+
 def clean_tags(tags: Column) -> Column:
     """A8, on an array of VARIANT: text only, cleaned, distinct in order, at most six."""
     text = F.transform(tags, lambda t: F.when(F.schema_of_variant(t) == "STRING", F.try_variant_get(t, "$", "string")))
@@ -108,12 +114,12 @@ def checked_scores(responses: DataFrame, labels: DataFrame) -> tuple[DataFrame,
     for the first time among valid ones, its number an integer of 0 to 100 and its reason not empty."""
     item = _answers(responses, "skorlar").select("inv_id", "batch", "k", _string("$.id", 20).alias("label"), _whole("$.skor").alias("score"), _string("$.gerekce", REASON_MAX).alias("reason"), clean_tags(F.coalesce(F.try_variant_get("item", "$.etiketler", "array<variant>"), F.array().cast("array<variant>"))).alias("tags"))
     fine = item.where(F.col("label").rlike("^v[1-9][0-9]*$") & F.col("score").isNotNull() & (F.coalesce("reason", F.lit("")) != ""))
-    known = fine.join(labels.select("inv_id", "batch", "label", "entity_id"), ["inv_id", "batch", "label"])
+    known = fine.join(_dealt(labels.select("inv_id", "batch", "label", "entity_id")), ["inv_id", "batch", "label"])
     first = F.row_number().over(Window.partitionBy("inv_id", "batch", "label").orderBy("k"))
     scores = known.withColumn("_r", first).where("_r = 1").drop("_r", "k")
     kept = scores.groupBy("inv_id", "batch").agg(F.count("*").alias("kept"))
-    dropped = item.groupBy("inv_id", "batch").agg(F.count("*").alias("given")).join(kept, ["inv_id", "batch"], "left").select("inv_id", "batch", (F.col("given") - F.coalesce("kept", F.lit(0))).alias("dropped"))
-    missing = labels.select("inv_id", "batch", "label").join(scores.select("inv_id", "batch", "label"), ["inv_id", "batch", "label"], "left_anti")
+    dropped = item.groupBy("inv_id", "batch").agg(F.count("*").alias("given")).join(_dealt(kept), ["inv_id", "batch"], "left").select("inv_id", "batch", (F.col("given") - F.coalesce("kept", F.lit(0))).alias("dropped"))
+    missing = labels.select("inv_id", "batch", "label").join(_dealt(scores.select("inv_id", "batch", "label")), ["inv_id", "batch", "label"], "left_anti")
     return scores, dropped, missing
 
 
@@ -121,9 +127,9 @@ def _hypotheses(responses: DataFrame, labels: DataFrame) -> tuple[DataFrame, Dat
     """(all items of the responses, those that are whole, with the ids that their known labels stand for)."""
     item = _answers(responses, "hipotezler").select("inv_id", "batch", "k", _string("$.baslik", TITLE_MAX).alias("title"), _string("$.aciklama", BODY_MAX).alias("body"), _whole("$.guven").alias("confidence"), F.try_variant_get("item", "$.ids", "array<string>").alias("ids"))
     whole = item.where("title <> '' and body <> '' and confidence is not null")
-    each = whole.select("inv_id", "batch", "k", F.posexplode(F.array_distinct("ids")).alias("p", "label")).join(labels.select("inv_id", "batch", "label", "entity_id"), ["inv_id", "batch", "label"])
+    each = whole.select("inv_id", "batch", "k", F.posexplode(F.array_distinct("ids")).alias("p", "label")).join(_dealt(labels.select("inv_id", "batch", "label", "entity_id")), ["inv_id", "batch", "label"])
     ids = each.groupBy("inv_id", "batch", "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "entity_id"))), lambda s: s["entity_id"]).alias("entity_ids"))
-    return item, whole.drop("ids").join(ids, ["inv_id", "batch", "k"])
+    return item, whole.drop("ids").join(_dealt(ids), ["inv_id", "batch", "k"])
 
 
 def _dropped_hypotheses(responses: DataFrame, labels: DataFrame) -> DataFrame:
@@ -142,10 +148,10 @@ def checked_hypotheses(responses: DataFrame, labels: DataFrame) -> DataFrame:
 def live_only(scores: DataFrame, hypotheses: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A10: scores of entities still in their investigation; hypotheses with the scored and living of their ids,
     those with none dropped."""
-    live = scores.join(entities.select("inv_id", "entity_id"), ["inv_id", "entity_id"], "left_semi")
-    each = hypotheses.select("inv_id", "batch", "k", F.posexplode("entity_ids").alias("p", "entity_id")).join(live.select("inv_id", "entity_id").distinct(), ["inv_id", "entity_id"], "left_semi")
+    live = scores.join(_dealt(entities.select("inv_id", "entity_id")), ["inv_id", "entity_id"], "left_semi")
+    each = hypotheses.select("inv_id", "batch", "k", F.posexplode("entity_ids").alias("p", "entity_id")).join(_dealt(live.select("inv_id", "entity_id").distinct()), ["inv_id", "entity_id"], "left_semi")
     ids = each.groupBy("inv_id", "batch", "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "entity_id"))), lambda s: s["entity_id"]).alias("entity_ids"))
-    return live, hypotheses.drop("entity_ids").join(ids, ["inv_id", "batch", "k"])
+    return live, hypotheses.drop("entity_ids").join(_dealt(ids), ["inv_id", "batch", "k"])
 
 
 def counters(responses: DataFrame, labels: DataFrame, entities: DataFrame) -> DataFrame:

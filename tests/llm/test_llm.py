@@ -425,6 +425,34 @@ def test_lm_gradient_by_finite_differences(spark):
                 assert (ends[1][0] - ends[0][0]) / (ends[1][1] - ends[0][1]) == pytest.approx(slope[row, column], abs=2e-3)
 
 
+def test_lm_round_adds_up_what_the_softmax_expects_without_sorting(spark, monkeypatch):
+    """Each event's probabilities go to the rows of all its features, whatever repeats; logits far from 0 too."""
+    import numpy as np
+
+    texts = [(i, " ".join(f"w{(i * 3 + j * j) % 9}" for j in range(12))) for i in range(8)] + [(9, "again " * 40), (10, None)]
+    s = lm.statistics(lm.count_tokens(spark.createDataFrame(texts, "doc_id long, text string")))
+    rng = np.random.default_rng(2)
+    tokens = lm.Tokens([t for _, t in texts])
+    events = lm.Events(tokens, s.ranks(tokens.hashes), s.sizes)
+    for width in (0.3, 60.0):
+        model = lm.start_model(s)
+        model.classes[:] = rng.normal(0, width, model.classes.shape)
+        model.words[:] = rng.normal(0, width, model.words.shape)
+        totals, want = lm.Totals(s.sizes, False), {name: np.zeros(getattr(model, name).shape) for name in ("classes", "words")}
+        with monkeypatch.context() as m:
+            m.setattr(lm.np, "unique", None)
+            totals.add(events, model)
+        for i in range(len(events.cls)):
+            kinds = [("classes", events.class_rows, model.class_bias)] + [("words", events.word_rows, model.word_bias[events.cls[i]])] * int(events.word[i] >= 0)
+            for name, own, bias in kinds:
+                z = bias + sum(getattr(model, name)[r[i]].astype(float) for r in own)
+                p = np.exp(z - z.max())
+                for r in own:
+                    want[name][r[i]] += p / p.sum()
+        for name, table in want.items():
+            assert totals.named()[f"{name}_expected"] == pytest.approx(table, rel=1e-3, abs=1e-4)
+
+
 def test_lm_sizes_follow_the_counts(spark):
     def model(n):
         s = lm.statistics(spark.range(5000).select(F.col("id").alias("token"), (F.col("id") % 32).alias("tail"), F.lit(n).cast("long").alias("n")))

@@ -51,6 +51,10 @@ KNOWN = 1 << 19
 ALPHA = 0.1
 _BLOCK = 512
 _SPREAD = 1 << 17
+#: Events whose logits are made at once, so that they stay in the processor's cache.
+_AT_ONCE = 2048
+#: Logits within this distance of 0 have exponentials that are whole float32 numbers, and so has a class's sum of them.
+_FAR = 64.0
 _U = np.uint64
 _END = np.uint64(0x5851F42D4C957F2D)
 
@@ -228,35 +232,41 @@ class Events:
         bits = sizes.row_bits
         self.class_rows = [_row(bits, 1, a), _row(bits, 2, b), _row(bits, 3, c), _row(bits, 4, a, b), _row(bits, 5, a, c)]  # n-grams and skips
         self.word_rows = [_row(bits, 6, self.cls, a), _row(bits, 7, self.cls, b), _row(bits, 8, self.cls, a, b)]
-        # contexts, each with the features that follow from it
-        n = sizes.head + TAIL_CLASSES + 1
-        self.class_contexts = [(a * n + b, [0, 1, 3]), (a * n + c, [2, 4])]
-        self.word_context = (self.cls * n + a) * n + b
 
     def logits(self, model: Model, part: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Logits of all classes, the greatest 0; those of the class's words for the head tokens, and where these are."""
+        """Logits of all classes; those of the class's words for the head tokens, and where these are."""
         z = np.take(model.classes, self.class_rows[0][part], axis=0)
         z += model.class_bias
         for r in self.class_rows[1:]:
             z += np.take(model.classes, r[part], axis=0)
-        z -= z.max(axis=1, keepdims=True)
+        _level(z)
         at = np.flatnonzero(self.word[part] >= 0)
         w = np.take(model.word_bias, self.cls[part][at], axis=0)
         for r in self.word_rows:
             w += np.take(model.words, r[part][at], axis=0)
-        w -= w.max(axis=1, keepdims=True)
+        _level(w)
         return z, w, at
 
 
+def _level(z: np.ndarray) -> None:
+    """Makes the greatest logit of each row 0, if any is so far from 0 that exponentials could leave the numbers' range."""
+    if z.size and (z.max() > _FAR or z.min() < -_FAR):
+        z -= z.max(axis=1, keepdims=True)
+
+
+def _sums(p: np.ndarray) -> np.ndarray:
+    return p @ np.ones(p.shape[1], p.dtype)
+
+
 def _own_log(z: np.ndarray, own: np.ndarray) -> np.ndarray:
     """The log probability of each row's own column."""
     at = z[np.arange(len(z)), own].astype(np.float64)
-    return at - np.log(np.exp(z, out=z).sum(axis=1))
+    return at - np.log(_sums(np.exp(z, out=z)))
 
 
 def _probabilities(z: np.ndarray) -> np.ndarray:
     p = np.exp(z, out=z)
-    p /= p.sum(axis=1, keepdims=True)
+    p /= _sums(p)[:, None]
     return p
 
 
@@ -267,7 +277,7 @@ class Totals:
 
     def __init__(self, z: Sizes, first: bool):
         rows = 1 << z.row_bits
-        self.z, self.first = z, first
+        self.z, self.first, self.rooms = z, first, {}
         self.tables = {"classes": np.zeros((rows, z.classes)), "words": np.zeros((rows, z.words))}
         self.tables |= {"heads": np.zeros((rows, z.head_classes))} if first else {}
         self.expected = {} if first else {"classes": np.zeros((z.classes, rows)), "words": np.zeros((z.words, rows))}
@@ -280,32 +290,40 @@ class Totals:
             self._count("words", r[head], events.word[head])
             if self.first:
                 self._count("heads", r[head], events.cls[head])
-        for start in range(0, 0 if self.first else len(events.cls), _SPREAD):
+        if not self.first:
+            self._expect(events, model)
+
+    def _expect(self, events: Events, model: Model) -> None:
+        """Adds what the model expects. Events stay in the order of the text: of an order by context, with its long runs
+        of one row, each sum would wait for the one before."""
+        for start in range(0, len(events.cls), _SPREAD):
             here = slice(start, min(start + _SPREAD, len(events.cls)))
             at = np.flatnonzero(events.word[here] >= 0) + start
-            # by class or word and event, turned in parts that stay in the cache
-            classes, words, done = np.empty((self.z.classes, here.stop - start)), np.empty((self.z.words, len(at))), 0
-            for k in range(start, here.stop, 4096):
-                z, w, own = events.logits(model, slice(k, min(k + 4096, here.stop)))
+            classes, words, done = self._room("classes", here.stop - start), self._room("words", len(at)), 0
+            for k in range(start, here.stop, _AT_ONCE):  # turned in parts that stay in the cache
+                z, w, own = events.logits(model, slice(k, min(k + _AT_ONCE, here.stop)))
                 classes[:, k - start : k - start + len(z)] = _probabilities(z).T
                 words[:, done : done + len(own)] = _probabilities(w).T
                 done += len(own)
-            for context, kinds in events.class_contexts:
-                self._spread("classes", context[here], [events.class_rows[k][here] for k in kinds], classes)
-            self._spread("words", events.word_context[at], [r[at] for r in events.word_rows], words)
+            self._spread("classes", [r[here] for r in events.class_rows], classes)
+            self._spread("words", [r[at] for r in events.word_rows], words)
+
+    def _room(self, name: str, events: int) -> np.ndarray:
+        """By class or word and event, in memory that is kept from block to block."""
+        columns = len(self.expected[name])
+        if len(self.rooms.get(name, ())) < columns * events:
+            self.rooms[name] = np.empty(columns * events, np.float32)
+        return self.rooms[name][: columns * events].reshape(columns, events)
 
     def _count(self, name: str, row: np.ndarray, column: np.ndarray) -> None:
         """Adds one at each (row, column), at a cost by their number, not by the table's size."""
         table = self.tables[name]
         np.add.at(table.reshape(-1), row * table.shape[1] + column, 1.0)
 
-    def _spread(self, name: str, context: np.ndarray, rows: list[np.ndarray], p: np.ndarray) -> None:
-        """Adds each event's probabilities to the rows of its features: added up by context first, since equal contexts
-        have equal rows, and one class or word after the other."""
-        _, first, at = np.unique(context, return_index=True, return_inverse=True)
-        rows = [r[first] for r in rows]
+    def _spread(self, name: str, rows: list[np.ndarray], p: np.ndarray) -> None:
+        """Adds probabilities to the rows of their features, one class or word after the other."""
         for table, own in zip(self.expected[name], p, strict=True):
-            own = np.bincount(at, own, len(first))
+            own = own.astype(np.float64)
             for r in rows:
                 table += np.bincount(r, own, len(table))
 

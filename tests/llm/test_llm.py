@@ -573,6 +573,22 @@ def test_toxicity_round_is_a_few_jobs_whatever_the_partitions(spark):
         compact.unpersist()
 
 
+def test_workers_get_small_batches(spark, tmp_path):
+    """A batch holds two large blocks of text, not 4 MB: the JVM has its copies outside the heap."""
+    import pyarrow as pa
+
+    from tidemark.llm import common
+
+    spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.col("id").cast("string"), 600).alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["rows", "bytes"])
+
+    got = common.read(spark, str(tmp_path), "documents").mapInArrow(run, "rows long, bytes long").collect()
+    assert sum(r.rows for r in got) == 4000 and max(r.bytes for r in got) < 1_200_000
+
+
 def test_toxicity(spark, docs, none):
     plain, bad = "a quiet day in the park with birds. ", "you are a wretchling indeed. "
     known = [(i, plain * (1 + i % 5) + (bad if i % 3 == 0 else "") + plain, int(i % 3 == 0)) for i in range(90)]

@@ -14,8 +14,9 @@ CHARS_AT_ONCE = 250_000
 LARGE_BLOCK = 2 * CHARS_AT_ONCE
 
 
-#: Bytes of one Arrow batch: a Python worker and its JVM hold several copies of one, and texts may be very long.
-BATCH_BYTES = 4 << 20
+#: Bytes of one Arrow batch: a Python worker and its JVM hold several copies of one, and texts may be very long. The JVM's
+#: lie outside its heap.
+BATCH_BYTES = 2 * LARGE_BLOCK
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -64,7 +65,10 @@ def trim() -> None:
     import ctypes
     import gc
 
+    import pyarrow as pa
+
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 

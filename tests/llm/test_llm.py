@@ -573,6 +573,39 @@ def test_toxicity_round_is_a_few_jobs_whatever_the_partitions(spark):
         compact.unpersist()
 
 
+def test_what_the_driver_sums_up_comes_by_a_few_jobs(spark):
+    """A local iterator ran a job for each range of the suffix array and for each partition of the terms' counts."""
+    changed = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    scheduler = spark.sparkContext._jsc.sc().dagScheduler()
+    texts = spark.createDataFrame([(1, A), (2, B), (3, f"{A} alpha1")], "doc_id long, text string")
+    places = [(i % 60, i, 0, i, i, 0, [i % 60, i % 7, i]) for i in range(400)]
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        indexed = decontaminate.index(texts).cache()
+        indexed.count()
+        phrases = next(decontaminate.passes(decontaminate.blocks(spark.createDataFrame([(1, "alpha1 beta1 gamma7 nowhere")], "item_id long, text string"))))
+        tails = spark.createDataFrame(places, "rank long, doc long, twin long, at int, seg long, i int, tail array<long>").cache()
+        tails.count()
+        first = int(scheduler.nextJobId())
+        counts = decontaminate.term_counts(indexed, phrases)
+        assert int(scheduler.nextJobId()) - first < 5
+        first = int(scheduler.nextJobId())
+        found = lines.longest_earlier(tails)
+        assert int(scheduler.nextJobId()) - first < 12
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        indexed.unpersist()
+    words = collections.Counter(w for t in (A, B, f"{A} alpha1") for w in t.split())
+    assert dict(zip(phrases[0].value.terms, counts[0].tolist(), strict=True)) == {w.encode(): words[w] for w in "alpha1 beta1 gamma7 nowhere".split()}
+    run = lambda i, j: next((n for n in range(3) if places[i][6][n] != places[j][6][n]), 3)
+    want = [(i, 0, most) for i in range(400) if (most := max((run(i, j) for j in range(i % 60, i, 60)), default=0))]
+    assert by_rows(found, "seg", "i", "run") == sorted(want, key=repr)
+    tails.unpersist()
+
+
 def test_workers_get_small_batches(spark, tmp_path):
     """A batch holds two large blocks of text, not 4 MB: the JVM has its copies outside the heap."""
     import pyarrow as pa

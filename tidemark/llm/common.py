@@ -61,7 +61,7 @@ def release(keep: str | None) -> None:
 
 
 def trim() -> None:
-    """Gives what this worker has freed back to the machine."""
+    """Gives what this Python process has freed back to the machine."""
     import ctypes
     import gc
 
@@ -135,10 +135,9 @@ def scratch(spark: SparkSession):
 
 def tidy(spark: SparkSession) -> None:
     """Has Spark delete the shuffle files and checkpoints of tables that nothing refers to any more. It learns of them
-    only when the driver collects its garbage, which a long iteration of small jobs may not cause for an hour."""
-    import gc
-
-    gc.collect()
+    only when the driver collects its garbage, which a long iteration of small jobs may not cause for an hour. What the
+    driver's Python has freed goes back to the machine."""
+    trim()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -180,8 +179,8 @@ def split_by_ids(df: DataFrame, key: Column, ids: DataFrame) -> tuple[DataFrame,
     marked = ids.select(place(F.col("id").cast("long")).alias("at"))
     words = marked.select(F.shiftright("at", 6).alias("slot"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
     bits = np.zeros(slots, np.int64)
-    found = words.toPandas()  # at most `slots` rows, by one job
-    bits[found["slot"].to_numpy().astype(np.int64)] = found["bits"].to_numpy().astype(np.int64)
+    found = words.toArrow()  # at most `slots` rows, by one job
+    bits[found["slot"].to_numpy()] = found["bits"].to_numpy()
     shipped = df.sparkSession.sparkContext.broadcast(bits)
     name = "__tidemark_at"
     with_place = df.withColumn(name, F.coalesce(place(key.cast("long")), F.lit(0)))

@@ -214,8 +214,11 @@ def term_counts(indexed: DataFrame, phrases: list[Shipped]) -> list[np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), b)), pa.array(used), pa.array(sums[used])], ["block", "term", "n"])
 
     out = [np.zeros(len(block.value.terms), np.int64) for block in phrases]
-    for row in indexed.select("terms", "ends").mapInArrow(run, "block long, term long, n long").groupBy("block", "term").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[row["block"]][row["term"]] = row["n"]
+    # a row for each term of the blocks at most, by one job: a local iterator runs one for each shuffle partition
+    summed = indexed.select("terms", "ends").mapInArrow(run, "block long, term long, n long").groupBy("block", "term").agg(F.sum("n").alias("n")).toArrow()
+    block, term, n = (summed[c].to_numpy() for c in ("block", "term", "n"))
+    for b, counts in enumerate(out):
+        counts[term[block == b]] = n[block == b]
     return out
 
 

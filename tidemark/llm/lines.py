@@ -75,14 +75,14 @@ def suffix_ranks(suffixes: DataFrame, depth: int) -> DataFrame:
     def named(pairs: DataFrame) -> DataFrame:
         """The distinct (a, b) with a number in their order; range partitions follow each other."""
         ordered = pairs.distinct().repartitionByRange(parts, "a", "b").sortWithinPartitions("a", "b")
-        return checkpointed(ordered.withColumn("rank", F.monotonically_increasing_id()))
+        return stored(ordered.withColumn("rank", F.monotonically_increasing_id()))
 
     now, length, known = suffixes.select("seg", "i", F.col("line").alias("rank")), 1, -1
     while length < depth:
         after = now.select("seg", (F.col("i") - length).alias("i"), F.col("rank").alias("b"))
         both = now.withColumnRenamed("rank", "a").join(after, ["seg", "i"], "left").select("seg", "i", "a", F.coalesce("b", F.lit(-(2**63))).alias("b"))
         names = named(both.select("a", "b"))
-        now = checkpointed(both.join(names, ["a", "b"]).select("seg", "i", "rank"))
+        now = stored(both.join(names, ["a", "b"]).select("seg", "i", "rank"))
         length, count = 2 * length, names.count()
         tidy(suffixes.sparkSession)
         if count == known:  # no class split: none will
@@ -188,7 +188,9 @@ def longest_earlier(tails: DataFrame) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tails.count() // RANGE))
     by = ["rank", "doc", "twin", "at"]
     ranges = checkpointed(tails.repartitionByRange(parts, *by).sortWithinPartitions(*by).select("doc", "twin", "at", "seg", "i", "tail"))
-    found = sorted((r["range"], r["ends"]) for r in ranges.mapInArrow(_summaries, "range long, ends string").toLocalIterator())
+    # a few numbers a range, by one job: a local iterator runs one for each range, and the driver keeps what it knows of each
+    summed = ranges.mapInArrow(_summaries, "range long, ends string").toArrow()
+    found = sorted(zip(summed["range"].to_pylist(), summed["ends"].to_pylist(), strict=True))
     shipped = spark.sparkContext.broadcast(dict(zip([n for n, _ in found], carried([json.loads(e) for _, e in found]), strict=True)))
 
     def run(batches):

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, hot_keys, id_text, join_hot, scratch, split_by_ids, stored, text_blocks, tidy
+from .common import hot_keys, id_text, join_hot, scratch, split_by_ids, stored, text_blocks, tidy
 from .components import components
 from .hashing import Words, mix
 
@@ -381,15 +381,15 @@ def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
 def _grouped(stars: DataFrame, linked: DataFrame) -> DataFrame:
     """(sig, id, component, n) of signatures that hold three members or more in several components; n: members."""
     members = stars.select("sig", F.col("a").alias("id")).union(stars.select("sig", "b")).distinct()
-    known = checkpointed(members.join(linked, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component")))
+    known = stored(members.join(linked, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component")))
     open_ = stored(known.groupBy("sig").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("n > 2 and x <> y").select("sig", "n"))
-    return checkpointed(join_hot(known, open_, ["sig"], hot_keys(open_, ["sig"])))
+    return stored(join_hot(known, open_, ["sig"], hot_keys(open_, ["sig"])))
 
 
 def _second_hubs(groups: DataFrame, links: DataFrame) -> DataFrame:
     """(a, b): each open group's member with most links, and its members of other components."""
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("degree"))
-    ranked = checkpointed(groups.join(degree, "id", "left").select("sig", "id", "component", F.coalesce("degree", F.lit(0)).alias("degree")))
+    ranked = stored(groups.join(degree, "id", "left").select("sig", "id", "component", F.coalesce("degree", F.lit(0)).alias("degree")))
     hub = stored(ranked.groupBy("sig").agg(F.max_by(F.struct("id", "component"), F.struct("degree", -F.col("id"))).alias("hub"), F.count("*").alias("n")))
     met = join_hot(ranked, hub.drop("n"), ["sig"], hot_keys(hub, ["sig"]))
     return met.where("component <> hub.component").select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
@@ -432,7 +432,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     key = ["key1", "key2", "n_shingles"]
     classes = stored(usable.groupBy(*key).agg(F.min("doc_id").alias("chief"), F.count("*").alias("n")).where("n > 1"))
     members = join_hot(usable.select("doc_id", *key), classes.select(*key, "chief"), key, hot_keys(classes, key))
-    copies = checkpointed(members.where("doc_id <> chief").select("doc_id", "chief").distinct())
+    copies = stored(members.where("doc_id <> chief").select("doc_id", "chief").distinct())
     stars = candidate_stars(docs.where("doc_id is not null"), width, percent)
     for end in ("a", "b"):
         of = copies.select(F.col("doc_id").alias(end), F.col("chief").alias(f"{end}_chief"))
@@ -441,7 +441,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     sets = usable.select("doc_id", "n_shingles", "counts", "odd")
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        found = checkpointed(verified(checkpointed(close_enough(pairs.distinct(), sets, percent)), docs, width, percent))
+        found = stored(verified(stored(close_enough(pairs.distinct(), sets, percent)), docs, width, percent))
         tidy(docs.sparkSession)
         return found
 

@@ -119,8 +119,8 @@ def _candidates(toxic: DataFrame, most: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], ["hash", "n"])
 
     counted = toxic.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_DOCUMENTS)
-    rows = counted.orderBy(F.desc("n"), "hash").limit(most).select("hash").toPandas()
-    return np.sort(rows["hash"].to_numpy().astype(np.int64).view(np.uint64))
+    rows = counted.orderBy(F.desc("n"), "hash").limit(most).select("hash").toArrow()
+    return np.sort(rows["hash"].to_numpy().view(np.uint64))
 
 
 def _compact(sample: DataFrame, model: Model) -> DataFrame:
@@ -170,8 +170,8 @@ def _gradient(compact: DataFrame, model: Model) -> np.ndarray:
 
     out = np.zeros(n + 2)
     # at most FEATURES + 2 rows, by one job: a local iterator runs one for each shuffle partition, in every round
-    summed = compact.mapInArrow(run, "feature long, value double").groupBy("feature").agg(F.sum("value").alias("value")).toPandas()
-    out[summed["feature"].to_numpy().astype(np.int64)] = summed["value"].to_numpy()
+    summed = compact.mapInArrow(run, "feature long, value double").groupBy("feature").agg(F.sum("value").alias("value")).toArrow()
+    out[summed["feature"].to_numpy()] = summed["value"].to_numpy()
     return out
 
 
@@ -194,8 +194,8 @@ def _fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_c
     total, df = np.zeros(2), np.zeros((2, len(hashes)))
     for row in compact.groupBy("label").count().collect():
         total[row["label"]] = row["count"]
-    counted = compact.select("label", F.explode(F.array_distinct("features")).alias("feature")).groupBy("feature", "label").count().toPandas()
-    df[counted["label"].to_numpy().astype(np.int64), counted["feature"].to_numpy().astype(np.int64)] = counted["count"].to_numpy()
+    counted = compact.select("label", F.explode(F.array_distinct("features")).alias("feature")).groupBy("feature", "label").count().toArrow()
+    df[counted["label"].to_numpy(), counted["feature"].to_numpy()] = counted["count"].to_numpy()
     if not total.all():
         return empty
     odds = np.log((df[1] + 0.5) / (total[1] + 1)) - np.log((df[0] + 0.5) / (total[0] + 1))
